@@ -6,8 +6,11 @@ hash. For 100 * |x ∩ y| >= 75 * |x ∪ y| both sets need an n-gram in common a
 first n - ceil(0.75 n) + 1, so only that part of the incidence is kept, and only
 columns that two documents share. The product is taken in blocks of columns
 (the shuffle partitions): overlap counts of a pair are accumulated over its
-columns, and pairs that can't reach the bound that follows from their sizes
-are discarded. Survivors are counted exactly on their whole sets.
+columns. With o the overlap that the sizes demand, the first L common n-grams of
+a pair lie among the first n - o + L of either set; a cell further back doesn't
+count for that pair, and a pair with less than L such cells is discarded. L is
+`COMMON`, or less where the kept prefixes are shorter. Survivors are counted
+exactly on their whole sets.
 
 Nothing is quadratic in a group of copies. Equal sets are one class, with the
 smallest id as representative. A column first links its classes to its
@@ -34,6 +37,7 @@ from shelfmark.llm._text import column_bytes, documents, gram_hashes, mix, signe
 
 GRAM = 5
 PERCENT = 75
+COMMON = 4
 #: Frequent: in more than this share of the documents, at least FLOOR; at most MOST n-grams.
 SHARE, FLOOR, MOST = 0.0005, 40, 1 << 20
 _lower = np.arange(256, dtype=np.uint8)
@@ -82,7 +86,10 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def incidence(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(gram, doc_id, n): the prefix of each set in the global order; equal sets of a slice once."""
+    """(gram, doc_id, cell): the prefix of each set in the global order; equal sets of a slice once.
+
+    A cell holds the set's size (upper half) and the n-gram's place in it (lower half).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -96,10 +103,10 @@ def incidence(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             row, key = row[order], key[order]
             place = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n)))[row]
             keep = leads[row] & (place <= n[row] + (-PERCENT * n[row]) // 100)
-            row, key = row[keep], key[keep]
-            yield pa.record_batch([pa.array(signed(key)), part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(n[row].astype(np.int32))], ["gram", "doc_id", "n"])
+            row, key, cell = row[keep], key[keep], n[row[keep]] << 32 | place[keep]
+            yield pa.record_batch([pa.array(signed(key)), part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(cell)], ["gram", "doc_id", "cell"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, n int")
+    return docs.mapInArrow(run, "gram long, doc_id long, cell long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -154,8 +161,9 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     first = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id"))
     classes = written(rows.join(first, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
 
-    shared = incidence(docs.where("doc_id is not null"), frequent).withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "n")
-    by_class = shared.join(classes.select("doc_id", "class_id").distinct(), "doc_id").select("gram", F.col("class_id").alias("x"), "n").distinct()
+    shared = incidence(docs.where("doc_id is not null"), frequent).withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "cell")
+    size, place = F.shiftright("cell", 32).cast("int").alias("n"), F.col("cell").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")
+    by_class = shared.join(classes.select("doc_id", "class_id").distinct(), "doc_id").select("gram", F.col("class_id").alias("x"), size, place).distinct()
     column = Window.partitionBy("gram")
     cells = written(by_class.withColumn("lo", F.min(F.struct("x", "n")).over(column)).withColumn("hi", F.max(F.struct("x", "n")).over(column)).where(F.col("lo.x") < F.col("hi.x")))
 
@@ -165,12 +173,13 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     found = written(linked(stars, texts))
     labels = components(found)
 
-    at = cells.select("gram", "x", "n").join(labels, F.col("x") == F.col("id"), "left").select("gram", "x", "n", F.coalesce("component", "x").alias("k"))
+    at = cells.select("gram", "x", "n", "place").join(labels, F.col("x") == F.col("id"), "left").select("gram", "x", "n", "place", F.coalesce("component", "x").alias("k"))
     open_ = written(at.withColumn("a", F.min("k").over(column)).withColumn("b", F.max("k").over(column)).where("a < b").drop("a", "b"))
-    other = open_.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("k").alias("yk"))
-    rest = lambda n: F.ceil(PERCENT * F.col(n) / 100) - 1  # noqa: E731  what lies behind a prefix
-    product = open_.join(other, (F.col("gram") == F.col("g")) & (F.col("x") < F.col("y")) & (F.col("k") != F.col("yk")) & apart).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap"))
-    bound = (100 + PERCENT) * (F.col("overlap") + F.greatest(rest("n"), rest("yn"))) >= PERCENT * (F.col("n") + F.col("yn"))
-    across = linked(product.where(bound).select("x", "y"), texts)
+    other = open_.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yplace"), F.col("k").alias("yk"))
+    need = F.ceil(PERCENT * (F.col("n") + F.col("yn")) / (100 + PERCENT))
+    common = F.least(F.lit(COMMON), need - F.ceil(PERCENT * F.greatest("n", "yn") / 100) + 1)
+    early = (F.col("place") < F.col("n") - need + common) & (F.col("yplace") < F.col("yn") - need + common)
+    product = open_.join(other, (F.col("gram") == F.col("g")) & (F.col("x") < F.col("y")) & (F.col("k") != F.col("yk")) & apart & early).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap"))
+    across = linked(product.where(F.col("overlap") >= common).select("x", "y"), texts)
     labels = components(found.unionByName(across))
     return classes.join(labels, F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
