@@ -5,13 +5,107 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.functions import isbn, text
+from shelfmark.operators import consensus, covers, identity, linkage, profile, series, vectors, verify
+from shelfmark.plans import oracles
+from shelfmark.sources.catalogue import sql, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _over(operator: Callable[..., DataFrame], *views: str) -> Query:
+    return lambda spark, sf_dir: operator(*[view(spark, sf_dir, v) for v in views])
+
+
+def _isbn(b: DataFrame) -> DataFrame:
+    c = F.col("isbn")
+    return b.select("book_id", isbn.isbn13_valid(c).alias("valid13"), isbn.isbn10_valid(F.substring(c, 4, 10)).alias("valid10"), isbn.canonical13(c).alias("canonical"), isbn.canonical13(F.substring(c, 4, 10)).alias("from10"), isbn.plausible(c).alias("plausible"), isbn.state(c).alias("state"))
+
+
+def _titles(b: DataFrame) -> DataFrame:
+    t = F.col("title")
+    return b.select("book_id", text.duplicate_key(t).alias("title_key"), text.clean_title(t).alias("clean"), text.title_sort(t).alias("sort"), text.number(F.col("series_index")).alias("number"), text.ocr_language(F.col("language")).alias("ocr_language"))
+
+
+def _authors(b: DataFrame) -> DataFrame:
+    a = F.col("author")
+    return b.select("book_id", text.author_display(a).alias("display"), text.author_sort(a).alias("sort"), text.authors_joined(a, text.author_sort).alias("all_sorts"))
+
+
+def _ratios(b: DataFrame) -> DataFrame:
+    x, y = F.lower(F.coalesce("title", F.lit(""))), F.lower("observed_title")
+    return b.select("book_id", F.round(text.ratio(x, y), 6).alias("ratio"), F.round(text.token_set_ratio(x, y), 6).alias("token_set"))
+
+
+def _rules(b: DataFrame) -> DataFrame:
+    observed = F.when(F.col("book_id") % 4 == 0, F.concat("isbn_body", F.lit("0"))).otherwise(F.col("isbn"))
+    rules = {
+        "isbn": verify.isbn_rule(F.col("isbn"), observed),
+        "language": verify.language_rule(F.col("language"), F.when(F.col("book_id") % 6 == 0, F.lit("it")).otherwise(F.upper("language"))),
+        "series": verify.series_rule(F.col("series"), F.when(F.col("book_id") % 10 == 0, F.lit(None).cast("string")).otherwise(F.lower("series")), F.col("book_id") % 3 == 0),
+        "series_index": verify.number_rule(F.col("series_index"), F.floor("series_index").cast("double")),
+    }
+    return verify.verdicts(b, rules)
+
+
+def _verdict_rows(b: DataFrame) -> DataFrame:
+    return _rules(b).select("book_id", F.explode("verdicts").alias("x")).select("book_id", "x.field", "x.v.verdict", "x.v.confidence", "x.v.flag", "x.v.review")
+
+
+def _gaps(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
+
+
+QUERIES: dict[str, Query] = {
+    "N1_N5_isbn": _over(_isbn, "books_isbn"),
+    "N8_N10_N21_titles": _over(_titles, "books"),
+    "N14_N16_authors": _over(_authors, "books"),
+    "N23_N24_ratios": _over(_ratios, "books"),
+    "N28_text_quality": _over(lambda d: d.select("doc_id", text.quality(F.col("text")).alias("quality")), "documents"),
+    "V1_V8_field_verdicts": _over(_verdict_rows, "books_isbn"),
+    "V12_V13_roll_up": _over(lambda b: verify.roll_up(_rules(b)), "books_isbn"),
+    "C1_C3_candidate_scores": _over(lambda b, c: consensus.scored(b, c).withColumn("score", F.round("score", 6)), "books_isbn", "candidates"),
+    "C4_C5_best_candidate": _over(consensus.best, "books_isbn", "candidates"),
+    "D2_title_author_clusters": _over(linkage.title_author_clusters, "books", "formats"),
+    "D3_isbn_clusters": _over(linkage.isbn_clusters, "books_isbn", "formats"),
+    "D4_work_clusters": _over(linkage.work_clusters, "books_isbn"),
+    "D5_pair_duplicates": _over(linkage.pair_duplicates, "books_isbn"),
+    "D7_duplicate_titles": _over(linkage.duplicate_titles, "books"),
+    "D8_near_hashes": _over(linkage.near_hashes, "cover_stats"),
+    "G1_full_gaps": _over(lambda b: _gaps(series.full_gaps(b)), "books"),
+    "G2_inner_gaps": _over(lambda b: _gaps(series.inner_gaps(b)).withColumn("fractional", F.size("fractional")), "books"),
+    "G3_wishlist": _over(series.wishlist, "books"),
+    "Q1_inventory": _over(profile.inventory, "books_isbn", "formats"),
+    "Q1_languages": _over(lambda b: profile.by_value(b, "language"), "books"),
+    "Q6_without_formats": _over(profile.without_formats, "books", "formats"),
+    "Q8_cover_classes": _over(profile.cover_classes, "cover_stats"),
+    "Q17_requests": _over(profile.requests_profile, "requests"),
+    "K1_calibration": _over(profile.calibration_report, "calibration"),
+    "K2_repeated_ids": _over(lambda c: profile.repeated_ids(c, "evidence_id"), "calibration"),
+    "K3_gate": _over(lambda c: profile.gate(profile.calibration_report(c)), "calibration"),
+    "L1_progress": _over(profile.progress, "runs"),
+    "L4_claimable": _over(lambda r: profile.claimable(r, "1996-01-01 00:00:00"), "runs"),
+    "L6_depth": _over(profile.depth, "operations"),
+    "L8_run_depth": _over(profile.run_depth, "runs"),
+    "L9_illegal_steps": _over(profile.illegal_steps, "operations"),
+    "L10_first_requests": _over(profile.first_requests, "operations"),
+    "P3_P6_cover_quality": _over(covers.quality, "cover_stats"),
+    "P10_oversize": _over(covers.oversize, "cover_stats"),
+    "R3_R4_confirmations": _over(identity.confirmations, "evidence"),
+    "R7_root_matches": _over(identity.root_matches, "evidence"),
+    "R8_field_consensus": _over(identity.field_consensus, "evidence"),
+    "R10_R11_tiers": _over(identity.tiers, "evidence"),
+    "E1_embedding_text": _over(vectors.embedding_text, "books"),
+    "E2_nearest": _over(vectors.nearest, "embeddings"),
+    "T2_error_windows": _over(profile.error_windows, "requests"),
+}
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql(body, *views) for name, (views, body) in oracles.ORACLES.items()}
