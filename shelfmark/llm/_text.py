@@ -7,8 +7,6 @@ multi-byte character is ever cut.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.graph import written as written
+
 #: \x20 and \x09-\x0D
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -128,24 +128,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; only where none is set, as in tests, a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        import tempfile
-
-        top = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/shelfmark-{os.getpid()}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the folds of the labelled operators."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm._text import column_bytes, documents, gram_hashes, mix, signed, slices, span_hashes, word_spans, written
+from shelfmark.llm._text import column_bytes, documents, gram_hashes, mix, signed, slices, span_hashes, word_spans
+from shelfmark.operators.graph import components, written
 
 GRAM = 5
 PERCENT = 75
@@ -128,27 +129,6 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(one, F.col("y") == F.col("id")).select("x", "y", "left", F.col("text").alias("right")).mapInArrow(run, "x long, y long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): connected components by alternating large and small stars, written each round.
-
-    Every round replaces the edges; both steps aggregate before they join, so a
-    node with very many neighbours is no single group. Ends when the edges stay.
-    """
-    e = written(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(root, F.col("u") == F.col("w")).select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(root.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-        state = now
-
-
 def near_duplicates(df: DataFrame) -> DataFrame:
     """The contract of op3: doc_id, n_shingles, component_id, and class_id, the smallest id with an equal set."""
     docs = documents(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
