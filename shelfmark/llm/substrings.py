@@ -61,13 +61,16 @@ def _earliest(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.nda
     return first, count
 
 
-def _own(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Keys of the rows that are decided already: no two alike, so they spread evenly."""
-    return np.where(rest, mix(key ^ mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))), key)
+def _own(key: np.ndarray, doc: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The key of a row that is decided already depends on its document alone: spread evenly, and small once compressed."""
+    return np.where(rest, mix(mix(doc.view(np.uint64)) + np.uint64(0x51ED270B)), key)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
+        part = part.filter(pc.and_(pc.invert(part.column("copy")), pc.is_valid(part.column("doc_id"))))
+        if not part.num_rows:
+            continue
         words, first = _words(part.column("text"))
         key, at = gram_hashes(words, first, ANCHOR)
         row = np.searchsorted(first, at, "right") - 1
@@ -76,7 +79,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, row, pos = key[keep], row[keep], pos[keep]
         doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
         lead, count = _earliest(key, doc, pos)
-        key = _own(key, doc, pos, ~lead)
+        key = _own(key, doc, ~lead)
         yield pa.record_batch([pa.array(signed(key)), pa.array(np.where(count > 1, 2, 1).astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "weight", "doc_id", "pos"])
 
 
@@ -101,15 +104,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.searchsorted(first, at, "right") - 1
         pos, doc = at - first[row], part.column("doc_id").to_numpy(zero_copy_only=False)[row]
         lead, _ = _earliest(key ^ mix(extra), doc, pos)
-        key = _own(key, doc, pos, ~lead)
+        key, extra = _own(key, doc, ~lead), np.where(lead, extra, pos)
         yield pa.record_batch([pa.array(signed(key)), pa.array(extra.astype(np.int32)), pa.array(~lead), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "extra", "known", "doc_id", "pos"])
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """Ids of documents whose whole text a smaller id has too: (doc_id, copy = true)."""
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    first = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
+    return keyed.join(first, ["a", "b"]).where("first < doc_id").groupBy("doc_id").agg(F.lit(True).alias("copy"))
+
+
 def repeated(df: DataFrame) -> DataFrame:
-    """The rows and `marks`: the starts of windows that also start earlier; null if there are none."""
+    """The rows, `copy` and `marks`: the starts of windows that also start earlier; null if there are none.
+
+    Whole copies are settled first, by the hash of their text; neither they nor,
+    on their account, the originals send anchors or windows.
+    """
     docs = df.withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    anchors = known.mapInArrow(_anchors, "key long, weight int, doc_id long, pos int")
+    docs = docs.join(copies(docs).hint("shuffle_hash"), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    anchors = docs.mapInArrow(_anchors, "key long, weight int, doc_id long, pos int")
     again = anchors.withColumn("n", F.sum("weight").over(Window.partitionBy("key"))).where(F.col("n") > 1).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     windows = docs.join(again.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_windows, "key long, extra int, known boolean, doc_id long, pos int")
     later = windows.withColumn("n", F.rank().over(Window.partitionBy("key", "extra").orderBy("doc_id", "pos"))).where(F.col("known") | (F.col("n") > 1))
@@ -118,8 +132,11 @@ def repeated(df: DataFrame) -> DataFrame:
 
 def _kept(part: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """For each row: words, words removed, words kept."""
-    for text, marks in zip(part.column("text").to_pylist(), part.column("marks")):
+    for text, copy, marks in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("marks")):
         words = text.encode("utf-8", "surrogatepass").split() if text else []
+        if copy and len(words) >= WINDOW:
+            yield len(words), len(words), []
+            continue
         at = np.asarray(marks.values, np.int64) if marks.is_valid else np.zeros(0, np.int64)
         at = at[at + WINDOW <= len(words)]
         if not len(at):
@@ -159,7 +176,7 @@ def deduplicated(df: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.record_batch(columns, names)
 
-    held = df.select("doc_id", *[n for n in names if n != "doc_id"]).withColumnRenamed("marks", "__marks") if "marks" in names else df
-    if "marks" in names:  # a column of the caller's with the operator's own name
-        return deduplicated(held).withColumnRenamed("__marks", "marks").select(*names)
+    clash = {n: f"{n}_of_caller" for n in ("marks", "copy") if n in names}
+    if clash:  # columns of the caller's with the operator's own names
+        return deduplicated(df.withColumnsRenamed(clash)).withColumnsRenamed({b: a for a, b in clash.items()}).select(*names)
     return repeated(df).mapInArrow(run, df.withColumn("doc_id", F.col("doc_id").cast("long")).schema)
