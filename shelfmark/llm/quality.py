@@ -159,7 +159,7 @@ def learn(df: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE)
             yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = documents(df, "doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, f"doc_id {kind}, y int, x array<double>").orderBy("doc_id", "y", "x").collect()
-    x, y = np.array([r["x"] for r in rows], float).reshape(len(rows), -1), np.array([r["y"] for r in rows])
+    x, y = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows])
     total = sum(shares.values())
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return shares.get(1, 0) / total if total else 0.5

@@ -45,6 +45,11 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), first
 
 
+def _ids(part: pa.RecordBatch) -> np.ndarray:
+    """Rows without an id have no windows, so what stands for it is never used."""
+    return pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _earliest(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each row is the first of its key by (doc, pos), and the size of its key's group."""
     order = np.lexsort((pos, doc, key))
@@ -77,7 +82,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = at - first[row]
         keep = _cover[pos % PERIOD]
         key, row, pos = key[keep], row[keep], pos[keep]
-        doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+        doc = _ids(part)[row]
         lead, count = _earliest(key, doc, pos)
         key = _own(key, doc, ~lead)
         yield pa.record_batch([pa.array(signed(key)), pa.array(np.where(count > 1, 2, 1).astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "weight", "doc_id", "pos"])
@@ -102,7 +107,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at = key[keep], at[keep]
         extra = span_hashes(mix(words + np.uint64(11)), at, at + WINDOW, 2) >> np.uint64(33)
         row = np.searchsorted(first, at, "right") - 1
-        pos, doc = at - first[row], part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+        pos, doc = at - first[row], _ids(part)[row]
         lead, _ = _earliest(key ^ mix(extra), doc, pos)
         key, extra = _own(key, doc, ~lead), np.where(lead, extra, pos)
         yield pa.record_batch([pa.array(signed(key)), pa.array(extra.astype(np.int32)), pa.array(~lead), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "extra", "known", "doc_id", "pos"])
