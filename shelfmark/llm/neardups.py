@@ -145,10 +145,15 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     size, place = F.shiftright("cell", 32).cast("int").alias("n"), F.col("cell").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")
     by_class = shared.join(classes.select("doc_id", "class_id").distinct(), "doc_id").select("gram", F.col("class_id").alias("x"), size, place).distinct()
     column = Window.partitionBy("gram")
-    cells = written(by_class.withColumn("lo", F.min(F.struct("x", "n")).over(column)).withColumn("hi", F.max(F.struct("x", "n")).over(column)).where(F.col("lo.x") < F.col("hi.x")))
+    end = F.struct("x", "n", "place")
+    cells = written(by_class.withColumn("lo", F.min(end).over(column)).withColumn("hi", F.max(end).over(column)).where(F.col("lo.x") < F.col("hi.x")))
 
     apart = 100 * F.least("n", "yn") >= PERCENT * F.greatest("n", "yn")
-    stars = cells.select("x", "n", F.explode(F.array("lo", "hi")).alias("p")).select(F.least("x", "p.x").alias("x"), F.greatest("x", "p.x").alias("y"), "n", F.col("p.n").alias("yn")).where("x < y").where(apart).select("x", "y").distinct()
+    need = F.ceil(PERCENT * (F.col("n") + F.col("yn")) / (100 + PERCENT))
+    common = F.least(F.lit(COMMON), need - F.ceil(PERCENT * F.greatest("n", "yn") / 100) + 1)
+    early = (F.col("place") < F.col("n") - need + common) & (F.col("yplace") < F.col("yn") - need + common)
+    ends = cells.select("x", "n", "place", F.explode(F.array("lo", "hi")).alias("p")).select("x", "n", "place", F.col("p.x").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yplace")).where("x <> y")
+    stars = ends.where(apart & early).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= common).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     texts = written(docs.join(cells.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     found = written(linked(stars, texts))
     labels = components(found)
@@ -156,9 +161,6 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     at = cells.select("gram", "x", "n", "place").join(labels, F.col("x") == F.col("id"), "left").select("gram", "x", "n", "place", F.coalesce("component", "x").alias("k"))
     open_ = written(at.withColumn("a", F.min("k").over(column)).withColumn("b", F.max("k").over(column)).where("a < b").drop("a", "b"))
     other = open_.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yplace"), F.col("k").alias("yk"))
-    need = F.ceil(PERCENT * (F.col("n") + F.col("yn")) / (100 + PERCENT))
-    common = F.least(F.lit(COMMON), need - F.ceil(PERCENT * F.greatest("n", "yn") / 100) + 1)
-    early = (F.col("place") < F.col("n") - need + common) & (F.col("yplace") < F.col("yn") - need + common)
     product = open_.join(other, (F.col("gram") == F.col("g")) & (F.col("x") < F.col("y")) & (F.col("k") != F.col("yk")) & apart & early).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap"))
     across = linked(product.where(F.col("overlap") >= common).select("x", "y"), texts)
     labels = components(found.unionByName(across))
