@@ -14,14 +14,20 @@ def cleaned(c: Column) -> Column:
 
 
 def _weighted(c: Column, weights: list[int]) -> Column:
-    return sum((F.try_to_number(F.substring(c, i + 1, 1), F.lit("9")).cast("int") * w for i, w in enumerate(weights)), F.lit(0))
+    """The weighted sum of leading digits, X as ten; callers have checked the shape.
+
+    A fold over the characters names `c` once, where a term for each digit would
+    repeat its whole expression.
+    """
+    digit = lambda x: F.when(x == "X", 10).otherwise(F.ascii(x) - 48)
+    terms = F.zip_with(F.split(c, ""), F.array(*[F.lit(w) for w in weights]), lambda x, w: F.coalesce(digit(x) * w, F.lit(0)))
+    return F.aggregate(terms, F.lit(0), lambda total, x: total + x)
 
 
 def isbn10_valid(c: Column) -> Column:
     """Weights 10 to 1, modulo 11; X counts ten and stands last only."""
     c = cleaned(c)
-    last = F.when(F.substring(c, 10, 1) == "X", F.lit(10)).otherwise(F.try_to_number(F.substring(c, 10, 1), F.lit("9")).cast("int"))
-    return F.coalesce(F.when(c.rlike("^[0-9]{9}[0-9X]$"), (_weighted(c, list(range(10, 1, -1))) + last) % 11 == 0), F.lit(False))
+    return F.coalesce(F.when(c.rlike("^[0-9]{9}[0-9X]$"), _weighted(c, list(range(10, 0, -1))) % 11 == 0), F.lit(False))
 
 
 def isbn13_valid(c: Column) -> Column:
@@ -30,12 +36,16 @@ def isbn13_valid(c: Column) -> Column:
     return F.coalesce(F.when(c.rlike("^[0-9]{13}$"), _weighted(c, [1, 3] * 6 + [1]) % 10 == 0), F.lit(False))
 
 
+def turned(c: Column) -> Column:
+    """The first nine digits of an ISBN-10 with prefix 978 and a new check digit."""
+    body = F.concat(F.lit("978"), F.substring(c, 1, 9))
+    return F.concat(body, F.pmod(10 - _weighted(body, [1, 3] * 6) % 10, F.lit(10)).cast("string"))
+
+
 def canonical13(c: Column) -> Column:
     """A valid ISBN-13 as it is, a valid ISBN-10 with prefix 978 and a new check digit, else null."""
     c = cleaned(c)
-    body = F.concat(F.lit("978"), F.substring(c, 1, 9))
-    check = F.pmod(10 - _weighted(body, [1, 3] * 6) % 10, F.lit(10))
-    return F.when(isbn13_valid(c), c).when(isbn10_valid(c), F.concat(body, check.cast("string")))
+    return F.when(isbn13_valid(c), c).when(isbn10_valid(c), turned(c))
 
 
 def plausible(c: Column) -> Column:

@@ -29,15 +29,27 @@ def _empty(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
 
 
-def isbn_rule(d: Column, o: Column) -> Column:
-    d, o = (F.regexp_replace(F.coalesce(x, F.lit("")), r"[\s-]", "") for x in (d, o))
-    ok = lambda x: isbn.isbn10_valid(x) | isbn.isbn13_valid(x)
-    turned = lambda x: F.concat(F.lit("978"), F.substring(x, 1, 9), F.pmod(10 - isbn._weighted(F.concat(F.lit("978"), F.substring(x, 1, 9)), [1, 3] * 6) % 10, F.lit(10)).cast("string"))
+def isbn_facts(df: DataFrame, declared: Column, observed: Column) -> DataFrame:
+    """Adds the columns that `isbn_rule` reads: both values without spaces and hyphens, and what holds of each.
+
+    As columns of their own they are computed once; nested in the ladder they
+    would be one expression of thousands of nodes.
+    """
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s-]", "")
+    df = df.withColumns({"isbn_d": plain(declared), "isbn_o": plain(observed)})
+    return df.withColumns({f"isbn_{side}_{name}": of(F.col(f"isbn_{side}")) for side in "do" for name, of in (("10", isbn.isbn10_valid), ("13", isbn.isbn13_valid), ("turned", isbn.turned))})
+
+
+def isbn_rule() -> Column:
+    """V1, over the columns of `isbn_facts`."""
+    d, o = F.col("isbn_d"), F.col("isbn_o")
+    d13, o13 = F.col("isbn_d_13"), F.col("isbn_o_13")
+    d_ok, o_ok = F.col("isbn_d_10") | d13, F.col("isbn_o_10") | o13
     return (
-        Ladder().when((d == "") & (o == ""), "ambiguous", 0).when((d == "") & ok(o), "missing", 95).when(d == "", "ambiguous", 40).when(o == "", "ambiguous", 50)
-        .when(~ok(d) & ~ok(o), "ambiguous", 30).when(d == o, "confirmed", 99)
-        .when((F.length(d) == 10) & isbn.isbn13_valid(o) & (turned(d) == o), "confirmed", 90).when((F.length(o) == 10) & isbn.isbn13_valid(d) & (turned(o) == d), "confirmed", 90)
-        .when(ok(d) & ok(o), "mismatch", 98, "isbn_conflict", True).when(ok(o), "mismatch", 92, "isbn_conflict", True).when(F.lit(True), "mismatch", 88, "isbn_conflict", True).column
+        Ladder().when((d == "") & (o == ""), "ambiguous", 0).when((d == "") & o_ok, "missing", 95).when(d == "", "ambiguous", 40).when(o == "", "ambiguous", 50)
+        .when(~d_ok & ~o_ok, "ambiguous", 30).when(d == o, "confirmed", 99)
+        .when((F.length(d) == 10) & o13 & (F.col("isbn_d_turned") == o), "confirmed", 90).when((F.length(o) == 10) & d13 & (F.col("isbn_o_turned") == d), "confirmed", 90)
+        .when(d_ok & o_ok, "mismatch", 98, "isbn_conflict", True).when(o_ok, "mismatch", 92, "isbn_conflict", True).when(F.lit(True), "mismatch", 88, "isbn_conflict", True).column
     )
 
 
