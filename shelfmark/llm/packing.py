@@ -20,6 +20,7 @@ ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,6 +39,10 @@ END = 2
 BUCKET = 200_000
 ROUNDS = 400
 SPECIAL = "<|endoftext|>"
+#: White space runs of this many characters pass by the pattern's regex engine, whose stack ends at about a million.
+RUN = 1 << 16
+#: \s of the pattern (Unicode White_Space); Python's own has \x1c-\x1f too.
+_run = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
 
 
 @lru_cache(2)
@@ -50,16 +55,27 @@ def tokenizer(ranks_path: str, pattern: str, special_id: int):
     return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: special_id})
 
 
+def encoded(text: str, tokens) -> np.ndarray:
+    """The ids of a text. A very long white space run is cut out as the pattern does: one pre-token, of all but its last character where other text follows."""
+    encode = lambda part: tokens.encode_to_numpy(part, allowed_special={SPECIAL})
+    parts, done = [], 0
+    for m in _run.finditer(text) if len(text) >= RUN else ():
+        end = m.end() if m.end() == len(text) or text.startswith(SPECIAL, m.end()) else m.end() - 1
+        parts += [encode(text[done : m.start()]), np.array(tokens._encode_single_piece(text[m.start() : end]), "<u4")]
+        done = end
+    return np.concatenate([*parts, encode(text[done:])]) if parts else encode(text)
+
+
 def pieces(df: DataFrame, ranks_path: str, pattern: str, special_id: int = 50256, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(ranks_path, pattern, special_id).encode_to_numpy
+        tokens = tokenizer(ranks_path, pattern, special_id)
         for part in slices(batches, most=1 << 20):
             row, number, start, length, crc = [], [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
-                ids = np.append(encode(text, allowed_special={SPECIAL}), end) if text else [end]
+                ids = np.append(encoded(text, tokens), end) if text else [end]
                 ids = np.asarray(ids, "<u4")
                 a, b = 0, (len(ids) - 1) % capacity + 1
                 while a < len(ids):

@@ -200,6 +200,23 @@ def test_packing_special_token(spark):
     assert x["length"] == 4 and x["ids_crc32"] == zlib.crc32(np.array([64, 50256, 65, 2], "<u4").tobytes())
 
 
+def test_packing_long_white_space(spark):
+    """Runs that the pattern's regex engine can't hold."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = 2_000_000
+    texts = ["a" + " " * n + "b", "a" + " " * n, "x\u3000" + "\n" * n + "<|endoftext|>" + " \t" * 50_000 + "\x1c1"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = defaultdict(list)
+    for x in RUNS["packing"](d, spark).collect():
+        by[x["doc_id"]].append((x["start"], x["length"], x["ids_crc32"]))
+    for i, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [2]
+        assert sum(x[1] for x in by[i]) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[a : a + m], "<u4").tobytes()) for a, m, crc in by[i])
+
+
 def test_bpe_against_the_library():
     from tokenizers import Tokenizer
 
