@@ -344,6 +344,24 @@ def test_secrets_network(spark):
     assert got == [[(12, 3, 12 + len(bare))], [], []]
 
 
+def test_secrets_recall_comes_first(spark):
+    """Unmarked keys among the candidates don't lift the threshold; shorter and letter-only secrets are read."""
+    r = random.Random(3)
+    make = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    capital, mixed, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    rows = []
+    for i in range(900):
+        kind = (f"token = {make(capital, 24)}", f"secret: {make(mixed, 20)}", f"token={make(low, 10)}", f"key {make(low, 30)}")[i % 4]
+        bare = make(capital, 24) if i % 3 == 0 else make(mixed, 20)
+        rows.append((i, f"some words {kind} and number {r.randrange(10**16):016d} or {bare} by understandings"))
+    net = secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert min(net.recall.values()) >= secrets.RECALL
+    fresh = [make(*x) for x in ((capital, 24), (mixed, 20)) for _ in range(40)]
+    got = secrets.all_spans([f"plain words {x} end" for x in fresh], net)
+    assert sum(x == [(12, 3, 12 + len(k))] for x, k in zip(got, fresh)) >= secrets.RECALL * len(fresh)
+    assert secrets.candidates("a1b2c3 QwErTyUiOpAs plain") == [(0, 6), (7, 19)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
