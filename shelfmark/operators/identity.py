@@ -41,3 +41,23 @@ def tiers(evidence: DataFrame) -> DataFrame:
     )
     tier = F.when(reason == "confirmed", "A").otherwise("B")
     return told.select("book_id", tier.alias("tier"), reason.alias("reason"), F.when(tier == "A", "shadowed").otherwise("review").alias("state"))
+
+
+def core_state(evidence: DataFrame) -> DataFrame:
+    """By book, how many core fields its content tells, and whether an external root of the exact identifier tells another title, authors or languages."""
+    core = evidence.where("authoritative and field in ('title', 'authors', 'languages')").withColumn("key", F.lower(F.trim("value")))
+    own = core.where(F.col("source_kind").isin(*INTERNAL)).groupBy("book_id", "field").agg(F.min("key").alias("own"))
+    outer = evidence.where(F.col("authoritative") & F.col("source_kind").isin(*EXTERNAL))
+    roots = outer.where("field = 'identifiers' and value = manifestation_isbn").select("book_id", "independence_root").distinct()
+    told = core.where(F.col("source_kind").isin(*EXTERNAL)).select("book_id", "independence_root", "field", "key").join(roots, ["book_id", "independence_root"], "left_semi")
+    conflicts = own.join(told, ["book_id", "field"]).groupBy("book_id").agg(F.max(F.col("key") != F.col("own")).alias("conflict"))
+    return own.groupBy("book_id").agg(F.count("*").alias("n_core")).join(conflicts, "book_id", "left")
+
+
+def ladder(evidence: DataFrame) -> DataFrame:
+    """tiers(), with the tests of the content's core fields and of external conflicts before the external match."""
+    late = F.col("reason").isin("missing_external_core_confirmation", "confirmed")
+    told = tiers(evidence).join(core_state(evidence), "book_id", "left")
+    reason = F.when(late & (F.coalesce("n_core", F.lit(0)) < 3), "incomplete_internal_core_evidence").when(late & F.coalesce("conflict", F.lit(False)), "external_expression_conflict").otherwise(F.col("reason"))
+    tier = F.when(reason == "confirmed", "A").when(reason == "external_expression_conflict", "C").otherwise("B")
+    return told.select("book_id", tier.alias("tier"), reason.alias("reason"), F.when(tier == "A", "shadowed").when(tier == "C", "deferred").otherwise("review").alias("state"))

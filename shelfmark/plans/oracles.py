@@ -187,6 +187,14 @@ FROM {_ISBN} b LEFT JOIN (SELECT book_id, count(*) AS n FROM formats GROUP BY bo
 FROM (SELECT book_id, field, count(DISTINCT lower(trim(value))) AS nv, count(DISTINCT independence_root) AS nr, min(lower(trim(value))) AS v, bool_or(source_kind IN ('content_native', 'ocr_consensus', 'official')) AS sure FROM evidence WHERE authoritative GROUP BY book_id, field)"""),
     "R10_R11_tiers": (("evidence",), f"""SELECT book_id, CASE WHEN reason = 'confirmed' THEN 'A' ELSE 'B' END AS tier, reason, CASE WHEN reason = 'confirmed' THEN 'shadowed' ELSE 'review' END AS state FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_identifier'
   WHEN NOT coalesce(internal, FALSE) THEN 'missing_internal_manifestation_confirmation' WHEN NOT coalesce("external", FALSE) THEN 'missing_external_manifestation_confirmation' WHEN r.book_id IS NULL THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
+FROM (SELECT book_id, max(manifestation_isbn) AS isbn FROM evidence GROUP BY book_id) b LEFT JOIN {_CONFIRMED} c ON c.book_id = b.book_id LEFT JOIN (SELECT DISTINCT book_id FROM {_ROOTS}) r ON r.book_id = b.book_id)"""),
+    "R6_R10_R11_ladder": (("evidence",), f"""SELECT book_id, CASE reason WHEN 'confirmed' THEN 'A' WHEN 'external_expression_conflict' THEN 'C' ELSE 'B' END AS tier, reason, CASE reason WHEN 'confirmed' THEN 'shadowed' WHEN 'external_expression_conflict' THEN 'deferred' ELSE 'review' END AS state
+FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_identifier' WHEN NOT coalesce(internal, FALSE) THEN 'missing_internal_manifestation_confirmation' WHEN NOT coalesce("external", FALSE) THEN 'missing_external_manifestation_confirmation'
+  WHEN (SELECT count(DISTINCT i.field) FROM evidence i WHERE i.book_id = b.book_id AND i.authoritative AND i.source_kind IN {_INTERNAL} AND i.field IN ('title', 'authors', 'languages')) < 3 THEN 'incomplete_internal_core_evidence'
+  WHEN EXISTS (SELECT 1 FROM evidence x JOIN evidence o ON o.book_id = x.book_id AND o.independence_root = x.independence_root JOIN evidence i ON i.book_id = o.book_id AND i.field = o.field WHERE x.book_id = b.book_id
+    AND x.authoritative AND x.source_kind IN {_EXTERNAL} AND x.field = 'identifiers' AND x.value = x.manifestation_isbn AND o.authoritative AND o.source_kind IN {_EXTERNAL} AND o.field IN ('title', 'authors', 'languages')
+    AND i.authoritative AND i.source_kind IN {_INTERNAL} AND lower(trim(o.value)) <> lower(trim(i.value))) THEN 'external_expression_conflict'
+  WHEN r.book_id IS NULL THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
 FROM (SELECT book_id, max(manifestation_isbn) AS isbn FROM evidence GROUP BY book_id) b LEFT JOIN {_CONFIRMED} c ON c.book_id = b.book_id LEFT JOIN (SELECT DISTINCT book_id FROM {_ROOTS}) r ON r.book_id = b.book_id)"""),
     "E1_embedding_text": (("books",), "SELECT book_id, t AS embedding_text, md5(t) AS point_id FROM (SELECT book_id, substr(coalesce(title, '') || ' by ' || coalesce(author, ''), 1, 500) AS t FROM books)"),
     "E2_nearest": ((), """SELECT query_id, neighbour_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS INT) AS rank

@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "R7_root_matches": _over(identity.root_matches, "evidence"),
     "R8_field_consensus": _over(identity.field_consensus, "evidence"),
     "R10_R11_tiers": _over(identity.tiers, "evidence"),
+    "R6_R10_R11_ladder": _over(identity.ladder, "evidence"),
     "E1_embedding_text": _over(vectors.embedding_text, "books"),
     "E2_nearest": _over(vectors.nearest, "embeddings"),
     "T2_error_windows": _over(profile.error_windows, "requests"),
