@@ -67,6 +67,16 @@ def pair_duplicates(books: DataFrame) -> DataFrame:
     return books.where("isbn is not null").select("book_id", "isbn", F.first("book_id").over(w).alias("first_id")).where("book_id <> first_id")
 
 
+def all_pair_duplicates(books: DataFrame) -> DataFrame:
+    """D5 in whole: each later book with the first holder of its ISBN, and with the first of its title and author."""
+    lower = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    keyed = books.where("isbn <> ''").select(F.lit("isbn_match").alias("type"), "book_id", F.col("isbn").alias("value")).unionByName(
+        books.select(F.lit("title_author_match").alias("type"), "book_id", F.concat(lower("title"), F.lit("|"), lower("author")).alias("value"))
+    )
+    first = keyed.groupBy("type", "value").agg(F.min("book_id").alias("first_id"))
+    return keyed.join(first, ["type", "value"]).where("book_id <> first_id").select("type", "first_id", "book_id", "value")
+
+
 def duplicate_titles(books: DataFrame) -> DataFrame:
     """Titles that several books share."""
     return (

@@ -157,6 +157,8 @@ FROM (SELECT book_id, CAST(coalesce(floor(avg(confidence) FILTER (verdict <> 'am
     "D2_title_author_clusters": (("books", "formats"), _D2),
     "D3_isbn_clusters": (("books_isbn", "formats"), f"SELECT * FROM ({_D3}) WHERE book_ids NOT IN (SELECT book_ids FROM ({_D2}))"),
     "D5_pair_duplicates": (("books_isbn",), "SELECT * FROM (SELECT book_id, isbn, min(book_id) OVER (PARTITION BY isbn) AS first_id FROM books_isbn WHERE isbn IS NOT NULL) WHERE book_id <> first_id"),
+    "D5_all_pair_duplicates": (("books_isbn",), """SELECT * FROM (SELECT type, min(book_id) OVER (PARTITION BY type, value) AS first_id, book_id, value FROM (SELECT 'isbn_match' AS type, book_id, isbn AS value FROM books_isbn WHERE isbn <> ''
+UNION ALL SELECT 'title_author_match', book_id, trim(lower(coalesce(title, ''))) || '|' || trim(lower(coalesce(author, ''))) FROM books_isbn)) WHERE book_id <> first_id"""),
     "D7_duplicate_titles": (("books",), "SELECT lower(trim(title)) AS title, count(*) AS n, string_agg(CAST(book_id AS VARCHAR), ',' ORDER BY book_id) AS book_ids FROM books WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "D8_near_hashes": (("cover_stats",), "SELECT a.phash AS left_hash, b.phash AS right_hash, a.n AS left_covers, b.n AS right_covers, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM (SELECT phash, count(*) AS n FROM cover_stats GROUP BY phash) a JOIN (SELECT phash, count(*) AS n FROM cover_stats GROUP BY phash) b ON a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= 4"),
     "G1_full_gaps": (("books",), f"SELECT series, total_owned, array_to_string(missing, ',') AS missing FROM {_FULL} WHERE len(missing) > 0"),

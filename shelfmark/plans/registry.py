@@ -72,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "D3_isbn_clusters": _over(linkage.isbn_clusters, "books_isbn", "formats"),
     "D4_work_clusters": _over(linkage.work_clusters, "books_isbn"),
     "D5_pair_duplicates": _over(linkage.pair_duplicates, "books_isbn"),
+    "D5_all_pair_duplicates": _over(linkage.all_pair_duplicates, "books_isbn"),
     "D7_duplicate_titles": _over(linkage.duplicate_titles, "books"),
     "D8_near_hashes": _over(linkage.near_hashes, "cover_stats"),
     "G1_full_gaps": _over(lambda b: _gaps(series.full_gaps(b)), "books"),
