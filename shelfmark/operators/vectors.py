@@ -12,6 +12,16 @@ def embedding_text(books: DataFrame, most: int = 500) -> DataFrame:
     return books.select("book_id", t.alias("embedding_text"), F.md5(t).alias("point_id"))
 
 
+def snippet_text(books: DataFrame, snippets: DataFrame, most: int = 500) -> DataFrame:
+    """E1 in whole: title and author uncut, then `most` characters of the first snippet; a stable id from the book's key. Blank texts go."""
+    first = snippets.groupBy("book_id").agg(F.min_by(F.coalesce("text", F.lit("")), "seq").alias("first"))
+    by = F.when(F.col("author") != "", F.concat(F.lit(" by "), "author")).otherwise("")
+    more = F.when(F.col("first").isNotNull(), F.concat(F.lit("\n\nSnippet: "), F.substring("first", 1, most))).otherwise("")
+    h = F.md5(F.col("book_id").cast("string"))
+    point = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return books.join(first, "book_id", "left").select("book_id", F.concat(F.coalesce("title", F.lit("")), by, more).alias("embedding_text"), point.alias("point_id")).where(F.trim("embedding_text") != "")
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The k nearest by cosine for the vectors whose id is divisible by `every`.
 

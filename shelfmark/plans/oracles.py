@@ -199,6 +199,9 @@ FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_ident
   WHEN r.book_id IS NULL THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
 FROM (SELECT book_id, max(manifestation_isbn) AS isbn FROM evidence GROUP BY book_id) b LEFT JOIN {_CONFIRMED} c ON c.book_id = b.book_id LEFT JOIN (SELECT DISTINCT book_id FROM {_ROOTS}) r ON r.book_id = b.book_id)"""),
     "E1_embedding_text": (("books",), "SELECT book_id, t AS embedding_text, md5(t) AS point_id FROM (SELECT book_id, substr(coalesce(title, '') || ' by ' || coalesce(author, ''), 1, 500) AS t FROM books)"),
+    "E1_snippet_text": (("books", "snippets"), """SELECT book_id, t AS embedding_text, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
+FROM (SELECT b.book_id, md5(CAST(b.book_id AS VARCHAR)) AS h, coalesce(title, '') || CASE WHEN author <> '' THEN ' by ' || author ELSE '' END || CASE WHEN s.book_id IS NULL THEN '' ELSE chr(10) || chr(10) || 'Snippet: ' || substr(coalesce(s.text, ''), 1, 500) END AS t
+  FROM books b LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n FROM snippets) WHERE n = 1) s ON s.book_id = b.book_id) WHERE trim(t) <> ''"""),
     "E2_nearest": ((), """SELECT query_id, neighbour_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS INT) AS rank
 FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 5"""),
     "T2_error_windows": (("requests",), """SELECT start_s, count(*) AS n, count(*) FILTER (status >= 500) AS errors FROM (SELECT status, unnest(range(CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 - 240, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 + 1, 60)) AS start_s FROM requests) GROUP BY start_s HAVING count(*) FILTER (status >= 500) / count(*) > 0.05"""),

@@ -100,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "R10_R11_tiers": _over(identity.tiers, "evidence"),
     "R6_R10_R11_ladder": _over(identity.ladder, "evidence"),
     "E1_embedding_text": _over(vectors.embedding_text, "books"),
+    "E1_snippet_text": _over(vectors.snippet_text, "books", "snippets"),
     "E2_nearest": _over(vectors.nearest, "embeddings"),
     "T2_error_windows": _over(profile.error_windows, "requests"),
 }
