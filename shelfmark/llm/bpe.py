@@ -7,7 +7,8 @@ equal length form a matrix, so a step serves thousands of words at once: every
 row that still has a merge loses exactly one boundary, so the matrix stays
 rectangular. Only words longer than `SHORT` symbols take a heap instead.
 
-Vocabularies are files of the `tokenizers` library, given by path and read on
+Letters and numbers are what the library takes for such, since Python's Unicode
+database may be older. Vocabularies are files of the `tokenizers` library, given by path and read on
 the executors; nothing is trained and nothing is copied.
 
 Defined results: null and empty texts have no tokens; repeated rows give
@@ -39,24 +40,31 @@ SLICE = 256 << 10
 _NONE = np.int64(1 << 40)
 
 
+@lru_cache(1)
+def library_classes() -> tuple[tuple[range, ...], tuple[range, ...]]:
+    """The code points of \\p{L} and \\p{N} as the tokenizers library knows them: its Unicode tables are newer than Python's."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, points))
+    spans = (pre_tokenizers.Split(Regex(p), "removed", invert=True).pre_tokenize_str(text) for p in (r"\p{L}+", r"\p{N}+"))
+    return tuple(tuple(range(points[a], points[b - 1] + 1) for _, (a, b) in s) for s in spans)
+
+
 @lru_cache(2)
 def classes(most: int) -> tuple[str, str, str]:
-    """Regex classes of letters, numbers and white space up to a code point, from the Unicode database."""
-
-    def ranges(test) -> str:
-        out, start = [], None
-        for c in range(most + 2):
-            ok = c <= most and test(chr(c))
-            if ok and start is None:
-                start = c
-            elif not ok and start is not None:
-                out.append(f"\\U{start:08x}-\\U{c - 1:08x}" if c - 1 > start else f"\\U{start:08x}")
-                start = None
-        return "".join(out)
-
-    kind = unicodedata.category
+    """Regex classes of letters, numbers and white space up to a code point."""
+    show = lambda rs: "".join(f"\\U{r[0]:08x}-\\U{min(r[-1], most):08x}" for r in rs if r[0] <= most)
     space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-    return ranges(lambda c: kind(c)[0] == "L"), ranges(lambda c: kind(c)[0] == "N"), space
+    return *map(show, library_classes()), space
+
+
+@lru_cache(1)
+def unknown() -> re.Pattern:
+    """Characters that Python's Unicode database doesn't hold; how they compose and what their small forms are, the library alone may know."""
+    new = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    edges = np.flatnonzero(np.diff(new, prepend=-2, append=sys.maxunicode + 3) > 1)
+    return re.compile("[" + "".join(f"\\U{new[a]:08x}-\\U{new[b - 1]:08x}" for a, b in zip(edges, edges[1:])) + "]")
 
 
 def byte_alphabet() -> list[str]:
@@ -109,10 +117,18 @@ class RankBpe:
 
     def _plain(self, text: str) -> list[str]:
         if self.suffix:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            text = self._small(text)
         narrow = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
         return (self.words if narrow else self.wide).findall(text)
 
+    def _small(self, text: str) -> str:
+        """NFC in small letters; texts with characters newer than Python's database go to the library's own normaliser."""
+        if not text.isascii() and unknown().search(text):
+            from tokenizers import normalizers
+
+            return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 20 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -258,4 +274,4 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents(df, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents(df, "doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -230,6 +230,20 @@ def test_bpe_against_the_library():
         assert decoded == t.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_every_code_point():
+    """Classes, composition and small letters of all code points, beside a letter, a mark and a digit."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), bpe.Encoder(path)
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    texts = [make.join(points[i : i + 1500]) for i in range(0, len(points), 1500) for make in ("1 a", "\u0307 ", "")]
+    for (ids, _), want in zip(e.batch(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids
+
+
 def _stream(width, height, transforms, pixels):
     """A stream of the given transforms, with simple and normal codes, for `decode_bits`."""
     out = webp.Writer()
