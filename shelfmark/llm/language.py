@@ -5,9 +5,11 @@ A text is compressed whole with every dictionary; the smallest result names its
 language. The score is a logistic function of the relative margin between the
 smallest and the second smallest size; narrow margins are marked `rejected`.
 
-What is learned: at most `PER_LANGUAGE` labelled documents of each of at most
-`LANGUAGES` languages (a documented bound), taken by the smallest hash of the id in
-each of `PER_LANGUAGE` hash buckets, and from them at most `DICTIONARY` bytes.
+What is learned: at most `PER_LANGUAGE` labelled documents of each language (a
+documented bound), taken by the smallest hash of the id in each of `PER_LANGUAGE`
+hash buckets, and from them at most `DICTIONARY` bytes, at places that follow from the
+hash. More than `LANGUAGES` languages are an error, not cut. A text is compressed
+once for each language, so the time grows with their number.
 
 Defined results: a null text, or one without any letter, is `und` with score 0
 and rejected; with nothing to learn from, all texts are; repeated rows give
@@ -42,22 +44,31 @@ def plain(text: str) -> bytes:
     return " ".join(w for w, _ in groupby(_MARKS.split(text.lower()))).encode("utf-8", "surrogatepass")
 
 
-def learn(df: DataFrame, train: Column, per_language: int = PER_LANGUAGE, most: int = DICTIONARY) -> dict[str, bytes]:
+def learn(df: DataFrame, train: Column, per_language: int = PER_LANGUAGE, most: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionaries by language, from a bounded sample of the rows that `train` admits."""
     labelled = documents(df, "doc_id", "lang", "text").where(train & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     keyed = labelled.withColumn("h", F.xxhash64("doc_id", "lang"))
     chosen = keyed.where(F.length("text") > 0).groupBy("lang", F.pmod("h", F.lit(per_language)).alias("bucket")).agg(F.min("h").alias("h"))
-    few = chosen.orderBy("lang", "bucket").limit(per_language * LANGUAGES).select("lang", "h")
+    few = chosen.select("lang", "h").limit(per_language * languages + 1).collect()
+    if len({r["lang"] for r in few}) > languages or len(few) > per_language * languages:
+        raise ValueError(f"more than {languages} languages to learn: raise `languages`")
+    few = df.sparkSession.createDataFrame(few, chosen.select("lang", "h").schema)
     texts: dict[str, list[tuple[int, str]]] = {}
-    share = most // 16  # no single text fills a dictionary
-    rows = keyed.join(F.broadcast(few), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", 1, share).alias("text")).distinct().collect()
+    share = most // 16  # no single text fills a dictionary; the place of the part that is taken follows from the hash
+    start = F.pmod(F.shiftright("h", 8), F.greatest(F.length("text") - share + 1, F.lit(1)).cast("long")).cast("int") + 1
+    rows = keyed.join(F.broadcast(few), ["lang", "h"], "left_semi").select("lang", "h", F.substring("text", start, F.lit(share)).alias("text")).distinct().collect()
     for r in rows:
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
     out = {}
     for lang, got in sorted(texts.items()):
         got.sort()
         each = max(256, most // len(got))
-        out[lang] = b"\n".join(plain(t)[:each] for _, t in got)[:most]
+        parts = []
+        for h, t in got:
+            raw = plain(t)
+            at = h % max(1, len(raw) - each + 1)
+            parts.append(raw[at : at + each])
+        out[lang] = b"\n".join(parts)[:most]
     return out
 
 
