@@ -32,6 +32,19 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot: int = 1_000_000) -> DataFrame:
+    """`rows` left-joined with `groups` (one row for each key, with its `size`), where a key may hold a third of all rows.
+
+    Groups of `hot` rows and more are broadcast: there are at most rows / `hot` of them. The others are joined by shuffle.
+    """
+    more = [c for c in groups.columns if c not in (*keys, size)]
+    big = groups.where(F.col(size) >= hot).select(*keys, *[F.col(c).alias(f"{c}_hot") for c in more], F.lit(True).alias("is_hot"))
+    told = rows.join(F.broadcast(big), keys, "left")
+    spread = told.where("is_hot").select(*rows.columns, *[F.col(f"{c}_hot").alias(c) for c in more])
+    rest = told.where("is_hot is null").select(*rows.columns).join(groups.where(F.col(size) < hot).drop(size), keys, "left").select(*rows.columns, *more)
+    return spread.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

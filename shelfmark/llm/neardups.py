@@ -13,15 +13,19 @@ count for that pair, and a pair with less than L such cells is discarded. L is
 exactly on their whole sets.
 
 Nothing is quadratic in a group of copies. Equal sets are one class, with the
-smallest id as representative. A column first links its classes to its
+smallest id as representative (`nodes`). A column first links its classes to its
 smallest and its largest only; the product proper runs on columns whose classes
 are still in different components after that, and only on pairs across components.
 Links between different texts that are left out lie inside a component.
 
+What is decided by hash: equal shingles (64 bits) and equal sets (their size and 128 bits).
+
 Defined results: documents without words (null or empty text) have an empty
 set and are components of their own; fewer than five words are one shingle;
-repeated rows fall into one class; a null id has a null component; extra columns
-are ignored; an empty table gives an empty table.
+repeated rows fall into one class; different texts of one id are documents of
+their own, each with its own links; a null id has a null component; an id may
+have any type that casts to long; extra columns are ignored; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm._text import column_bytes, documents, gram_hashes, mix, signed, slices, span_hashes, word_spans
+from shelfmark.llm._text import column_bytes, documents, gram_hashes, mix, signed, slices, span_hashes, with_group, word_spans
 from shelfmark.operators.graph import components, written
 
 GRAM = 5
@@ -82,8 +86,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, count = gram[count > 2], count[count > 2]
         k = len(gram)
         kind = np.repeat(np.array([0, 1], np.int8), [len(n), k])
-        ids = pa.concat_arrays([part.column("doc_id").cast(pa.int64()), pa.nulls(k, pa.int64())])
-        yield pa.record_batch([pa.array(kind), ids, pa.array(np.concatenate((n, count))), pa.array(signed(np.concatenate((a, gram)))), pa.array(signed(np.concatenate((b, np.zeros(k, np.uint64)))))], ["kind", "doc_id", "n", "a", "b"])
+        ids, texts = (pa.concat_arrays([part.column(c), pa.nulls(k, pa.int64())]) for c in ("doc_id", "t"))
+        yield pa.record_batch([pa.array(kind), ids, texts, pa.array(np.concatenate((n, count))), pa.array(signed(np.concatenate((a, gram)))), pa.array(signed(np.concatenate((b, np.zeros(k, np.uint64)))))], ["kind", "doc_id", "t", "n", "a", "b"])
 
 
 def incidence(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -105,7 +109,7 @@ def incidence(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             place = np.arange(len(row)) - np.concatenate(([0], np.cumsum(n)))[row]
             keep = leads[row] & (place <= n[row] + (-PERCENT * n[row]) // 100)
             row, key, cell = row[keep], key[keep], n[row[keep]] << 32 | place[keep]
-            yield pa.record_batch([pa.array(signed(key)), part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(cell)], ["gram", "doc_id", "cell"])
+            yield pa.record_batch([pa.array(signed(key)), part.column("doc_id").take(pa.array(row)), pa.array(cell)], ["gram", "doc_id", "cell"])
 
     return docs.mapInArrow(run, "gram long, doc_id long, cell long")
 
@@ -124,26 +128,39 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             union = np.bincount(row, minlength=part.num_rows) - shared
             yield part.select(["x", "y"]).filter(pa.array((100 * shared >= PERCENT * union) & (union > 0)))
 
-    one = texts.select(F.col("doc_id").alias("id"), "text")
+    one = texts.select(F.col("node").alias("id"), "text")
     left = pairs.join(one, F.col("x") == F.col("id")).select("x", "y", F.col("text").alias("left"))
     return left.join(one, F.col("y") == F.col("id")).select("x", "y", "left", F.col("text").alias("right")).mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """The contract of op3: doc_id, n_shingles, component_id, and class_id, the smallest id with an equal set."""
-    docs = documents(df, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    told = written(docs.mapInArrow(_described, "kind byte, doc_id long, n long, a long, b long"))
-    rows = told.where("kind = 0").select("doc_id", "n", "a", "b")
+def nodes(rows: DataFrame) -> DataFrame:
+    """A row for each class of equal sets: n, a, b, size, class_id, t (the hash of the text that stands for it) and node.
+
+    The node is the class's smallest id; where several classes have the same
+    smallest id (different texts of one id), all but one take a negative hash.
+    """
+    first = rows.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "t")).alias("first")).select("n", "a", "b", "size", F.col("first.doc_id").alias("class_id"), "first.t")
+    sign = F.struct("n", "a", "b")
+    owner = first.groupBy(F.col("class_id").alias("c")).agg(F.min(sign).alias("owner"))
+    node = F.when(F.col("owner") == sign, F.col("class_id")).otherwise(-1 - F.abs(F.shiftright(F.xxhash64("class_id", "n", "a", "b"), 1)))
+    return first.join(owner, F.col("class_id") == F.col("c")).select(*first.columns, node.alias("node"))
+
+
+def grouped(df: DataFrame) -> DataFrame:
+    """doc_id and t (the hash of the text) of every row, n_shingles, component_id, class_id, and `group`, a number of its component alone; null without words."""
+    docs = documents(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    told = written(docs.mapInArrow(_described, "kind byte, doc_id long, t long, n long, a long, b long"))
+    rows = told.where("kind = 0").select("doc_id", "t", "n", "a", "b")
     least = F.lit(max(FLOOR, int(SHARE * rows.count())))
     heavy = told.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(MOST)
-    frequent = np.sort(np.array([r["a"] for r in heavy.select("a").collect()], np.int64).view(np.uint64))  # MOST at most
+    frequent = np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in heavy.select("a").toArrow().column("a").chunks)]).view(np.uint64))  # MOST at most
 
-    first = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("class_id"))
-    classes = written(rows.join(first, ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id")))
+    named = written(nodes(rows))
+    classes = written(with_group(rows, named.drop("t"), ["n", "a", "b"], "size").select("doc_id", "t", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), "node"))
 
-    shared = incidence(docs.where("doc_id is not null"), frequent).withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "cell")
+    shared = incidence(docs.where("doc_id is not null").select("doc_id", "text"), frequent).withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "cell")
     size, place = F.shiftright("cell", 32).cast("int").alias("n"), F.col("cell").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")
-    by_class = shared.join(classes.select("doc_id", "class_id").distinct(), "doc_id").select("gram", F.col("class_id").alias("x"), size, place).distinct()
+    by_class = shared.join(classes.where("node is not null").select("doc_id", "node").distinct(), "doc_id").select("gram", F.col("node").alias("x"), size, place).distinct()
     column = Window.partitionBy("gram")
     end = F.struct("x", "n", "place")
     cells = written(by_class.withColumn("lo", F.min(end).over(column)).withColumn("hi", F.max(end).over(column)).where(F.col("lo.x") < F.col("hi.x")))
@@ -154,7 +171,8 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     early = (F.col("place") < F.col("n") - need + common) & (F.col("yplace") < F.col("yn") - need + common)
     ends = cells.select("x", "n", "place", F.explode(F.array("lo", "hi")).alias("p")).select("x", "n", "place", F.col("p.x").alias("y"), F.col("p.n").alias("yn"), F.col("p.place").alias("yplace")).where("x <> y")
     stars = ends.where(apart & early).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= common).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    texts = written(docs.join(cells.select(F.col("x").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    stand = named.join(cells.select(F.col("x").alias("node")).distinct(), "node", "left_semi").select(F.col("class_id").alias("doc_id"), "t", "node")
+    texts = written(docs.join(stand, ["doc_id", "t"]).dropDuplicates(["node"]))  # repeated rows only: one id and text
     found = written(linked(stars, texts))
     labels = components(found)
 
@@ -162,6 +180,32 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     open_ = written(at.withColumn("a", F.min("k").over(column)).withColumn("b", F.max("k").over(column)).where("a < b").drop("a", "b"))
     other = open_.select(F.col("gram").alias("g"), F.col("x").alias("y"), F.col("n").alias("yn"), F.col("place").alias("yplace"), F.col("k").alias("yk"))
     product = open_.join(other, (F.col("gram") == F.col("g")) & (F.col("x") < F.col("y")) & (F.col("k") != F.col("yk")) & apart & early).groupBy("x", "y", "n", "yn").agg(F.count("*").alias("overlap"))
-    across = linked(product.where(F.col("overlap") >= common).select("x", "y"), texts)
-    labels = components(found.unionByName(across))
-    return classes.join(labels, F.col("class_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    across = linked(product.where(F.col("overlap") >= common).select("x", "y").distinct(), texts)
+    labels = written(components(found.unionByName(across)))
+    labels = labels.unionByName(labels.where("component < 0").select(F.col("component").alias("id"), "component").distinct())
+    # The smallest node of a component is its smallest id, but where a node is a hash.
+    hashed = labels.where("component < 0").join(named.select("node", F.col("class_id").alias("c")), F.col("id") == F.col("node")).groupBy(F.col("component").alias("k")).agg(F.min("c").alias("least"))
+    labels = labels.join(hashed, F.col("component") == F.col("k"), "left").select("id", F.col("component").alias("group"), F.coalesce("least", "component").alias("component_id"))
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    return classes.join(labels, F.col("node") == F.col("id"), "left").select(
+        "doc_id", "t", "n_shingles", known(F.coalesce("component_id", "class_id")).alias("component_id"), known(F.col("class_id")).alias("class_id"), F.coalesce("group", "node").alias("group")
+    )
+
+
+def near_duplicates(df: DataFrame) -> DataFrame:
+    """The contract of op3: doc_id, n_shingles, component_id, and class_id, the smallest id with an equal set."""
+    return grouped(df).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def keep_one(df: DataFrame) -> DataFrame:
+    """All columns of one row of each group of near duplicates: the one with the smallest id, of several texts of that id the one with the smallest hash.
+
+    Of repeated rows (one id and text), with or without words, any one stays. Rows without an id all stay.
+    """
+    told = written(grouped(df).where("doc_id is not null").groupBy("doc_id", "t").agg(F.min("group").alias("group"), F.count("*").alias("n")))
+    lead = told.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "t", "n")).alias("r")).select("r.*")
+    stay = lead.unionByName(told.where("group is null").drop("group")).select(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t"), (F.col("n") > 1).alias("_near_again"))
+    both = df.join(stay, (F.col("doc_id").cast("long") == F.col("_near_id")) & (F.xxhash64("text") == F.col("_near_t")), "left")
+    kept = both.where(F.col("doc_id").isNull() | F.col("_near_again").isNotNull())
+    once = kept.where("_near_again").dropDuplicates(["_near_id", "_near_t"])
+    return kept.where("_near_again is null or not _near_again").unionByName(once).select(*df.columns)

@@ -13,10 +13,15 @@ one key. Each slice of a task therefore sends one row for each key; further
 occurrences in the slice are already decided there and travel under keys of
 their own. No group is gathered; texts cross the network once.
 
+What is decided by hash: equal words and anchors (64 bits), equal windows (95
+bits), equal whole texts (128 bits).
+
 Defined results: a null or empty text has no words and keeps none; texts under
-20 words are kept; repeated rows of one id and text are one document, so they
-don't remove each other; rows with a null id remove nothing and lose nothing;
-extra columns are ignored; an empty table gives an empty table.
+20 words are kept; a document is an id and a text: repeated rows of both are one
+document, so they don't remove each other, while different texts of one id are
+documents in the order of their hash; rows with a null id remove nothing and lose
+nothing; an id may have any type that casts to long; extra columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,6 +55,15 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _own_marks(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and places of all marks, without those of other texts of an id."""
+    marks = part.column("marks")
+    flat = np.asarray(marks.flatten(), np.int64)
+    row = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    own = flat >> 32 == np.asarray(part.column("twin"), np.int64)[row]
+    return row[own], flat[own] & 0xFFFFFFFF
+
+
 def _earliest(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each row is the first of its key by (doc, pos), and the size of its key's group."""
     order = np.lexsort((pos, doc, key))
@@ -82,24 +96,23 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = at - first[row]
         keep = _cover[pos % PERIOD]
         key, row, pos = key[keep], row[keep], pos[keep]
+        pos = pos | np.asarray(part.column("twin"), np.int64)[row] << 32
         doc = _ids(part)[row]
         lead, count = _earliest(key, doc, pos)
         key = _own(key, doc, ~lead)
-        yield pa.record_batch([pa.array(signed(key)), pa.array(np.where(count > 1, 2, 1).astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "weight", "doc_id", "pos"])
+        yield pa.record_batch([pa.array(signed(key)), pa.array(np.where(count > 1, 2, 1).astype(np.int32)), pa.array(doc), pa.array(pos)], ["key", "weight", "doc_id", "pos"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of the 20-word windows that hold a repeated anchor."""
     for part in slices(batches):
-        marks = part.column("marks")
-        if marks.null_count == len(marks):
+        at, place = _own_marks(part)
+        if not len(at):
             continue
         words, first = _words(part.column("text"))
-        flat = np.asarray(marks.flatten(), np.int64)
-        size = pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        anchor = flat + np.repeat(first[:-1], size)
+        anchor = place + first[at]
         spread = np.zeros(len(words) + 1, np.int64)
-        np.add.at(spread, np.maximum(anchor - (PERIOD - 1), np.repeat(first[:-1], size)), 1)
+        np.add.at(spread, np.maximum(anchor - (PERIOD - 1), first[at]), 1)
         np.add.at(spread, anchor + 1, -1)
         likely = np.cumsum(spread)[:-1] > 0
         key, at = gram_hashes(words, first, WINDOW, 1)
@@ -107,42 +120,55 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at = key[keep], at[keep]
         extra = span_hashes(mix(words + np.uint64(11)), at, at + WINDOW, 2) >> np.uint64(33)
         row = np.searchsorted(first, at, "right") - 1
-        pos, doc = at - first[row], _ids(part)[row]
+        place, doc = at - first[row], _ids(part)[row]
+        pos = place | np.asarray(part.column("twin"), np.int64)[row] << 32
         lead, _ = _earliest(key ^ mix(extra), doc, pos)
-        key, extra = _own(key, doc, ~lead), np.where(lead, extra, pos)
-        yield pa.record_batch([pa.array(signed(key)), pa.array(extra.astype(np.int32)), pa.array(~lead), pa.array(doc), pa.array(pos.astype(np.int32))], ["key", "extra", "known", "doc_id", "pos"])
+        key, extra = _own(key, doc, ~lead), np.where(lead, extra, place)
+        yield pa.record_batch([pa.array(signed(key)), pa.array(extra.astype(np.int32)), pa.array(~lead), pa.array(doc), pa.array(pos)], ["key", "extra", "known", "doc_id", "pos"])
+
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """For each id: `first`, the hashes of its texts that no smaller id has, and `several`, whether it has different texts.
 
-def copies(docs: DataFrame) -> DataFrame:
-    """Ids of documents whose whole text a smaller id has too: (doc_id, copy = true)."""
+    A text that many ids hold is one row after the map-side aggregate, and no row is joined by its text.
+    """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
-    first = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    return keyed.join(first, ["a", "b"]).where("first < doc_id").groupBy("doc_id").agg(F.lit(True).alias("copy"))
+    leaders = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "a", F.lit(True).alias("leads"))
+    both = leaders.unionByName(keyed.select("doc_id", "a", F.lit(False).alias("leads")))
+    return both.groupBy("doc_id").agg(F.collect_set(F.when(F.col("leads"), F.col("a"))).alias("first"), (F.min("a") != F.max("a")).alias("several"))
 
 
 def repeated(df: DataFrame) -> DataFrame:
-    """The rows, `copy` and `marks`: the starts of windows that also start earlier; null if there are none.
+    """The rows, `copy`, `twin`, and `marks`: the starts of windows that also start earlier; null if there are none.
 
     Whole copies are settled first, by the hash of their text; neither they nor,
-    on their account, the originals send anchors or windows.
+    on their account, the originals send anchors or windows. `twin` tells texts of
+    one id apart (0 where there is one only) and travels as the upper half of `pos`.
     """
+    h = F.xxhash64("text")
     docs = df.withColumn("doc_id", F.col("doc_id").cast("long"))
-    docs = docs.join(copies(docs).hint("shuffle_hash"), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    anchors = docs.mapInArrow(_anchors, "key long, weight int, doc_id long, pos int")
+    docs = docs.join(told_apart(docs).hint("shuffle_hash"), "doc_id", "left")
+    docs = docs.withColumns({
+        "copy": F.coalesce(F.col("text").isNotNull() & ~F.array_contains("first", h), F.lit(False)),
+        "twin": F.when(F.coalesce("several", F.lit(False)) & F.col("text").isNotNull(), F.shiftrightunsigned(h, 34) + 1).otherwise(F.lit(0).cast("long")),
+    }).drop("first", "several")
+    anchors = docs.mapInArrow(_anchors, "key long, weight int, doc_id long, pos long")
     again = anchors.withColumn("n", F.sum("weight").over(Window.partitionBy("key"))).where(F.col("n") > 1).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    windows = docs.join(again.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_windows, "key long, extra int, known boolean, doc_id long, pos int")
+    windows = docs.join(again.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_windows, "key long, extra int, known boolean, doc_id long, pos long")
     later = windows.withColumn("n", F.rank().over(Window.partitionBy("key", "extra").orderBy("doc_id", "pos"))).where(F.col("known") | (F.col("n") > 1))
     return docs.join(later.groupBy("doc_id").agg(F.collect_list("pos").alias("marks")).hint("shuffle_hash"), "doc_id", "left")
 
 
 def _kept(part: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """For each row: words, words removed, words kept."""
-    for text, copy, marks in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("marks")):
+    rows, places = _own_marks(part)
+    cuts = np.searchsorted(rows, np.arange(part.num_rows + 1))
+    for i, (text, copy) in enumerate(zip(part.column("text").to_pylist(), part.column("copy").to_pylist())):
         words = text.encode("utf-8", "surrogatepass").split() if text else []
         if copy and len(words) >= WINDOW:
             yield len(words), len(words), []
             continue
-        at = np.asarray(marks.values, np.int64) if marks.is_valid else np.zeros(0, np.int64)
+        at = places[cuts[i] : cuts[i + 1]]
         at = at[at + WINDOW <= len(words)]
         if not len(at):
             yield len(words), 0, words
@@ -181,7 +207,7 @@ def deduplicated(df: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.record_batch(columns, names)
 
-    clash = {n: f"{n}_of_caller" for n in ("marks", "copy") if n in names}
+    clash = {n: f"{n}_of_caller" for n in ("marks", "copy", "twin", "first", "several") if n in names}
     if clash:  # columns of the caller's with the operator's own names
         return deduplicated(df.withColumnsRenamed(clash)).withColumnsRenamed({b: a for a, b in clash.items()}).select(*names)
     return repeated(df).mapInArrow(run, df.withColumn("doc_id", F.col("doc_id").cast("long")).schema)

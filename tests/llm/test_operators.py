@@ -160,6 +160,32 @@ def test_substrings_by_brute_force(spark):
     assert got == want
 
 
+def test_clashing_ids_keep_their_texts(spark):
+    """Texts of one id are documents of their own: none is lost on another's account."""
+    r = random.Random(8)
+    a, b, c = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(60)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, "start " + b), (3, "start " + b), (4, c)]
+    got = defaultdict(set)
+    for x in substrings.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[x["doc_id"]].add(x["text"])
+    assert got == {1: {a}, 2: {"", b}, 3: {c, "start"}, 4: {""}}
+    rows += [(5, b), (6, None), (6, "few words"), (7, "few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardups.near_duplicates(docs).collect())
+    assert got == [(1, 56, 1), (2, 56, 1), (2, 56, 2), (3, 56, 3), (3, 57, 2), (3, 57, 2), (4, 56, 3), (5, 56, 2), (6, 0, 6), (6, 1, 6), (7, 1, 6)]
+    kept = sorted(((x["doc_id"], x["text"]) for x in neardups.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (3, c), (6, None), (6, "few words")], key=repr)
+
+
+def test_ids_of_other_types(spark, docs):
+    """Integer and string ids give what long ones give."""
+    few = docs.where("doc_id < 40")
+    for kind in ("int", "string"):
+        other = few.withColumn("doc_id", F.col("doc_id").cast(kind))
+        for f in (substrings.digests, neardups.near_duplicates, lambda d: bpe.digests(d, public_tokenizers.path("word_bpe_49k.json"))):
+            assert {tuple(r)[1:] for r in f(other).collect()} == {tuple(r)[1:] for r in f(few).collect()}
+
+
 def test_language_and_quality_held_out(spark):
     d = spark.read.parquet(f"{MORE}/documents.parquet")
     r = language.identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
