@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents. Rows without an id pass every filter but the
-first; empty tables stay empty.
+first; repeated rows (one id and text) leave the second stage as one; null and empty
+texts stay as they are where the classifier keeps them; texts of any length pass
+whole; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays."""
-    groups = neardups.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group of near duplicates stays; of repeated rows, one."""
+    return neardups.keep_one(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
