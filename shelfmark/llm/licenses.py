@@ -13,14 +13,20 @@ words. The join finds every block B and template T with |B ∩ T| >= ceil(t * |T
 * length filter: the block needs k distinct words;
 * the intersection is then counted exactly.
 
+A block that meets the threshold is labelled unless a rule of the template's own
+says no: notices that differ in one word name that word as needed or as barred,
+and a template of under `ORDERED` distinct words must stand in the block word for
+word, since so few words meet by chance in any order.
+
 Documents without any prefix token never leave the scan. The template side is
-a fixed table (`templates`), so its broadcast doesn't grow with the data.
+a fixed table (`templates`), so its broadcast doesn't grow with the data. The
+documents are read three times: for the frequencies, for the join, for the base.
 
 Base rule: places where a phrase's words stand consecutively.
 
 Defined results: a null text counts as empty and has no words, no places and
-score 0; repeated rows give repeated rows; rows that share a doc_id share the
-labels found in any of their texts; extra columns are ignored.
+score 0; repeated rows give repeated rows; rows that share a doc_id have the labels
+of their own text each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +48,9 @@ THRESHOLD = 0.8
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
+#: A template of fewer distinct words is matched in order.
+ORDERED = 7
+
 #: Opening sentences of public license notices and their labels.
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
@@ -58,6 +67,10 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
 )
 
+#: Words that a label's notice needs, and words that say it is another notice.
+NEEDED = {"lgpl": ("lesser", "library"), "cc-by-nc": ("nc",)}
+BARRED = {"gpl": ("lesser",), "cc-by": ("noncommercial", "noderivatives", "sharealike")}
+
 
 def _literal(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -84,6 +97,7 @@ def prefixes(spark: SparkSession, words: DataFrame, templates=TEMPLATES, thresho
     rows = [(i, label, sorted(set(text.split()))) for i, (label, text) in enumerate(templates)]
     vocabulary = sorted({t for _, _, tokens in rows for t in tokens})
     counts = words.select(F.explode(F.array_intersect("words", _literal(vocabulary))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = spark.createDataFrame(counts.collect(), "token string, n long")  # at most the templates' vocabulary
     sides = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), _literal(tokens).alias("tokens"), F.lit(-int(-threshold * len(tokens) // 1)).alias("need")) for i, label, tokens in rows])))
     ordered = (
         sides.select("template", "label", "need", F.explode("tokens").alias("token")).join(counts, "token", "left")
@@ -99,60 +113,59 @@ def prefixes(spark: SparkSession, words: DataFrame, templates=TEMPLATES, thresho
 
 
 def matches(words: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Every (doc_id, label, start, containment) of a block that meets the threshold; `words` has doc_id and words."""
+    """Every (doc_id, t, label, start, containment) of a block that meets the threshold and the label's rules; `words` has doc_id, t and words."""
     spark = words.sparkSession
     side = prefixes(spark, words, templates, threshold)
     #: at most the tokens of the fixed templates
     rare = sorted({r["token"] for r in side.select("token").distinct().collect()})
-    block = F.array_distinct(F.slice("words", F.col("start") + 1, F.lit(BLOCK)))
+    run = F.slice("words", F.col("start") + 1, F.lit(BLOCK))
+    text = F.concat(F.lit(" "), F.array_join("run", " "), F.lit(" "))
+    ruled = F.lit(True)
+    for label, need in NEEDED.items():
+        ruled &= (F.col("label") != label) | reduce(lambda a, b: a & b, [F.array_contains("block", w) for w in need])
+    for label, bar in BARRED.items():
+        ruled &= (F.col("label") != label) | ~F.arrays_overlap("block", _literal(list(bar)))
+    for label, phrase in templates:
+        if len(set(phrase.split())) < ORDERED:
+            ruled &= (F.col("label") != label) | F.contains(text, F.lit(f" {phrase} "))
     return (
         words.withColumn("token", F.explode(F.array_intersect("words", _literal(rare))))
         .withColumn("start", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STRIDE))))
-        .select("doc_id", "token", "start", block.alias("block"))
+        .select("doc_id", "t", "token", "start", run.alias("run"))
+        .withColumn("block", F.array_distinct("run"))
         .where(F.array_contains("block", F.col("token")))
         .join(F.broadcast(side), "token")
         .where((F.size("block") >= F.col("need")) & (F.col("size") - F.col("position") >= F.col("need")) & ~F.arrays_overlap("block", "earlier"))
         .withColumn("shared", F.size(F.array_intersect("block", "tokens")))
-        .where(F.col("shared") >= F.col("need"))
-        .select("doc_id", "label", "start", (F.col("shared") / F.col("size")).alias("containment"))
+        .where((F.col("shared") >= F.col("need")) & ruled)
+        .select("doc_id", "t", "label", "start", (F.col("shared") / F.col("size")).alias("containment"))
     )
 
 
 def scan(df: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The contract of op1: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    lowered = documents(df, "doc_id", "text").select("doc_id", F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
-    words = lowered.select("doc_id", F.array_remove(F.split("text", BETWEEN), "").alias("words"))
-    #: Whether any phrase can be there at all, told from the text; the few such texts alone have their words compared.
-    likely = F.rlike("text", F.lit("|".join(sorted({p.split()[-1] if len(p.split()[-1]) > 3 else p.replace(" ", BETWEEN) for p in PHRASES}))))
+    words = documents(df, "doc_id", "text").select(
+        "doc_id", F.xxhash64("text").alias("t"), F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), BETWEEN), "").alias("words")
+    )
+    #: Every phrase holds one of these words; the few texts that do alone have their words compared.
+    likely = F.arrays_overlap("words", _literal(sorted({max(p.split(), key=len) for p in PHRASES})))
     found = F.concat(*[_labelled(places(F.col("words"), p), label) for p, label in PHRASES.items()])
-    with_places = lowered.where(likely).select("doc_id", F.array_remove(F.split("text", BETWEEN), "").alias("words")).select("doc_id", F.size("words").cast("long").alias("n_words"), found.alias("found"))
-    base = with_places.select(
+    base = words.select("doc_id", "t", F.size("words").cast("long").alias("n_words"), F.when(likely, found).alias("found"))
+    none = F.array().cast("array<string>")
+    by_doc = (
+        matches(words, templates, threshold).groupBy("doc_id", "t").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+        .select(F.col("doc_id").alias("id"), F.col("t").alias("of"), "more", "best")
+    )
+    own = F.coalesce(F.array_sort(F.array_distinct("found.label")), none)
+    return base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("of")), "left").select(
         "doc_id",
         "n_words",
-        F.size("found").cast("long").alias("n_base"),
+        F.coalesce(F.array_size("found"), F.lit(0)).cast("long").alias("n_base"),
         F.array_min("found.at").cast("long").alias("first_word"),
         F.array_max("found.at").cast("long").alias("last_word"),
-        F.array_sort(F.array_distinct("found.label")).alias("own"),
-    ).unionByName(
-        lowered.where(~likely).select(
-            "doc_id",
-            F.size(F.array_remove(F.split("text", BETWEEN), "")).cast("long").alias("n_words"),
-            F.lit(0).cast("long").alias("n_base"),
-            F.lit(None).cast("long").alias("first_word"),
-            F.lit(None).cast("long").alias("last_word"),
-            F.array().cast("array<string>").alias("own"),
-        )
-    )
-    by_doc = matches(words, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")).withColumnRenamed("doc_id", "id")
-    return base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id",
-        "n_words",
-        "n_base",
-        "first_word",
-        "last_word",
-        F.array_join("own", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.array_join(own, ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(own, F.coalesce("more", none))), ",").alias("labels"),
+        F.when(F.coalesce(F.array_size("found"), F.lit(0)) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
@@ -164,14 +177,17 @@ def oracle(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
         + " AND ".join(f"words[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
         for p, label in PHRASES.items()
     )
+    rules = [f"(label <> '{label}' OR len(list_intersect(block, {list(need)})) = {len(need)})" for label, need in NEEDED.items()]
+    rules += [f"(label <> '{label}' OR len(list_intersect(block, {list(bar)})) = 0)" for label, bar in BARRED.items()]
+    rules += [f"(label <> '{label}' OR contains(' ' || array_to_string(run, ' ') || ' ', ' {text} '))" for label, text in templates if len(set(text.split())) < ORDERED]
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM documents),
 t(label, tokens, need) AS (VALUES {values}),
 hits AS ({phrase}),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS own FROM hits GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(words[s + 1 : s + {BLOCK}]) AS block FROM (SELECT doc_id, words, unnest(range(0, len(words), {STRIDE})) AS s FROM w)),
-pairs AS (SELECT doc_id, label, len(list_intersect(block, tokens)) AS shared, len(tokens) AS size, need FROM blocks, t),
-more AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / size) AS best FROM pairs WHERE shared >= need GROUP BY doc_id)
+blocks AS (SELECT doc_id, words[s + 1 : s + {BLOCK}] AS run, list_distinct(words[s + 1 : s + {BLOCK}]) AS block FROM (SELECT doc_id, words, unnest(range(0, len(words), {STRIDE})) AS s FROM w)),
+pairs AS (SELECT doc_id, label, run, block, len(list_intersect(block, tokens)) AS shared, len(tokens) AS size, need FROM blocks, t),
+more AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / size) AS best FROM pairs WHERE shared >= need AND {' AND '.join(rules)} GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,

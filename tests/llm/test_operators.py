@@ -122,6 +122,21 @@ def _components(sets):
     return {i: find(i) for i in ids}
 
 
+def test_license_labels(spark):
+    """Real notices have their own label alone; three words in any order are no notice; texts of one id keep their own labels."""
+    notice = dict(licenses.TEMPLATES)
+    gpl = licenses.TEMPLATES[3][1]
+    rows = [
+        ("gpl", gpl), ("lgpl", notice["lgpl"]), ("cc-by", "This text is licensed under CC BY 4.0."), ("cc-by,cc-by-nc", "licensed under CC BY NC 4.0"), ("all-rights-reserved", "Acme, all Rights reserved. 2020"),
+        ("", "all the rights are not reserved"), ("", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"), ("cc-by", notice["cc-by"]),
+        ("apache", notice["apache"]), ("mit", notice["mit"]), ("bsd", "words before " + notice["bsd"] + " words after"), ("isc", notice["isc"]), ("unlicense", notice["unlicense"]), ("mpl", notice["mpl"]),
+        ("gpl", licenses.TEMPLATES[4][1]), ("", "plain words"),
+    ]
+    d = spark.createDataFrame([(i // 2, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string").withColumn("text", F.col("text"))
+    got = sorted((r["doc_id"], r["labels"]) for r in licenses.scan(d).collect())
+    assert got == sorted((i // 2, label) for i, (label, _) in enumerate(rows))
+
+
 def test_near_duplicates_by_brute_force(spark):
     """Chains of edits, so that links lie between texts that are far from the smallest."""
     r = random.Random(5)
