@@ -1,133 +1,150 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-The index is cut into blocks of about `BLOCK` codes and the query set into blocks of
-`QUERIES`; every block of the one meets every block of the other in a task of its own, so
-no task grows with the data. Inside a task the codes are indexed by disjoint
-segments. A query looks up its own segment values, then those one bit away,
-then two, segment by segment. After segment a at radius r (a of m segments) all
-codes within distance m * r + a have been seen; the search of a query ends when
-its k-th verified distance is at most that. The blocks' lists are merged by
-(distance, id), so ties go to the smaller id.
-
-Codes that many rows share are no hot spot: only the k + 1 smallest ids of a
-code can be among anyone's nearest, and the limit acts before the shuffle.
+Every distinct code is indexed by disjoint segments of about log2 of their number
+bits. In round r each open query looks up the values at distance r from its own,
+segment by segment, as an equi-join on (segment, value); no pair of blocks and
+no pair without a common value ever meets. A code counts in the first round and
+segment that show it, which its distances by segment tell, so nothing is
+deduplicated. After round r all codes within distance m * (r + 1) - 1 (of m segments)
+have been seen; a query is closed when its k-th verified distance is at most that.
+
+A query may be far from everything. Where the values of the next round would be more
+than the distinct codes, the rest of the open queries is compared with all codes in
+blocks of `BLOCK` queries, as a scan.
+
+Skew: codes that many rows share are one row of the index, with the smallest id;
+its further ids come in at the end, k + 1 at most. A code holds a mean-centred sign
+for each dimension, so a segment's values are spread by construction; a value that
+many codes hold is split by adaptive execution, since both sides of the join are plain
+exchanges. What is shuffled after a round is bounded by k + 1 rows for each query
+and task (the window's group limit).
 
 Defined results: rows with a null id, a null or empty vector, or one with nulls
-or another length than most of the first 64 dimensions have no code and are
-neither found nor asked; repeated rows count once; a query is never its own
-neighbour; fewer than k others give fewer rows; extra columns are ignored.
+or another length than most have no code and are neither found nor asked;
+repeated rows count once; a query is never its own neighbour; ties go to the smaller
+id; fewer than k others give fewer rows; extra columns are ignored. Codes of more than
+`BITS` bits are several words: code, code1, code2 and so on.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-from itertools import combinations
+from math import comb, log2
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm._text import written
+
 K = 10
-BLOCK, QUERIES = 16384, 512
 BITS = 64
+BLOCK = 4096
 
 
-def sign_codes(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", bits: int = BITS) -> DataFrame:
-    """(id, code): bit i tells whether dimension i is above its mean over all rows."""
+def sign_codes(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(id, code, code1, ...): bit i of word j tells whether dimension 64 * j + i is above its mean over all rows."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
     width = rows.agg(F.mode(F.size("v"), deterministic=True)).first()[0]
     if width is None:
         return rows.select("id", F.lit(0).cast("long").alias("code"))
     whole = rows.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    used = min(bits, width)
-    means = whole.agg(*[F.avg(F.get("v", i)).alias(f"m{i}") for i in range(used)]).first()
-    code = F.lit(0).cast("long")
-    for i in range(used):
-        code = code.bitwiseOR(F.when(F.get("v", i) > F.lit(means[i]), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return whole.select("id", code.alias("code"))
-
-
-@lru_cache(64)
-def flips(width: int, radius: int) -> np.ndarray:
-    """All masks of `radius` bits among `width`."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int64)
-
-
-class Segments:
-    """The codes of a block, sorted once for each segment."""
-
-    def __init__(self, codes: np.ndarray, bits: int = BITS):
-        self.codes = codes
-        count = max(1, -(-bits // max(4, int(len(codes)).bit_length() - 1)))
-        edges = [bits * i // count for i in range(count + 1)]
-        self.parts = [(a, b - a) for a, b in zip(edges, edges[1:])]
-        self.tables = []
-        for shift, width in self.parts:
-            value = self.value(codes, shift, width)
-            order = np.argsort(value, kind="stable")
-            self.tables.append((order, np.searchsorted(value[order], np.arange((1 << width) + 1))))
-
-    @staticmethod
-    def value(codes: np.ndarray, shift: int, width: int) -> np.ndarray:
-        return ((codes.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-
-    def nearest(self, query: np.int64, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest by (distance, id), provably all of them."""
-        seen = np.zeros(len(self.codes), bool)
-        rows, distances = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q = np.array([query], np.int64)
-        m = len(self.parts)
-        for radius in range(max(w for _, w in self.parts) + 1):
-            for a, ((shift, width), (order, first)) in enumerate(zip(self.parts, self.tables)):
-                if radius <= width:
-                    probe = self.value(q, shift, width)[0] ^ flips(width, radius)
-                    start, size = first[probe], first[probe + 1] - first[probe]
-                    total = int(size.sum())
-                    if total:
-                        at = np.arange(total) + np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-                        new = order[at]
-                        new = new[~seen[new]]
-                        seen[new] = True
-                        d = np.bitwise_count((self.codes[new] ^ query).view(np.uint64)).astype(np.int64)
-                        rows, distances = np.concatenate((rows, new)), np.concatenate((distances, d))
-                        if len(rows) > k:
-                            keep = np.lexsort((ids[rows], distances))[:k]
-                            rows, distances = rows[keep], distances[keep]
-                if len(rows) == k and distances.max() <= m * radius + a:
-                    return rows, distances
-        return rows, distances
-
-
-def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, neighbour_id, distance): both sides have id and code."""
-    index, queries = index.where(F.col("code").isNotNull()).select("id", "code").distinct(), queries.where(F.col("code").isNotNull()).select("id", "code").distinct()
-    least = index.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
-    asked = queries.select("code").distinct()
-    blocks = max(1, -(-index.count() // block))
-    groups = max(1, -(-queries.count() // query_block))
-    left = least.select("id", "code", F.pmod(F.xxhash64("code"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    right = asked.select("code", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-
-    def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, codes = a["id"].to_numpy(), a["code"].to_numpy()
-        out: list[list[np.ndarray]] = [[], [], []]
-        if len(codes):
-            parts = Segments(codes)
-            for q in b["code"].to_numpy():
-                rows, distances = parts.nearest(q, ids, k + 1)
-                for o, x in zip(out, (np.full(len(rows), q), ids[rows], distances)):
-                    o.append(x)
-        return pa.table({n: pa.array(np.concatenate(o) if o else [], pa.int64()) for n, o in zip(("query_code", "neighbour_id", "distance"), out)})
-
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(search, "query_code long, neighbour_id long, distance long")
-    by_code = found.withColumn("n", F.row_number().over(Window.partitionBy("query_code").orderBy("distance", "neighbour_id"))).where(F.col("n") <= k + 1).drop("n")
-    each = queries.join(by_code, F.col("code") == F.col("query_code")).where(F.col("id") != F.col("neighbour_id"))
+    means = whole.agg(*[F.avg(F.get("v", i)).alias(f"m{i}") for i in range(width)]).first()
+    words = []
+    for at in range(0, width, BITS):
+        word = F.lit(0).cast("long")
+        for i in range(min(BITS, width - at)):
+            word = word.bitwiseOR(F.when(F.get("v", at + i) > F.lit(means[at + i]), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        words.append(word.alias(f"code{at // BITS or ''}"))
+    return whole.select("id", *words)
+
+
+def segments(words: list[str], count: int) -> list[tuple[str, int, int]]:
+    """(word, shift, width) of segments of about log2(`count`) bits."""
+    each = max(1, round(BITS / max(4.0, log2(max(2, count)))))
+    edges = [BITS * i // each for i in range(each + 1)]
+    return [(w, a, b - a) for w in words for a, b in zip(edges, edges[1:])]
+
+
+def _value(word: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(word, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long"))
+
+
+def _distance(words: list[str]) -> Column:
+    return sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"q_{w}"))) for w in words), F.lit(0)).cast("int")
+
+
+def _least(found: DataFrame, asked: list[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*asked).orderBy("distance", "least")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, neighbour_id, distance): both sides have id and the words of a code."""
+    words = [c for c in index.columns if c.startswith("code")]
+    asked = [f"q_{w}" for w in words]
+    index = written(index.where(F.col("code").isNotNull()).select("id", *words).distinct())
+    codes = written(index.groupBy(*words).agg(F.min("id").alias("least")))
+    open_ = written(queries.where(F.col("code").isNotNull()).select(*[F.col(w).alias(q) for w, q in zip(words, asked)]).distinct())
+    total = codes.count()
+    parts = segments(words, total)
+    pack = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(w), a, n).alias("value")) for i, (w, a, n) in enumerate(parts)])
+    tables = codes.select(*words, "least", F.inline(pack))
+    lookups = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(f"q_{w}"), a, n).alias("value"), F.lit(-1).alias("last"), F.lit(n).alias("width")) for i, (w, a, n) in enumerate(parts)])
+    apart = [F.bit_count(_value(F.col(w).bitwiseXOR(F.col(f"q_{w}")), a, n)) for w, a, n in parts]
+    best, closed = None, []
+    radius, most = 0, max(n for *_, n in parts)
+    while open_.limit(1).count():
+        if radius > most or sum(comb(n, radius) for *_, n in parts) > total:
+            closed.append(_scan(codes, open_, words, k + 1, block))
+            break
+        probes = open_.select(*asked, F.inline(lookups))
+        for _ in range(radius):  # one more bit above the last one flipped: every set of `radius` bits once
+            probes = probes.where("last < width - 1").withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("width") - 1)))
+            probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, last)")))
+        probes = probes.drop("last", "width")
+        first = F.lit(False)
+        for i, d in enumerate(apart):  # seen here first: no earlier segment within the radius, no later one under it
+            first |= (F.col("segment") == i) & (d == radius)
+            for j in range(len(parts)):
+                if j != i:
+                    first &= (F.col("segment") != i) | (apart[j] > radius if j < i else apart[j] >= radius)
+        found = probes.join(tables, ["segment", "value"]).where(first).select(*asked, *words, "least", _distance(words).alias("distance"))
+        if best is not None:
+            found = found.unionByName(best.join(open_, asked, "left_semi"))
+        best = written(_least(found, asked, k + 1))
+        known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        sure = written(known.where((F.col("n") > k) & (F.col("far") <= len(parts) * (radius + 1) - 1)).select(*asked))
+        closed.append(best.join(sure, asked, "left_semi"))
+        open_ = written(open_.join(sure, asked, "left_anti"))
+        radius += 1
+    if not closed:
+        return queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).where("false")
+    near = closed[0]
+    for c in closed[1:]:
+        near = near.unionByName(c)
+    few = index.withColumn("n", F.row_number().over(Window.partitionBy(*words).orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+    ids = near.join(few.withColumnRenamed("id", "neighbour_id"), words).select(*asked, "neighbour_id", "distance")
+    w = Window.partitionBy(*asked).orderBy("distance", "neighbour_id")
+    ids = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).drop("n")
+    each = queries.select("id", *[F.col(c).alias(q) for c, q in zip(words, asked)]).distinct().join(ids, asked).where(F.col("id") != F.col("neighbour_id"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias("query_id"), "rank", "neighbour_id", F.col("distance").cast("int").alias("distance"))
+    return ranked.select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
+
+
+def _scan(codes: DataFrame, open_: DataFrame, words: list[str], k: int, block: int) -> DataFrame:
+    """The k nearest codes of queries that no radius serves, against all codes: `block` queries at a time reach every task."""
+    asked = [f"q_{w}" for w in words]
+    blocks = -(-open_.count() // block)
+    dealt = written(open_.withColumn("b", F.pmod(F.xxhash64(*asked), F.lit(blocks))))
+    out = None
+    for b in range(blocks):
+        part = dealt.where(F.col("b") == b).drop("b").agg(F.collect_list(F.struct(*asked)).alias("q"))  # about `block` codes
+        pairs = codes.join(F.broadcast(part)).select(*words, "least", F.inline("q")).select(*asked, *words, "least", _distance(words).alias("distance"))
+        got = _least(pairs, asked, k)
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def search(df: DataFrame, k: int = K, every: int = 50) -> DataFrame:
     """op8: the queries are the rows whose id is divisible by `every`, against all rows."""
-    codes = sign_codes(df)
+    codes = written(sign_codes(df))
     return top_k(codes, codes.where(F.col("id") % every == 0), k)

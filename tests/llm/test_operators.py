@@ -412,6 +412,26 @@ def test_hamming_odd(spark):
     assert hamming.search(spark.createDataFrame([], kind)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [12, 64, 150])
+def test_hamming_shapes(spark, bits):
+    """Codes that many rows share, a value that many codes share, queries far from everything, and codes of several words."""
+    r = random.Random(bits)
+    base = [r.choice((-1.0, 1.0)) for _ in range(bits)]
+    near = lambda v, n: [-x if i in set(r.sample(range(bits), n)) else x for i, x in enumerate(v)]
+    rows = [base] * 150 + [near(base, r.randrange(1, 4)) for _ in range(150)] + [[r.choice((-1.0, 1.0)) for _ in range(bits)] for _ in range(99)] + [[-x for x in base]] * 2
+    r.shuffle(rows)
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    coded = hamming.sign_codes(d)
+    words = [c for c in coded.columns if c != "id"]
+    assert len(words) == -(-bits // 64)
+    codes = {x["id"]: [x[w] & (1 << 64) - 1 for w in words] for x in coded.collect()}
+    got = defaultdict(list)
+    for x in hamming.search(d, k=7, every=20).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["distance"], x["neighbour_id"]))
+    for q in [i for i in codes if i % 20 == 0]:
+        assert got[q] == sorted((sum(bin(a ^ b).count("1") for a, b in zip(codes[q], c)), i) for i, c in codes.items() if i != q)[:7]
+
+
 def test_secrets_network(spark):
     """A network trained on patterns' findings accepts held-out tokens of the same make."""
     r = random.Random(9)
