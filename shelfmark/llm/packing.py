@@ -3,8 +3,8 @@
 Documents become pieces of at most `capacity` tokens; only longer documents are
 cut, and then the first piece is the short one. What decides the packing is
 the histogram of piece lengths, which has `capacity` numbers whatever the size
-of the corpus; it alone reaches the driver. There, patterns of one to three
-pieces that fill a sequence exactly are enumerated, their repeat counts are
+of the corpus; it alone reaches the driver. There, patterns of a few pieces
+that fill a sequence, or nearly so, are enumerated, their repeat counts are
 fitted to the histogram by non-negative least squares and rounded down, and the
 residual is packed by best fit decreasing, on counts. Pieces then find their
 place by rank: the r-th piece of a length takes the r-th slot of that length.
@@ -38,6 +38,8 @@ END = 2
 #: Rows that one rank bucket of a length should hold.
 BUCKET = 200_000
 ROUNDS = 400
+#: Pieces of a pattern at most, the share of it that may stay empty, and what an empty sequence costs in the fit.
+PIECES, ROOM, SLACK = 8, 1 / 16, 0.05
 SPECIAL = "<|endoftext|>"
 #: White space runs of this many characters pass by the pattern's regex engine, whose stack ends at about a million.
 RUN = 1 << 16
@@ -91,37 +93,57 @@ def pieces(df: DataFrame, ranks_path: str, pattern: str, special_id: int = 50256
     return documents(df, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """All ways to fill a sequence exactly with one to three pieces of lengths at hand; 0 is no piece."""
-    has = np.zeros(capacity + 1, bool)
-    has[present] = True
-    has[0] = True
-    a = np.flatnonzero(has)
-    first, second = np.meshgrid(a, a, indexing="ij")
-    third = capacity - first - second
-    ok = (first >= second) & (second >= third) & (third >= 0)
-    ok[ok] = has[third[ok]]
-    return np.stack([first[ok], second[ok], third[ok]], 1)
+def patterns(present: np.ndarray, capacity: int, most: int = PIECES) -> np.ndarray:
+    """Ways to fill a sequence, but for a share of `ROOM`, with at most `most` pieces of lengths at hand, one a row, longest first; 0 is no piece.
+
+    Every pair of lengths is filled up with the fewest pieces that come nearest to the
+    capacity, so that patterns with slack stand in where none is exact.
+    """
+    lengths = np.unique(present)
+    pieces, last = np.full(capacity + 1, capacity + 1), np.zeros(capacity + 1, np.int64)
+    pieces[0] = 0
+    for s in range(1, capacity + 1):
+        fit = lengths[lengths <= s]
+        if len(fit):
+            k = int(pieces[s - fit].argmin())
+            pieces[s], last[s] = pieces[s - fit[k]] + 1, fit[k]
+    sums = np.where(pieces <= most - 2, np.arange(capacity + 1), 0)
+    nearest = np.maximum.accumulate(sums)  # the largest sum of so few pieces that isn't above
+    a = np.concatenate(([0], lengths))
+    first, second = (x.ravel() for x in np.meshgrid(a, a, indexing="ij"))
+    ok = (first >= second) & (first + second <= capacity)
+    columns = [first[ok], second[ok]]
+    rest = nearest[capacity - columns[0] - columns[1]]
+    for _ in range(most - 2):
+        columns.append(last[rest])
+        rest = rest - last[rest]
+    shapes = np.unique(-np.sort(-np.stack(columns, 1), 1), axis=0)
+    return shapes[shapes.sum(1) >= (1 - ROOM) * capacity]
 
 
 def fit(shapes: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Repeat counts x >= 0 that bring the patterns' lengths close to the histogram, by accelerated projected gradient."""
+    """Repeat counts x >= 0 that bring the patterns' lengths close to the histogram, by accelerated projected gradient.
+
+    Unfilled room costs a little, so of patterns that serve alike the fuller is taken.
+    """
     bins = len(histogram)
-    used = shapes > 0
     weight = np.arange(bins) / bins  # long pieces are hardest to place afterwards
+    rows, columns = np.nonzero(shapes)
+    at = shapes[rows, columns]
+    slack = SLACK * (1 - shapes.sum(1) / (bins - 1))
 
     def times(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(shapes[:, i], x * used[:, i], bins) for i in range(3))
+        return np.bincount(at, x[rows], bins)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return sum(r[shapes[:, i]] * used[:, i] for i in range(3))
+        return np.bincount(rows, r[at], len(shapes))
 
     load = times(np.ones(len(shapes)))
     step = 1 / max(1.0, float(np.max(back(weight * load))))
     x = y = np.zeros(len(shapes))
     momentum = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * back(weight * (times(y) - histogram)))
+        new = np.maximum(0, y - step * (back(weight * (times(y) - histogram)) + slack))
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         y = new + (momentum - 1) / after * (new - x)
         x, momentum = new, after

@@ -261,6 +261,18 @@ def test_packing(spark, docs):
     assert len(sequences) <= -(-sum(x["length"] for x in rows) // 1024) * 1.02 + 2
 
 
+@pytest.mark.parametrize(("histogram", "most"), [({200: 50, 300: 70, 500: 20}, 42), ({1: 5000}, 5), ({1024: 3}, 3), ({}, 0), ({700: 10, 330: 10}, 14), ({400: 30, 210: 29, 10: 3}, 19), ({n: 7 for n in range(1, 1025)}, 3600)])
+def test_plan(histogram, most):
+    """Every piece has its place, nothing overflows, and few sequences are used, also where no pattern is exact."""
+    chosen = packing.plan(histogram)
+    got = defaultdict(int)
+    for shape, repeats in chosen:
+        assert repeats > 0 and sum(shape) <= 1024
+        for n in shape:
+            got[n] += repeats
+    assert dict(got) == histogram and sum(repeats for _, repeats in chosen) <= most
+
+
 def test_packing_special_token(spark):
     d = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
     x = RUNS["packing"](d, spark).first()
