@@ -184,8 +184,11 @@ def grouped(df: DataFrame) -> DataFrame:
     labels = written(components(found.unionByName(across)))
     labels = labels.unionByName(labels.where("component < 0").select(F.col("component").alias("id"), "component").distinct())
     # The smallest node of a component is its smallest id, but where a node is a hash.
-    hashed = labels.where("component < 0").join(named.select("node", F.col("class_id").alias("c")), F.col("id") == F.col("node")).groupBy(F.col("component").alias("k")).agg(F.min("c").alias("least"))
-    labels = labels.join(hashed, F.col("component") == F.col("k"), "left").select("id", F.col("component").alias("group"), F.coalesce("least", "component").alias("component_id"))
+    odd, even = labels.where("component < 0"), labels.where("component >= 0")
+    hashed = odd.join(named.select("node", F.col("class_id").alias("c")), F.col("id") == F.col("node")).groupBy(F.col("component").alias("k")).agg(F.min("c").alias("least"))
+    labels = even.select("id", F.col("component").alias("group"), F.col("component").alias("component_id")).unionByName(
+        odd.join(hashed, F.col("component") == F.col("k")).select("id", F.col("component").alias("group"), F.col("least").alias("component_id"))
+    )
     known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
     return classes.join(labels, F.col("node") == F.col("id"), "left").select(
         "doc_id", "t", "n_shingles", known(F.coalesce("component_id", "class_id")).alias("component_id"), known(F.col("class_id")).alias("class_id"), F.coalesce("group", "node").alias("group")
