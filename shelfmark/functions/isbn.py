@@ -59,7 +59,11 @@ def state(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "missing").when(isbn10_valid(c) | isbn13_valid(c), "valid").otherwise("invalid")
 
 
+#: Fixed value: what an ISBN looks like in running text.
+SHAPE = r"(?:ISBN(?:-1[03])?:?\s*)?((?:\d[ |-]?){9,13}[\d|X])"
+
+
 def first_shaped(text: Column) -> Column:
-    """The first string of 10 or 13 digits in an ISBN-like place, unchecked."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)(?:ISBN(?:-1[03])?\s*[: ]\s*)([0-9Xx][0-9Xx\s-]{8,20}[0-9Xx])"), F.lit(1))
-    return F.get(F.filter(F.transform(found, cleaned), lambda x: F.length(x).isin(10, 13)), F.lit(0))
+    """The first ISBN-shaped string of 10 or 13 characters without spaces and hyphens, unchecked."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){SHAPE}"), F.lit(1)), lambda x: F.regexp_replace(x, r"[\s-]", ""))
+    return F.get(F.filter(found, lambda x: F.length(x).isin(10, 13)), F.lit(0))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Leading articles of duplicate keys.
 KEY_ARTICLES = "the|a|an|el|la|los|las|un|una|der|die|das"
@@ -20,6 +27,25 @@ CORPORATE = {
     "the economist": "Economist, The", "the new yorker": "New Yorker, The", "financial times": "Financial Times", "der spiegel": "Spiegel, Der", "spiegel online": "Spiegel Online",
     "the wall street journal": "Wall Street Journal, The", "nature": "Nature", "lonely planet": "Lonely Planet", "harvard business review": "Harvard Business Review",
 }
+#: What an edition tag in brackets says; words of the first kind may have "edition" behind them.
+EDITIONS = (
+    "special", "anniversary", "collector'?s?", "deluxe", "first", r"\d+(?:st|nd|rd|th)", "revised", "updated", "expanded", "complete", "definitive", "illustrated", "gift",
+    "omnibus", "annotated", "unabridged", "abridged",
+)
+TAGS = ("hardcover", "paperback", r"boxed(?:\s+set)?", "set", "preview", "novel", "edition", r"vol\.?", "volume", r"book\s+\d+", r"part\s+\d+", r"chapter\s+\d+", r"\d+")
+EDITION_TAG = rf"\s*[(\[](?:(?:{'|'.join(EDITIONS)})(?:\s+edition)?|{'|'.join(TAGS)})\s*[)\]]"
+#: Names that stand for no author.
+BOGUS = r"calibre(-web)?|unknown|desconocido|epublibre|editor|traductor|chapter\s+(one|two|three|\d+)|cap[íi]tulo\s+(uno|dos|\d+)|author|autor|none|n/a|\?+"
+#: Promotional ends of titles.
+PROMOTION = r"\[retail\]|\(retail\)|\(v\d+(?:\.\d+)*\)|\(epub\)|\[epub\]|\[spanish edition\]|\[english edition\]|\(edici[óo]n en espa[ñn]ol\)|epublibre|[(\[]completo[)\]]|\.epub|\.pdf|\.mobi"
+#: Words that stay small in a title, and acronyms that stay large.
+SMALL = ("a an the and but or for nor on at to from by over in of with into onto el la los las un una unos unas y e ni o u de del al en con por para sin sobre tras").split()
+ACRONYMS = "AI NASA MIT USA UK EU DNA RNA LLM GPT API FBI CIA KGB BBC CNN IBM SQL HTML CSS PDF HTTP HTTPS CPU GPU RAM ROM SSD HDD USB OS".split()
+#: Periodicals as title pattern, author, sort key, tags; all are rated 7.
+PERIODICALS = (
+    ("^the economist", "The Economist", "Economist, The", "News"), ("^financial times", "Financial Times", "Financial Times", "News"), ("^(spiegel online|der spiegel)", "Der Spiegel", "Spiegel, Der", "News"),
+    ("^the new yorker", "The New Yorker", "New Yorker, The", "Culture"), (r"^nature\b", "Nature", "Nature", "Science"), ("^mit tr|^mit technology review", "MIT Technology Review", "MIT Technology Review", "Technology"),
+)
 COMPOUND = {"mario vargas llosa": "Vargas Llosa", "gabriel garcia marquez": "García Márquez"}
 PARTICLES = ("von", "van", "de", "del", "della", "da", "di", "du", "des", "der", "den", "el", "al", "fitz", "mac", "mc")
 PAIRS = ("de la", "de las", "de los", "van der")
@@ -27,6 +53,142 @@ PAIRS = ("de la", "de las", "de los", "van der")
 OCR_LANGUAGES = {"en": "eng", "de": "deu", "fr": "fra", "es": "spa", "it": "ita", "pt": "por", "nl": "nld", "ru": "rus", "ja": "jpn", "zh": "chi_sim"}
 
 
+@lru_cache(4)
+def _mapped(form: str, marks: bool, fold: bool) -> tuple[str, str]:
+    """For `translate`: characters of the basic plane that a normal form turns into one other character, and those it leaves out.
+
+    Hangul stays composed, and sequences of letter and mark aren't composed.
+    """
+    one, none = {}, []
+    for p in range(0x80, 0x10000):
+        if 0xAC00 <= p < 0xE000:
+            continue
+        c = unicodedata.normalize(form, chr(p))
+        c = c if marks else "".join(x for x in c if not unicodedata.combining(x))
+        c = c.casefold() if fold else c
+        if len(c) == 1 and c != chr(p):
+            one[chr(p)] = c
+        elif not c:
+            none.append(chr(p))
+    return "".join(one) + "".join(none), "".join(one.values())
+
+
+def _translated(c: Column, form: str, marks: bool, fold: bool) -> Column:
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, *_mapped(form, marks, fold))).otherwise(c)
+
+
+def folded(c: Column) -> Column:
+    """Letters without accents, in their plain form; the ligatures that become several letters too."""
+    t = _translated(c, "NFKD", False, False)
+    long = t
+    for a in "ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳﬀﬁﬂﬃﬄﬅﬆ…™№":
+        long = F.replace(long, F.lit(a), F.lit("".join(x for x in unicodedata.normalize("NFKD", a) if not unicodedata.combining(x))))
+    return F.when(t.rlike("[ĲĳŉǄ-ǌǱ-ǳﬀ-ﬆ…™№]"), long).otherwise(t)
+
+
+def plain_key(c: Column) -> Column:
+    """Without accents and punctuation, single spaces, lower case; null gives ''."""
+    return F.lower(F.trim(F.regexp_replace(folded(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " ")))
+
+
+def verify_key(c: Column) -> Column:
+    """N7 without edition tags in brackets."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(folded(F.coalesce(c, F.lit(""))), f"(?i){EDITION_TAG}", ""), r"[^\p{L}\p{N}_]+", " ")))
+
+
+def edition_tagged(c: Column) -> Column:
+    return F.coalesce(c.rlike(f"(?i){EDITION_TAG}"), F.lit(False))
+
+
+def identity_key(c: Column) -> Column:
+    """Compatibility form in folded case, words joined by one space."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(_translated(c, "NFKC", True, True)), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}_]+", " "))
+
+
+def value_key(field: Column, value: Column) -> Column:
+    """What of a value is compared: words of a text, sorted words of authors, sorted small codes of languages, else the value."""
+    parts = lambda by, of: F.array_join(F.array_sort(F.filter(F.transform(F.split(value, by), of), lambda x: x != "")), "\n")
+    return (
+        F.when(field.isin("title", "publisher", "series", "edition_statement"), identity_key(value)).when(field == "authors", parts("&", identity_key))
+        .when(field == "languages", parts("[;,]", lambda x: F.lower(F.trim(x)))).otherwise(value)
+    )
+
+
+@F.pandas_udf(DoubleType())
+def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The ratio of matching blocks; null where a side is null. Pass null for pairs that are decided without it."""
+    one = lru_cache(1 << 16)(lambda a, b: SequenceMatcher(None, a, b).ratio())
+    for left, right in pairs:
+        yield pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(left, right)], dtype="float64")
+
+
+def clean_author(c: Column) -> Column:
+    """Trimmed of broken syntax; null for names that stand for no author."""
+    t = F.regexp_replace(F.regexp_replace(c, r"^[ \t\n\r;/,\\'\"]+|[ \t\n\r;/,\\'\"]+$", ""), r"\s+", " ")
+    t = F.trim(F.regexp_replace(t, "[;/]+$", ""))
+    return F.when((t != "") & ~t.rlike(f"(?i)^(?:{BOGUS})$"), t)
+
+
+def split_authors(c: Column) -> Column:
+    """Display names of the authors of a list with `;`, `&`, `and` or `et al`; names that stand for no author go."""
+    chunks = F.split(F.coalesce(c, F.lit("")), r"(?i)\s*(?:;|&|\band\b|\bet\s+al\.?)\s*")
+    return F.transform(F.filter(F.transform(chunks, clean_author), lambda x: x.isNotNull()), author_display)
+
+
+def promoted_title(c: Column) -> Column:
+    """Without promotional ends; a title all in capitals takes title case, with acronyms and small words as they are."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), rf"(?i)(\s*(?:{PROMOTION})\s*)+$", "")), r"\s+", " ")
+    letters = F.regexp_replace(t, r"\P{L}", "")
+    capital = (F.length(letters) > 3) & (F.upper(t) == t) & ~letters.rlike(r"[^\p{Lu}]")
+    large, small = F.array(*[F.lit(x) for x in ACRONYMS]), F.array(*[F.lit(x) for x in SMALL])
+    word = lambda w, i: (
+        F.when(F.array_contains(large, F.upper(w)), F.upper(w)).when((i > 0) & F.array_contains(small, F.lower(w)), F.lower(w))
+        .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    )
+    return F.when(capital, F.array_join(F.transform(F.split(t, " "), word), " ")).otherwise(t)
+
+
+def periodical(title: Column, author: Column) -> Column:
+    """The author of the first periodical whose pattern the title meets; where the author is none, whose name it holds."""
+    out = F.lit(None).cast("string")
+    for _, name, _, _ in reversed(PERIODICALS):
+        out = F.when(F.lower(F.coalesce(author, F.lit(""))).isin("calibre", "unknown") & F.contains(F.lower(title), F.lit(name.lower())), name).otherwise(out)
+    for pattern, name, _, _ in reversed(PERIODICALS):
+        out = F.when(title.rlike(f"(?i){pattern}"), name).otherwise(out)
+    return out
+
+
+def image_type(c: Column) -> Column:
+    """The kind of an image from its first bytes."""
+    h = F.hex(F.substring(c, 1, 12))
+    return (
+        F.when(F.startswith(h, F.lit("FFD8FF")), "image/jpeg").when(F.startswith(h, F.lit("89504E470D0A1A0A")), "image/png")
+        .when(F.startswith(h, F.lit("52494646")) & (F.substring(h, 17, 8) == "57454250"), "image/webp").when(F.startswith(h, F.lit("474946383761")) | F.startswith(h, F.lit("474946383961")), "image/gif")
+    )
+
+
+def allowed_url(c: Column, hosts: tuple[str, ...]) -> Column:
+    """Https, no user, port 443 if any, and a host of the list."""
+    part = lambda p: F.try_parse_url(c, F.lit(p))
+    host = F.lower(part("HOST"))
+    port = F.regexp_extract(F.coalesce(part("AUTHORITY"), F.lit("")), r":(\d+)$", 1)
+    return F.coalesce((F.lower(part("PROTOCOL")) == "https") & part("USERINFO").isNull() & port.isin("", "443") & host.isin(*hosts), F.lit(False))
+
+
+def large_cover_url(c: Column) -> Column:
+    """A thumbnail address turned into that of the large cover."""
+    u = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("http://"), F.lit("https://")), "&edge=curl", ""), "edge=curl&?", "")
+    u = F.when(F.contains(u, F.lit("zoom=1")), F.replace(u, F.lit("zoom=1"), F.lit("zoom=0"))).when(F.contains(u, F.lit("zoom=5")), F.replace(u, F.lit("zoom=5"), F.lit("zoom=0"))).when(
+        ~F.contains(u, F.lit("zoom=")) & F.contains(u, F.lit("?")), F.concat(u, F.lit("&zoom=0"))
+    ).otherwise(u)
+    more = F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit("fife=w1600-h2400"))
+    return F.when(c != "", F.when(F.contains(u, F.lit("fife=")), F.regexp_replace(u, r"fife=w\d+-h\d+", "fife=w1600-h2400")).otherwise(more))
+
+
+def isbn_cover_url(isbn13: Column) -> Column:
+    return F.concat(F.lit("https://covers.openlibrary.org/b/isbn/"), isbn13, F.lit("-L.jpg?default=false"))
+
+
 def spaced(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -48,13 +210,17 @@ def clean_title(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(t, r"\(\s*\)|\[\s*\]", "")), r"\s+", " ")
 
 
+def _parted(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit(":")), F.split(c, ":", 2)).when(F.contains(c, F.lit(" - ")), F.split(c, " - ", 2)).otherwise(F.array(c))
+
+
 def main_title(c: Column) -> Column:
-    """What stands before the first colon."""
-    return F.when(F.contains(c, F.lit(":")), F.trim(F.get(F.split(c, ":", 2), F.lit(0)))).otherwise(c)
+    """What stands before the first colon, or else before the first ` - `."""
+    return F.when(F.size(_parted(c)) > 1, F.trim(F.get(_parted(c), F.lit(0)))).otherwise(c)
 
 
 def subtitle(c: Column) -> Column:
-    return F.nullif(F.trim(F.get(F.split(c, ":", 2), F.lit(1))), F.lit(""))
+    return F.nullif(F.trim(F.get(_parted(c), F.lit(1))), F.lit(""))
 
 
 def title_sort(c: Column) -> Column:
@@ -97,7 +263,7 @@ def author_sort(c: Column) -> Column:
     out = out.when(n.rlike(r"^(Pope|Papa) "), F.concat(F.regexp_replace(n, r"^(Pope|Papa)\s+", ""), F.lit(", Pope")))
     out = out.when(count == 1, n)
     for name, surname in COMPOUND.items():
-        out = out.when(F.lower(spaced(n)) == name, F.concat(F.lit(f"{surname}, "), head(len(surname.split()))))
+        out = out.when(F.lower(spaced(folded(n))) == name, F.concat(F.lit(f"{surname}, "), head(len(surname.split()))))
     return out.when((count >= 4) & two.isin(*PAIRS), behind(3)).when((count >= 3) & one.isin(*PARTICLES), behind(2)).otherwise(behind(1))
 
 
@@ -134,12 +300,21 @@ def number(c: Column) -> Column:
 
 
 def quality(c: Column) -> Column:
-    """Low if empty, over a tenth unprintable, or under five words."""
-    unprintable = F.length(F.regexp_replace(c, r"[^\x00-\x08\x0B-\x1F\x7F-\x9F]", ""))
+    """Low if empty, over a tenth unprintable (controls, formats, separators but the space), or under five words."""
+    unprintable = F.length(F.regexp_replace(c, r"[^\p{C}\p{Zl}\p{Zp}\p{Zs}]|[ \n\t]", ""))
     words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, "low").when(unprintable / F.length(c) > 0.1, "low").when(words < 5, "low").otherwise("high")
 
 
+#: Formats that an inventory counts by name.
+FORMATS = ("AZW", "AZW3", "CBR", "CBZ", "DJVU", "DOCX", "EPUB", "FB2", "HTM", "HTML", "KFX", "LIT", "LRF", "MOBI", "ODT", "PDB", "PDF", "PRC", "RTF", "TCR", "TPZ", "TXT")
+
+
+def format_bucket(c: Column) -> Column:
+    t = format_token(c)
+    return F.when(t.isin(*FORMATS), t).otherwise("OTHER")
+
+
 def format_token(c: Column) -> Column:
     """A suffix or token in upper case, UNKNOWN if it isn't 1 to 16 letters or digits."""
     t = F.upper(F.regexp_replace(F.trim(c), r"^.*\.", ""))

@@ -1,4 +1,4 @@
-"""Field verification (V1, V4-V11) as one projection over declared and observed values, and the book's roll-up.
+"""Field verification (V1-V11) as one projection over declared and observed values, and the book's roll-up.
 
 A verdict is a struct of field, verdict, confidence, flag and review. Rules are
 `case` ladders; the first line that holds decides. Nothing is shuffled: a
@@ -7,14 +7,25 @@ book's verdicts stay in its row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from shelfmark.functions import isbn
+from shelfmark.functions import isbn, text
 
 HIGH_RISK = ("author_swap", "isbn_conflict", "edition_ambiguous", "cover_mismatch", "wrong_book", "series_mismatch", "publisher_mismatch")
 
 
+FIELDS = 11
+#: Normals of names that stand for no author.
+SENTINELS = ("unknown", "anonymous", "n n", "various", "n a", "desconocido", "calibre", "mantesh", "chenjin5 com")
+
+
 class Ladder:
     def __init__(self):
         self.column: Column | None = None
@@ -53,6 +64,115 @@ def isbn_rule() -> Column:
     )
 
 
+def title_facts(df: DataFrame, declared: str, observed: str) -> DataFrame:
+    """Adds the columns that `title_rule` reads. The sequence ratio runs over the pairs alone whose normals differ and aren't empty."""
+    d, o = F.col(declared), F.col(observed)
+    raw = F.trim(F.coalesce(d, F.lit("")))
+    df = df.withColumns({
+        "title_n": text.verify_key(d), "title_on": text.verify_key(o), "title_clean": text.clean_title(d), "title_bare": F.regexp_replace(raw, r"[!?.,;:*]+$", ""),
+        "title_tag": text.edition_tagged(d), "title_otag": text.edition_tagged(o), "title_raw": raw,
+    })
+    n, on = F.col("title_n"), F.col("title_on")
+    df = df.withColumns({"title_clean_n": text.verify_key(F.col("title_clean")), "title_bare_n": text.verify_key(F.col("title_bare"))})
+    ask = (n != on) & (n != "") & (on != "")
+    return df.withColumn("title_r", F.when(n == on, 1.0).otherwise(text.sequence_ratio(F.when(ask, n), F.when(ask, on))))
+
+
+def title_rule(d: Column, o: Column, low: Column) -> Column:
+    """V2, over the columns of `title_facts`."""
+    n, on, r, raw = F.col("title_n"), F.col("title_on"), F.col("title_r"), F.col("title_raw")
+    low = F.coalesce(low, F.lit(False))
+    inside = F.contains(n, on) | F.contains(on, n)
+    return (
+        Ladder().when(d.isNull() & o.isNull(), "ambiguous", 0).when(d.isNull() & (o != "") & low, "ambiguous", 55).when(d.isNull() & (o != ""), "missing", F.when(F.length(o) >= 3, 95).otherwise(70))
+        .when((d != "") & o.isNull(), "ambiguous", 50).when((n == "") | (on == ""), "ambiguous", 40)
+        .when((F.col("title_clean") != "") & (F.col("title_clean") != raw) & (F.col("title_clean_n") == on), "mismatch", 95)
+        .when((F.col("title_bare") != "") & (F.col("title_bare") != raw) & (F.col("title_bare_n") == on), "mismatch", 80)
+        .when(F.contains(F.lower(raw), F.lit(" by ")) & (on == F.trim(F.get(F.split(n, " by "), F.lit(0)))), "mismatch", 88)
+        .when(F.col("title_tag") & ~F.col("title_otag") & (r >= 0.9), "mismatch", 82).when(F.lower(raw).rlike(r"_|\.(epub|pdf|mobi)$") & (r >= 0.5), "mismatch", 92)
+        .when((r >= 0.95) & low, "ambiguous", 55).when(r >= 0.95, "confirmed", 95).when(inside & (F.abs(F.length(n) - F.length(on)) <= 20), "confirmed", 85).when(inside, "mismatch", 80)
+        .when(r < 0.4, "mismatch", 95, "wrong_book").when(r < 0.7, "mismatch", 95).when(F.lit(True), "ambiguous", 60).column
+    )
+
+
+_FACTS = ("paired", "apart", "declared_covered", "observed_covered", "declared_extra")
+
+
+def _compare(ds: list[str], os: list[str], dd: list[str], od: list[str], alike) -> tuple[bool, ...]:
+    """How two author lists relate: raw normals and normals of display names, each name's two forms together."""
+
+    def surname(a: str, b: str) -> bool:
+        x, y = a.split(), b.split()
+        return bool(x and y) and x[-1] in (y[-1], y[0])
+
+    near = lambda a, b: bool(a and b) and alike(a, b) >= 0.9
+    covers = lambda xs, ys: all(any(x == y or near(x, y) or surname(x, y) for y in ys) for x in xs)
+    meets = lambda a, ar, bs, brs: any(near(a, b) or surname(ar, br) for b, br in zip(bs, brs))
+    paired = len(ds) == len(os) and all(meets(a, ar, od, os) for a, ar in zip(dd, ds)) and all(meets(a, ar, dd, ds) for a, ar in zip(od, os))
+    apart = not set(dd) & set(od) and not any(near(a, b) for a in dd for b in od) and not any(surname(a, b) for a in ds for b in os)
+    extra = any(not any(near(a, b) or surname(a, b) for b in os) for a in ds)
+    return paired, apart, covers(dd, od), covers(od, dd), extra
+
+
+@F.pandas_udf(StructType([StructField(n, BooleanType()) for n in _FACTS]))
+def _author_relation(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Null for lists that are decided already; letters are Latin (N22) by now."""
+    alike = lru_cache(1 << 16)(lambda a, b: SequenceMatcher(None, a, b).ratio())
+    one = lru_cache(1 << 16)(lambda *lists: _compare(*map(list, lists), alike))
+    for columns in parts:
+        yield pd.DataFrame([(None,) * len(_FACTS) if row[0] is None else one(*map(tuple, row)) for row in zip(*columns)], columns=list(_FACTS), dtype="boolean")
+
+
+def author_facts(df: DataFrame, declared: str, observed: str) -> DataFrame:
+    """Adds the columns that `authors_rule` reads: the lists, whether they are equal in one of three forms, and how they relate if not.
+
+    Each author's display form is paired with its own raw form.
+    """
+    names = lambda c: F.filter(F.transform(F.split(F.coalesce(F.col(c), F.lit("")), "&"), lambda x: F.trim(x)), lambda x: x != "")
+    df = df.withColumns({"authors_d": names(declared), "authors_o": names(observed)})
+    d, o = F.col("authors_d"), F.col("authors_o")
+    form = lambda of: lambda c: F.transform(c, of)
+    key = form(text.verify_key)  # each step names its input once, so that no lambda grows with the one before
+    forms = {"raw": key, "display": lambda c: key(F.transform(c, text.author_display))}
+    df = df.withColumns({f"authors_{k}_{s}": f(c) for k, f in forms.items() for s, c in (("d", d), ("o", o))})
+    same = lambda x, y: F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y))
+    sort = lambda c: key(F.transform(c, text.author_sort))
+    both = (F.size(d) > 0) & (F.size(o) > 0)
+    equal = F.when(~both, False).when(same(F.col("authors_raw_d"), F.col("authors_raw_o")), True).when(same(F.col("authors_display_d"), F.col("authors_display_o")), True).otherwise(same(sort(d), sort(o)))
+    df = df.withColumn("authors_equal", equal)
+    ask = lambda c: F.when(both & ~F.col("authors_equal"), F.transform(F.col(c), text.transliterated))
+    return df.withColumn("authors_how", _author_relation(*[ask(f"authors_{k}_{s}") for k, s in (("raw", "d"), ("raw", "o"), ("display", "d"), ("display", "o"))]))
+
+
+def authors_rule(low: Column) -> Column:
+    """V3, over the columns of `author_facts`."""
+    d, o, how, low = F.col("authors_d"), F.col("authors_o"), F.col("authors_how"), F.coalesce(low, F.lit(False))
+    nobody = F.forall("authors_display_d", lambda x: x.isin(*SENTINELS))
+    return (
+        Ladder().when((F.size(d) == 0) & (F.size(o) == 0), "ambiguous", 0).when(F.size(d) == 0, "missing", 95).when(F.size(o) == 0, "ambiguous", 50)
+        .when(F.col("authors_equal") & low, "ambiguous", 55).when(F.col("authors_equal"), "confirmed", 99).when(how["paired"], "confirmed", 88).when(nobody, "mismatch", 92)
+        .when(how["apart"], "mismatch", 92, "author_swap", True).when(how["observed_covered"] & ~how["declared_covered"] & how["declared_extra"], "mismatch", 88, "author_swap", True)
+        .when(how["observed_covered"] & ~how["declared_covered"], "mismatch", 88).when(how["declared_covered"] & ~how["observed_covered"], "mismatch", 92).when(F.lit(True), "mismatch", 80).column
+    )
+
+
+def publisher_facts(df: DataFrame, declared: str, observed: str) -> DataFrame:
+    """Adds the columns that `publisher_rule` reads."""
+    df = df.withColumns({"publisher_n": text.verify_key(F.col(declared)), "publisher_on": text.verify_key(F.col(observed))})
+    n, on = F.col("publisher_n"), F.col("publisher_on")
+    ask = (n != on) & F.col(declared).isNotNull() & F.col(observed).isNotNull()
+    return df.withColumn("publisher_r", text.sequence_ratio(F.when(ask, n), F.when(ask, on)))
+
+
+def publisher_rule(d: Column, o: Column) -> Column:
+    """V4, over the columns of `publisher_facts`."""
+    n, on, r = F.col("publisher_n"), F.col("publisher_on"), F.col("publisher_r")
+    return (
+        Ladder().when(d.isNull() & o.isNull(), "ambiguous", 0).when(d.isNull() & (o != ""), "missing", 80).when((d != "") & o.isNull(), "ambiguous", 50).when(n == on, "confirmed", 99)
+        .when((r >= 0.6) & (F.contains(on, n) | F.contains(n, on)), "confirmed", 85).when(r < 0.5, "mismatch", 85, "publisher_mismatch", True).when(F.lit(True), "ambiguous", 60).column
+    )
+
+
 def date_rule(d: Column, o: Column) -> Column:
     year = lambda c: F.regexp_extract(c, r"^\s*(\d{4})", 1).try_cast("int")
     return (
@@ -69,7 +189,7 @@ def language_rule(d: Column, o: Column) -> Column:
 
 
 def series_rule(d: Column, o: Column, sampled: Column) -> Column:
-    same = F.lower(F.trim(d)) == F.lower(F.trim(o))
+    same = text.verify_key(d) == text.verify_key(o)
     return (
         Ladder().when(_empty(d) & _empty(o), "confirmed", F.when(sampled, 95).otherwise(90)).when(_empty(d), "missing", 85).when(_empty(o) & ~sampled, "ambiguous", 50)
         .when(_empty(o), "mismatch", 80, "series_mismatch", True).when(same, "confirmed", 95).when(F.lit(True), "mismatch", 85, "series_mismatch", True).column
@@ -83,14 +203,42 @@ def number_rule(d: Column, o: Column, whole: bool = False) -> Column:
     )
 
 
-def verdicts(pairs: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """book_id and an array of verdicts; `rules` by field, over the columns of `pairs`."""
-    each = [F.struct(F.lit(f).alias("field"), r.alias("v")) for f, r in rules.items()]
+def verdicts(pairs: DataFrame, rules: dict[str, Column], values: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
+    """book_id and an array of verdicts; `rules` by field, over the columns of `pairs`; `values`: what is declared and observed, as strings."""
+    values = values or {}
+    none = F.lit(None).cast("string")
+    each = [F.struct(F.lit(f).alias("field"), r.alias("v"), *[c.cast("string").alias(n) for c, n in zip(values.get(f, (none, none)), ("declared", "observed"))]) for f, r in rules.items()]
     return pairs.select("book_id", F.array(*each).alias("verdicts"))
 
 
+def all_verdicts(pairs: DataFrame) -> DataFrame:
+    """V1-V11 in one row a book. `pairs`: book_id, d_ and o_ columns of title, authors, isbn, publisher, date, language, series, series_index, volume, chapter, series_position, and sampled, low."""
+    d, o = (lambda f: F.col(f"d_{f}")), (lambda f: F.col(f"o_{f}"))
+    df = publisher_facts(author_facts(title_facts(isbn_facts(pairs, d("isbn"), o("isbn")), "d_title", "o_title"), "d_authors", "o_authors"), "d_publisher", "o_publisher")
+    number = lambda f, whole=False: number_rule(text.number(d(f)), text.number(o(f)), whole)
+    rules = {
+        "isbn": isbn_rule(), "title": title_rule(d("title"), o("title"), F.col("low")), "authors": authors_rule(F.col("low")), "publisher": publisher_rule(d("publisher"), o("publisher")),
+        "published_date": date_rule(d("date"), o("date")), "language": language_rule(d("language"), o("language")), "series": series_rule(d("series"), o("series"), F.col("sampled")),
+        "series_index": number("series_index"), "volume": number("volume", True), "chapter": number("chapter"), "series_position": number("series_position"),
+    }
+    source = {"published_date": "date"}
+    return verdicts(df, rules, {f: (d(source.get(f, f)), o(source.get(f, f))) for f in rules})
+
+
+def rows(df: DataFrame, fields: int) -> DataFrame:
+    """A row for each book and field. The places are exploded, not the verdicts: a filter derived from the ladders would hold all of them."""
+    x = F.get("verdicts", F.col("place"))
+    return (
+        df.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(fields - 1)))).select("book_id", x.alias("x"))
+        .select("book_id", "x.field", "x.v.verdict", "x.v.confidence", "x.v.flag", "x.v.review")
+    )
+
+
 def roll_up(df: DataFrame) -> DataFrame:
-    """Confidence, flags, action and eligibility of each book, from its array of verdicts."""
+    """Confidence, flags, patch, action, eligibility and the gate's reason of each book, from its array of verdicts.
+
+    Ambiguous with nothing declared and nothing observed is no doubt; such rows have confidence 0.
+    """
     v = F.col("verdicts")
     decided = F.filter(v, lambda x: x["v"]["verdict"] != "ambiguous")
     patched = F.filter(v, lambda x: x["v"]["verdict"].isin("mismatch", "missing"))
@@ -103,5 +251,48 @@ def roll_up(df: DataFrame) -> DataFrame:
         F.when(risky | unsure, "needs_review").when((F.col("n_decided") == 0) | (F.size("patched") == 0), "no_change")
         .when(F.col("confidence") >= 85, "suggest_fix").when(F.col("confidence") >= 70, "needs_review").otherwise("defer")
     )
-    eligible = (action == "suggest_fix") & (mean(F.col("patched")) >= 80) & F.forall("patched", lambda x: (x["v"]["confidence"] >= 75) & ~x["v"]["review"])
-    return out.select("book_id", "confidence", F.array_join("flags", ",").alias("flags"), F.array_join("patched.field", ",").alias("patch"), action.alias("action"), eligible.alias("eligible"))
+    out = out.withColumns({"action": action, "risky": risky})
+    sound = F.forall("patched", lambda x: (x["v"]["confidence"] >= 75) & ~x["v"]["review"])
+    eligible = (F.col("action") == "suggest_fix") & (mean(F.col("patched")) >= 80) & sound
+    out = out.withColumn("eligible", eligible)
+    gate = F.when(~F.col("eligible"), F.concat(F.lit("not eligible: "), "action")).when(F.col("risky"), "high risk").when(F.col("confidence") < 80, "confidence under 80").when(F.size("patched") == 0, "no patch").otherwise("ok")
+    values = F.array_join(F.transform("patched", lambda x: F.concat(x["field"], F.lit("="), F.coalesce(x["observed"], F.lit("")))), ";")
+    return out.select("book_id", "confidence", F.array_join("flags", ",").alias("flags"), F.array_join("patched.field", ",").alias("patch"), "action", "eligible", gate.alias("gate"), values.alias("patch_values"))
+
+
+def patch_risks(current: DataFrame, patch: DataFrame) -> DataFrame:
+    """Flags of a patch: no author in common, another ISBN. Both: book_id, authors (joined by `&`), isbn."""
+    names = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "&"), lambda x: F.trim(x)), lambda x: x != "")
+    both = current.select("book_id", names(F.col("authors")).alias("a"), F.col("isbn").alias("i")).join(patch.select("book_id", names(F.col("authors")).alias("b"), F.col("isbn").alias("j")), "book_id")
+    swap = (F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")
+    other = (F.col("i") != "") & (F.col("j") != "") & (F.col("i") != F.col("j"))
+    return both.select("book_id", F.concat_ws(",", F.when(swap, "author_swap"), F.when(F.coalesce(other, F.lit(False)), "isbn_conflict")).alias("risks"))
+
+
+def threshold_action(action: Column, confidence: Column, risks: Column) -> Column:
+    """A suggested fix under 70 is deferred, under 90 or with a flag reviewed."""
+    return F.when(action != "suggest_fix", action).when(confidence < 70, "defer").when((confidence < 90) | (risks != ""), "needs_review").otherwise(action)
+
+
+def adjudicated(verdict_rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers to ambiguous rows: flags are united, an ambiguous answer keeps the old confidence, others are clamped to 0..100.
+
+    `answers`: book_id, field, answer, answer_confidence, answer_flag.
+    """
+    both = verdict_rows.join(answers, ["book_id", "field"], "left")
+    told = (F.col("verdict") == "ambiguous") & F.col("answer").isNotNull()
+    flags = F.array_join(F.array_sort(F.array_distinct(F.filter(F.array("flag", F.when(told, F.coalesce("answer_flag", F.lit(""))).otherwise("")), lambda x: x != ""))), ",")
+    confidence = F.when(told & (F.col("answer") != "ambiguous"), F.greatest(F.lit(0), F.least(F.lit(100), "answer_confidence"))).otherwise(F.col("confidence"))
+    return both.select("book_id", "field", F.when(told, F.col("answer")).otherwise(F.col("verdict")).alias("verdict"), confidence.cast("int").alias("confidence"), flags.alias("flags"))
+
+
+def open_requests(requests: DataFrame, cache: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """The distinct prompts that no answer younger than `hours` covers. `requests`: prompt; `cache`: prompt_hash, created_at."""
+    asked = requests.select(F.sha2("prompt", 256).alias("prompt_hash")).groupBy("prompt_hash").agg(F.count("*").alias("n_requests"))
+    return asked.join(cache.where(F.col("created_at") > now - F.make_dt_interval(hours=F.lit(hours))).select("prompt_hash"), "prompt_hash", "left_anti")
+
+
+def quoted(observations: DataFrame, snippets: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Observations of allowed fields whose quote stands in a snippet of the book, with the first such snippet's place."""
+    both = observations.where(F.col("field").isin(*fields) & (F.col("quote") != "")).join(snippets.select("book_id", "seq", "source", "text"), "book_id").where(F.contains("text", F.col("quote")))
+    return both.groupBy("book_id", "field", "quote").agg(F.min_by("source", "seq").alias("source"), F.min("seq").alias("seq"))

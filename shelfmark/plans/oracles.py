@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shelfmark.functions.text import CORPORATE, EXTENSIONS, JUNK, KEY_ARTICLES, OCR_LANGUAGES, PAIRS, PARTICLES, SORT_ARTICLES
+from shelfmark.functions.text import (
+    ACRONYMS, BOGUS, CORPORATE, EDITION_TAG, EXTENSIONS, FORMATS, JUNK, KEY_ARTICLES, OCR_LANGUAGES, PAIRS, PARTICLES, PERIODICALS, PROMOTION, SMALL, SORT_ARTICLES,
+)
 from shelfmark.operators.covers import WORDS
 from shelfmark.operators.profile import STATES, STEPS
 
@@ -140,6 +142,147 @@ _REPORT = """(SELECT count(*) AS sample_size, count(*) FILTER (tier = 'A') AS ti
   count(*) FILTER (would_auto_apply AND (NOT identity_correct OR NOT patch_correct)) AS false_auto_applies, count(review_seconds) AS timed, round(sum(review_seconds), 3) AS review_seconds, CAST(sum(egress_bytes) AS BIGINT) AS egress_bytes FROM calibration)"""
 _LEGAL = " OR ".join(f"(before = '{a}' AND state IN {_in(b)})" for a, b in STEPS.items())
 
+_fold = lambda x: f"strip_accents({x})"
+_words = lambda x: f"trim(lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')))"
+
+
+def verify_key(x: str) -> str:
+    return _words(f"regexp_replace({_fold(f'coalesce({x}, chr(32))')}, {_q(EDITION_TAG)}, '', 'gi')")
+
+
+def plain_key(x: str) -> str:
+    return _words(_fold(f"coalesce({x}, '')"))
+
+
+def value_key(field: str, x: str) -> str:
+    return (
+        f"CASE WHEN {field} IN ('title', 'publisher', 'series') THEN {_words(x)} WHEN {field} = 'authors' THEN array_to_string(list_sort(list_filter(list_transform(string_split({x}, '&'), lambda z: {_words('z')}), lambda z: z <> '')), chr(10)) "
+        f"WHEN {field} = 'languages' THEN array_to_string(list_sort(list_filter(list_transform(regexp_split_to_array({x}, '[;,]'), lambda z: lower(trim(z))), lambda z: z <> '')), chr(10)) ELSE {x} END"
+    )
+
+
+def clean_author(x: str) -> str:
+    t = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '^[ \t\n\r;/,\\''\"]+|[ \t\n\r;/,\\''\"]+$', '', 'g'), '\s+', ' ', 'g'), '[;/]+$', ''))"
+    return f"CASE WHEN {t} <> '' AND NOT regexp_full_match({t}, {_q('(?i)(?:' + BOGUS + ')')}) THEN {t} END"
+
+
+def like(a: str, b: str) -> str:
+    """The larger of plain and token-set ratio, as one scalar subquery-free expression over two normals."""
+    x, y = f"list_distinct(list_filter(string_split({a}, ' '), lambda z: z <> ''))", f"list_distinct(list_filter(string_split({b}, ' '), lambda z: z <> ''))"
+    rest = lambda p, q: f"array_to_string(list_sort(list_filter({p}, lambda z: NOT list_contains({q}, z))), ' ')"
+    return f"{{'i': array_to_string(list_sort(list_intersect({x}, {y})), ' '), 'p': {rest(x, y)}, 'q': {rest(y, x)}}}"
+
+
+def _verdict(*steps: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in steps) + " END"
+
+
+_none = lambda c: f"coalesce(trim(CAST({c} AS VARCHAR)), '') = ''"
+_SETTLED_BASE = f"""(SELECT *, regexp_replace(coalesce(d_isbn, ''), '[ -]', '', 'g') AS di, regexp_replace(coalesce(o_isbn, ''), '[ -]', '', 'g') AS oi, TRY_CAST(regexp_extract(d_date, '^\\s*(\\d{{4}})', 1) AS INT) AS dy, TRY_CAST(regexp_extract(o_date, '^\\s*(\\d{{4}})', 1) AS INT) AS oy FROM pairs)"""
+
+
+def _numbers(f: str, same: str) -> str:
+    return _verdict((f"d_{f} IS NULL AND o_{f} IS NULL", "confirmed|90||false"), (f"d_{f} IS NULL", "missing|85||false"), (f"o_{f} IS NULL", "ambiguous|50||false"), (same, "confirmed|95||false"), ("TRUE", "mismatch|90||false"))
+
+
+_near = lambda f: f"abs(d_{f} - o_{f}) < 0.01"
+_RULES = {
+    "isbn": _verdict(
+        ("di = '' AND oi = ''", "ambiguous|0||false"), (f"di = '' AND {_VALID('oi')}", "missing|95||false"), ("di = ''", "ambiguous|40||false"), ("oi = ''", "ambiguous|50||false"), (f"NOT {_VALID('di')} AND NOT {_VALID('oi')}", "ambiguous|30||false"),
+        ("di = oi", "confirmed|99||false"), (f"CASE WHEN length(di) = 10 AND {ok13('oi')} THEN {to13('di')} = oi ELSE FALSE END", "confirmed|90||false"), (f"CASE WHEN length(oi) = 10 AND {ok13('di')} THEN {to13('oi')} = di ELSE FALSE END", "confirmed|90||false"),
+        (f"{_VALID('di')} AND {_VALID('oi')}", "mismatch|98|isbn_conflict|true"), (_VALID("oi"), "mismatch|92|isbn_conflict|true"), ("TRUE", "mismatch|88|isbn_conflict|true"),
+    ),
+    "published_date": _verdict((f"{_none('d_date')} AND {_none('o_date')}", "ambiguous|0||false"), (_none("d_date"), "missing|85||false"), (_none("o_date"), "ambiguous|50||false"), ("dy IS NULL OR oy IS NULL", "ambiguous|40||false"), ("dy = oy", "confirmed|90||false"), ("abs(dy - oy) = 1", "confirmed|80||false"), ("TRUE", "mismatch|90||true")),
+    "language": _verdict((f"{_none('d_language')} AND {_none('o_language')}", "ambiguous|0||false"), (_none("d_language"), "missing|90||false"), (_none("o_language"), "ambiguous|50||false"), ("lower(trim(d_language)) = lower(trim(o_language))", "confirmed|99||false"), ("TRUE", "mismatch|90||false")),
+    "series": _verdict(
+        (f"{_none('d_series')} AND {_none('o_series')} AND sampled", "confirmed|95||false"), (f"{_none('d_series')} AND {_none('o_series')}", "confirmed|90||false"), (_none("d_series"), "missing|85||false"), (f"{_none('o_series')} AND NOT sampled", "ambiguous|50||false"),
+        (_none("o_series"), "mismatch|80|series_mismatch|true"), (f"{verify_key('d_series')} = {verify_key('o_series')}", "confirmed|95||false"), ("TRUE", "mismatch|85|series_mismatch|true"),
+    ),
+    "series_index": _numbers("series_index", _near("series_index")), "volume": _numbers("volume", "round_even(d_volume, 0) = round_even(o_volume, 0)"), "chapter": _numbers("chapter", _near("chapter")), "series_position": _numbers("series_position", _near("series_position")),
+}
+_SETTLED = "(SELECT book_id, field, split_part(v, '|', 1) AS verdict, CAST(split_part(v, '|', 2) AS INT) AS confidence, split_part(v, '|', 3) AS flag, split_part(v, '|', 4) = 'true' AS review FROM (" + " UNION ALL ".join(f"SELECT book_id, '{f}' AS field, {r} AS v FROM {_SETTLED_BASE}" for f, r in _RULES.items()) + "))"
+
+_parts = lambda x, by="'&'": f"list_filter(list_transform(string_split(coalesce({x}, ''), {by}), lambda z: trim(z)), lambda z: z <> '')"
+_FACTS = f"""(SELECT book_id, count(*) AS n_formats, count(*) FILTER (readable) AS n_readable, count(DISTINCT id) AS n_ids, min(id) AS id, greatest(count(DISTINCT title), count(DISTINCT authors), count(DISTINCT languages)) AS n_values,
+  coalesce(bool_and(title IS NOT NULL AND authors IS NOT NULL AND languages IS NOT NULL) FILTER (readable), FALSE) AS complete, arg_min({{'t': title, 'a': authors, 'l': languages}}, format) FILTER (readable) AS core
+FROM (SELECT book_id, format, status = 'readable' AS readable, CASE WHEN status = 'readable' THEN {canonical("coalesce(isbn, '')")} END AS id,
+  {', '.join(f"CASE WHEN status = 'readable' AND trim({c}) <> '' THEN {value_key(_q(c), c)} END AS {c}" for c in ('title', 'authors', 'languages'))} FROM format_evidence) GROUP BY book_id)"""
+_EXACT = "(SELECT DISTINCT e.book_id, e.independence_root FROM evidence e JOIN facts f ON f.book_id = e.book_id AND f.id = e.manifestation_isbn WHERE e.authoritative AND e.source_kind IN ('provider_structured', 'official_page', 'national_library') AND e.field = 'identifiers')"
+_ROOT_TESTS = f"""(SELECT book_id, independence_root, bool_or(NOT same AND source_kind IN ('provider_structured', 'official_page', 'national_library')) AS disagrees, count(DISTINCT field) FILTER (same) = 3 AND bool_and(same) AS agrees
+FROM (SELECT e.book_id, e.independence_root, e.source_kind, e.field, coalesce({value_key('e.field', 'e.value')} = CASE e.field WHEN 'title' THEN core.t WHEN 'authors' THEN core.a ELSE core.l END, FALSE) AS same
+  FROM evidence e JOIN {_EXACT} x USING (book_id, independence_root) JOIN facts f ON f.book_id = e.book_id WHERE e.authoritative AND e.field IN ('title', 'authors', 'languages')) GROUP BY ALL)"""
+_C_REASONS = "('format_manifestation_conflict', 'format_expression_conflict', 'external_expression_conflict')"
+_LADDER = f"""(SELECT book_id, id, reason, CASE WHEN reason IN {_C_REASONS} THEN 'C' WHEN reason = 'confirmed' THEN 'A' ELSE 'B' END AS tier FROM (SELECT b.book_id, CASE WHEN n_ids = 1 THEN f.id END AS id, CASE WHEN n_ids > 1 THEN 'format_manifestation_conflict' WHEN n_readable < n_formats THEN 'incomplete_format_evidence'
+  WHEN f.id IS NULL THEN 'missing_manifestation_identifier' WHEN NOT EXISTS (SELECT 1 FROM evidence e WHERE e.book_id = b.book_id AND e.field = 'identifiers' AND e.authoritative AND e.source_kind IN {_INTERNAL} AND e.manifestation_isbn = f.id AND e.value = f.id) THEN 'missing_internal_manifestation_confirmation'
+  WHEN NOT EXISTS (SELECT 1 FROM exact x WHERE x.book_id = b.book_id) THEN 'missing_external_manifestation_confirmation' WHEN n_values > 1 THEN 'format_expression_conflict' WHEN NOT complete THEN 'incomplete_internal_core_evidence'
+  WHEN EXISTS (SELECT 1 FROM root_tests r WHERE r.book_id = b.book_id AND r.disagrees) THEN 'external_expression_conflict' WHEN NOT EXISTS (SELECT 1 FROM root_tests r WHERE r.book_id = b.book_id AND r.agrees) THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
+FROM (SELECT book_id FROM evidence UNION SELECT book_id FROM format_evidence) b LEFT JOIN facts f ON f.book_id = b.book_id))"""
+_WITH_ROOTS = f"WITH facts AS {_FACTS}, exact AS {_EXACT}, root_tests AS {_ROOT_TESTS}"
+_TIERS = f"{_WITH_ROOTS} SELECT book_id, tier, reason, CASE tier WHEN 'A' THEN 'shadowed' WHEN 'C' THEN 'deferred' ELSE 'review' END AS state FROM {_LADDER}"
+
+_ALIKE = lambda x, y, s: f"greatest({ratio(x, y)}, CASE WHEN {x} = '' OR {y} = '' THEN 0.0E0 ELSE greatest(CASE WHEN {s}.i = '' THEN 0.0E0 ELSE {ratio(s + '.i', s + '.one')} END, CASE WHEN {s}.i = '' THEN 0.0E0 ELSE {ratio(s + '.i', s + '.two')} END, {ratio(s + '.one', s + '.two')}) END)"
+_one_two = lambda s: f"{{'i': {s}.i, 'one': trim({s}.i || ' ' || {s}.p), 'two': trim({s}.i || ' ' || {s}.q)}}"
+_MATCHED = f"""(SELECT *, own IS NOT NULL AND c13 IS NOT NULL AND own <> c13 AS conflict, title_sim < 0.4 AND CASE WHEN raw IN ('', 'unknown') THEN 0.5E0 WHEN ca <> '' THEN alike ELSE 0.0E0 END < 0.35 AS tripped,
+  CASE WHEN raw = '' THEN 0.5E0 WHEN ca <> '' THEN alike ELSE 0.0E0 END AS author_score FROM (SELECT *, {_ALIKE('t', 'ct', 'st')} AS title_sim, {_ALIKE('a', 'ca', 'sa')} AS alike FROM (SELECT *, {_one_two('s1')} AS st, {_one_two('s2')} AS sa FROM (SELECT *, {like('t', 'ct')} AS s1, {like('a', 'ca')} AS s2
+FROM (SELECT c.book_id, pos, provider, is_hd_cover, cover_url, lower(coalesce(b.author, '')) AS raw, coalesce(b.isbn, '') <> '' AS has_isbn, {plain_key('b.title')} AS t, {plain_key('c.title')} AS ct, {plain_key('b.author')} AS a, {plain_key('c.author')} AS ca,
+  {canonical("coalesce(b.isbn, '')")} AS own, {canonical("coalesce(isbn13, '')")} AS c13 FROM candidates c JOIN books_isbn b USING (book_id))))))"""
+_RAW = "CASE WHEN has_isbn THEN 0.35E0 * title_sim + 0.25E0 * author_score + 0.25E0 * CASE WHEN own = c13 THEN 1.0E0 ELSE 0.0E0 END + 0.15E0 * cover ELSE 0.5E0 * title_sim + 0.35E0 * author_score + 0.15E0 * cover END - CASE WHEN author_score < 0.25 AND raw <> '' THEN 0.35E0 ELSE 0.0E0 END"
+_CANDIDATE = f"(SELECT book_id, pos, provider, c13, tripped, conflict, CASE WHEN tripped THEN 0.0E0 ELSE greatest(0.0E0, least(1.0E0, round_even(({_RAW}) * 1000, 0) / 1000)) END AS score FROM (SELECT *, CASE WHEN is_hd_cover THEN 1.0E0 WHEN cover_url <> '' THEN 0.5E0 ELSE 0.0E0 END AS cover FROM {_MATCHED}))"
+
+_TITLE = f"(SELECT book_id, author, regexp_replace(trim(regexp_replace(trim(coalesce(upper(title) || ' [retail] (EPUB)', '')), {_q('(?i)(\\s*(?:' + PROMOTION + ')\\s*)+$')}, '')), '\\s+', ' ', 'g') AS p, coalesce(title, 'x') || CASE WHEN book_id % 2 = 0 THEN ': a tale' ELSE ' - second part' END AS s FROM books)"
+_list = lambda xs: "[" + ", ".join(map(_q, xs)) + "]"
+_CASED = f"""array_to_string(list_transform(string_split(p, ' '), lambda w, i: CASE WHEN list_contains({_list(ACRONYMS)}, upper(w)) THEN upper(w) WHEN i > 1 AND list_contains({_list(SMALL)}, lower(w)) THEN lower(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ')"""
+_cut = lambda by: f"trim(substr(s, 1, strpos(s, '{by}') - 1))", lambda by: f"nullif(trim(substr(s, strpos(s, '{by}') + {len(by)})), '')"
+_CYRILLIC = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya"}
+
+
+def _latin(x: str) -> str:
+    t = f"lower({x})"
+    for a, b in _CYRILLIC.items():
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"translate({t}, 'абвгдеёзийклмнопрстуфыэъь', 'abvgdeeziyklmnoprstufye')"
+
+
+_display_of = lambda x: display(f"({x})")
+_MORE: dict[str, tuple[tuple[str, ...], str]] = {
+    "N6_N7_N9_N18_keys": (("books",), f"SELECT book_id, {verify_key('title')} AS verify_key, {plain_key('title')} AS plain_key, {_words('title')} AS identity_key, {value_key(_q('authors'), 'author')} AS authors_key, {value_key(_q('languages'), chr(40) + 'language || ' + _q('; EN') + chr(41))} AS languages_key FROM books"),
+    "N11_N13_N16_N22_N29_cleansed": (("books",), f"""SELECT book_id, {clean_author('author')} AS author, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(author || ' and Plato; calibre', '(?i)\\s*(?:;|&|\\band\\b|\\bet\\s+al\\.?)\\s*'), lambda z: {clean_author('z')}), lambda z: z IS NOT NULL), lambda z: {display('z')}), '|') AS authors,
+  CASE WHEN contains(s, ':') THEN {_cut[0](':')} ELSE {_cut[0](' - ')} END AS main, CASE WHEN contains(s, ':') THEN {_cut[1](':')} ELSE {_cut[1](' - ')} END AS subtitle, {_latin("'Щука Ёж ' || author")} AS latin,
+  CASE {' '.join(f"WHEN regexp_matches(author || ' 2020', {_q('(?i)' + p)}) THEN {_q(n)}" for p, n, _, _ in PERIODICALS)} {' '.join(f"WHEN contains(lower(author), {_q(n.lower())}) THEN {_q(n)}" for _, n, _, _ in PERIODICALS)} END AS periodical,
+  CASE WHEN length(regexp_replace(p, '\\P{{L}}', '', 'g')) > 3 THEN {_CASED} ELSE p END AS promoted FROM {_TITLE}"""),
+    "N27_N31_X2_tokens": (("formats",), f"""SELECT book_id, format, token, CASE WHEN token IN {_in(FORMATS)} THEN token ELSE 'OTHER' END AS bucket, CASE WHEN book_id % 3 = 0 THEN 'copyright_page' ELSE 'title_page' END AS source,
+  coalesce(CASE WHEN length(CAST(book_id AS VARCHAR)) IN (10, 13) THEN CAST(book_id AS VARCHAR) END, '9780306406157') AS shaped FROM (SELECT *, CASE WHEN book_id % 5 = 0 THEN 'UNKNOWN' ELSE format END AS token FROM formats)"""),
+    "N19_N20_cover_urls": (("candidates",), f"""SELECT book_id, pos, CASE WHEN book_id % 2 = 0 THEN u || '&zoom=0&fife=w1600-h2400' WHEN book_id % 3 = 0 THEN u || '&fife=w1600-h2400&zoom=0' ELSE u || '&zoom=0&fife=w1600-h2400' END AS cover,
+  'https://covers.openlibrary.org/b/isbn/' || ({canonical("coalesce(isbn13, '')")}) || '-L.jpg?default=false' AS isbn_cover, book_id % 5 <> 0 AND book_id % 7 <> 0 AND pos <> 1 AND (book_id % 4 = 0 OR book_id % 9 <> 0) AS allowed
+FROM (SELECT *, 'https://books.google.com/books?id=' || CAST(book_id AS VARCHAR) AS u FROM candidates)"""),
+    "V1_V5_V11_settled_verdicts": (("pairs",), f"SELECT * FROM {_SETTLED}"),
+    "V14_patch_risks": (("pairs",), f"""SELECT book_id, concat_ws(',', CASE WHEN len({_parts('d_authors')}) > 0 AND len({_parts('o_authors')}) > 0 AND NOT list_has_any({_parts('d_authors')}, {_parts('o_authors')}) THEN 'author_swap' END, CASE WHEN d_isbn <> '' AND o_isbn <> '' AND d_isbn <> o_isbn THEN 'isbn_conflict' END) AS risks FROM pairs"""),
+    "V15_V16_adjudicated": (("pairs",), f"""SELECT book_id, field, CASE WHEN told THEN answer ELSE verdict END AS verdict, conf AS confidence, flags, CASE WHEN conf < 70 THEN 'defer' WHEN conf < 90 OR flags <> '' THEN 'needs_review' ELSE 'suggest_fix' END AS action
+FROM (SELECT *, CAST(CASE WHEN told AND answer <> 'ambiguous' THEN greatest(0, least(100, book_id % 130 - 10)) ELSE confidence END AS INT) AS conf, CASE WHEN told AND book_id % 5 = 0 THEN array_to_string(list_sort(list_filter(['edition_ambiguous', flag], lambda z: z <> '')), ',') ELSE flag END AS flags
+  FROM (SELECT *, verdict = 'ambiguous' AND book_id % 2 = 0 AS told, CASE book_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'mismatch' ELSE 'ambiguous' END AS answer FROM {_SETTLED}))"""),
+    "V17_open_requests": (("snippets",), "SELECT sha256(text) AS prompt_hash, count(*) AS n_requests FROM snippets WHERE text NOT IN (SELECT text FROM snippets WHERE book_id % 4 = 0) GROUP BY text"),
+    "V18_quoted": (("books", "snippets"), "SELECT o.book_id, o.field, o.quote, arg_min(s.source, s.seq) AS source, min(s.seq) AS seq FROM (SELECT book_id, 'title' AS field, title AS quote FROM books UNION ALL SELECT book_id, 'publisher', publisher FROM books) o JOIN snippets s ON s.book_id = o.book_id AND contains(s.text, o.quote) WHERE o.quote <> '' GROUP BY ALL"),
+    "C1_C3_candidate_scores": (("books_isbn", "candidates"), f"SELECT book_id, pos, provider, tripped, conflict, score FROM {_CANDIDATE}"),
+    "C4_C5_best_candidate": (("books_isbn", "candidates"), f"""SELECT b.book_id, CASE WHEN NOT coalesce(tripped, TRUE) THEN provider ELSE 'local' END AS provider, coalesce(score, 0.0E0) AS score, CASE WHEN NOT coalesce(tripped, TRUE) THEN 'REVIEW_RECOMMENDED' ELSE 'KEEP_LOCAL' END AS decision, 'C' AS tier,
+  CASE WHEN r.n IS NULL THEN 'no_candidates' WHEN tripped IS NULL THEN 'candidate_rejected_valid_isbn_conflict' WHEN tripped THEN 'tripwire' ELSE 'best_candidate' END AS reason, CASE WHEN r.n IS NOT NULL AND tripped IS NULL THEN rejected WHEN tripped THEN coalesce(c13, '') ELSE '' END AS quarantine
+FROM books_isbn b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, pos) AS k FROM {_CANDIDATE} WHERE NOT conflict) s ON s.book_id = b.book_id AND k = 1
+LEFT JOIN (SELECT book_id, count(*) AS n, string_agg(c13, ',' ORDER BY pos) FILTER (conflict) AS rejected FROM {_CANDIDATE} GROUP BY book_id) r ON r.book_id = b.book_id"""),
+    "R1_R2_R5_format_tests": (("format_evidence",), f"SELECT * EXCLUDE (core) FROM {_FACTS}"),
+    "R7_root_matches": (("evidence", "format_evidence"), f"{_WITH_ROOTS} SELECT book_id, independence_root FROM root_tests WHERE agrees"),
+    "R8_field_consensus": (("evidence",), f"""SELECT book_id, field, nv AS n_values, nr AS n_roots, CASE WHEN nv = 1 THEN v END AS value, CASE WHEN nv = 1 AND nr >= 2 AND sure THEN 'auto' ELSE 'review' END AS status
+FROM (SELECT book_id, field, count(DISTINCT k) AS nv, count(DISTINCT independence_root) AS nr, min(k) AS v, bool_or(source_kind = 'content_native') AS sure FROM (SELECT *, {value_key('field', 'value')} AS k FROM evidence WHERE authoritative) GROUP BY book_id, field)"""),
+    "R9_R10_decisions": (("evidence", "format_evidence", "current_fields"), f"""{_WITH_ROOTS}, ladder AS {_LADDER}, judged AS (SELECT e.book_id, e.field, l.tier, count(DISTINCT k) FILTER (good) AS nv, count(DISTINCT independence_root) FILTER (good) AS nr, coalesce(bool_or(good AND source_kind = 'content_native'), FALSE) AS sure, min(k) FILTER (good) AS k, min(value) FILTER (good) AS told
+  FROM (SELECT e.*, {value_key('e.field', 'e.value')} AS k, e.authoritative AND coalesce(e.manifestation_isbn = l.id, FALSE) AS good FROM evidence e JOIN ladder l ON l.book_id = e.book_id) e JOIN ladder l ON l.book_id = e.book_id GROUP BY ALL)
+SELECT book_id, field, tier, status, CASE WHEN tier = 'A' AND nv = 1 THEN k END AS resolved, CASE WHEN status = 'auto' THEN told END AS patch FROM (SELECT j.*, CASE WHEN tier = 'C' THEN 'blocked' WHEN tier = 'B' OR nv <> 1 OR nr < 2 OR NOT sure THEN 'review' WHEN k = {value_key('c.field', 'c.value')} THEN 'unchanged' ELSE 'auto' END AS status
+  FROM judged j LEFT JOIN current_fields c ON c.book_id = j.book_id AND c.field = j.field)"""),
+    "R10_R11_tiers": (("evidence", "format_evidence"), _TIERS),
+    "R6_R10_R11_ladder": (("evidence", "format_evidence"), _TIERS),
+    "R12_ocr_consensus": (("format_evidence",), f"""SELECT book_id AS file_id, count(*) AS n_engines, CASE WHEN bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 THEN min(c) END AS isbn, bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 AND count(*) >= 2 AS authoritative FROM (SELECT book_id, {canonical("coalesce(isbn, '')")} AS c FROM format_evidence) GROUP BY book_id"""),
+    "R13_evidence_ids": (("evidence",), "SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || independence_root || '|' || field), 1, 20) AS evidence_id, count(*) AS n_rows, count(DISTINCT value || source_kind || CAST(authoritative AS VARCHAR)) > 1 AS clash FROM evidence GROUP BY book_id, independence_root, field"),
+    "R14_broken_seals": (("evidence",), "SELECT book_id, independence_root, field, sha256(CAST(book_id AS VARCHAR) || '|' || field || '|' || value) AS seal FROM evidence WHERE book_id % 50 = 0 AND upper(value) <> value"),
+    "R15_changed_sources": (("formats",), "SELECT CAST(book_id AS VARCHAR) || '/' || format AS file, CASE WHEN book_id % 17 = 0 THEN 'added' WHEN book_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM formats WHERE (book_id % 17 = 0) <> (book_id % 11 = 0) OR (book_id % 13 = 0 AND book_id % 17 <> 0 AND book_id % 11 <> 0)"),
+}
+
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "N1_N5_isbn": (("books_isbn",), f"SELECT book_id, {ok13('c')} AS valid13, {ok10('t')} AS valid10, {canonical('c')} AS canonical, {canonical('t')} AS from10, regexp_full_match(c, '[0-9]{{13}}') AND c NOT IN ('1234567890123', '9781234567890', '9780000000000') AS plausible, CASE WHEN c = '' THEN 'missing' WHEN {ok13('c')} THEN 'valid' ELSE 'invalid' END AS state FROM {_ISBN}"),
     "N8_N10_N21_titles": (("books",), f"SELECT book_id, {key('title')} AS title_key, {clean('title')} AS clean, {title_sort('title')} AS sort, series_index AS number, CASE language {' '.join(f'WHEN {_q(a)} THEN {_q(b)}' for a, b in OCR_LANGUAGES.items())} ELSE 'eng' END AS ocr_language FROM books"),
@@ -206,3 +349,4 @@ FROM (SELECT b.book_id, md5(CAST(b.book_id AS VARCHAR)) AS h, coalesce(title, ''
 FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 5"""),
     "T2_error_windows": (("requests",), """SELECT start_s, count(*) AS n, count(*) FILTER (status >= 500) AS errors FROM (SELECT status, unnest(range(CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 - 240, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 + 1, 60)) AS start_s FROM requests) GROUP BY start_s HAVING count(*) FILTER (status >= 500) / count(*) > 0.05"""),
 }
+ORACLES |= _MORE

@@ -51,7 +51,78 @@ def _rules(b: DataFrame) -> DataFrame:
 
 
 def _verdict_rows(b: DataFrame) -> DataFrame:
-    return _rules(b).select("book_id", F.explode("verdicts").alias("x")).select("book_id", "x.field", "x.v.verdict", "x.v.confidence", "x.v.flag", "x.v.review")
+    return verify.rows(_rules(b), 4)
+
+
+SETTLED = ("isbn", "published_date", "language", "series", "series_index", "volume", "chapter", "series_position")
+
+
+def _settled(p: DataFrame) -> DataFrame:
+    """The fields that no fuzzy ratio decides."""
+    return verify.rows(verify.all_verdicts(p), verify.FIELDS).where(F.col("field").isin(*SETTLED))
+
+
+def _keys(b: DataFrame) -> DataFrame:
+    t = F.col("title")
+    return b.select("book_id", text.verify_key(t).alias("verify_key"), text.plain_key(t).alias("plain_key"), text.identity_key(t).alias("identity_key"), text.value_key(F.lit("authors"), F.col("author")).alias("authors_key"), text.value_key(F.lit("languages"), F.concat("language", F.lit("; EN"))).alias("languages_key"))
+
+
+def _cleansed(b: DataFrame) -> DataFrame:
+    t, a = F.col("title"), F.col("author")
+    split = F.concat(F.coalesce(t, F.lit("x")), F.when(F.col("book_id") % 2 == 0, F.lit(": a tale")).otherwise(" - second part"))
+    return b.select(
+        "book_id", text.clean_author(a).alias("author"), F.array_join(text.split_authors(F.concat(a, F.lit(" and Plato; calibre"))), "|").alias("authors"), text.main_title(split).alias("main"), text.subtitle(split).alias("subtitle"),
+        text.transliterated(F.concat(F.lit("Щука Ёж "), a)).alias("latin"), text.periodical(F.concat(a, F.lit(" 2020")), F.lit("calibre")).alias("periodical"), text.promoted_title(F.concat(F.upper(t), F.lit(" [retail] (EPUB)"))).alias("promoted"),
+    )
+
+
+def _tokens(f: DataFrame) -> DataFrame:
+    made = F.concat(F.col("book_id").cast("string"), F.when(F.col("book_id") % 5 == 0, F.lit(".w e")).otherwise("."), F.lower("format"))
+    text_ = F.concat(F.lit("see ISBN-13: "), F.col("book_id").cast("string"), F.lit(" or ISBN 978-0-306-40615-7."))
+    return f.select("book_id", "format", text.format_token(made).alias("token"), text.format_bucket(made).alias("bucket"), text.page_source(F.concat(F.lit("OEBPS/"), F.lower("format"), F.when(F.col("book_id") % 3 == 0, "-colophon").otherwise("-title")), F.col("book_id") % 4).alias("source"), isbn.first_shaped(text_).alias("shaped"))
+
+
+def _covers(c: DataFrame) -> DataFrame:
+    url = F.concat(F.lit("http://books.google.com/books?id="), F.col("book_id").cast("string"), F.when(F.col("book_id") % 2 == 0, "&zoom=1&edge=curl").when(F.col("book_id") % 3 == 0, "&fife=w10-h20").otherwise(""))
+    made = F.concat(F.when(F.col("book_id") % 5 == 0, "http://").when(F.col("book_id") % 7 == 0, "https://me:x@").otherwise("https://"), F.when(F.col("pos") == 1, "evil.example").otherwise("openlibrary.org"), F.when(F.col("book_id") % 4 == 0, ":443").when(F.col("book_id") % 9 == 0, ":8443").otherwise(""), F.lit("/b"))
+    return c.select("book_id", "pos", text.large_cover_url(url).alias("cover"), text.isbn_cover_url(isbn.canonical13(F.col("isbn13"))).alias("isbn_cover"), text.allowed_url(made, ("openlibrary.org", "covers.openlibrary.org")).alias("allowed"))
+
+
+def _adjudicated(p: DataFrame) -> DataFrame:
+    told = _settled(p)
+    kind = F.when(F.col("book_id") % 3 == 0, "confirmed").when(F.col("book_id") % 3 == 1, "mismatch").otherwise("ambiguous")
+    answers = told.where(F.col("book_id") % 2 == 0).select("book_id", "field", kind.alias("answer"), (F.col("book_id") % 130 - 10).alias("answer_confidence"), F.when(F.col("book_id") % 5 == 0, "edition_ambiguous").otherwise("").alias("answer_flag"))
+    return verify.adjudicated(told, answers).withColumn("action", verify.threshold_action(F.lit("suggest_fix"), F.col("confidence"), F.col("flags")))
+
+
+def _open_requests(s: DataFrame, r: DataFrame) -> DataFrame:
+    answered = r.select(F.sha2(F.concat(F.lit("Copyright 2019. ISBN: none (epub). Published by "), F.col("status"), F.lit(".")), 256).alias("prompt_hash"), "started_at")
+    known = s.where("book_id % 4 = 0").select(F.sha2("text", 256).alias("prompt_hash"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").alias("started_at")).unionByName(answered)
+    return verify.open_requests(s.select(F.col("text").alias("prompt")), known.withColumnRenamed("started_at", "created_at"), F.expr("TIMESTAMP_NTZ '2024-01-01 12:00:00'"))
+
+
+def _quoted(b: DataFrame, s: DataFrame) -> DataFrame:
+    says = b.select("book_id", F.lit("title").alias("field"), F.col("title").alias("quote")).unionByName(b.select("book_id", F.lit("publisher"), F.col("publisher")).toDF("book_id", "field", "quote")).unionByName(b.select("book_id", F.lit("cover"), F.col("publisher")).toDF("book_id", "field", "quote"))
+    return verify.quoted(says, s, ("title", "publisher"))
+
+
+def _format_tests(f: DataFrame) -> DataFrame:
+    return identity.format_facts(f).drop("core")
+
+
+def _ocr(f: DataFrame) -> DataFrame:
+    return identity.ocr_consensus(f.select(F.col("book_id").alias("file_id"), F.col("format").alias("engine"), "isbn"))
+
+
+def _broken_seals(e: DataFrame) -> DataFrame:
+    seal = identity.sealed(e, "book_id", "field", "value")
+    return identity.broken_seals(seal.withColumn("value", F.when(F.col("book_id") % 50 == 0, F.upper("value")).otherwise(F.col("value"))), "book_id", "field", "value").select("book_id", "independence_root", "field", "seal")
+
+
+def _changed(f: DataFrame) -> DataFrame:
+    rows = f.select(F.concat_ws("/", "book_id", "format").alias("file"), "book_id", "digest")
+    later = rows.where("book_id % 11 <> 0").select("file", F.when(F.col("book_id") % 13 == 0, F.md5("digest")).otherwise(F.col("digest")).alias("digest"))
+    return identity.changed_sources(rows.where("book_id % 17 <> 0"), later, "file", "digest")
 
 
 def _gaps(gaps: DataFrame) -> DataFrame:
@@ -64,9 +135,20 @@ QUERIES: dict[str, Query] = {
     "N14_N16_authors": _over(_authors, "books"),
     "N23_N24_ratios": _over(_ratios, "books"),
     "N28_text_quality": _over(lambda d: d.select("doc_id", text.quality(F.col("text")).alias("quality")), "documents"),
+    "N6_N7_N9_N18_keys": _over(_keys, "books"),
+    "N11_N13_N16_N22_N29_cleansed": _over(_cleansed, "books"),
+    "N27_N31_X2_tokens": _over(_tokens, "formats"),
+    "N19_N20_cover_urls": _over(_covers, "candidates"),
+    "V1_V5_V11_settled_verdicts": _over(_settled, "pairs"),
+    "V1_V11_all_verdicts": _over(lambda p: verify.rows(verify.all_verdicts(p), verify.FIELDS), "pairs"),
+    "V12_V13_all_fields": _over(lambda p: verify.roll_up(verify.all_verdicts(p)), "pairs"),
+    "V14_patch_risks": _over(lambda p: verify.patch_risks(p.select("book_id", F.col("d_authors").alias("authors"), F.col("d_isbn").alias("isbn")), p.select("book_id", F.col("o_authors").alias("authors"), F.col("o_isbn").alias("isbn"))), "pairs"),
+    "V15_V16_adjudicated": _over(_adjudicated, "pairs"),
+    "V17_open_requests": _over(_open_requests, "snippets", "runs"),
+    "V18_quoted": _over(_quoted, "books", "snippets"),
     "V1_V8_field_verdicts": _over(_verdict_rows, "books_isbn"),
-    "V12_V13_roll_up": _over(lambda b: verify.roll_up(_rules(b)), "books_isbn"),
-    "C1_C3_candidate_scores": _over(lambda b, c: consensus.scored(b, c).withColumn("score", F.round("score", 6)), "books_isbn", "candidates"),
+    "V12_V13_roll_up": _over(lambda b: verify.roll_up(_rules(b)).drop("gate", "patch_values"), "books_isbn"),
+    "C1_C3_candidate_scores": _over(lambda b, c: consensus.scored(b, c).drop("c13"), "books_isbn", "candidates"),
     "C4_C5_best_candidate": _over(consensus.best, "books_isbn", "candidates"),
     "D2_title_author_clusters": _over(linkage.title_author_clusters, "books", "formats"),
     "D3_isbn_clusters": _over(linkage.isbn_clusters, "books_isbn", "formats"),
@@ -95,10 +177,16 @@ QUERIES: dict[str, Query] = {
     "P3_P6_cover_quality": _over(covers.quality, "cover_stats"),
     "P10_oversize": _over(covers.oversize, "cover_stats"),
     "R3_R4_confirmations": _over(identity.confirmations, "evidence"),
-    "R7_root_matches": _over(identity.root_matches, "evidence"),
+    "R1_R2_R5_format_tests": _over(_format_tests, "format_evidence"),
+    "R7_root_matches": _over(identity.root_matches, "evidence", "format_evidence"),
     "R8_field_consensus": _over(identity.field_consensus, "evidence"),
-    "R10_R11_tiers": _over(identity.tiers, "evidence"),
-    "R6_R10_R11_ladder": _over(identity.ladder, "evidence"),
+    "R9_R10_decisions": _over(identity.decisions, "evidence", "format_evidence", "current_fields"),
+    "R10_R11_tiers": _over(identity.tiers, "evidence", "format_evidence"),
+    "R6_R10_R11_ladder": _over(identity.tiers, "evidence", "format_evidence"),
+    "R12_ocr_consensus": _over(_ocr, "format_evidence"),
+    "R13_evidence_ids": _over(identity.evidence_ids, "evidence"),
+    "R14_broken_seals": _over(_broken_seals, "evidence"),
+    "R15_changed_sources": _over(_changed, "formats"),
     "E1_embedding_text": _over(vectors.embedding_text, "books"),
     "E1_snippet_text": _over(vectors.snippet_text, "books", "snippets"),
     "E2_nearest": _over(vectors.nearest, "embeddings"),

@@ -33,7 +33,7 @@ FROM (SELECT *, (10 - (CAST(substr(isbn_body,1,1) AS INT) + 3*CAST(substr(isbn_b
 FROM lineitem WHERE l_quantity < 10"""),
     "candidates": (("books_isbn",), """SELECT b.book_id, v.pos, v.provider, CASE WHEN (b.book_id + v.pos) % 9 = 0 THEN 'atomic habits' ELSE b.observed_title END AS title,
   CASE WHEN (b.book_id + v.pos) % 9 = 0 THEN 'James Clear' WHEN v.pos = 1 THEN lower(b.author) ELSE b.author END AS author,
-  CASE WHEN (b.book_id + v.pos) % 10 = 0 THEN '9780306406157' ELSE b.isbn END AS isbn13, v.pos = 1 AS is_hd_cover
+  CASE WHEN (b.book_id + v.pos) % 10 = 0 THEN '9780306406157' ELSE b.isbn END AS isbn13, v.pos = 1 AS is_hd_cover, CASE WHEN (b.book_id + v.pos) % 4 = 0 THEN 'https://books.example/cover' END AS cover_url
 FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION ALL SELECT 1, 'google_books' UNION ALL SELECT 2, 'calibre_fetch') v"""),
     "operations": (("orders",), """SELECT o_orderkey AS operation_id, o_custkey AS book_key, o_orderdate AS created_at,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'failed' WHEN o_orderstatus = 'F' THEN 'succeeded' WHEN o_orderstatus = 'P' THEN 'verifying' WHEN o_orderkey % 2 = 0 THEN 'requested' ELSE 'claimed' END AS state,
@@ -43,7 +43,8 @@ FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION A
   value / 100.0E0 AS duration_s FROM events"""),
     "calibration": (("labels", "documents"), """SELECT d.doc_id AS evidence_id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 2 = 0 AS would_auto_apply,
   l.quality = 1 AS identity_correct, l.toxic = 0 AS patch_correct, CASE WHEN d.doc_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE d.n_chars / 100.0E0 END AS review_seconds, d.n_chars AS egress_bytes
-FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""),
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+UNION ALL SELECT l.doc_id, 'B', TRUE, TRUE, TRUE, CAST(NULL AS DOUBLE), CAST(0 AS BIGINT) FROM labels l WHERE l.doc_id % 17 = 0"""),
     "snippets": (("books_isbn",), """SELECT book_id, 0 AS seq, 'title_page' AS source, concat(observed_title, ' by ', author) AS text FROM books_isbn
 UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright 2019. ISBN: ', coalesce(isbn, 'none'), ' (epub). Published by ', publisher, '.') FROM books_isbn"""),
     "evidence": (("books_isbn",), """SELECT * FROM (SELECT b.book_id, r.root AS independence_root, r.kind AS source_kind, f.field, b.isbn AS manifestation_isbn, r.kind <> 'vision' AS authoritative,
@@ -55,7 +56,34 @@ UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright 2019. ISBN: ',
   (p_partkey % 240) / 10.0E0 AS avg_grad, CAST(5 + p_partkey % 80 AS DOUBLE) AS std_dev, (p_partkey % 81) / 10.0E0 AS entropy, (p_partkey % 101) / 100.0E0 AS dominant_ratio,
   ((p_partkey * 7) % 101) / 100.0E0 AS white_ratio, ((p_partkey * 3) % 31) / 100.0E0 AS dark_ratio,
   CASE p_partkey % 9 WHEN 0 THEN 'z-library' WHEN 1 THEN 'New York Times Bestseller' WHEN 2 THEN 'Chapter 1 contents' ELSE '' END AS ocr_text,
-  (p_partkey % 40) * 72057594037927 + p_partkey % 5 AS phash FROM part"""),
+  CAST((p_partkey % 40) * 72057594037927 + CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 1048583 ELSE 0 END AS BIGINT) AS phash FROM part"""),
+    "format_evidence": (("formats", "books_isbn"), """SELECT f.book_id, f.format, f.digest, CASE WHEN f.book_id % 37 = 0 AND f.format = 'MOBI' THEN 'protected' ELSE 'readable' END AS status,
+  CASE WHEN f.book_id % 41 = 0 AND f.format = 'PDF' THEN '9780306406157' ELSE b.isbn END AS isbn, CASE WHEN f.book_id % 43 = 0 AND f.format = 'PDF' THEN 'Variant title' ELSE b.observed_title END AS title,
+  b.author AS authors, b.language AS languages FROM formats f JOIN books_isbn b ON b.book_id = f.book_id"""),
+    "current_fields": (("books_isbn",), """SELECT book_id, 'title' AS field, title AS value FROM books_isbn UNION ALL SELECT book_id, 'authors', author FROM books_isbn
+UNION ALL SELECT book_id, 'languages', language FROM books_isbn UNION ALL SELECT book_id, 'identifiers', isbn FROM books_isbn"""),
+    "pairs": (("books_isbn",), """SELECT book_id,
+  CASE WHEN book_id % 37 = 0 THEN concat(observed_title, ' by Jane Austen') WHEN book_id % 41 = 0 THEN concat(observed_title, '!') WHEN book_id % 43 = 0 THEN 'zzz'
+    WHEN book_id % 47 = 0 THEN concat(observed_title, ' and more tales of the old northern road') ELSE title END AS d_title,
+  CASE WHEN book_id % 53 = 0 THEN CAST(NULL AS STRING) WHEN book_id % 59 = 0 THEN '' WHEN book_id % 61 = 0 THEN concat(observed_title, 's') ELSE observed_title END AS o_title,
+  CASE WHEN book_id % 15 = 2 THEN 'Mikhail Bulgakov' WHEN book_id % 15 = 3 THEN 'Jane Austen & Plato' WHEN book_id % 15 = 4 THEN CAST(NULL AS STRING) ELSE author END AS d_authors,
+  CASE book_id % 14 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Tolkien' WHEN 2 THEN 'Михаил Булгаков' WHEN 3 THEN 'Jane Austen' WHEN 4 THEN 'Plato & Mary Shelley' WHEN 5 THEN upper(author) WHEN 6 THEN 'J.R.R. Tolkien' ELSE author END AS o_authors,
+  CASE WHEN book_id % 16 = 0 THEN ten ELSE isbn END AS d_isbn,
+  CASE WHEN book_id % 4 = 1 THEN concat(isbn_body, '0') WHEN book_id % 18 = 0 THEN ten WHEN book_id % 23 = 0 THEN CAST(NULL AS STRING) ELSE isbn END AS o_isbn,
+  CASE WHEN book_id % 6 = 0 THEN CAST(NULL AS STRING) ELSE publisher END AS d_publisher,
+  CASE WHEN book_id % 7 = 0 THEN CAST(NULL AS STRING) WHEN book_id % 5 = 0 THEN concat(publisher, ' Books') WHEN book_id % 11 = 0 THEN 'QQ' ELSE upper(publisher) END AS o_publisher,
+  CASE WHEN book_id % 9 = 0 THEN CAST(NULL AS STRING) WHEN book_id % 10 = 0 THEN 'undated' ELSE '2019-05-01' END AS d_date,
+  CASE book_id % 8 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN '2019' WHEN 2 THEN '2020-01-01' WHEN 3 THEN '1990' ELSE '2019-05' END AS o_date,
+  language AS d_language, CASE WHEN book_id % 6 = 0 THEN 'it' WHEN book_id % 7 = 0 THEN CAST(NULL AS STRING) ELSE upper(language) END AS o_language,
+  CASE WHEN book_id % 13 = 0 THEN CAST(NULL AS STRING) ELSE series END AS d_series, CASE WHEN book_id % 10 = 0 THEN CAST(NULL AS STRING) WHEN book_id % 21 = 0 THEN 'Other series' ELSE lower(series) END AS o_series,
+  series_index AS d_series_index, CASE WHEN book_id % 12 = 0 THEN CAST(NULL AS DOUBLE) ELSE floor(series_index) END AS o_series_index,
+  CASE WHEN book_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(book_id % 4 AS DOUBLE) END AS d_volume, CASE WHEN book_id % 7 = 0 THEN CAST(NULL AS DOUBLE) ELSE (book_id % 8) / 2.0E0 END AS o_volume,
+  CASE WHEN book_id % 5 < 2 THEN CAST(NULL AS DOUBLE) ELSE 12.5E0 END AS d_chapter, CASE WHEN book_id % 7 < 2 THEN CAST(NULL AS DOUBLE) ELSE 12.5E0 + (book_id % 3) END AS o_chapter,
+  CASE WHEN book_id % 11 < 6 THEN CAST(NULL AS DOUBLE) ELSE 1.0E0 END AS d_series_position, CASE WHEN book_id % 6 < 3 THEN CAST(NULL AS DOUBLE) ELSE 1.0E0 + (book_id % 2) END AS o_series_position,
+  book_id % 3 = 0 AS sampled, book_id % 29 = 0 AS low
+FROM (SELECT *, concat(substr(isbn_body, 4, 9), CASE WHEN rest = 0 THEN '0' WHEN rest = 1 THEN 'X' ELSE CAST(11 - rest AS STRING) END) AS ten FROM (SELECT *, (
+    10*CAST(substr(isbn_body,4,1) AS INT) + 9*CAST(substr(isbn_body,5,1) AS INT) + 8*CAST(substr(isbn_body,6,1) AS INT) + 7*CAST(substr(isbn_body,7,1) AS INT) + 6*CAST(substr(isbn_body,8,1) AS INT)
+  + 5*CAST(substr(isbn_body,9,1) AS INT) + 4*CAST(substr(isbn_body,10,1) AS INT) + 3*CAST(substr(isbn_body,11,1) AS INT) + 2*CAST(substr(isbn_body,12,1) AS INT)) % 11 AS rest FROM books_isbn) x) y"""),
     "runs": (("orders",), """SELECT o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'pending' ELSE 'running' END AS status, o_orderdate AS started_at,
   CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL '90' SECOND END AS heartbeat_at, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL '600' SECOND END AS finished_at,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('w-', CAST(o_custkey % 4 AS STRING)) END AS lease_owner, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL '120' SECOND END AS lease_expires_at FROM orders"""),
@@ -73,6 +101,8 @@ def _needs(names: tuple[str, ...], seen: list[str]) -> list[str]:
 def sql(body: str, *names: str, tables: str = "") -> str:
     """`body` with the named views in front of it."""
     parts = ([tables] if tables else []) + [f"{n} AS ({VIEWS[n][1]})" for n in _needs(names, [])]
+    if body.startswith("WITH "):
+        parts, body = [*parts, body[len("WITH ") :]], ""
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
