@@ -47,24 +47,74 @@ def isbn_clusters(books: DataFrame, formats: DataFrame) -> DataFrame:
     )
 
 
-def work_clusters(books: DataFrame) -> DataFrame:
-    """Components over equal canonical ISBNs and equal author and title; one row for each book of a cluster.
+def work_components(books: DataFrame) -> DataFrame:
+    """Components over equal canonical ISBNs and equal author and title; one row for each book of a cluster of several.
 
     A block is a star around its smallest id, so a block of n books gives n - 1 edges.
     """
-    keyed = books.select("book_id", isbn.canonical13(F.col("isbn")).alias("isbn"), F.lower(F.trim("author")).alias("author"), F.lower(F.trim("title")).alias("title"))
+    keyed = books.select("book_id", isbn.canonical13(F.col("isbn")).alias("isbn"), F.coalesce(text.clean_author(F.col("author")), F.lit("")).alias("author"), F.lower(F.trim("title")).alias("title"))
     blocks = keyed.where("isbn is not null").select("book_id", F.concat(F.lit("i:"), "isbn").alias("block")).unionByName(
-        keyed.where("title is not null and title <> ''").select("book_id", F.concat(F.lit("t:"), "author", F.lit("\n"), "title").alias("block"))
+        keyed.where("title is not null and title <> ''").select("book_id", F.concat(F.lit("t:"), F.lower("author"), F.lit("\n"), "title").alias("block"))
     )
     centre = blocks.groupBy("block").agg(F.min("book_id").alias("centre"))
     edges = blocks.join(centre, "block").where("book_id <> centre").select(F.col("book_id").alias("x"), F.col("centre").alias("y")).distinct()
-    return components(edges).select(F.col("id").alias("book_id"), F.col("component").alias("cluster_id"))
+    others = components(edges).select(F.col("id").alias("book_id"), F.col("component").alias("cluster_id"))
+    return others.unionByName(others.select(F.col("cluster_id").alias("book_id"), "cluster_id").distinct()).distinct()
 
 
-def pair_duplicates(books: DataFrame) -> DataFrame:
-    """Each later book with the first holder of its ISBN."""
-    w = Window.partitionBy("isbn").orderBy("book_id")
-    return books.where("isbn is not null").select("book_id", "isbn", F.first("book_id").over(w).alias("first_id")).where("book_id <> first_id")
+def work_clusters(books: DataFrame, formats: DataFrame) -> DataFrame:
+    """Class, confidence and canonical book of each cluster; members are in `work_components`.
+
+    CLONE where every member has the same complete map of formats to 64-digit hashes, MULTIFORMAT where two members share
+    no format and have EPUB and PDF, else EDITION. Canonical: the first member with EPUB, else the first.
+    """
+    members = work_components(books)
+    hashed = F.lower(F.trim("digest")).rlike("^[0-9a-f]{64}$")
+    maps = formats.groupBy("book_id").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", F.upper(F.trim("format")), F.lower(F.trim("digest"))))), ";"), 256).alias("map"),
+        (F.coalesce(F.min(hashed), F.lit(False)) & (F.count("*") == F.countDistinct(F.upper(F.trim("format"))))).alias("whole"), F.max(F.col("format") == "EPUB").alias("epub"), F.max(F.col("format") == "PDF").alias("pdf"),
+    )
+    formats_of = members.join(formats.select("book_id", "format"), "book_id").groupBy("cluster_id").agg(F.count("*").alias("n_formats"), F.countDistinct("format").alias("n_distinct"))
+    by = members.join(maps, "book_id", "left").groupBy("cluster_id").agg(
+        F.count("*").alias("n_books"), F.min(F.coalesce("whole", F.lit(False))).alias("whole"), F.countDistinct("map").alias("n_maps"), F.coalesce(F.max("epub"), F.lit(False)).alias("epub"), F.coalesce(F.max("pdf"), F.lit(False)).alias("pdf"),
+        F.min("book_id").alias("least"), F.min(F.when(F.col("epub"), F.col("book_id"))).alias("first_epub"),
+    )
+    both = by.join(formats_of, "cluster_id", "left")
+    clone = F.col("whole") & (F.col("n_maps") == 1)
+    apart = (F.coalesce("n_formats", F.lit(0)) == F.coalesce("n_distinct", F.lit(0))) & (F.col("n_books") == 2) & F.col("epub") & F.col("pdf")
+    kind = F.when(clone, "CLONE").when(apart, "MULTIFORMAT").otherwise("EDITION")
+    return both.select("cluster_id", "n_books", kind.alias("kind"), F.when(clone, 1.0).otherwise(0.75).alias("confidence"), F.coalesce("first_epub", "least").alias("canonical_id"))
+
+
+def file_hashes(files: DataFrame, edge: int = 65536) -> DataFrame:
+    """Ids of files that share their size and sparse hash (size, first and last bytes), with the full hash taken for those alone. `files`: file_id, content."""
+    size = F.octet_length("content")
+    sparse = F.sha2(F.concat(size.cast("string").cast("binary"), F.substring("content", 1, edge), F.when(size > edge, F.substring("content", F.greatest(size - edge + 1, F.lit(1)), F.lit(edge))).otherwise(F.lit(b""))), 256)
+    keyed = files.select("file_id", sparse.alias("sparse"))
+    several = keyed.groupBy("sparse").agg(F.count("*").alias("n"), F.min("file_id").alias("first_id")).where("n > 1")
+    asked = files.select("file_id", "content", sparse.alias("sparse")).join(several.select("sparse"), "sparse", "left_semi")
+    return asked.select("file_id", "sparse", F.sha2("content", 256).alias("full"))
+
+
+def semantic_pairs(near: DataFrame, least: float = 0.85) -> DataFrame:
+    """Unordered pairs of neighbours above a score."""
+    return near.where(F.col("score") > least).groupBy(F.least("query_id", "neighbour_id").alias("left_id"), F.greatest("query_id", "neighbour_id").alias("right_id")).agg(F.max("score").alias("score"))
+
+
+def reused_answers(asked: DataFrame, cache: DataFrame, most: int = 4, newest: int = 150) -> DataFrame:
+    """An answer of the cache by digest, else by equal perceptual hash, else by the nearest hash of the `newest` entries within `most` bits.
+
+    `cache`: digest, phash, answer, seq. The newest entries are few by definition and reach every task.
+    """
+    exact = cache.groupBy("digest").agg(F.max_by("answer", "seq").alias("by_digest"))
+    same = cache.groupBy("phash").agg(F.max_by("answer", "seq").alias("by_hash"))
+    told = asked.join(exact, "digest", "left").join(same, "phash", "left")
+    few = cache.orderBy(F.desc("seq")).limit(newest).agg(F.collect_list(F.struct("phash", "answer", "seq")).alias("few"))
+    d = lambda x: F.bit_count(x["phash"].bitwiseXOR(F.col("phash"))).cast("int")
+    close = F.transform(F.filter("few", lambda x: d(x) <= most), lambda x: F.struct(d(x).alias("d"), (-x["seq"]).alias("s"), x["answer"].alias("answer")))
+    told = told.crossJoin(F.broadcast(few)).withColumn("near", F.array_min(close))  # one row of at most `newest`
+    how = F.when(F.col("by_digest").isNotNull(), "digest").when(F.col("by_hash").isNotNull(), "hash").when(F.col("near").isNotNull(), "near")
+    return told.select("cover_id", how.alias("how"), F.coalesce("by_digest", "by_hash", F.col("near")["answer"]).alias("answer")).where("how is not null")
 
 
 def all_pair_duplicates(books: DataFrame) -> DataFrame:
@@ -85,6 +135,11 @@ def duplicate_titles(books: DataFrame) -> DataFrame:
     )
 
 
+def pair_duplicates(books: DataFrame) -> DataFrame:
+    """D5 by ISBN alone."""
+    return all_pair_duplicates(books).where("type = 'isbn_match'").select("book_id", F.col("value").alias("isbn"), "first_id")
+
+
 def near_hashes(covers: DataFrame, most: int = 4) -> DataFrame:
     """Distinct 64-bit hashes at a distance of at most `most`, with how many covers hold each.
 

@@ -20,9 +20,12 @@ def inventory(books: DataFrame, formats: DataFrame) -> DataFrame:
     per = formats.groupBy("book_id").agg(F.count("*").alias("n"))
     state = isbn.state(F.col("isbn"))
     blank = lambda c: F.count_if(F.coalesce(F.trim(c), F.lit("")) == "")
+    at = F.col("last_modified").try_cast("timestamp_ntz")
     return books.join(per, "book_id", "left").agg(
         F.count("*").alias("books"), F.sum(F.coalesce("n", F.lit(0))).alias("formats"), F.count_if(F.col("n") > 1).alias("multi_format"), F.count_if(F.col("n").isNull()).alias("no_format"),
         *[F.count_if(state == s).alias(f"isbn_{s}") for s in ("missing", "valid", "invalid")], blank("title").alias("blank_title"), blank("author").alias("blank_author"), blank("language").alias("blank_language"),
+        blank("publisher").alias("blank_publisher"), blank("pubdate").alias("blank_pubdate"), F.min(at).cast("string").alias("modified_min"), F.max(at).cast("string").alias("modified_max"),
+        blank("last_modified").alias("modified_missing"), F.count_if((F.coalesce(F.trim("last_modified"), F.lit("")) != "") & at.isNull()).alias("modified_invalid"),
     )
 
 
@@ -72,6 +75,25 @@ def repeated_ids(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def sealed_report(report: DataFrame) -> DataFrame:
+    """K4: the report with `seal`, SHA-256 over its columns in order."""
+    return report.withColumn("seal", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in report.columns]), 256))
+
+
+def full_gate(report: DataFrame, now: str, evaluated: str, expires: str, policy: str = "manifestation-v2", enabled: bool = True, days: int = 30) -> DataFrame:
+    """K3 in whole: switch and seal decide alone; then version, thresholds, and the report's age. `report` has seal and policy."""
+    body = [c for c in report.columns if c not in ("seal", "policy")]
+    again = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in body]), 256)
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("policy") != policy, F.lit("policy_version")), F.when(F.col("sample_size") < 100, F.lit("sample_too_small")), F.when(F.col("tier_a") < 50, F.lit("tier_a_too_small")),
+        F.when(F.col("false_auto_applies") != 0, F.lit("false_auto_applies")), F.when(F.col("false_positives") / F.greatest("tier_a", F.lit(1)) > 0, F.lit("false_positive_rate")),
+        F.when(t(evaluated) > t(now), F.lit("in_the_future")), F.when(t(expires) <= t(now), F.lit("expired")), F.when(t(now) - t(evaluated) > F.make_dt_interval(days=F.lit(days)), F.lit("too_old")),
+    ))
+    first = F.when(~F.lit(enabled), F.array(F.lit("disabled"))).when(~F.col("seal").eqNullSafe(again), F.array(F.lit("seal_invalid"))).otherwise(reasons)
+    return report.select(F.array_join(first, ",").alias("reasons"), (F.size(first) == 0).alias("open"))
+
+
 def gate(report: DataFrame) -> DataFrame:
     """K3: the reasons that fail the gate."""
     reasons = F.array_compact(F.array(

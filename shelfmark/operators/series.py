@@ -29,6 +29,13 @@ def inner_gaps(books: DataFrame, most: int = MOST_INNER) -> DataFrame:
     return sound.select("series", F.array_except(F.sequence(start, F.array_max("owned")), "owned").alias("missing"), "fractional").where(F.size("missing") > 0)
 
 
+def topology(books: DataFrame, most: int = MOST_INNER) -> DataFrame:
+    """G2 in whole: the gaps, the volumes between whole numbers, and a sentence on both."""
+    gaps = inner_gaps(books, most)
+    text = F.concat(F.size("missing").cast("string"), F.lit(" missing, "), F.size("fractional").cast("string"), F.lit(" between"))
+    return gaps.withColumn("summary", text)
+
+
 def wishlist(books: DataFrame) -> DataFrame:
     """A row for each missing volume."""
     return full_gaps(books).select("series", F.explode("missing").alias("volume")).select("series", "volume", F.concat("series", F.lit(" #"), F.col("volume").cast("string")).alias("query"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +26,54 @@ def snippet_text(books: DataFrame, snippets: DataFrame, most: int = 500) -> Data
     return books.join(first, "book_id", "left").select("book_id", F.concat(F.coalesce("title", F.lit("")), by, more).alias("embedding_text"), point.alias("point_id")).where(F.trim("embedding_text") != "")
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """The k nearest by cosine for the vectors whose id is divisible by `every`.
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 16384) -> DataFrame:
+    """The k nearest by cosine for the vectors whose id is divisible by `every`, exactly.
 
-    Every task keeps k rows for each query before anything is shuffled (the
-    window's group limit), so what moves is bounded by queries, k and tasks.
+    The query set goes in blocks of at most `block` vectors (a few MB, whatever the table's size), each to every task once;
+    a task scores its batches as matrix products and keeps k rows for each query, so what is shuffled is bounded by
+    queries, k and tasks. Vectors that are null, of length 0 or of another width than most stay out.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = vectors.where(F.size("embedding") > 0).select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).where("norm > 0")
-    asked = unit.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qnorm"))
-    scored = unit.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("neighbour_id"), F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    rows = vectors.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select("vec_id", "embedding")
+    width = rows.agg(F.mode(F.size("embedding"), deterministic=True)).first()[0]
+    rows = rows.where(F.size("embedding") == width) if width else rows
+    asked = rows.where(F.col("vec_id") % every == 0)
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+        ids, unit = part.column("vec_id").to_numpy(), _unit(part.column("embedding").combine_chunks(), width or 1)
+        found = rows.mapInArrow(_scorer(ids, unit, k), "query_id long, neighbour_id long, score double")
+        out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "neighbour_id", "score", "rank")
+
+
+def _unit(column: pa.Array, width: int) -> np.ndarray:
+    v = np.asarray(column.flatten(), np.float64).reshape(-1, width)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return v / np.where(norm > 0, norm, np.nan)
+
+
+def _scorer(asked: np.ndarray, unit: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                part = whole.slice(at, 2048)
+                ids = part.column("vec_id").to_numpy()
+                score = np.round(unit @ _unit(part.column("embedding"), unit.shape[1]).T, 6) if len(asked) else np.zeros((0, len(ids)))
+                score[asked[:, None] == ids] = np.nan
+                score = np.where(np.isnan(score), -np.inf, score)
+                order = np.argsort(ids, kind="stable")  # ties go to the smaller id
+                top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+                q = np.repeat(np.arange(len(asked)), top.shape[1])
+                best = score[q, top.ravel()]
+                keep = np.isfinite(best)
+                yield pa.record_batch([pa.array(asked[q[keep]]), pa.array(ids[top.ravel()[keep]]), pa.array(best[keep])], ["query_id", "neighbour_id", "score"])
+
+    return run
+
+
+def open_embeddings(texts: DataFrame, cache: DataFrame, provider: str, model: str) -> DataFrame:
+    """The distinct requests that the cache doesn't hold. `texts`: text; `cache`: request_hash."""
+    made = texts.select(F.sha2(F.concat_ws("|", F.lit(provider), F.lit(model), "text"), 256).alias("request_hash")).groupBy("request_hash").agg(F.count("*").alias("n_requests"))
+    return made.join(cache, "request_hash", "left_anti")

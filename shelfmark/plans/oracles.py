@@ -130,7 +130,7 @@ _CQS = f"""(SELECT cover_id, micro, CAST(CASE WHEN micro THEN least(t, 35) ELSE
   CASE WHEN micro THEN 2.0E0 ELSE least(25.0E0, CASE WHEN r < 1.1 THEN greatest(5.0E0, p - 8) WHEN r > 2.0 THEN greatest(5.0E0, p - 5) ELSE p END) END
   + CASE WHEN avg_grad < 4 THEN 5.0E0 WHEN avg_grad < 8 THEN 14.0E0 ELSE least(25.0E0, 15.0E0 + avg_grad - 8) END + CASE WHEN std_dev < 20 THEN 6.0E0 ELSE least(25.0E0, std_dev / 75 * 25) END + greatest(0.0E0, 25.0E0 - 8.0E0 * bad)
   - 5.0E0 * (CAST(NOT micro AND low AS INT) + CAST(NOT micro AND (r < 1.1 OR r > 2.0) AS INT) + CAST(avg_grad < 8 AS INT) + CAST(std_dev < 20 AS INT) + CAST(entropy < 1.5 AS INT) + bad)))) AS t
-FROM (SELECT *, width < 100 OR height < 150 AS micro, width < 400 OR height < 600 AS low, CAST(height AS DOUBLE) / width AS r,
+FROM (SELECT *, CAST(width AS BIGINT) * height > 25000000 OR size_bytes > 25000000 AS bomb, width < 100 OR height < 150 AS micro, width < 400 OR height < 600 AS low, CAST(height AS DOUBLE) / width AS r,
   CASE WHEN width < 400 OR height < 600 THEN 10.0E0 * least(width / 400.0E0, height / 600.0E0) ELSE 15.0E0 + 10.0E0 * least(1.0E0, width * height / 2160000.0E0) END AS p,
   {' + '.join(f"CAST(contains(lower(ocr_text), {_q(w)}) AS INT)" for w in WORDS)} AS bad FROM cover_stats)))"""
 
@@ -350,3 +350,108 @@ FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round(list_cosine_s
     "T2_error_windows": (("requests",), """SELECT start_s, count(*) AS n, count(*) FILTER (status >= 500) AS errors FROM (SELECT status, unnest(range(CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 - 240, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 + 1, 60)) AS start_s FROM requests) GROUP BY start_s HAVING count(*) FILTER (status >= 500) / count(*) > 0.05"""),
 }
 ORACLES |= _MORE
+
+_ROLLED = ORACLES["V12_V13_roll_up"][1]
+_GATE = "(SELECT count(*) AS sample_size, count(*) FILTER (tier = 'A') AS tier_a, count(*) FILTER (tier = 'A' AND NOT identity_correct) AS false_positives, count(*) FILTER (would_auto_apply AND (NOT identity_correct OR NOT patch_correct)) AS false_auto_applies, count(review_seconds) AS timed, CAST(sum(egress_bytes) AS BIGINT) AS egress_bytes FROM calibration)"
+_SEAL = "sha256(concat_ws('|', sample_size, tier_a, false_positives, false_auto_applies, timed, coalesce(CAST(egress_bytes AS VARCHAR), '~')))"
+_FAILS = "concat_ws(',', CASE WHEN sample_size < 100 THEN 'sample_too_small' END, CASE WHEN tier_a < 50 THEN 'tier_a_too_small' END, CASE WHEN false_auto_applies <> 0 THEN 'false_auto_applies' END, CASE WHEN false_positives > 0 THEN 'false_positive_rate' END{})"
+_case = lambda n, reasons: f"SELECT {n} AS case_no, {reasons} AS reasons, {reasons} = '' AS open FROM {_GATE}"
+_LEVEL = lambda source: f"(SELECT CAST(floor(k / 4096.0) AS BIGINT) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM {source} GROUP BY 1)"
+_MANIFEST = "(SELECT b.book_id AS k, sha256(CAST(b.book_id AS VARCHAR) || '|' || coalesce(f.formats, '') || '|' || coalesce(b.last_modified, '')) AS h FROM books b LEFT JOIN (SELECT book_id, string_agg(DISTINCT format, ',' ORDER BY format) AS formats FROM formats GROUP BY book_id) f ON f.book_id = b.book_id)"
+_BAD = r"CASE WHEN title ILIKE '%[welib.org]%' THEN '\[welib\.org\]' WHEN title ILIKE '%(z-library)%' THEN '\(z-library\)' WHEN contains(lower(title), '_print') THEN '_print' WHEN contains(lower(title), 'untitled') THEN 'untitled' WHEN contains(lower(title), 'microsoft word') THEN 'microsoft word' WHEN regexp_matches(lower(title), 'v[0-9]+\.[0-9]+') THEN 'v\d+\.\d+' WHEN regexp_matches(lower(title), '\.(pdf|epub|mobi|azw3)$') THEN 'ends_with_extension' END"
+_first = lambda name, source: f"SELECT '{name}' AS finding, (SELECT count(*) FROM {source}) AS n, coalesce((SELECT string_agg(CAST(book_id AS VARCHAR), ',' ORDER BY book_id) FROM (SELECT book_id FROM {source} ORDER BY book_id LIMIT 10)), '') AS first_ids"
+_HASH_CACHE = "(SELECT md5(CAST(size_bytes AS VARCHAR)) AS digest, phash, 'a' || CAST(cover_id AS VARCHAR) AS answer, cover_id AS seq FROM cover_stats WHERE cover_id % 9 = 0)"
+_D4 = f"""WITH RECURSIVE keyed AS (SELECT book_id, {canonical("coalesce(isbn, '')")} AS i, lower(coalesce({clean_author('author')}, '')) AS a, lower(trim(title)) AS t FROM books_isbn),
+blocks AS (SELECT book_id, 'i:' || i AS block FROM keyed WHERE i IS NOT NULL UNION ALL SELECT book_id, 't:' || a || chr(10) || t FROM keyed WHERE t <> ''),
+stars AS (SELECT book_id AS x, min(book_id) OVER (PARTITION BY block) AS y FROM blocks), edges AS (SELECT x, y FROM stars WHERE x <> y UNION SELECT y, x FROM stars WHERE x <> y),
+reach(id, other) AS (SELECT x, x FROM edges UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.other = e.x), member AS (SELECT id AS book_id, min(other) AS cluster_id FROM reach GROUP BY id),
+maps AS (SELECT book_id, string_agg(DISTINCT upper(format) || '=' || digest, ';' ORDER BY upper(format) || '=' || digest) AS m, count(*) = count(DISTINCT format) AS whole, bool_or(format = 'EPUB') AS epub, bool_or(format = 'PDF') AS pdf FROM formats GROUP BY book_id),
+told AS (SELECT m.cluster_id, count(*) AS n_books, bool_and(coalesce(whole, FALSE)) AS whole, count(DISTINCT maps.m) AS n_maps, coalesce(bool_or(epub), FALSE) AS epub, coalesce(bool_or(pdf), FALSE) AS pdf, min(m.book_id) AS least, min(m.book_id) FILTER (epub) AS first_epub FROM member m LEFT JOIN maps ON maps.book_id = m.book_id GROUP BY m.cluster_id),
+held AS (SELECT m.cluster_id, count(*) AS n, count(DISTINCT f.format) AS d FROM member m JOIN formats f ON f.book_id = m.book_id GROUP BY m.cluster_id)
+SELECT told.cluster_id, n_books, kind, CASE kind WHEN 'CLONE' THEN 1.0E0 ELSE 0.75E0 END AS confidence, coalesce(first_epub, least) AS canonical_id FROM (SELECT told.*, CASE WHEN whole AND n_maps = 1 THEN 'CLONE' WHEN coalesce(n, 0) = coalesce(d, 0) AND n_books = 2 AND epub AND pdf THEN 'MULTIFORMAT' ELSE 'EDITION' END AS kind FROM told LEFT JOIN held ON held.cluster_id = told.cluster_id) told"""
+_SPURIOUS = "(SELECT *, lower(ocr_text) AS o, white_ratio > 0.8 AND dark_ratio > 0.015 AND dark_ratio < 0.22 AS inside FROM cover_stats)"
+_P8 = "CASE WHEN her >= 6.5 AND acf >= 0.28 THEN {0} WHEN her >= 6.5 AND folio THEN {1} WHEN acf >= 0.28 * 1.3 AND her >= 3.0 AND entropy < 4.0 THEN {2} WHEN mono THEN {3} WHEN CAST(height AS DOUBLE) / width < 1.0 OR CAST(height AS DOUBLE) / width > 2.2 THEN {4} WHEN width < 300 OR height < 400 THEN {5} END"
+ORACLES |= {
+    "D1_file_hashes": ((), "SELECT doc_id AS file_id, sha256(text) AS full FROM (SELECT *, count(*) OVER (PARTITION BY strlen(text), CASE WHEN strlen(text) <= 65536 THEN text ELSE md5(left(text, 20000)) END) AS n FROM documents) WHERE n > 1"),
+    "D4_work_clusters": (("books_isbn", "formats"), _D4),
+    "D6_semantic_pairs": ((), f"SELECT least(query_id, neighbour_id) AS left_id, greatest(query_id, neighbour_id) AS right_id, max(score) AS score FROM ({ORACLES['E2_nearest'][1]}) WHERE score > 0.3 GROUP BY 1, 2"),
+    "D9_reused_answers": (("cover_stats",), f"""SELECT cover_id, CASE WHEN d IS NOT NULL THEN 'digest' WHEN h IS NOT NULL THEN 'hash' ELSE 'near' END AS how, coalesce(d, h, n) AS answer FROM (SELECT c.cover_id, (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.digest = md5(CAST(c.size_bytes AS VARCHAR))) AS d,
+  (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.phash = c.phash) AS h, (SELECT arg_min(answer, CAST(bit_count(xor(x.phash, c.phash)) AS BIGINT) * 1000000000 - seq) FROM (SELECT * FROM {_HASH_CACHE} ORDER BY seq DESC LIMIT 150) x WHERE bit_count(xor(x.phash, c.phash)) <= 4) AS n FROM cover_stats c) WHERE coalesce(d, h, n) IS NOT NULL"""),
+    "G2_topology": (("books",), f"SELECT series, missing, f AS fractional, CAST(len(string_split(missing, ',')) AS VARCHAR) || ' missing, ' || CAST(n AS VARCHAR) || ' between' AS summary FROM ({ORACLES['G2_inner_gaps'][1]}) g JOIN (SELECT series AS s, coalesce(string_agg(DISTINCT CAST(series_index AS VARCHAR), ',' ORDER BY CAST(series_index AS VARCHAR)) FILTER (series_index <> floor(series_index)), '') AS f, count(DISTINCT series_index) FILTER (series_index <> floor(series_index)) AS n FROM books GROUP BY series) ON s = series"),
+    "Q1_inventory": (("books_isbn", "formats"), ORACLES["Q1_inventory"][1].replace("AS blank_language", "AS blank_language, count(*) FILTER (coalesce(trim(publisher), '') = '') AS blank_publisher, count(*) FILTER (coalesce(trim(pubdate), '') = '') AS blank_pubdate, strftime(min(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_min, strftime(max(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_max, count(*) FILTER (coalesce(trim(last_modified), '') = '') AS modified_missing, count(*) FILTER (trim(last_modified) <> '' AND TRY_CAST(last_modified AS TIMESTAMP) IS NULL) AS modified_invalid")),
+    "Q1_formats": (("formats",), "SELECT format AS value, count(*) AS n FROM formats GROUP BY format"),
+    "Q2_manifest": (("books", "formats"), f"SELECT k AS part, h AS manifest FROM {_LEVEL(_LEVEL(_LEVEL(_MANIFEST)))}"),
+    "Q3_orphans": (("formats", "candidates", "author_links"), "SELECT link, count(*) AS n_orphans FROM (SELECT 'data' AS link, book_id FROM formats UNION ALL SELECT 'candidates', book_id FROM candidates UNION ALL SELECT 'authors', book_id FROM author_links) WHERE book_id % 50 = 0 GROUP BY link"),
+    "Q4_ratings": (("books", "rated"), "SELECT coalesce(printf('%.1f', rating / 2.0), 'unrated') AS stars, count(*) AS n FROM books b LEFT JOIN rated r ON r.book_id = b.book_id GROUP BY 1"),
+    "Q5_sort_desyncs": (("books", "author_links"), "SELECT b.book_id, author_sort, canonical FROM books b LEFT JOIN (SELECT book_id, string_agg(sort, ' & ' ORDER BY link_id) AS canonical FROM author_links GROUP BY book_id) l ON l.book_id = b.book_id WHERE author_sort IS NULL OR author_sort <> canonical"),
+    "Q6_missing_files": (("formats",), "SELECT book_id, format FROM formats WHERE book_id % 19 = 0"),
+    "Q7_bad_titles": (("books",), f"SELECT * FROM (SELECT book_id, title, {_BAD} AS pattern FROM (SELECT book_id, CASE WHEN book_id % 27 = 0 THEN title || ' v1.2' WHEN book_id % 33 = 0 THEN 'Microsoft Word - ' || title ELSE title END AS title FROM books)) WHERE pattern IS NOT NULL"),
+    "Q9_summary": (("books", "formats", "rated"), " UNION ALL ".join((_first("bad_titles", f"(SELECT book_id FROM (SELECT book_id, {_BAD} AS p FROM books) WHERE p IS NOT NULL)"), _first("without_formats", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM formats))"), _first("unrated", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM rated))")))),
+    "Q10_page": (("books",), "SELECT book_id, title, author FROM books ORDER BY book_id DESC LIMIT 40 OFFSET 25"),
+    "Q11_latest": (("operations",), "SELECT book_key, operation_id, state FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY created_at DESC, operation_id DESC) AS n FROM operations) WHERE n = 1"),
+    "Q12_problematic": (("operations", "evidence"), "SELECT book_key, state, coalesce((SELECT count(*) FROM evidence WHERE book_id = book_key), 0) AS n_evidence FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY created_at DESC, operation_id DESC) AS n FROM operations) WHERE n = 1 AND state = 'failed' ORDER BY book_key LIMIT 50"),
+    "Q13_review_listing": (("evidence", "format_evidence"), f"{_WITH_ROOTS} SELECT book_id, reason FROM {_LADDER} WHERE tier = 'C'"),
+    "Q14_run_states": (("runs",), "SELECT status, count(*) AS n, array_to_string(list_sort(list(run_id))[1:5], ',') AS sample_keys FROM runs GROUP BY status"),
+    "Q15_action_shares": (("books_isbn",), f"SELECT what, count(*) AS n, round(avg(CAST(eligible AS INT)), 6) AS eligible_share FROM (SELECT 'action:' || action AS what, eligible FROM ({_ROLLED}) UNION ALL SELECT 'flag:' || unnest(string_split(flags, ',')), eligible FROM ({_ROLLED}) WHERE flags <> '') GROUP BY what"),
+    "Q16_metrics": (("requests",), "SELECT 'http_seconds' AS name, 'route=' || route || ',status=' || CAST(status AS VARCHAR) AS labels, round(sum(duration_s), 4) AS total, count(*) AS n, arg_max(duration_s, {'t': ts, 'e': event_id}) AS last FROM requests GROUP BY route, status"),
+    "Q18_review_deck": (("cover_stats",), f"SELECT * FROM ({ORACLES['P3_P6_cover_quality'][1]}) WHERE cover_id > 30 AND (actionable OR cqs < 60) ORDER BY cover_id LIMIT 60"),
+    "K3_full_gate": (("calibration",), " UNION ALL ".join((_case(0, _FAILS.format("")), _case(1, _FAILS.format(", 'expired', 'too_old'")), _case(2, _FAILS.format(", 'in_the_future'")), _case(3, "'disabled'"), _case(9, "'seal_invalid'")))),
+    "K4_sealed_report": (("calibration",), f"SELECT *, {_SEAL} AS seal FROM {_GATE}"),
+    "L2_resumable": (("books", "operations"), "SELECT book_id AS book_key FROM books WHERE book_id NOT IN (SELECT book_key FROM operations WHERE state = 'succeeded' AND operation_id % 5 <> 0)"),
+    "L3_membership": (("operations",), "SELECT * FROM (SELECT book_key, count(*) FILTER (operation_id % 3 <> 0) AS stored, count(*) FILTER (operation_id % 4 <> 0) AS frozen FROM operations GROUP BY book_key) WHERE stored <> frozen"),
+    "L5_reset_stale": (("operations",), "SELECT operation_id, CASE WHEN state IN ('failed', 'succeeded') THEN state ELSE 'pending' END AS state FROM operations"),
+    "L7_open_depth": (("operations",), "SELECT state, count(*) AS n FROM operations WHERE policy_version = 'manifestation-v2' AND NOT (state = 'failed' AND pilot_id <> 'pilot-1' AND operation_id % 2 = 0 AND book_key % 7 <> 0) GROUP BY state"),
+    "L11_L12_approvals": (("books_isbn",), f"""SELECT book_id, p AS patch, CASE WHEN book_id % 3 = 0 AND p = patch THEN 'auth-' || CAST(book_id AS VARCHAR) || 'b' END AS authorization_id, CASE WHEN p <> '' AND (ok OR (book_id % 3 = 0 AND p = patch)) THEN 'queued' ELSE 'skipped' END AS outcome
+FROM (SELECT *, eligible AND confidence >= 80 AS ok, array_to_string(list_sort(list_filter(string_split(patch, ','), lambda z: z <> '' AND NOT (z = 'language' AND book_id % 4 = 0))), ',') AS p FROM ({_ROLLED})) WHERE action = 'suggest_fix'"""),
+    "L13_expired": (("operations",), "SELECT operation_id, created_at FROM operations WHERE created_at < TIMESTAMP '1995-05-02 00:00:00'"),
+    "L14_heartbeats": (("runs",), "SELECT run_id AS owner, coalesce(status = 'completed' AND heartbeat_at <= TIMESTAMP '1995-01-01 00:00:00' AND heartbeat_at >= TIMESTAMP '1995-01-01 00:00:00' - INTERVAL 300 DAY, FALSE) AS fresh FROM runs"),
+    "L15_retained": (("runs",), "SELECT run_id AS job_id, status FROM runs WHERE status <> 'completed' UNION ALL SELECT * FROM (SELECT run_id, status FROM runs WHERE status = 'completed' AND finished_at >= TIMESTAMP '1998-07-01 00:00:00' - INTERVAL 60 DAY ORDER BY finished_at DESC, run_id LIMIT 100)"),
+    "L16_read_back": (("current_fields",), "SELECT book_id, bool_and(same) AS matches, count(*) FILTER (NOT same) AS n_differ FROM (SELECT book_id, value IS NOT DISTINCT FROM CASE WHEN book_id % 6 = 0 AND field = 'title' THEN upper(value) ELSE value END AS same FROM current_fields) GROUP BY book_id"),
+    "P1_P2_histograms": (("histograms",), "SELECT cover_id, round(e, 6) AS entropy, round(CASE WHEN s < 20 THEN 6.0E0 ELSE least(25.0E0, s / 75 * 25) END, 6) AS contrast FROM (SELECT cover_id, -sum(n / t * log2(n / t)) AS e, sqrt(greatest(0.0E0, sum(n / t * bin * bin) - pow(sum(n / t * bin), 2))) AS s FROM (SELECT cover_id, CAST(bin AS DOUBLE) AS bin, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY cover_id) AS DOUBLE) AS t FROM histograms) GROUP BY cover_id)"),
+    "P7_spurious": (("cover_stats",), f"SELECT cover_id, CASE WHEN dominant_ratio > 0.98 THEN 'blank_canvas' ELSE 'interior_page_scan' END AS defect, CASE WHEN dominant_ratio > 0.98 THEN dominant_ratio WHEN contains(o, 'chapter') THEN 0.98E0 WHEN entropy BETWEEN 1.2 AND 3.5 THEN 0.92E0 ELSE 0.85E0 END AS confidence FROM {_SPURIOUS} WHERE dominant_ratio > 0.98 OR inside"),
+    "P8_forensics": (("cover_spectra",), "SELECT cover_id, " + _P8.format(*map(_q, ("dense_text_reading_page", "marginal_folio_with_dense_lines", "periodic_paragraph_lines", "monochrome_or_blank_placeholder", "distorted_aspect_ratio", "critically_low_resolution"))) + " AS reason, round(" + _P8.format("least(0.99E0, 0.7E0 + her / 20 + acf)", "0.95E0", "0.9E0", "0.95E0", "0.85E0", "0.8E0") + ", 6) AS confidence FROM cover_spectra"),
+    "P9_changed": (("cover_stats",), "SELECT cover_id, cover_id * 1000 AS mtime, cover_id % 10 = 0 OR cover_id % 7 = 0 AS due FROM cover_stats"),
+    "E3_open_embeddings": (("snippets",), "SELECT sha256('p|m|' || text) AS request_hash, count(*) AS n_requests FROM snippets WHERE text NOT IN (SELECT text FROM snippets WHERE book_id % 3 = 0) GROUP BY text"),
+}
+
+_WINDOWS = "(SELECT start_s, count(*) AS n, count(*) FILTER (status >= 500) AS errors, sum(duration_s) AS seconds FROM (SELECT status, duration_s, unnest(range(CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 - 240, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 + 1, 60)) AS start_s FROM requests) GROUP BY start_s)"
+_KEPT = "(SELECT book_id, title FROM books WHERE book_id % 25 <> 0 OR book_id NOT IN (SELECT book_id FROM identifiers GROUP BY book_id, lower(type) HAVING count(DISTINCT value) > 1))"
+_AUTHORS = "(SELECT book_id, string_agg(sort, '{}' ORDER BY link_id) AS authors FROM author_links GROUP BY book_id)"
+_HELD = "(SELECT book_id, string_agg(format, ',' ORDER BY format) AS formats FROM formats GROUP BY book_id)"
+_own_isbn = canonical("coalesce(isbn, '')")
+ORACLES |= {
+    "T3_slow_windows": (("requests",), f"SELECT start_s, n, round(seconds / n, 6) AS mean_s FROM {_WINDOWS} WHERE seconds / n > 0.4"),
+    "T4_held_alerts": (("requests",), f"SELECT 'errors' AS rule, start_s, since_s FROM (SELECT start_s, min(start_s) OVER (PARTITION BY island) AS since_s FROM (SELECT start_s, start_s - 60 * row_number() OVER (ORDER BY start_s) AS island FROM {_WINDOWS} WHERE errors / n > 0.01)) WHERE start_s - since_s >= 240"),
+    "T5_stalled_runs": (("runs",), "SELECT run_id, 851000000 - CAST(floor(epoch(coalesce(heartbeat_at, started_at))) AS BIGINT) AS age_s FROM runs WHERE status IN ('pending', 'running') AND 851000000 - floor(epoch(coalesce(heartbeat_at, started_at))) > 600"),
+    "T6_once": (("requests",), "SELECT event_id, route, status FROM requests"),
+    "T7_cooling": (("requests",), "SELECT * FROM (SELECT event_id, identity, at_s - max(CASE WHEN status >= 500 THEN at_s END) OVER (PARTITION BY identity ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_s FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM requests)) WHERE after_s <= 7200"),
+    "T8_status_changes": (("requests",), "SELECT route, start_s, count(*) AS changes FROM (SELECT route, CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS start_s, status, lag(status) OVER (PARTITION BY route ORDER BY ts, event_id) AS before FROM requests) WHERE before <> status GROUP BY route, start_s"),
+    "T9_running_counts": (("operations",), "SELECT operation_id % 7 AS run_id, state AS action, count(*) AS n FROM operations GROUP BY 1, 2"),
+    "X1_stripped": ((), r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gsi'), '<[^>]*>', '', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""".replace("\\\\", "\\")),
+    "X3_context_isbns": (("imprints",), f"SELECT DISTINCT book_id, {canonical('c')} AS isbn13 FROM (SELECT book_id, coalesce(isbn, '') AS c FROM books_isbn) WHERE ({canonical('c')}) IS NOT NULL"),
+    "X4_content_identifier": (("books_isbn", "imprints"), f"SELECT book_id, isbn AS identifier, CASE WHEN ({_own_isbn}) IS NOT NULL THEN 'content' WHEN isbn IS NOT NULL THEN 'embedded' END AS origin FROM books_isbn"),
+    "X5_guesses": (("imprints",), "SELECT book_id, trim(coalesce(title, 'Untitled')) AS title, author FROM books_isbn"),
+    "X6_edition_pages": (("imprints",), "SELECT book_id, 1 AS copyright_seq, CASE WHEN book_id % 5 = 0 THEN 2 END AS colophon_seq, 0 AS title_seq FROM books_isbn"),
+    "X7_tagged_isbns": (("imprints",), f"""SELECT book_id, isbn13, tag, isbn13 = first(isbn13) OVER (PARTITION BY book_id ORDER BY tag <> 'epub', place) AS is_primary FROM (SELECT book_id, isbn13, arg_max(tag, seq) AS tag, min(seq) AS place FROM (SELECT book_id, 1 AS seq, {_own_isbn} AS isbn13, CASE WHEN book_id % 2 = 0 THEN 'epub' ELSE 'paper' END AS tag FROM books_isbn
+UNION ALL SELECT book_id, 2, '9780306406157', 'paper' FROM books_isbn WHERE book_id % 5 = 0) WHERE isbn13 IS NOT NULL GROUP BY book_id, isbn13)"""),
+    "X8_X9_imprint": (("imprints",), "SELECT book_id, 'M-' || CAST(100 + book_id AS VARCHAR) || CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-2018' END AS deposit, 'Acme House' AS publisher, 2019 AS year FROM books_isbn"),
+    "X10_budgeted": (("imprints",), "SELECT book_id, seq, source, substr(text, 1, CAST(greatest(60 - before, 0) AS BIGINT)) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM imprints WHERE seq < 2) WHERE before < 60"),
+    "X11_observations": (("books", "imprints"), "SELECT book_id, CASE WHEN book_id % 4 = 0 THEN observed_title ELSE trim(coalesce(title, 'Untitled')) END AS title, author, CASE WHEN book_id % 4 = 0 THEN publisher ELSE 'Acme House' END AS publisher, CASE WHEN book_id % 4 <> 0 THEN 2019 END AS year, 'medium' AS quality FROM books"),
+    "X12_egress": (("snippets",), "SELECT book_id, CASE WHEN book_id % 3 = 0 THEN CAST(sum(length(text)) AS BIGINT) ELSE 0 END AS text_chars, sha256(string_agg(CASE WHEN book_id % 3 = 0 THEN text ELSE '[text withheld]' END, chr(10) ORDER BY seq)) AS payload_sha256 FROM snippets GROUP BY book_id"),
+    "I1_wide_books": (("books", "author_links", "identifiers", "formats"), f"""SELECT b.book_id, title, authors, '{{' || '"goodreads":"' || CAST(b.book_id * 7 AS VARCHAR) || '"' || CASE WHEN v IS NOT NULL THEN ',"isbn":"' || v || '"' ELSE '' END || '}}' AS identifiers, formats
+FROM {_KEPT} b LEFT JOIN {_AUTHORS.format('|')} a ON a.book_id = b.book_id LEFT JOIN (SELECT book_id, min(value) AS v FROM identifiers WHERE lower(type) = 'isbn' GROUP BY book_id) i ON i.book_id = b.book_id LEFT JOIN {_HELD} f ON f.book_id = b.book_id"""),
+    "I1_rejects": (("identifiers",), "SELECT book_id, 'identifier:isbn' AS reason FROM identifiers WHERE lower(type) = 'isbn' GROUP BY book_id HAVING count(DISTINCT value) > 1"),
+    "I2_flat_books": (("books", "author_links", "identifiers", "formats"), f"SELECT b.book_id, title, authors, coalesce(formats, '') AS formats, v AS isbn FROM {_KEPT} b LEFT JOIN {_AUTHORS.format(' & ')} a ON a.book_id = b.book_id LEFT JOIN (SELECT book_id, min(value) AS v FROM identifiers WHERE lower(type) = 'isbn' GROUP BY book_id) i ON i.book_id = b.book_id LEFT JOIN {_HELD} f ON f.book_id = b.book_id"),
+    "I3_scanned": (("books",), "SELECT book_id AS book_key, CASE WHEN book_id % 4 <> 0 THEN upper(title) ELSE title END AS title, CASE WHEN book_id % 4 <> 0 THEN 'xx' ELSE language END AS language, CASE WHEN book_id % 4 <> 0 THEN 'scanned' ELSE 'verified' END AS status FROM books WHERE book_id % 12 <> 0"),
+    "I4_unseen": (("formats",), "SELECT DISTINCT '/library/' || CAST(book_id AS VARCHAR) || '.' || lower(format) AS path FROM formats WHERE book_id % 6 <> 0 AND book_id % 10 <> 5"),
+    "I5_volumes": (("candidates",), "SELECT book_id, pos, 'google_books:' || CAST(pos AS VARCHAR) AS candidate_id, title, author AS authors, CAST(NULL AS VARCHAR) AS publisher, '2019' AS published, CAST(NULL AS VARCHAR) AS language, isbn13 AS isbn, 'https://b/c?zoom=0&fife=w1600-h2400' AS cover_url FROM candidates"),
+    "I5_search_docs": (("candidates",), "SELECT book_id, CAST(k AS INT) AS pos, 'openlibrary:OL' || CAST(book_id AS VARCHAR) AS candidate_id, title, author || ' & Plato' AS authors, 'P1' AS publisher, CAST(NULL AS VARCHAR) AS language, isbn13 AS isbn, '1999' AS published FROM candidates, range(5) r(k) WHERE pos = 0"),
+    "I6_series_matches": (("books",), "SELECT book_id, CAST(k AS INT) AS pos, title, CASE WHEN book_id % 2 = 0 THEN 3.0E0 END AS volume, 12.5E0 AS chapter, 12.5E0 AS series_position FROM books, range(3) r(k) WHERE title IS NOT NULL AND (k = 0 OR book_id % 3 = 1)"),
+    "I7_comic_records": (("books_isbn",), "SELECT book_id, observed_title AS title, series, CASE WHEN book_id % 7 <> 0 THEN series_index END AS series_index, CAST(NULL AS INT) AS volume, CAST(NULL AS DOUBLE) AS chapter, 'Ann Lee & Bob; Cy' AS authors, CAST(NULL AS VARCHAR) AS publisher, CASE WHEN book_id % 2 = 0 THEN '2019-07-01' ELSE '2019-01-01' END AS published, 'a|b' AS tags FROM books_isbn"),
+    "I8_inserted": (("evidence",), "SELECT CAST(book_id AS VARCHAR) || '/' || independence_root || '/' || field AS evidence_id, CASE WHEN book_id % 2 = 0 THEN 'conflict' ELSE 'inserted' END AS outcome FROM evidence WHERE book_id % 2 = 1 OR book_id % 10 = 0"),
+    "I9_report": (("pairs",), f"""SELECT book_id, '[' || string_agg('{{"field":"' || field || '","verdict":"' || verdict || '","confidence":' || CAST(confidence AS VARCHAR) || '}}', ',' ORDER BY field) || ']' AS verdicts FROM {_SETTLED} GROUP BY book_id"""),
+    "I10_of_types": ((), "SELECT doc_id FROM documents WHERE lang IN ('en', 'de')"),
+    "I11_opf_records": (("books_isbn",), "SELECT book_id, CAST(k AS INT) AS pos, observed_title AS title, 'Ann & Bob' AS authors, CAST(NULL AS VARCHAR) AS publisher, '2019-05-01' AS published, 'en' AS language, coalesce(isbn, 'none') AS isbn FROM books_isbn, range(2) r(k) WHERE k = 0 OR book_id % 2 = 0"),
+    "I12_comic_evidence": (("books_isbn",), f"SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || field), 1, 20) AS evidence_id, book_id, field, value FROM (SELECT book_id, 'title' AS field, observed_title AS value FROM books_isbn UNION ALL SELECT book_id, 'authors', 'Ann Lee, Bob & Cy' FROM books_isbn UNION ALL SELECT book_id, 'languages', 'en' FROM books_isbn UNION ALL SELECT book_id, 'identifiers', {_own_isbn} FROM books_isbn) WHERE value <> ''"),
+    "I13_provider_order": (("candidates",), "SELECT book_id, title, provider, CASE provider WHEN 'google_books' THEN 0 WHEN 'openlibrary' THEN 1 ELSE 2 END AS pos FROM candidates"),
+}

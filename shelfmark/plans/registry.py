@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import isbn, text
-from shelfmark.operators import consensus, covers, identity, linkage, profile, series, vectors, verify
+from shelfmark.operators import audit, consensus, covers, identity, ledger, linkage, mining, profile, series, vectors, verify
+from shelfmark.operators.graph import written
 from shelfmark.plans import oracles
+from shelfmark.sources import records
 from shelfmark.sources.catalogue import sql, view
+from shelfmark.streaming import alerts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,6 +128,83 @@ def _changed(f: DataFrame) -> DataFrame:
     return identity.changed_sources(rows.where("book_id % 17 <> 0"), later, "file", "digest")
 
 
+def _reused(c: DataFrame) -> DataFrame:
+    rows = c.select("cover_id", F.md5(F.col("size_bytes").cast("string")).alias("digest"), "phash")
+    cache = rows.where("cover_id % 9 = 0").select("digest", "phash", F.concat(F.lit("a"), F.col("cover_id").cast("string")).alias("answer"), F.col("cover_id").alias("seq"))
+    return linkage.reused_answers(rows, cache)
+
+
+def _full_gate(c: DataFrame) -> DataFrame:
+    report = profile.sealed_report(profile.calibration_report(c).drop("review_seconds")).withColumn("policy", F.lit("manifestation-v2"))
+    cases = [("2024-03-01 00:00:00", "2024-02-20 00:00:00", "2024-04-01 00:00:00", True), ("2024-03-01 00:00:00", "2024-01-01 00:00:00", "2024-02-01 00:00:00", True), ("2024-03-01 00:00:00", "2024-03-02 00:00:00", "2024-04-01 00:00:00", True), ("2024-03-01 00:00:00", "2024-03-02 00:00:00", "2024-04-01 00:00:00", False)]
+    out = None
+    for i, (now, evaluated, expires, enabled) in enumerate(cases):
+        one = profile.full_gate(report, now, evaluated, expires, enabled=enabled).withColumn("case_no", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out.unionByName(profile.full_gate(report.withColumn("tier_a", F.col("tier_a") + 1), *cases[0][:3]).withColumn("case_no", F.lit(9)))
+
+
+def _approvals(b: DataFrame) -> DataFrame:
+    rolled = written(verify.roll_up(_rules(b)))
+    locks = rolled.where("book_id % 4 = 0").select("book_id", F.lit("language").alias("field"))
+    made = rolled.where("book_id % 3 = 0").select("book_id", F.sha2("patch", 256).alias("patch_hash"), F.col("book_id").alias("created_at"), F.concat(F.lit("auth-"), F.col("book_id").cast("string")).alias("authorization_id"))
+    return ledger.approvals(rolled, locks, made.unionByName(made.withColumn("created_at", F.col("created_at") + 1).withColumn("authorization_id", F.concat("authorization_id", F.lit("b")))))
+
+
+def _changed_covers(c: DataFrame) -> DataFrame:
+    files = c.select("cover_id", "size_bytes", (F.col("cover_id") * 1000).alias("mtime"))
+    cache = files.where("cover_id % 10 <> 0").withColumn("mtime", F.when(F.col("cover_id") % 7 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")))
+    due = covers.changed(files, cache)
+    return covers.upserted(cache, due).join(due.select("cover_id", F.lit(True).alias("due")), "cover_id", "left").select("cover_id", "mtime", F.coalesce("due", F.lit(False)).alias("due"))
+
+
+def _scanned(b: DataFrame) -> DataFrame:
+    old = b.where("book_id % 3 <> 0").select(F.col("book_id").alias("book_key"), "title", "language", F.lit("verified").alias("status"))
+    new = b.where("book_id % 4 <> 0").select(F.col("book_id").alias("book_key"), F.upper("title").alias("title"), F.lit("xx").alias("language"), F.lit("new").alias("status"))
+    return records.scanned(old, new)
+
+
+def _unseen(f: DataFrame) -> DataFrame:
+    files = f.select(F.concat_ws("", F.lit("/library/"), F.col("book_id").cast("string"), F.lit("."), F.when(F.col("book_id") % 6 == 0, "txt").otherwise(F.lower("format"))).alias("path")).distinct()
+    return records.unseen(files, files.where("path like '%5.%'"))
+
+
+def _volumes(c: DataFrame) -> DataFrame:
+    info = F.struct(F.col("title").alias("title"), F.array("author").alias("authors"), F.lit("2019").alias("publishedDate"), F.array(F.struct(F.lit("OTHER").alias("type"), F.lit("x").alias("identifier")), F.struct(F.lit("ISBN_13").alias("type"), F.col("isbn13").alias("identifier"))).alias("industryIdentifiers"), F.struct(F.lit("http://b/c?zoom=1").alias("thumbnail")).alias("imageLinks"))
+    item = F.struct(F.col("pos").cast("string").alias("id"), info.alias("volumeInfo"))
+    return records.volumes(c.groupBy("book_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("items"))).alias("payload")))
+
+
+def _search(c: DataFrame) -> DataFrame:
+    doc = F.struct(F.concat(F.lit("/works/OL"), F.col("book_id").cast("string")).alias("key"), F.col("title").alias("title"), F.array("author", F.lit("Plato")).alias("author_name"), F.array(F.lit("P1"), F.lit("P2")).alias("publisher"), F.when(F.col("isbn13").isNotNull(), F.array("isbn13", F.lit("1"))).alias("isbn"), F.lit(1999).alias("first_publish_year"))
+    return records.search_docs(c.where("pos = 0").select("book_id", F.to_json(F.struct(F.array_repeat(doc, F.lit(7)).alias("docs"))).alias("payload")))
+
+
+def _matches(b: DataFrame) -> DataFrame:
+    one = F.to_json(F.struct("title", F.when(F.col("book_id") % 2 == 0, F.lit(" 3 ")).otherwise(F.lit("x")).alias("volume"), F.lit("12.5").alias("chapter")))
+    return records.series_matches(b.where("title is not null").select("book_id", F.when(F.col("book_id") % 3 == 0, one).when(F.col("book_id") % 3 == 1, F.concat(F.lit("["), F.concat_ws(",", one, one, one, one), F.lit("]"))).otherwise(F.concat(F.lit('{"candidates": ['), one, F.lit("]}"))).alias("payload")))
+
+
+def _sidecars(b: DataFrame) -> DataFrame:
+    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
+    parts = [tag("Title", F.concat(F.lit(" "), F.col("observed_title"))), tag("Series", F.col("series")), tag("Number", F.when(F.col("book_id") % 7 == 0, "n/a").otherwise(F.col("series_index").cast("string"))), tag("Writer", F.lit("Ann Lee, Bob; Cy")), tag("Year", F.lit("2019"))]
+    month = F.when(F.col("book_id") % 2 == 0, tag("Month", F.lit("7"))).otherwise("")
+    return b.select("book_id", F.concat(F.lit("<ComicInfo>"), *parts, month, tag("LanguageISO", F.lit("EN")), tag("GTIN", F.coalesce("isbn", F.lit(""))), F.lit("<Genre>a, b</Genre></ComicInfo>")).alias("xml"))
+
+
+def _inserted(e: DataFrame) -> DataFrame:
+    rows = e.select(F.concat_ws("/", "book_id", "independence_root", "field").alias("evidence_id"), F.sha2("value", 256).alias("payload_sha256"), "book_id")
+    stored = rows.where("book_id % 2 = 0").withColumn("payload_sha256", F.when(F.col("book_id") % 10 == 0, F.lit("other")).otherwise(F.col("payload_sha256")))
+    new = records.inserted(stored, rows).select("evidence_id", F.lit("inserted").alias("outcome"))
+    return new.unionByName(records.conflicts(stored, rows).select("evidence_id", F.lit("conflict").alias("outcome")))
+
+
+def _opf(b: DataFrame) -> DataFrame:
+    head = '<?xml version="1.0"?><package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf"><dc:title>'
+    one = F.concat(F.lit(head), "observed_title", F.lit("</dc:title><dc:creator>Ann</dc:creator><dc:creator>Bob</dc:creator><dc:date>2019-05-01T00:00:00</dc:date><dc:language>en</dc:language><dc:identifier opf:scheme=\"UUID\">u</dc:identifier><dc:identifier opf:scheme=\"ISBN\">"), F.coalesce("isbn", F.lit("none")), F.lit("</dc:identifier></metadata></package>"))
+    return records.opf_records(b.select("book_id", F.concat(F.lit("log line "), one, F.when(F.col("book_id") % 2 == 0, one).otherwise("")).alias("body")))
+
+
 def _gaps(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
@@ -152,15 +232,35 @@ QUERIES: dict[str, Query] = {
     "C4_C5_best_candidate": _over(consensus.best, "books_isbn", "candidates"),
     "D2_title_author_clusters": _over(linkage.title_author_clusters, "books", "formats"),
     "D3_isbn_clusters": _over(linkage.isbn_clusters, "books_isbn", "formats"),
-    "D4_work_clusters": _over(linkage.work_clusters, "books_isbn"),
+    "D1_file_hashes": _over(lambda d: linkage.file_hashes(d.select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))).select("file_id", "full"), "documents"),
+    "D4_work_clusters": _over(linkage.work_clusters, "books_isbn", "formats"),
+    "D6_semantic_pairs": _over(lambda v: linkage.semantic_pairs(vectors.nearest(v, 5), 0.3), "embeddings"),
+    "D9_reused_answers": _over(_reused, "cover_stats"),
     "D5_pair_duplicates": _over(linkage.pair_duplicates, "books_isbn"),
     "D5_all_pair_duplicates": _over(linkage.all_pair_duplicates, "books_isbn"),
     "D7_duplicate_titles": _over(linkage.duplicate_titles, "books"),
     "D8_near_hashes": _over(linkage.near_hashes, "cover_stats"),
     "G1_full_gaps": _over(lambda b: _gaps(series.full_gaps(b)), "books"),
     "G2_inner_gaps": _over(lambda b: _gaps(series.inner_gaps(b)).withColumn("fractional", F.size("fractional")), "books"),
+    "G2_topology": _over(lambda b: _gaps(series.topology(b)).withColumn("fractional", F.array_join(F.col("fractional").cast("array<string>"), ",")), "books"),
     "G3_wishlist": _over(series.wishlist, "books"),
     "Q1_inventory": _over(profile.inventory, "books_isbn", "formats"),
+    "Q1_formats": _over(lambda f: profile.by_value(f.select(text.format_bucket(F.col("format")).alias("format")), "format"), "formats"),
+    "Q2_manifest": _over(audit.manifest_hash, "books", "formats"),
+    "Q3_orphans": _over(lambda b, f, c, a: audit.orphans(b.where("book_id % 50 <> 0"), {"data": f, "candidates": c, "authors": a}), "books", "formats", "candidates", "author_links"),
+    "Q4_ratings": _over(audit.ratings, "books", "rated"),
+    "Q5_sort_desyncs": _over(audit.sort_desyncs, "books", "author_links"),
+    "Q6_missing_files": _over(lambda f: audit.missing_files(f, f.where("book_id % 19 <> 0").select("book_id", "format")), "formats"),
+    "Q7_bad_titles": _over(lambda b: audit.bad_titles(b.withColumn("title", F.when(F.col("book_id") % 27 == 0, F.concat("title", F.lit(" v1.2"))).when(F.col("book_id") % 33 == 0, F.concat(F.lit("Microsoft Word - "), "title")).otherwise(F.col("title")))), "books"),
+    "Q9_summary": _over(lambda b, f, r: audit.summary({"bad_titles": audit.bad_titles(b), "without_formats": profile.without_formats(b, f), "unrated": b.join(r, "book_id", "left_anti")}), "books", "formats", "rated"),
+    "Q10_page": _over(lambda b: audit.page(b.select("book_id", "title", "author"), [F.desc("book_id")], 40, 25), "books"),
+    "Q11_latest": _over(lambda o: audit.latest(o.select("book_key", "created_at", "operation_id", "state"), "book_key", "created_at", "operation_id").select("book_key", "operation_id", "state"), "operations"),
+    "Q12_problematic": _over(lambda o, e: audit.problematic(o, e, 50), "operations", "evidence"),
+    "Q13_review_listing": _over(lambda e, f: identity.tiers(e, f).where("tier = 'C' and state = 'deferred'").select("book_id", "reason"), "evidence", "format_evidence"),
+    "Q14_run_states": _over(lambda r: audit.state_samples(r, "status", "run_id"), "runs"),
+    "Q15_action_shares": _over(lambda b: audit.action_shares(verify.roll_up(_rules(b))), "books_isbn"),
+    "Q16_metrics": _over(lambda r: audit.metrics(r.select(F.lit("http_seconds").alias("name"), F.concat_ws(",", F.concat(F.lit("route="), "route"), F.concat(F.lit("status="), F.col("status").cast("string"))).alias("labels"), "ts", "event_id", F.col("duration_s").alias("value"))), "requests"),
+    "Q18_review_deck": _over(lambda c: audit.review_deck(covers.quality(c), 30, 60), "cover_stats"),
     "Q1_languages": _over(lambda b: profile.by_value(b, "language"), "books"),
     "Q6_without_formats": _over(profile.without_formats, "books", "formats"),
     "Q8_cover_classes": _over(profile.cover_classes, "cover_stats"),
@@ -169,12 +269,28 @@ QUERIES: dict[str, Query] = {
     "K2_repeated_ids": _over(lambda c: profile.repeated_ids(c, "evidence_id"), "calibration"),
     "K3_gate": _over(lambda c: profile.gate(profile.calibration_report(c)), "calibration"),
     "L1_progress": _over(profile.progress, "runs"),
+    "K3_full_gate": _over(_full_gate, "calibration"),
+    "K4_sealed_report": _over(lambda c: profile.sealed_report(profile.calibration_report(c).drop("review_seconds")), "calibration"),
+    "L2_resumable": _over(lambda b, o: ledger.resumable(b.select(F.col("book_id").alias("book_key")), o.select("book_key", "state", (F.col("operation_id") % 5 != 0).alias("valid_seal"))), "books", "operations"),
+    "L3_membership": _over(lambda o, b: ledger.membership(o.where("operation_id % 3 <> 0").select("book_key"), o.where("operation_id % 4 <> 0").select("book_key")), "operations", "books"),
+    "L5_reset_stale": _over(ledger.reset_stale, "operations"),
+    "L7_open_depth": _over(lambda o: ledger.open_depth(o.withColumn("pilot_stopped", F.col("pilot_id") != "pilot-1"), o.where("operation_id % 2 = 0").select("operation_id"), o.where("book_key % 7 = 0").select("book_key").distinct()), "operations"),
+    "L11_L12_approvals": _over(_approvals, "books_isbn"),
+    "L13_expired": _over(lambda o: ledger.expired(o.select("operation_id", "created_at"), F.expr("TIMESTAMP_NTZ '1995-06-01 00:00:00'"), 30), "operations"),
+    "L14_heartbeats": _over(lambda r: ledger.fresh(r.select(F.col("run_id").alias("owner"), F.col("heartbeat_at").alias("beat_at"), F.col("status").alias("release")), F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'"), 86400 * 300, {"release": "completed"}), "runs"),
+    "L15_retained": _over(lambda r: ledger.retained(r.select(F.col("run_id").alias("job_id"), "status", F.coalesce("finished_at", "started_at").alias("updated_at")), F.expr("TIMESTAMP_NTZ '1998-07-01 00:00:00'"), 24 * 60, 100).select("job_id", "status"), "runs"),
+    "L16_read_back": _over(lambda c: ledger.read_back(c, c.withColumn("value", F.when((F.col("book_id") % 6 == 0) & (F.col("field") == "title"), F.upper("value")).otherwise(F.col("value")))), "current_fields"),
     "L4_claimable": _over(lambda r: profile.claimable(r, "1996-01-01 00:00:00"), "runs"),
     "L6_depth": _over(profile.depth, "operations"),
     "L8_run_depth": _over(profile.run_depth, "runs"),
     "L9_illegal_steps": _over(profile.illegal_steps, "operations"),
     "L10_first_requests": _over(profile.first_requests, "operations"),
     "P3_P6_cover_quality": _over(covers.quality, "cover_stats"),
+    "P1_P2_histograms": _over(covers.histogram_facts, "histograms"),
+    "P7_spurious": _over(covers.spurious, "cover_stats"),
+    "P8_forensics": _over(covers.forensics, "cover_spectra"),
+    "P9_changed": _over(_changed_covers, "cover_stats"),
+    "E3_open_embeddings": _over(lambda s: vectors.open_embeddings(s.select("text"), s.where("book_id % 3 = 0").select(F.sha2(F.concat_ws("|", F.lit("p"), F.lit("m"), "text"), 256).alias("request_hash")), "p", "m"), "snippets"),
     "P10_oversize": _over(covers.oversize, "cover_stats"),
     "R3_R4_confirmations": _over(identity.confirmations, "evidence"),
     "R1_R2_R5_format_tests": _over(_format_tests, "format_evidence"),
@@ -190,7 +306,40 @@ QUERIES: dict[str, Query] = {
     "E1_embedding_text": _over(vectors.embedding_text, "books"),
     "E1_snippet_text": _over(vectors.snippet_text, "books", "snippets"),
     "E2_nearest": _over(vectors.nearest, "embeddings"),
-    "T2_error_windows": _over(profile.error_windows, "requests"),
+    "T1_rate_limit": _over(lambda r: alerts.limited(alerts.timed(r), 3, 6 * 3600), "requests"),
+    "T2_error_windows": _over(lambda r: alerts.error_windows(alerts.timed(r)), "requests"),
+    "T3_slow_windows": _over(lambda r: alerts.slow_windows(alerts.timed(r), 0.4), "requests"),
+    "T4_held_alerts": _over(lambda r: alerts.held(alerts.error_windows(alerts.timed(r), 0.01).select(F.lit("errors").alias("rule"), "start_s"), 240), "requests"),
+    "T5_stalled_runs": _over(lambda r: alerts.stalled(r, 851000000), "runs"),
+    "T6_once": _over(lambda r: alerts.once(r.unionByName(r.where("event_id % 3 = 0")), "event_id").select("event_id", "route", "status"), "requests"),
+    "T7_cooling": _over(lambda r: alerts.cooling(alerts.timed(r), 7200), "requests"),
+    "T8_status_changes": _over(lambda r: alerts.status_changes(alerts.timed(r)), "requests"),
+    "T9_running_counts": _over(lambda o: alerts.running_counts(o.select((F.col("operation_id") % 7).alias("run_id"), F.col("state").alias("action"))), "operations"),
+    "X1_stripped": _over(lambda p: p.select("page_id", mining.stripped(F.col("html")).alias("text")), "pages"),
+    "X3_context_isbns": _over(mining.context_isbns, "imprints"),
+    "X4_content_identifier": _over(mining.content_identifier, "books_isbn", "imprints"),
+    "X5_guesses": _over(mining.guesses, "imprints"),
+    "X6_edition_pages": _over(mining.edition_pages, "imprints"),
+    "X7_tagged_isbns": _over(mining.tagged_isbns, "imprints"),
+    "X8_X9_imprint": _over(mining.imprint, "imprints"),
+    "X10_budgeted": _over(lambda s: mining.budgeted(s, 60), "imprints"),
+    "X11_observations": _over(lambda b, s: mining.observations(b, s.where("book_id % 4 <> 0"), b.select("book_id", F.col("observed_title").alias("title"), "author", "publisher")), "books", "imprints"),
+    "X12_egress": _over(lambda s: mining.egress(s, s.where("book_id % 3 = 0").select("book_id").distinct()), "snippets"),
+    "I1_wide_books": _over(lambda b, a, i, f: records.wide_books(b.select("book_id", "title"), a, i, f).select("book_id", "title", F.array_join("authors", "|").alias("authors"), F.to_json("identifiers").alias("identifiers"), F.array_join("formats", ",").alias("formats")), "books", "author_links", "identifiers", "formats"),
+    "I1_rejects": _over(records.rejects, "identifiers", "formats"),
+    "I2_flat_books": _over(lambda b, a, i, f: records.flat_books(records.wide_books(b.select("book_id", "title"), a, i, f)), "books", "author_links", "identifiers", "formats"),
+    "I3_scanned": _over(_scanned, "books"),
+    "I4_unseen": _over(_unseen, "formats"),
+    "I5_volumes": _over(_volumes, "candidates"),
+    "I5_search_docs": _over(_search, "candidates"),
+    "I6_series_matches": _over(_matches, "books"),
+    "I7_comic_records": _over(lambda b: records.comic_records(_sidecars(b)), "books_isbn"),
+    "I8_inserted": _over(_inserted, "evidence"),
+    "I9_report": _over(lambda p: records.report(_settled(p)), "pairs"),
+    "I10_of_types": _over(lambda d: records.of_types(d.select("doc_id", F.col("lang").alias("type_id")), d.select(F.col("lang").alias("type_id"), F.upper("lang").alias("name")).distinct(), ("en", "De")).select("doc_id"), "documents"),
+    "I11_opf_records": _over(_opf, "books_isbn"),
+    "I12_comic_evidence": _over(lambda b: records.comic_evidence(_sidecars(b)), "books_isbn"),
+    "I13_provider_order": _over(lambda c: records.in_provider_order({p: c.where(F.col("provider") == p) for p in ("google_books", "openlibrary", "calibre_fetch")}), "candidates"),
 }
 
 

@@ -23,7 +23,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   p_brand AS series, CASE WHEN p_partkey % 29 = 0 THEN p_size + 0.5E0 ELSE CAST(p_size AS DOUBLE) END AS series_index, p_type AS publisher,
   CASE p_partkey % 5 WHEN 0 THEN 'en' WHEN 1 THEN 'es' WHEN 2 THEN 'de' WHEN 3 THEN 'fr' ELSE CAST(NULL AS STRING) END AS language,
   concat('978', lpad(CAST(CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 60 ELSE p_partkey END AS STRING), 9, '0')) AS isbn_body,
-  p_partkey % 7 = 0 AS isbn_corrupt, p_partkey % 31 = 0 AS isbn_absent FROM part"""),
+  p_partkey % 7 = 0 AS isbn_corrupt, p_partkey % 31 = 0 AS isbn_absent, CASE WHEN p_partkey % 21 <> 0 THEN '2019-05-01' END AS pubdate,
+  CASE WHEN p_partkey % 10 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 9 = 0 THEN 'not a date' ELSE concat('2024-01-', lpad(CAST(1 + p_partkey % 28 AS STRING), 2, '0'), ' 10:00:00') END AS last_modified,
+  CASE WHEN p_partkey % 6 = 0 THEN CAST(NULL AS STRING) WHEN p_partkey % 4 = 0 THEN 'Austen, Jane' ELSE 'Austen, Jane & Plato' END AS author_sort FROM part"""),
+    "author_links": (("part",), """SELECT p_partkey + 1 AS book_id, p_partkey * 2 AS link_id, 'Austen, Jane' AS sort FROM part UNION ALL SELECT p_partkey + 1, p_partkey * 2 + 1, 'Plato' FROM part WHERE p_partkey % 5 <> 0"""),
+    "rated": (("part",), """SELECT p_partkey + 1 AS book_id, 1 + p_partkey % 10 AS rating FROM part WHERE p_partkey % 8 <> 0"""),
+    "histograms": (("lineitem",), """SELECT l_partkey + 1 AS cover_id, (l_suppkey * 37 + l_linenumber * 11) % 256 AS bin, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY l_partkey + 1, (l_suppkey * 37 + l_linenumber * 11) % 256"""),
+    "cover_spectra": (("part",), """SELECT p_partkey + 1 AS cover_id, (p_partkey % 70) / 10.0E0 AS her, (p_partkey % 45) / 100.0E0 AS acf, p_partkey % 6 = 0 AS folio, p_partkey % 11 = 0 AS mono, (p_partkey % 81) / 10.0E0 AS entropy,
+  80 + (p_partkey * 37) % 1500 AS width, 120 + (p_partkey * 53) % 2300 AS height FROM part"""),
     "books_isbn": (("books",), """SELECT b.*, CASE WHEN isbn_absent THEN CAST(NULL AS STRING) ELSE concat(isbn_body, CAST((chk + CASE WHEN isbn_corrupt THEN 1 ELSE 0 END) % 10 AS STRING)) END AS isbn
 FROM (SELECT *, (10 - (CAST(substr(isbn_body,1,1) AS INT) + 3*CAST(substr(isbn_body,2,1) AS INT) + CAST(substr(isbn_body,3,1) AS INT) + 3*CAST(substr(isbn_body,4,1) AS INT)
   + CAST(substr(isbn_body,5,1) AS INT) + 3*CAST(substr(isbn_body,6,1) AS INT) + CAST(substr(isbn_body,7,1) AS INT) + 3*CAST(substr(isbn_body,8,1) AS INT)
@@ -57,6 +64,10 @@ UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright 2019. ISBN: ',
   ((p_partkey * 7) % 101) / 100.0E0 AS white_ratio, ((p_partkey * 3) % 31) / 100.0E0 AS dark_ratio,
   CASE p_partkey % 9 WHEN 0 THEN 'z-library' WHEN 1 THEN 'New York Times Bestseller' WHEN 2 THEN 'Chapter 1 contents' ELSE '' END AS ocr_text,
   CAST((p_partkey % 40) * 72057594037927 + CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 1048583 ELSE 0 END AS BIGINT) AS phash FROM part"""),
+    "imprints": (("books_isbn",), """SELECT book_id, 0 AS seq, 'title_page' AS source, concat(coalesce(title, 'Untitled'), chr(10), CASE WHEN book_id % 3 = 0 THEN concat('Translated by X', chr(10), author) ELSE author END) AS text FROM books_isbn
+UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright © 2019. All rights reserved. ISBN: ', coalesce(isbn, 'none'), ' (', CASE WHEN book_id % 2 = 0 THEN 'ePub' ELSE 'paper' END, '). Published by Acme House, 2018. D.L.: M-', CAST(100 + book_id AS STRING), CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-18' END, '.') FROM books_isbn
+UNION ALL SELECT book_id, 2, 'body', CASE WHEN book_id % 5 = 0 THEN 'Talleres de Sol. ISBN 978-0-306-40615-7 (paper)' ELSE 'Once upon a time' END FROM books_isbn"""),
+    "identifiers": (("books_isbn",), """SELECT book_id, 'ISBN' AS type, isbn AS value FROM books_isbn WHERE isbn IS NOT NULL UNION ALL SELECT book_id, 'isbn', '9780306406157' FROM books_isbn WHERE book_id % 25 = 0 UNION ALL SELECT book_id, 'Goodreads', CAST(book_id * 7 AS STRING) FROM books_isbn"""),
     "format_evidence": (("formats", "books_isbn"), """SELECT f.book_id, f.format, f.digest, CASE WHEN f.book_id % 37 = 0 AND f.format = 'MOBI' THEN 'protected' ELSE 'readable' END AS status,
   CASE WHEN f.book_id % 41 = 0 AND f.format = 'PDF' THEN '9780306406157' ELSE b.isbn END AS isbn, CASE WHEN f.book_id % 43 = 0 AND f.format = 'PDF' THEN 'Variant title' ELSE b.observed_title END AS title,
   b.author AS authors, b.language AS languages FROM formats f JOIN books_isbn b ON b.book_id = f.book_id"""),
@@ -101,6 +112,8 @@ def _needs(names: tuple[str, ...], seen: list[str]) -> list[str]:
 def sql(body: str, *names: str, tables: str = "") -> str:
     """`body` with the named views in front of it."""
     parts = ([tables] if tables else []) + [f"{n} AS ({VIEWS[n][1]})" for n in _needs(names, [])]
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*parts, body[len('WITH RECURSIVE ') :]])}"
     if body.startswith("WITH "):
         parts, body = [*parts, body[len("WITH ") :]], ""
     return f"WITH {', '.join(parts)} {body}" if parts else body
