@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; only where none is set, as in tests, a local one."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not top:
         import tempfile
 

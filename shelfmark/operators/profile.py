@@ -52,15 +52,6 @@ def requests_profile(requests: DataFrame) -> DataFrame:
     return requests.groupBy("route", "status").agg(F.count("*").alias("n"), F.round(F.avg("duration_s"), 6).alias("mean_s"))
 
 
-def error_windows(requests: DataFrame, share: float = 0.05) -> DataFrame:
-    """T2, batch: five-minute windows, one each minute, with the share of 5xx answers above `share`.
-
-    The same plan runs on a stream behind a watermark; see `streaming.alerts`.
-    """
-    by = requests.select(F.col("ts").cast("timestamp").alias("ts"), "status").groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"))
-    return by.where(F.col("errors") / F.col("n") > share).select(F.unix_seconds("w.start").alias("start_s"), "n", "errors")
-
-
 def calibration_report(rows: DataFrame) -> DataFrame:
     """K1: counts of a labelled corpus in one row."""
     return rows.agg(

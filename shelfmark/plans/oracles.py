@@ -377,7 +377,7 @@ ORACLES |= {
     "D6_semantic_pairs": ((), f"SELECT least(query_id, neighbour_id) AS left_id, greatest(query_id, neighbour_id) AS right_id, max(score) AS score FROM ({ORACLES['E2_nearest'][1]}) WHERE score > 0.3 GROUP BY 1, 2"),
     "D9_reused_answers": (("cover_stats",), f"""SELECT cover_id, CASE WHEN d IS NOT NULL THEN 'digest' WHEN h IS NOT NULL THEN 'hash' ELSE 'near' END AS how, coalesce(d, h, n) AS answer FROM (SELECT c.cover_id, (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.digest = md5(CAST(c.size_bytes AS VARCHAR))) AS d,
   (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.phash = c.phash) AS h, (SELECT arg_min(answer, CAST(bit_count(xor(x.phash, c.phash)) AS BIGINT) * 1000000000 - seq) FROM (SELECT * FROM {_HASH_CACHE} ORDER BY seq DESC LIMIT 150) x WHERE bit_count(xor(x.phash, c.phash)) <= 4) AS n FROM cover_stats c) WHERE coalesce(d, h, n) IS NOT NULL"""),
-    "G2_topology": (("books",), f"SELECT series, missing, f AS fractional, CAST(len(string_split(missing, ',')) AS VARCHAR) || ' missing, ' || CAST(n AS VARCHAR) || ' between' AS summary FROM ({ORACLES['G2_inner_gaps'][1]}) g JOIN (SELECT series AS s, coalesce(string_agg(DISTINCT CAST(series_index AS VARCHAR), ',' ORDER BY CAST(series_index AS VARCHAR)) FILTER (series_index <> floor(series_index)), '') AS f, count(DISTINCT series_index) FILTER (series_index <> floor(series_index)) AS n FROM books GROUP BY series) ON s = series"),
+    "G2_topology": (("books",), f"SELECT series, missing, f AS fractional, CAST(len(string_split(missing, ',')) AS VARCHAR) || ' missing, ' || CAST(n AS VARCHAR) || ' between' AS summary FROM ({ORACLES['G2_inner_gaps'][1]}) g JOIN (SELECT series AS s, coalesce(array_to_string(list_sort(list(DISTINCT series_index) FILTER (series_index <> floor(series_index))), ','), '') AS f, count(DISTINCT series_index) FILTER (series_index <> floor(series_index)) AS n FROM books GROUP BY series) ON s = series"),
     "Q1_inventory": (("books_isbn", "formats"), ORACLES["Q1_inventory"][1].replace("AS blank_language", "AS blank_language, count(*) FILTER (coalesce(trim(publisher), '') = '') AS blank_publisher, count(*) FILTER (coalesce(trim(pubdate), '') = '') AS blank_pubdate, strftime(min(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_min, strftime(max(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_max, count(*) FILTER (coalesce(trim(last_modified), '') = '') AS modified_missing, count(*) FILTER (trim(last_modified) <> '' AND TRY_CAST(last_modified AS TIMESTAMP) IS NULL) AS modified_invalid")),
     "Q1_formats": (("formats",), "SELECT format AS value, count(*) AS n FROM formats GROUP BY format"),
     "Q2_manifest": (("books", "formats"), f"SELECT k AS part, h AS manifest FROM {_LEVEL(_LEVEL(_LEVEL(_MANIFEST)))}"),
@@ -434,7 +434,7 @@ ORACLES |= {
     "X6_edition_pages": (("imprints",), "SELECT book_id, 1 AS copyright_seq, CASE WHEN book_id % 5 = 0 THEN 2 END AS colophon_seq, 0 AS title_seq FROM books_isbn"),
     "X7_tagged_isbns": (("imprints",), f"""SELECT book_id, isbn13, tag, isbn13 = first(isbn13) OVER (PARTITION BY book_id ORDER BY tag <> 'epub', place) AS is_primary FROM (SELECT book_id, isbn13, arg_max(tag, seq) AS tag, min(seq) AS place FROM (SELECT book_id, 1 AS seq, {_own_isbn} AS isbn13, CASE WHEN book_id % 2 = 0 THEN 'epub' ELSE 'paper' END AS tag FROM books_isbn
 UNION ALL SELECT book_id, 2, '9780306406157', 'paper' FROM books_isbn WHERE book_id % 5 = 0) WHERE isbn13 IS NOT NULL GROUP BY book_id, isbn13)"""),
-    "X8_X9_imprint": (("imprints",), "SELECT book_id, 'M-' || CAST(100 + book_id AS VARCHAR) || CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-2018' END AS deposit, 'Acme House' AS publisher, 2019 AS year FROM books_isbn"),
+    "X8_X9_imprint": (("imprints",), "SELECT book_id, 'M-' || CAST(100000 + book_id % 800000 AS VARCHAR) || CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-2018' END AS deposit, 'Acme House' AS publisher, 2019 AS year FROM books_isbn"),
     "X10_budgeted": (("imprints",), "SELECT book_id, seq, source, substr(text, 1, CAST(greatest(60 - before, 0) AS BIGINT)) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM imprints WHERE seq < 2) WHERE before < 60"),
     "X11_observations": (("books", "imprints"), "SELECT book_id, CASE WHEN book_id % 4 = 0 THEN observed_title ELSE trim(coalesce(title, 'Untitled')) END AS title, author, CASE WHEN book_id % 4 = 0 THEN publisher ELSE 'Acme House' END AS publisher, CASE WHEN book_id % 4 <> 0 THEN 2019 END AS year, 'medium' AS quality FROM books"),
     "X12_egress": (("snippets",), "SELECT book_id, CASE WHEN book_id % 3 = 0 THEN CAST(sum(length(text)) AS BIGINT) ELSE 0 END AS text_chars, sha256(string_agg(CASE WHEN book_id % 3 = 0 THEN text ELSE '[text withheld]' END, chr(10) ORDER BY seq)) AS payload_sha256 FROM snippets GROUP BY book_id"),
