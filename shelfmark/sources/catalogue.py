@@ -65,7 +65,7 @@ UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright 2019. ISBN: ',
   CASE p_partkey % 9 WHEN 0 THEN 'z-library' WHEN 1 THEN 'New York Times Bestseller' WHEN 2 THEN 'Chapter 1 contents' ELSE '' END AS ocr_text,
   CAST((p_partkey % 40) * 72057594037927 + CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 1048583 ELSE 0 END AS BIGINT) AS phash FROM part"""),
     "imprints": (("books_isbn",), """SELECT book_id, 0 AS seq, 'title_page' AS source, concat(coalesce(title, 'Untitled'), chr(10), CASE WHEN book_id % 3 = 0 THEN concat('Translated by X', chr(10), author) ELSE author END) AS text FROM books_isbn
-UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright © 2019. All rights reserved. ISBN: ', coalesce(isbn, 'none'), ' (', CASE WHEN book_id % 2 = 0 THEN 'ePub' ELSE 'paper' END, '). Published by Acme House, 2018. D.L.: M-', CAST(100000 + book_id % 800000 AS STRING), CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-18' END, '.') FROM books_isbn
+UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright © 2019. All rights reserved. ISBN: ', coalesce(isbn, 'none'), ' (', CASE WHEN book_id % 2 = 0 THEN 'ePub' ELSE 'paper' END, '). Published by Acme House, 2018. D.L.: M-', CAST(100000 + book_id % 800000 AS STRING), CASE WHEN book_id % 4 = 0 THEN ' / 2017' ELSE ' / 18' END, '.') FROM books_isbn
 UNION ALL SELECT book_id, 2, 'body', CASE WHEN book_id % 5 = 0 THEN 'Talleres de Sol. ISBN 978-0-306-40615-7 (paper)' ELSE 'Once upon a time' END FROM books_isbn"""),
     "identifiers": (("books_isbn",), """SELECT book_id, 'ISBN' AS type, isbn AS value FROM books_isbn WHERE isbn IS NOT NULL UNION ALL SELECT book_id, 'isbn', '9780306406157' FROM books_isbn WHERE book_id % 25 = 0 UNION ALL SELECT book_id, 'Goodreads', CAST(book_id * 7 AS STRING) FROM books_isbn"""),
     "format_evidence": (("formats", "books_isbn"), """SELECT f.book_id, f.format, f.digest, CASE WHEN f.book_id % 37 = 0 AND f.format = 'MOBI' THEN 'protected' ELSE 'readable' END AS status,
