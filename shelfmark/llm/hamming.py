@@ -16,7 +16,7 @@ Skew: codes that many rows share are one row of the index, with the smallest id;
 its further ids come in at the end, k + 1 at most. A code holds a mean-centred sign
 for each dimension, so a segment's values are spread by construction; a value that
 many codes hold is split by adaptive execution, since both sides of the join are plain
-exchanges. What is shuffled after a round is bounded by k + 1 rows for each query
+exchanges (no side is broadcast: exploded tables are larger than they look). What is shuffled after a round is bounded by k + 1 rows for each query
 and task (the window's group limit).
 
 Defined results: rows with a null id, a null or empty vector, or one with nulls
@@ -107,14 +107,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
             for j in range(len(parts)):
                 if j != i:
                     first &= (F.col("segment") != i) | (apart[j] > radius if j < i else apart[j] >= radius)
-        found = probes.join(tables, ["segment", "value"]).where(first).select(*asked, *words, "least", _distance(words).alias("distance"))
+        found = probes.join(tables.hint("merge"), ["segment", "value"]).where(first).select(*asked, *words, "least", _distance(words).alias("distance"))
         if best is not None:
-            found = found.unionByName(best.join(open_, asked, "left_semi"))
+            found = found.unionByName(best.join(open_.hint("merge"), asked, "left_semi"))
         best = written(_least(found, asked, k + 1))
         known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         sure = written(known.where((F.col("n") > k) & (F.col("far") <= len(parts) * (radius + 1) - 1)).select(*asked))
-        closed.append(best.join(sure, asked, "left_semi"))
-        open_ = written(open_.join(sure, asked, "left_anti"))
+        closed.append(best.join(sure.hint("merge"), asked, "left_semi"))
+        open_ = written(open_.join(sure.hint("merge"), asked, "left_anti"))
         radius += 1
     if not closed:
         return queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).where("false")
@@ -122,10 +122,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     for c in closed[1:]:
         near = near.unionByName(c)
     few = index.withColumn("n", F.row_number().over(Window.partitionBy(*words).orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
-    ids = near.join(few.withColumnRenamed("id", "neighbour_id"), words).select(*asked, "neighbour_id", "distance")
+    ids = near.join(few.withColumnRenamed("id", "neighbour_id").hint("merge"), words).select(*asked, "neighbour_id", "distance")
     w = Window.partitionBy(*asked).orderBy("distance", "neighbour_id")
     ids = ids.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1).drop("n")
-    each = queries.select("id", *[F.col(c).alias(q) for c, q in zip(words, asked)]).distinct().join(ids, asked).where(F.col("id") != F.col("neighbour_id"))
+    each = queries.select("id", *[F.col(c).alias(q) for c, q in zip(words, asked)]).distinct().join(ids.hint("merge"), asked).where(F.col("id") != F.col("neighbour_id"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias("query_id"), "rank", "neighbour_id", "distance")
 
