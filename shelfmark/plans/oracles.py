@@ -162,7 +162,7 @@ def value_key(field: str, x: str) -> str:
 
 
 def clean_author(x: str) -> str:
-    t = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '^[ \t\n\r;/,\\''\"]+|[ \t\n\r;/,\\''\"]+$', '', 'g'), '\s+', ' ', 'g'), '[;/]+$', ''))"
+    t = f"trim(regexp_replace(regexp_replace(regexp_replace({x}, '^[ \t\n\r;/,\\''\"]+|[ \t\n\r;/,\\''\"]+$', '', 'g'), '\\s+', ' ', 'g'), '[;/]+$', ''))"
     return f"CASE WHEN {t} <> '' AND NOT regexp_full_match({t}, {_q('(?i)(?:' + BOGUS + ')')}) THEN {t} END"
 
 
