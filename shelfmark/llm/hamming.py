@@ -6,7 +6,9 @@ segment by segment, as an equi-join on (segment, value); no pair of blocks and
 no pair without a common value ever meets. A code counts in the first round and
 segment that show it, which its distances by segment tell, so nothing is
 deduplicated. After round r all codes within distance m * (r + 1) - 1 (of m segments)
-have been seen; a query is closed when its k-th verified distance is at most that.
+have been seen; a query is closed when its k-th verified distance is at most that. Each
+further segment looked up at r + 1 covers one more unit of distance, so a query whose
+k-th distance is under m away from that looks up so many segments only, and closes.
 
 A query may be far from everything. Where the values of the next round would be more
 than the distinct codes, the rest of the open queries is compared with all codes in
@@ -83,9 +85,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     asked = [f"q_{w}" for w in words]
     index = written(index.where(F.col("code").isNotNull()).select("id", *words).distinct())
     codes = written(index.groupBy(*words).agg(F.min("id").alias("least")))
-    open_ = written(queries.where(F.col("code").isNotNull()).select(*[F.col(w).alias(q) for w, q in zip(words, asked)]).distinct())
     total = codes.count()
     parts = segments(words, total)
+    open_ = written(queries.where(F.col("code").isNotNull()).select(*[F.col(w).alias(q) for w, q in zip(words, asked)]).distinct().withColumn("need", F.lit(len(parts))))
     pack = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(w), a, n).alias("value")) for i, (w, a, n) in enumerate(parts)])
     tables = codes.select(*words, "least", F.inline(pack))
     lookups = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(f"q_{w}"), a, n).alias("value"), F.lit(-1).alias("last"), F.lit(n).alias("width")) for i, (w, a, n) in enumerate(parts)])
@@ -94,9 +96,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     radius, most = 0, max(n for *_, n in parts)
     while open_.limit(1).count():
         if radius > most or sum(comb(n, radius) for *_, n in parts) > total:
-            closed.append(_scan(codes, open_, words, k + 1, block))
+            closed.append(_scan(codes, open_.drop("need"), words, k + 1, block))
             break
-        probes = open_.select(*asked, F.inline(lookups))
+        probes = open_.select(*asked, "need", F.inline(lookups)).where("segment < need").drop("need")
         for _ in range(radius):  # one more bit above the last one flipped: every set of `radius` bits once
             probes = probes.where("last < width - 1").withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("width") - 1)))
             probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, last)")))
@@ -111,10 +113,12 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
         if best is not None:
             found = found.unionByName(best.join(open_.hint("merge"), asked, "left_semi"))
         best = written(_least(found, asked, k + 1))
+        seen = len(parts) * (radius + 1) - 1
         known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        sure = written(known.where((F.col("n") > k) & (F.col("far") <= len(parts) * (radius + 1) - 1)).select(*asked))
-        closed.append(best.join(sure.hint("merge"), asked, "left_semi"))
-        open_ = written(open_.join(sure.hint("merge"), asked, "left_anti"))
+        lacks = F.when(F.col("n") > k, F.greatest(F.col("far") - seen, F.lit(0))).otherwise(len(parts))
+        state = written(open_.join(known.hint("merge"), asked, "left").select(*asked, F.when(F.col("need") < len(parts), 0).otherwise(F.least(lacks, F.lit(len(parts)))).alias("need")))
+        closed.append(best.join(state.where("need = 0").hint("merge"), asked, "left_semi"))
+        open_ = state.where("need > 0")
         radius += 1
     if not closed:
         return queries.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("neighbour_id"), F.lit(0).alias("distance")).where("false")
