@@ -1,11 +1,11 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Every distinct code is indexed by disjoint segments of about log2 of their number
-bits. In round r each open query looks up the values at distance r from its own,
+Every distinct code is indexed by disjoint segments, cut for the least expected cost: narrow
+ones meet more codes that must be verified, wide ones need more probes, which are shuffled. In round r each open query looks up the values at distance r from its own,
 segment by segment, as an equi-join on (segment, value); no pair of blocks and
 no pair without a common value ever meets. A code counts in the first round and
 segment that show it, which its distances by segment tell, so nothing is
-deduplicated. After round r all codes within distance m * (r + 1) - 1 (of m segments)
+deduplicated, and only where it is no farther than the query's k-th so far. After round r all codes within distance m * (r + 1) - 1 (of m segments)
 have been seen; a query is closed when its k-th verified distance is at most that. Each
 further segment looked up at r + 1 covers one more unit of distance, so a query whose
 k-th distance is under m away from that looks up so many segments only, and closes.
@@ -40,6 +40,9 @@ from shelfmark.llm._text import written
 K = 10
 BITS = 64
 BLOCK = 4096
+#: Segments of a 64-bit word, at most; comparisons that cost as much as one probe, shuffled and sorted.
+MOST = 8
+PROBE = 20
 
 
 def sign_codes(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -59,9 +62,18 @@ def sign_codes(df: DataFrame, id_column: str = "vec_id", vector_column: str = "e
     return whole.select("id", *words)
 
 
-def segments(words: list[str], count: int) -> list[tuple[str, int, int]]:
-    """(word, shift, width) of segments of about log2(`count`) bits."""
-    each = max(1, round(BITS / max(4.0, log2(max(2, count)))))
+def segments(words: list[str], count: int, k: int = K) -> list[tuple[str, int, int]]:
+    """(word, shift, width) of the segments that cost least for `count` codes, were all bits independent and even."""
+    bits, near, reach = BITS * len(words), 0, 0
+    while reach < bits and count * (near + comb(bits, reach)) < (k + 1) << bits:  # `reach`: where the k-th neighbour is expected
+        near, reach = near + comb(bits, reach), reach + 1
+
+    def cost(each: int) -> float:
+        radius, more = divmod(reach + 1, each * len(words))
+        width = BITS // each
+        return (each * len(words) * sum(comb(width, i) for i in range(radius)) + more * comb(width, radius)) * (PROBE + count / 2**width)
+
+    each = min(range(2, MOST + 1), key=cost)
     edges = [BITS * i // each for i in range(each + 1)]
     return [(w, a, b - a) for w in words for a, b in zip(edges, edges[1:])]
 
@@ -86,8 +98,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     index = written(index.where(F.col("code").isNotNull()).select("id", *words).distinct())
     codes = written(index.groupBy(*words).agg(F.min("id").alias("least")))
     total = codes.count()
-    parts = segments(words, total)
-    open_ = written(queries.where(F.col("code").isNotNull()).select(*[F.col(w).alias(q) for w, q in zip(words, asked)]).distinct().withColumn("need", F.lit(len(parts))))
+    parts = segments(words, total, k)
+    open_ = written(queries.where(F.col("code").isNotNull()).select(*[F.col(w).alias(q) for w, q in zip(words, asked)]).distinct().withColumns({"need": F.lit(len(parts)), "far": F.lit(None).cast("int")}))
     pack = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(w), a, n).alias("value")) for i, (w, a, n) in enumerate(parts)])
     tables = codes.select(*words, "least", F.inline(pack))
     lookups = F.array(*[F.struct(F.lit(i).alias("segment"), _value(F.col(f"q_{w}"), a, n).alias("value"), F.lit(-1).alias("last"), F.lit(n).alias("width")) for i, (w, a, n) in enumerate(parts)])
@@ -96,27 +108,26 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
     radius, most = 0, max(n for *_, n in parts)
     while open_.limit(1).count():
         if radius > most or sum(comb(n, radius) for *_, n in parts) > total:
-            closed.append(_scan(codes, open_.drop("need"), words, k + 1, block))
+            closed.append(_scan(codes, open_.select(*asked), words, k + 1, block))
             break
-        probes = open_.select(*asked, "need", F.inline(lookups)).where("segment < need").drop("need")
+        probes = open_.select(*asked, "far", "need", F.inline(lookups)).where("segment < need").drop("need")
         for _ in range(radius):  # one more bit above the last one flipped: every set of `radius` bits once
             probes = probes.where("last < width - 1").withColumn("last", F.explode(F.sequence(F.col("last") + 1, F.col("width") - 1)))
             probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.expr("shiftleft(1L, last)")))
         probes = probes.drop("last", "width")
-        first = F.lit(False)
-        for i, d in enumerate(apart):  # seen here first: no earlier segment within the radius, no later one under it
-            first |= (F.col("segment") == i) & (d == radius)
-            for j in range(len(parts)):
-                if j != i:
-                    first &= (F.col("segment") != i) | (apart[j] > radius if j < i else apart[j] >= radius)
-        found = probes.join(tables.hint("merge"), ["segment", "value"]).where(first).select(*asked, *words, "least", _distance(words).alias("distance"))
+        nth = F.lit(len(parts))
+        for i, d in reversed(list(enumerate(apart))):
+            nth = F.when(d == radius, i).otherwise(nth)
+        new = (F.col("far").isNull() | (_distance(words) <= F.col("far"))) & (F.least(*apart) == radius) & (F.col("segment") == nth)
+        found = probes.join(tables.hint("merge"), ["segment", "value"]).where(new).select(*asked, *words, "least", _distance(words).alias("distance"))
         if best is not None:
-            found = found.unionByName(best.join(open_.hint("merge"), asked, "left_semi"))
+            found = found.unionByName(best.join(open_.select(*asked).hint("merge"), asked, "left_semi"))
         best = written(_least(found, asked, k + 1))
         seen = len(parts) * (radius + 1) - 1
-        known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        lacks = F.when(F.col("n") > k, F.greatest(F.col("far") - seen, F.lit(0))).otherwise(len(parts))
-        state = written(open_.join(known.hint("merge"), asked, "left").select(*asked, F.when(F.col("need") < len(parts), 0).otherwise(F.least(lacks, F.lit(len(parts)))).alias("need")))
+        known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.col("n") > k)
+        lacks = F.coalesce(F.least(F.greatest(F.col("far") - seen, F.lit(0)), F.lit(len(parts))), F.lit(len(parts)))
+        now = F.when(F.col("need") < len(parts), 0).otherwise(lacks)
+        state = written(open_.drop("far").join(known.hint("merge"), asked, "left").select(*asked, now.alias("need"), "far"))
         closed.append(best.join(state.where("need = 0").hint("merge"), asked, "left_semi"))
         open_ = state.where("need > 0")
         radius += 1
