@@ -125,7 +125,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK)
         best = written(_least(found, asked, k + 1))
         seen = len(parts) * (radius + 1) - 1
         known = best.groupBy(*asked).agg(F.count("*").alias("n"), F.max("distance").alias("far")).where(F.col("n") > k)
-        lacks = F.coalesce(F.least(F.greatest(F.col("far") - seen, F.lit(0)), F.lit(len(parts))), F.lit(len(parts)))
+        lacks = F.when(F.col("far").isNull(), len(parts)).otherwise(F.least(F.greatest(F.col("far") - seen, F.lit(0)), F.lit(len(parts))))
         now = F.when(F.col("need") < len(parts), 0).otherwise(lacks)
         state = written(open_.drop("far").join(known.hint("merge"), asked, "left").select(*asked, now.alias("need"), "far"))
         closed.append(best.join(state.where("need = 0").hint("merge"), asked, "left_semi"))
