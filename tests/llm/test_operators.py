@@ -403,6 +403,10 @@ def test_webp_round_trip():
     assert webp.decode_many(streams) == payloads
     assert [webp.decode_bits(s)[0].astype(">u4").tobytes() for s in streams] == payloads
     assert webp.decode(media[0]).shape == (1, 144, 4)
+    one, two = webp.decode(media[0]), webp.decode(media[0] + media[0])
+    assert two.shape == (2, 144, 4) and (two[:1] == one).all() and (two[1:] == one).all()
+    with pytest.raises(ValueError):
+        webp.decode(b"")
 
 
 def test_hamming_by_brute_force(spark):
