@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.operators.graph import scratch as scratch
 from shelfmark.operators.graph import written as written
 
 #: \x20 and \x09-\x0D

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, hamming, language, licenses, neardups, packing, quality, secrets, substrings, webp
+from shelfmark.llm import bpe, hamming, kneser_ney, language, licenses, neardups, packing, quality, secrets, substrings, webp
 from shelfmark.llm._text import table
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hamming_top_k": lambda spark, sf_dir: hamming.search(table(spark, sf_dir, "embeddings")),
         "op9_secret_scan": _docs(secrets.scan),
         "op10_bpe": _docs(lambda d: bpe.digests(d, public_tokenizers.path("word_bpe_49k.json"))),
+        "op11_kneser_ney": _docs(kneser_ney.scored),
         "pipeline": _pipeline,
     }
 
@@ -65,5 +66,36 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN classes c USING (doc_id) LEFT JOIN l
 """
 
 
+#: crc32 of `b`, a list of bytes, with the table `crc` of 256 remainders.
+CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS rest)"
+CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, {b}), lambda c, x: xor(c >> 8, rest[xor(c & 255, x) + 1])))"
+ID_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+KNESER_NEY = rf"""
+WITH {CRC_TABLE},
+t AS (SELECT doc_id, {CRC.format(b=ID_BYTES)} % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' end') AS words FROM documents, crc),
+each AS (SELECT doc_id, held_out, unnest(list_prepend(' start', words[:-2])) AS a, unnest(words) AS w FROM t),
+uni AS (SELECT w, count(*) AS c FROM each WHERE NOT held_out GROUP BY w),
+size AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS tokens, count(*) AS v FROM uni),
+bi AS (SELECT a, w, count(*) AS c FROM each WHERE NOT held_out GROUP BY a, w),
+left_of AS (SELECT w, count(*) AS c FROM bi GROUP BY w),
+counts AS (SELECT 2 AS n, count_if(c = 1) AS n1, count_if(c = 2) AS n2, count_if(c = 3) AS n3, count_if(c = 4) AS n4 FROM bi
+  UNION ALL SELECT 1, count_if(c = 1), count_if(c = 2), count_if(c = 3), count_if(c = 4) FROM left_of),
+d AS (SELECT n, CASE WHEN n1 * n2 * n3 * n4 = 0 THEN 0.5E0 ELSE least(greatest(1 - 2 * (n1 / (n1 + 2 * n2)) * n2 / n1, 0), 1) END AS d1,
+  CASE WHEN n1 * n2 * n3 * n4 = 0 THEN 1E0 ELSE least(greatest(2 - 3 * (n1 / (n1 + 2 * n2)) * n3 / n2, 0), 2) END AS d2,
+  CASE WHEN n1 * n2 * n3 * n4 = 0 THEN 1.5E0 ELSE least(greatest(3 - 4 * (n1 / (n1 + 2 * n2)) * n4 / n3, 0), 3) END AS d3 FROM counts),
+low AS (SELECT w, greatest(c - CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / sum(c) OVER () AS p FROM left_of, d WHERE n = 1),
+low_rest AS (SELECT (any_value(d1) * count_if(c = 1) + any_value(d2) * count_if(c = 2) + any_value(d3) * count_if(c > 2)) / sum(c) AS rest FROM left_of, d WHERE n = 1),
+high AS (SELECT a, sum(c) AS total, (any_value(d1) * count_if(c = 1) + any_value(d2) * count_if(c = 2) + any_value(d3) * count_if(c > 2)) / sum(c) AS rest FROM bi, d WHERE n = 2 GROUP BY a),
+told AS (SELECT e.doc_id, coalesce(uni.c, 0) AS c, coalesce(low.p, 0) + low_rest.rest / (v + 1) AS p1, high.total, high.rest,
+  coalesce(greatest(bi.c - CASE bi.c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0), 0) AS kept, tokens, v
+  FROM each e CROSS JOIN size CROSS JOIN low_rest CROSS JOIN (SELECT * FROM d WHERE n = 2) LEFT JOIN uni USING (w) LEFT JOIN low USING (w) LEFT JOIN high USING (a) LEFT JOIN bi ON bi.a = e.a AND bi.w = e.w)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count_if(c > 0) AS n_known, any_value(tokens) AS train_tokens,
+  round(sum(log10((c + 1) / (tokens + v + 1))), 6) AS base_score, round(sum(log10(CASE WHEN total IS NULL THEN p1 ELSE kept / total + told.rest * p1 END)), 6) AS score
+FROM told JOIN t USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NEAR_DUPLICATES}
+    return {"op1_license_scan": licenses.oracle(), "op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NEAR_DUPLICATES, "op11_kneser_ney": KNESER_NEY}
