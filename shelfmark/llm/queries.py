@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, hamming, kneser_ney, language, licenses, neardups, packing, quality, secrets, substrings, webp
+from shelfmark.llm import alignment, bpe, hamming, kneser_ney, language, licenses, neardups, packing, quality, secrets, spelling, substrings, webp
 from shelfmark.llm._text import table
 
 
@@ -34,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": _docs(secrets.scan),
         "op10_bpe": _docs(lambda d: bpe.digests(d, public_tokenizers.path("word_bpe_49k.json"))),
         "op11_kneser_ney": _docs(kneser_ney.scored),
+        "op12_spelling_variants": _docs(spelling.variants),
+        "op13_token_alignment": _docs(lambda d: alignment.aligned_documents(d, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))),
         "pipeline": _pipeline,
     }
 
@@ -74,7 +76,8 @@ ID_BYTES = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x:
 KNESER_NEY = rf"""
 WITH {CRC_TABLE},
 t AS (SELECT doc_id, {CRC.format(b=ID_BYTES)} % 7 = 2 AS held_out,
-  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' end') AS words FROM documents, crc),
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ' end') AS words FROM documents, crc),
 each AS (SELECT doc_id, held_out, unnest(list_prepend(' start', words[:-2])) AS a, unnest(words) AS w FROM t),
 uni AS (SELECT w, count(*) AS c FROM each WHERE NOT held_out GROUP BY w),
 size AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS tokens, count(*) AS v FROM uni),
@@ -96,6 +99,24 @@ SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count_if(c
 FROM told JOIN t USING (doc_id) GROUP BY doc_id
 """
 
+RUN_BYTES = f"list_concat({ID_BYTES}, [58], flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)))"
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {CRC.format(b=RUN_BYTES)} AS h FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+less AS (SELECT word, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON less.rest = words.word UNION SELECT words.word, less.word FROM less JOIN words ON less.rest = words.word),
+near AS (SELECT x, count(*) AS n_near, first(y ORDER BY n DESC, y) AS best, max(n) AS best_n FROM pairs JOIN words ON word = y GROUP BY x),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM words LEFT JOIN near ON x = word),
+chain(word, last) AS (SELECT word, form FROM told WHERE form IS NOT NULL UNION ALL SELECT chain.word, told.form FROM chain JOIN told ON chain.last = told.word WHERE told.form IS NOT NULL),
+ends AS (SELECT chain.word, last FROM chain JOIN told ON chain.last = told.word WHERE told.form IS NULL)
+SELECT word, form, coalesce(last, word) AS root, n, n_near, form_n FROM told LEFT JOIN ends USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NEAR_DUPLICATES, "op11_kneser_ney": KNESER_NEY}
+    return {"op1_license_scan": licenses.oracle(), "op2_substring_dedup": SUBSTRINGS, "op3_ngram_jaccard": NEAR_DUPLICATES, "op11_kneser_ney": KNESER_NEY, "op12_spelling_variants": SPELLING}
