@@ -425,7 +425,18 @@ ORACLES |= {
     "T5_stalled_runs": (("runs",), "SELECT run_id, 851000000 - CAST(floor(epoch(coalesce(heartbeat_at, started_at))) AS BIGINT) AS age_s FROM runs WHERE status IN ('pending', 'running') AND 851000000 - floor(epoch(coalesce(heartbeat_at, started_at))) > 600"),
     "T6_once": (("requests",), "SELECT event_id, route, status FROM requests"),
     "T7_cooling": (("requests",), "SELECT * FROM (SELECT event_id, identity, at_s - max(CASE WHEN status >= 500 THEN at_s END) OVER (PARTITION BY identity ORDER BY at_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_s FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM requests)) WHERE after_s <= 7200"),
-    "T8_status_changes": (("requests",), "SELECT route, start_s, count(*) AS changes FROM (SELECT route, CAST(floor(epoch(ts) / 600) AS BIGINT) * 600 AS start_s, status, lag(status) OVER (PARTITION BY route ORDER BY ts, event_id) AS before FROM requests) WHERE before <> status GROUP BY route, start_s"),
+    "T8_status_changes": (("requests",), "SELECT route, CAST(floor(at_s / 60) AS BIGINT) * 60 - 60 * k AS start_s, count(*) AS changes FROM (SELECT route, at_s, status, lag(status) OVER (PARTITION BY route ORDER BY at_s, event_id) AS before FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM requests)), range(10) AS r(k) WHERE before <> status GROUP BY ALL"),
+    "T1_rate_limit": (("requests",), """WITH RECURSIVE r AS (SELECT event_id, identity, at_s, row_number() OVER (PARTITION BY identity ORDER BY at_s, event_id) AS k FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM requests)),
+w(identity, k, event_id, at_s, start_s, n) AS (SELECT identity, k, event_id, at_s, at_s, 1 FROM r WHERE k = 1 UNION ALL
+  SELECT r.identity, r.k, r.event_id, r.at_s, CASE WHEN r.at_s >= w.start_s + 21600 THEN r.at_s ELSE w.start_s END, CASE WHEN r.at_s >= w.start_s + 21600 THEN 1 ELSE w.n + 1 END FROM w JOIN r ON r.identity = w.identity AND r.k = w.k + 1)
+SELECT event_id, CASE WHEN n > 3 THEN start_s + 21600 - at_s ELSE 0 END AS wait_s FROM w"""),
+    "T4_transitions": (("requests",), f"""WITH e AS (SELECT start_s + 299 AS at_s, errors / n > 0.01 AS met FROM {_WINDOWS}), g AS (SELECT *, count_if(NOT met) OVER (ORDER BY at_s) AS island FROM e),
+runs AS (SELECT island, min(at_s) AS since_s FROM g WHERE met GROUP BY island), ends AS (SELECT island - 1 AS island, at_s AS end_s FROM g WHERE NOT met),
+fired AS (SELECT * FROM runs LEFT JOIN ends USING (island) WHERE end_s > since_s + 240 OR end_s IS NULL AND since_s + 240 <= (SELECT max(at_s) FROM e))
+SELECT 'errors' AS rule, 'firing' AS state, since_s + 240 AS at_s, since_s FROM fired UNION ALL SELECT 'errors', 'resolved', end_s, since_s FROM fired WHERE end_s IS NOT NULL"""),
+    "T10_worker_sessions": (("heartbeats",), """WITH b AS (SELECT worker, CAST(floor(epoch(ts)) AS BIGINT) AS at_s, coalesce(ts >= lag(ts) OVER w + INTERVAL 120 SECOND, TRUE) AS opens, ts FROM heartbeats WINDOW w AS (PARTITION BY worker ORDER BY ts)),
+s AS (SELECT worker, at_s, count_if(opens) OVER (PARTITION BY worker ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM b)
+SELECT worker, min(at_s) AS start_s, max(at_s) AS last_s, count(*) AS beats FROM s GROUP BY worker, n"""),
     "T9_running_counts": (("operations",), "SELECT operation_id % 7 AS run_id, state AS action, count(*) AS n FROM operations GROUP BY 1, 2"),
     "X1_stripped": ((), r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gsi'), '<[^>]*>', '', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""".replace("\\\\", "\\")),
     "X3_context_isbns": (("imprints",), f"SELECT DISTINCT book_id, {canonical('c')} AS isbn13 FROM (SELECT book_id, coalesce(isbn, '') AS c FROM books_isbn) WHERE ({canonical('c')}) IS NOT NULL"),

@@ -13,7 +13,7 @@ from shelfmark.operators.graph import written
 from shelfmark.plans import oracles
 from shelfmark.sources import records
 from shelfmark.sources.catalogue import sql, view
-from shelfmark.streaming import alerts
+from shelfmark.streaming import alerts, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -310,6 +310,8 @@ QUERIES: dict[str, Query] = {
     "T2_error_windows": _over(lambda r: alerts.error_windows(alerts.timed(r)), "requests"),
     "T3_slow_windows": _over(lambda r: alerts.slow_windows(alerts.timed(r), 0.4), "requests"),
     "T4_held_alerts": _over(lambda r: alerts.held(alerts.error_windows(alerts.timed(r), 0.01).select(F.lit("errors").alias("rule"), "start_s"), 240), "requests"),
+    "T4_transitions": _over(lambda r: alerts.transitions(alerts.evaluations(alerts.timed(r), 0.01), 240), "requests"),
+    "T10_worker_sessions": _over(lambda h: state.sessions(alerts.timed(h)), "heartbeats"),
     "T5_stalled_runs": _over(lambda r: alerts.stalled(r, 851000000), "runs"),
     "T6_once": _over(lambda r: alerts.once(r.unionByName(r.where("event_id % 3 = 0")), "event_id").select("event_id", "route", "status"), "requests"),
     "T7_cooling": _over(lambda r: alerts.cooling(alerts.timed(r), 7200), "requests"),

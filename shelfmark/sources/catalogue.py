@@ -48,6 +48,7 @@ FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION A
   concat('apply:', CAST(o_custkey AS STRING), ':', o_orderpriority) AS idempotency_key FROM orders"""),
     "requests": (("events",), """SELECT event_id, ts, user_id AS identity, event_type AS route, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 503 WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
   value / 100.0E0 AS duration_s FROM events"""),
+    "heartbeats": (("events",), """SELECT concat('w-', CAST(user_id % 7 AS STRING)) AS worker, ts FROM events"""),
     "calibration": (("labels", "documents"), """SELECT d.doc_id AS evidence_id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 2 = 0 AS would_auto_apply,
   l.quality = 1 AS identity_correct, l.toxic = 0 AS patch_correct, CASE WHEN d.doc_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE d.n_chars / 100.0E0 END AS review_seconds, d.n_chars AS egress_bytes
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id

@@ -1,4 +1,4 @@
-"""Alerts and limits over events (T1-T9). The same functions take a batch or a stream; on a stream put `late` in front, which drops rows more than ten minutes behind."""
+"""Alerts and limits over events (T1-T9). T2, T3, T6 and T9 take a batch or a stream; on a stream put `late` in front, which drops rows more than ten minutes behind. The streams of T1, T4, T5, T7 and T8 are in `state`."""
 
 from __future__ import annotations
 
@@ -45,6 +45,41 @@ def held(windows: DataFrame, seconds: int = 600, step: int = 60) -> DataFrame:
     return island.withColumn("since_s", since).where(F.col("start_s") - F.col("since_s") >= seconds).select("rule", "start_s", "since_s")
 
 
+def flips(rows: DataFrame, key: str, value: str, order: tuple[str, ...], bucket: int = 3600) -> DataFrame:
+    """Rows whose value differs from that of the row before (`before`), and the first row of each key. `order`: at_s and what breaks its ties.
+
+    A key may hold most of the rows: they are compared inside buckets of time, and the buckets' last values with each other.
+    """
+    rows = rows.withColumn("bucket", F.floor(F.col(order[0]) / bucket))
+    w = Window.partitionBy(key, "bucket").orderBy(*order)
+    inner = rows.withColumn("place", F.row_number().over(w)).withColumn("before", F.lag(value).over(w))
+    last = rows.groupBy(key, "bucket").agg(F.max_by(value, F.struct(*order)).alias("last"))
+    border = last.select(key, "bucket", F.lag("last").over(Window.partitionBy(key).orderBy("bucket")).alias("border"))
+    told = inner.where((F.col("place") > 1) & (F.col("before") != F.col(value))).select(*rows.columns, "before")
+    first = inner.where("place = 1").drop("before").join(border, [key, "bucket"]).where(F.col("border").isNull() | (F.col("border") != F.col(value)))
+    return told.unionByName(first.select(*rows.columns, F.col("border").alias("before"))).drop("bucket")
+
+
+def evaluations(requests: DataFrame, share: float = 0.05) -> DataFrame:
+    """What the rule of T2 says at the end of each five-minute window: rule, ts, met."""
+    by = requests.groupBy(F.window("ts", "5 minutes", "1 minute").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"))
+    return by.select(F.lit("errors").alias("rule"), F.window_time("w").alias("ts"), (F.col("errors") / F.col("n") > share).alias("met"))
+
+
+def transitions(told: DataFrame, seconds: int) -> DataFrame:
+    """T4: when rules (rule, ts, met) fire, `seconds` after their first met evaluation with none unmet until then, and when they are resolved.
+
+    What is pending after the last evaluation of all has fired if its time had come by then.
+    """
+    rows = told.select("rule", "met", F.unix_seconds("ts").alias("at_s"))
+    edge = flips(rows, "rule", "met", ("at_s",))
+    runs = edge.withColumn("end_s", F.lead("at_s").over(Window.partitionBy("rule").orderBy("at_s"))).where("met")
+    fired_s = F.col("at_s") + seconds
+    fired = runs.crossJoin(F.broadcast(rows.agg(F.max("at_s").alias("now_s")))).where((F.col("end_s").isNull() & (fired_s <= F.col("now_s"))) | (F.col("end_s") > fired_s))  # one row
+    both = F.array(F.struct(F.lit("firing").alias("state"), fired_s.alias("at")), F.struct(F.lit("resolved").alias("state"), F.col("end_s").alias("at")))
+    return fired.select("rule", F.col("at_s").alias("since_s"), F.inline(both)).where("at is not null").select("rule", "state", F.col("at").alias("at_s"), "since_s")
+
+
 def stalled(runs: DataFrame, now_s: int, seconds: int = 600) -> DataFrame:
     """T5: active runs whose last sign of life is more than `seconds` back."""
     last = F.unix_seconds(F.coalesce("heartbeat_at", "started_at").cast("timestamp"))
@@ -57,18 +92,24 @@ def once(events: DataFrame, key: str) -> DataFrame:
 
 
 def cooling(requests: DataFrame, seconds: int = 300) -> DataFrame:
-    """Requests of an identity within `seconds` after its last 5xx answer."""
-    w = Window.partitionBy("identity").orderBy("at_s", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = requests.withColumn("at_s", F.unix_seconds("ts"))
-    rows = rows.withColumn("failed_s", F.max(F.when(F.col("status") >= 500, F.col("at_s"))).over(w))
-    return rows.where(F.col("at_s") - F.col("failed_s") <= seconds).select("event_id", "identity", (F.col("at_s") - F.col("failed_s")).alias("after_s"))
-
-
-def status_changes(requests: DataFrame, minutes: int = 10) -> DataFrame:
-    """How often a route's status changed from one request to the next, in windows of `minutes`."""
-    before = F.lag("status").over(Window.partitionBy("route").orderBy("ts", "event_id"))
-    rows = requests.withColumn("before", before).where(F.col("before") != F.col("status"))
-    return rows.groupBy("route", F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("changes")).select("route", F.unix_seconds("w.start").alias("start_s"), "changes")
+    """Requests of an identity within `seconds` after its last 5xx answer.
+
+    That answer lies in the same span of `seconds` or in the one before, so no task has to hold an identity's whole past.
+    """
+    rows = requests.select("event_id", "identity", "status", F.unix_seconds("ts").alias("at_s")).withColumn("span", F.floor(F.col("at_s") / seconds))
+    failed = F.when(F.col("status") >= 500, F.col("at_s"))
+    w = Window.partitionBy("identity", "span").orderBy("at_s", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.where("status >= 500").groupBy("identity", (F.col("span") + 1).alias("span")).agg(F.max("at_s").alias("before_s"))
+    told = rows.withColumn("failed_s", F.max(failed).over(w)).join(before, ["identity", "span"], "left").withColumn("failed_s", F.coalesce("failed_s", "before_s"))
+    return told.where(F.col("at_s") - F.col("failed_s") <= seconds).select("event_id", "identity", (F.col("at_s") - F.col("failed_s")).alias("after_s"))
+
+
+def status_changes(requests: DataFrame, minutes: int = 10, slide: int = 1) -> DataFrame:
+    """How often a route's status changed from one request to the next, in sliding windows of `minutes`; a change counts at the whole second of its request."""
+    rows = requests.select("route", "event_id", "status", F.unix_seconds("ts").alias("at_s"))
+    changed = flips(rows, "route", "status", ("at_s", "event_id")).where("before is not null").withColumn("ts", F.timestamp_seconds("at_s"))
+    by = changed.groupBy("route", F.window("ts", f"{minutes} minutes", f"{slide} minutes").alias("w")).agg(F.count("*").alias("changes"))
+    return by.select("route", F.unix_seconds("w.start").alias("start_s"), "changes")
 
 
 def running_counts(verdicts: DataFrame) -> DataFrame:
