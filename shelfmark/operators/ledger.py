@@ -79,7 +79,3 @@ def read_back(patches: DataFrame, observed: DataFrame) -> DataFrame:
     """By book whether every patched field, but volatile ones, reads back as patched. Both: book_id, field, value."""
     both = patches.where(~F.col("field").isin(*VOLATILE)).join(observed.withColumnRenamed("value", "seen"), ["book_id", "field"], "left")
     return both.groupBy("book_id").agg(F.min(F.col("value").eqNullSafe(F.col("seen"))).alias("matches"), F.count_if(~F.col("value").eqNullSafe(F.col("seen"))).alias("n_differ"))
-
-
-def newest_of(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("n = 1").drop("n")

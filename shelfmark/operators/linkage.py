@@ -135,11 +135,6 @@ def duplicate_titles(books: DataFrame) -> DataFrame:
     )
 
 
-def pair_duplicates(books: DataFrame) -> DataFrame:
-    """D5 by ISBN alone."""
-    return all_pair_duplicates(books).where("type = 'isbn_match'").select("book_id", F.col("value").alias("isbn"), "first_id")
-
-
 def near_hashes(covers: DataFrame, most: int = 4) -> DataFrame:
     """Distinct 64-bit hashes at a distance of at most `most`, with how many covers hold each.
 

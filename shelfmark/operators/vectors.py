@@ -1,4 +1,4 @@
-"""Embedding texts and exact cosine neighbours of a stated query set."""
+"""Embedding texts, and cosine neighbours: exactly in tiles, or of all vectors by random hyperplanes."""
 
 from __future__ import annotations
 
@@ -6,14 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def embedding_text(books: DataFrame, most: int = 500) -> DataFrame:
-    """The text that is embedded and a stable id from it."""
-    t = F.substring(F.concat(F.coalesce("title", F.lit("")), F.lit(" by "), F.coalesce("author", F.lit(""))), 1, most)
-    return books.select("book_id", t.alias("embedding_text"), F.md5(t).alias("point_id"))
+from shelfmark.operators.graph import written
 
 
 def snippet_text(books: DataFrame, snippets: DataFrame, most: int = 500) -> DataFrame:
@@ -26,51 +23,145 @@ def snippet_text(books: DataFrame, snippets: DataFrame, most: int = 500) -> Data
     return books.join(first, "book_id", "left").select("book_id", F.concat(F.coalesce("title", F.lit("")), by, more).alias("embedding_text"), point.alias("point_id")).where(F.trim("embedding_text") != "")
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, block: int = 16384) -> DataFrame:
-    """The k nearest by cosine for the vectors whose id is divisible by `every`, exactly.
+#: Rows of a tile on either side; tables of the index; the recall that its bits are chosen for, and the queries that are scored exactly for that.
+TILE, TABLES, RECALL, PROBES = 4096, 16, 0.97, 256
+_PAIR = "query_id long, neighbour_id long, score double"
+
+
+def sound(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding, width of the rows that have a direction; null, empty and unfinite vectors and null ids stay out. Vectors of different widths are never compared."""
+    x = F.col("embedding").cast("array<double>")
+    fine = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0)
+    return vectors.where((F.size("embedding") > 0) & fine & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("width"))
+
+
+def _unit(column: pa.Array) -> np.ndarray:
+    v = np.asarray(column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten(), np.float64).reshape(len(column), -1)
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _best(ids: np.ndarray, q: np.ndarray, others: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of `others` for each query, ties to the smaller id, the query itself left out."""
+    order = np.argsort(others, kind="stable")
+    others, v = others[order], v[order]
+    out = []
+    for at in range(0, len(ids), 512):
+        score = np.round(q[at : at + 512] @ v.T, 6)
+        score[ids[at : at + 512, None] == others] = -np.inf
+        if len(others) > 4 * k + 16:  # what isn't below the k-th score, then in order
+            least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            x, y = np.nonzero(score >= least[:, None])
+        else:
+            x, y = (z.ravel() for z in np.indices(score.shape))
+        s = score[x, y]
+        by = np.lexsort((y, -s, x))
+        x, y, s = x[by], y[by], s[by]
+        place = np.arange(len(x)) - np.searchsorted(x, x, "left")
+        keep = (place < k) & np.isfinite(s)
+        out.append((ids[at : at + 512][x[keep]], others[y[keep]], s[keep]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def _tiled(rows: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k best rows with equal keys for each row of `asked` (keys, vec_id, embedding): a group is cut into tiles of at most about `TILE` queries by `TILE` rows,
+    each of which sends k rows for each of its queries. A group's tiles are as many tasks' work as it needs, so its size doesn't matter."""
+    parts = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias(name))
+    cuts = parts(rows, "n_row").join(parts(asked, "n_query"), keys)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = rows.join(cuts, keys).withColumn("r", own("n_row")).withColumn("q", every("n_query"))
+    query = asked.join(cuts, keys).withColumn("q", own("n_query")).withColumn("r", every("n_row"))
+    columns = [*keys, "q", "r", "vec_id", "embedding"]
+    both = data.select(*columns, F.lit(False).alias("asks")).unionByName(query.select(*columns, F.lit(True).alias("asks")))
+
+    def score(tile: pa.Table) -> pa.Table:
+        asks = tile["asks"].combine_chunks()
+        q, v = tile.filter(asks), tile.filter(pa.compute.invert(asks))
+        if q.num_rows and v.num_rows:
+            got = _best(q["vec_id"].to_numpy(), _unit(q["embedding"]), v["vec_id"].to_numpy(), _unit(v["embedding"]), k)
+        else:
+            got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table([*map(pa.array, got)], ["query_id", "neighbour_id", "score"])
+
+    return both.groupBy(*keys, "q", "r").applyInArrow(score, _PAIR)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+    """The k nearest by cosine for the vectors whose id is divisible by `every`, exactly; 1 asks for all.
 
-    The query set goes in blocks of at most `block` vectors (a few MB, whatever the table's size), each to every task once;
-    a task scores its batches as matrix products and keeps k rows for each query, so what is shuffled is bounded by
-    queries, k and tasks. Vectors that are null, of length 0 or of another width than most stay out.
+    A blocked product of queries and rows: both travel to tiles, nothing to the driver. The work is queries times rows.
     """
-    rows = vectors.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).select("vec_id", "embedding")
-    width = rows.agg(F.mode(F.size("embedding"), deterministic=True)).first()[0]
-    rows = rows.where(F.size("embedding") == width) if width else rows
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // block))
-    out = None
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        ids, unit = part.column("vec_id").to_numpy(), _unit(part.column("embedding").combine_chunks(), width or 1)
-        found = rows.mapInArrow(_scorer(ids, unit, k), "query_id long, neighbour_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "neighbour_id", "score", "rank")
+    rows = sound(vectors)
+    return _ranked(_tiled(rows, rows.where(F.col("vec_id") % every == 0), ["width"], k), k).select("query_id", "neighbour_id", "score", "rank")
+
 
+def bits_for(scores: list[float], tables: int, rows: int, recall: float = RECALL) -> int:
+    """The most bits a table may have so that neighbours at these cosines share a bucket of some table with the wanted probability, on average; no more than leave a few hundred rows to a bucket."""
+    alike = 1 - np.arccos(np.clip(np.array(scores), -1, 1)) / np.pi
+    most = max(0, int(np.log2(max(1, rows / 256))))
+    return max((b for b in range(most + 1) if len(scores) and (1 - (1 - alike**b) ** tables).mean() >= recall), default=0)
 
-def _unit(column: pa.Array, width: int) -> np.ndarray:
-    v = np.asarray(column.flatten(), np.float64).reshape(-1, width)
-    norm = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.where(norm > 0, norm, np.nan)
 
+def _buckets(rows: DataFrame, tables: int, bits: int) -> DataFrame:
+    """A row for each table, with the sides of its random hyperplanes that the vector lies on. The hyperplanes come from a fixed seed for each width."""
 
-def _scorer(asked: np.ndarray, unit: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                part = whole.slice(at, 2048)
-                ids = part.column("vec_id").to_numpy()
-                score = np.round(unit @ _unit(part.column("embedding"), unit.shape[1]).T, 6) if len(asked) else np.zeros((0, len(ids)))
-                score[asked[:, None] == ids] = np.nan
-                score = np.where(np.isnan(score), -np.inf, score)
-                order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-                top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                q = np.repeat(np.arange(len(asked)), top.shape[1])
-                best = score[q, top.ravel()]
-                keep = np.isfinite(best)
-                yield pa.record_batch([pa.array(asked[q[keep]]), pa.array(ids[top.ravel()[keep]]), pa.array(best[keep])], ["query_id", "neighbour_id", "score"])
-
-    return run
+        for b in batches:
+            widths = b.column("width").to_numpy()
+            for width in np.unique(widths):
+                part = b.take(pa.array(np.flatnonzero(widths == width)))
+                planes = np.random.default_rng([7, int(width)]).standard_normal((tables * bits, width))
+                side = (_unit(part.column("embedding")) @ planes.T > 0).reshape(part.num_rows, tables, bits)
+                bucket = (side * (1 << np.arange(bits))).sum(2)
+                for t in range(tables):
+                    yield pa.record_batch([part.column("vec_id"), part.column("embedding"), part.column("width"), pa.array(np.full(part.num_rows, t), pa.int32()), pa.array(bucket[:, t], pa.int64())], ["vec_id", "embedding", "width", "table", "bucket"])
+
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, embedding {kind}, width int, table int, bucket long")
+
+
+def neighbours(vectors: DataFrame, k: int = 5, tables: int = TABLES, recall: float = RECALL) -> DataFrame:
+    """E2 for every vector: an index of random-hyperplane tables over all rows, candidates re-scored exactly.
+
+    Rows of equal vectors are searched once, and every member gets the class's neighbours and its fellow members. A table has as many bits as the wanted recall
+    allows, by the cosines of the true neighbours of `PROBES` vectors, found exactly; where neighbours are far apart that may be none,
+    and the search is the exact one. `nearest` with every=1 is the exact way.
+    """
+    rows = written(sound(vectors))
+    classes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("width").alias("width")))
+    distinct = classes.select(F.col("class_id").alias("vec_id"), "embedding", "width")
+    probes = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES)
+    scores = [r["score"] for r in _ranked(_tiled(distinct, probes, ["width"], k), k).select("score").collect()]  # PROBES times k at most
+    bits = bits_for(scores, tables, distinct.count(), recall)
+    if bits:
+        dealt = written(_buckets(distinct, tables, bits))
+        found = _tiled(dealt, dealt, ["width", "table", "bucket"], k).distinct()
+    else:
+        found = _tiled(distinct, distinct, ["width"], k)
+    near = _ranked(found, k).select(F.col("query_id").alias("class_id"), F.col("neighbour_id").alias("other"), "score")
+    several = classes.where("n > 1").select("embedding", "class_id")
+    member = rows.join(several, "embedding").select("vec_id", "class_id")
+    few = _first_ids(member, k + 1)
+    others = near.join(few.withColumnRenamed("class_id", "other"), "other", "left").select("class_id", F.coalesce("id", "other").alias("neighbour_id"), "score")
+    own = few.select("class_id", F.col("id").alias("neighbour_id"), F.lit(1.0).alias("score"))
+    w = Window.partitionBy("class_id").orderBy(F.desc("score"), "neighbour_id")
+    each = others.unionByName(own).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1).drop("place")
+    asked = member.unionByName(classes.where("n = 1").select(F.col("class_id").alias("vec_id"), "class_id"))
+    pairs = asked.join(each, "class_id").where("vec_id <> neighbour_id").select(F.col("vec_id").alias("query_id"), "neighbour_id", "score")
+    return _ranked(pairs, k).select("query_id", "neighbour_id", "score", "rank")
+
+
+def _first_ids(member: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """class_id, id: the smallest ids of each class; in parts first, since a class may hold a third of all rows."""
+    one = Window.partitionBy("class_id", "salt").orderBy("vec_id")
+    parts = member.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("place", F.row_number().over(one)).where(F.col("place") <= most)
+    all_parts = Window.partitionBy("class_id").orderBy("vec_id")
+    return parts.withColumn("place", F.row_number().over(all_parts)).where(F.col("place") <= most).select("class_id", F.col("vec_id").alias("id"))
 
 
 def open_embeddings(texts: DataFrame, cache: DataFrame, provider: str, model: str) -> DataFrame:

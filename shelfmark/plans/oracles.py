@@ -275,7 +275,6 @@ FROM (SELECT book_id, field, count(DISTINCT k) AS nv, count(DISTINCT independenc
   FROM (SELECT e.*, {value_key('e.field', 'e.value')} AS k, e.authoritative AND coalesce(e.manifestation_isbn = l.id, FALSE) AS good FROM evidence e JOIN ladder l ON l.book_id = e.book_id) e JOIN ladder l ON l.book_id = e.book_id GROUP BY ALL)
 SELECT book_id, field, tier, status, CASE WHEN tier = 'A' AND nv = 1 THEN k END AS resolved, CASE WHEN status = 'auto' THEN told END AS patch FROM (SELECT j.*, CASE WHEN tier = 'C' THEN 'blocked' WHEN tier = 'B' OR nv <> 1 OR nr < 2 OR NOT sure THEN 'review' WHEN k = {value_key('c.field', 'c.value')} THEN 'unchanged' ELSE 'auto' END AS status
   FROM judged j LEFT JOIN current_fields c ON c.book_id = j.book_id AND c.field = j.field)"""),
-    "R10_R11_tiers": (("evidence", "format_evidence"), _TIERS),
     "R6_R10_R11_ladder": (("evidence", "format_evidence"), _TIERS),
     "R12_ocr_consensus": (("format_evidence",), f"""SELECT book_id AS file_id, count(*) AS n_engines, CASE WHEN bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 THEN min(c) END AS isbn, bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 AND count(*) >= 2 AS authoritative FROM (SELECT book_id, {canonical("coalesce(isbn, '')")} AS c FROM format_evidence) GROUP BY book_id"""),
     "R13_evidence_ids": (("evidence",), "SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || independence_root || '|' || field), 1, 20) AS evidence_id, count(*) AS n_rows, count(DISTINCT value || source_kind || CAST(authoritative AS VARCHAR)) > 1 AS clash FROM evidence GROUP BY book_id, independence_root, field"),
@@ -299,7 +298,6 @@ FROM (SELECT book_id, CAST(coalesce(floor(avg(confidence) FILTER (verdict <> 'am
     "C4_C5_best_candidate": (("books_isbn", "candidates"), f"SELECT b.book_id, coalesce(provider, 'local') AS provider, round(coalesce(score, 0.0E0), 6) AS score, CASE WHEN provider IS NULL THEN 'KEEP_LOCAL' ELSE 'REVIEW_RECOMMENDED' END AS decision FROM books_isbn b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY round(score, 9) DESC, pos) AS n FROM {_SCORED} WHERE NOT tripped AND NOT conflict) s ON s.book_id = b.book_id AND n = 1"),
     "D2_title_author_clusters": (("books", "formats"), _D2),
     "D3_isbn_clusters": (("books_isbn", "formats"), f"SELECT * FROM ({_D3}) WHERE book_ids NOT IN (SELECT book_ids FROM ({_D2}))"),
-    "D5_pair_duplicates": (("books_isbn",), "SELECT * FROM (SELECT book_id, isbn, min(book_id) OVER (PARTITION BY isbn) AS first_id FROM books_isbn WHERE isbn IS NOT NULL) WHERE book_id <> first_id"),
     "D5_all_pair_duplicates": (("books_isbn",), """SELECT * FROM (SELECT type, min(book_id) OVER (PARTITION BY type, value) AS first_id, book_id, value FROM (SELECT 'isbn_match' AS type, book_id, isbn AS value FROM books_isbn WHERE isbn <> ''
 UNION ALL SELECT 'title_author_match', book_id, trim(lower(coalesce(title, ''))) || '|' || trim(lower(coalesce(author, ''))) FROM books_isbn)) WHERE book_id <> first_id"""),
     "D7_duplicate_titles": (("books",), "SELECT lower(trim(title)) AS title, count(*) AS n, string_agg(CAST(book_id AS VARCHAR), ',' ORDER BY book_id) AS book_ids FROM books WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
@@ -330,9 +328,6 @@ FROM {_ISBN} b LEFT JOIN (SELECT book_id, count(*) AS n FROM formats GROUP BY bo
     "R7_root_matches": (("evidence",), f"SELECT * FROM {_ROOTS}"),
     "R8_field_consensus": (("evidence",), f"""SELECT book_id, field, nv AS n_values, nr AS n_roots, CASE WHEN nv = 1 THEN v END AS value, CASE WHEN nv = 1 AND nr >= 2 AND sure THEN 'auto' ELSE 'review' END AS status
 FROM (SELECT book_id, field, count(DISTINCT lower(trim(value))) AS nv, count(DISTINCT independence_root) AS nr, min(lower(trim(value))) AS v, bool_or(source_kind IN ('content_native', 'ocr_consensus', 'official')) AS sure FROM evidence WHERE authoritative GROUP BY book_id, field)"""),
-    "R10_R11_tiers": (("evidence",), f"""SELECT book_id, CASE WHEN reason = 'confirmed' THEN 'A' ELSE 'B' END AS tier, reason, CASE WHEN reason = 'confirmed' THEN 'shadowed' ELSE 'review' END AS state FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_identifier'
-  WHEN NOT coalesce(internal, FALSE) THEN 'missing_internal_manifestation_confirmation' WHEN NOT coalesce("external", FALSE) THEN 'missing_external_manifestation_confirmation' WHEN r.book_id IS NULL THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
-FROM (SELECT book_id, max(manifestation_isbn) AS isbn FROM evidence GROUP BY book_id) b LEFT JOIN {_CONFIRMED} c ON c.book_id = b.book_id LEFT JOIN (SELECT DISTINCT book_id FROM {_ROOTS}) r ON r.book_id = b.book_id)"""),
     "R6_R10_R11_ladder": (("evidence",), f"""SELECT book_id, CASE reason WHEN 'confirmed' THEN 'A' WHEN 'external_expression_conflict' THEN 'C' ELSE 'B' END AS tier, reason, CASE reason WHEN 'confirmed' THEN 'shadowed' WHEN 'external_expression_conflict' THEN 'deferred' ELSE 'review' END AS state
 FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_identifier' WHEN NOT coalesce(internal, FALSE) THEN 'missing_internal_manifestation_confirmation' WHEN NOT coalesce("external", FALSE) THEN 'missing_external_manifestation_confirmation'
   WHEN (SELECT count(DISTINCT i.field) FROM evidence i WHERE i.book_id = b.book_id AND i.authoritative AND i.source_kind IN {_INTERNAL} AND i.field IN ('title', 'authors', 'languages')) < 3 THEN 'incomplete_internal_core_evidence'
@@ -341,7 +336,6 @@ FROM (SELECT b.book_id, CASE WHEN isbn IS NULL THEN 'missing_manifestation_ident
     AND i.authoritative AND i.source_kind IN {_INTERNAL} AND lower(trim(o.value)) <> lower(trim(i.value))) THEN 'external_expression_conflict'
   WHEN r.book_id IS NULL THEN 'missing_external_core_confirmation' ELSE 'confirmed' END AS reason
 FROM (SELECT book_id, max(manifestation_isbn) AS isbn FROM evidence GROUP BY book_id) b LEFT JOIN {_CONFIRMED} c ON c.book_id = b.book_id LEFT JOIN (SELECT DISTINCT book_id FROM {_ROOTS}) r ON r.book_id = b.book_id)"""),
-    "E1_embedding_text": (("books",), "SELECT book_id, t AS embedding_text, md5(t) AS point_id FROM (SELECT book_id, substr(coalesce(title, '') || ' by ' || coalesce(author, ''), 1, 500) AS t FROM books)"),
     "E1_snippet_text": (("books", "snippets"), """SELECT book_id, t AS embedding_text, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id
 FROM (SELECT b.book_id, md5(CAST(b.book_id AS VARCHAR)) AS h, coalesce(title, '') || CASE WHEN author <> '' THEN ' by ' || author ELSE '' END || CASE WHEN s.book_id IS NULL THEN '' ELSE chr(10) || chr(10) || 'Snippet: ' || substr(coalesce(s.text, ''), 1, 500) END AS t
   FROM books b LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY seq) AS n FROM snippets) WHERE n = 1) s ON s.book_id = b.book_id) WHERE trim(t) <> ''"""),
@@ -374,7 +368,8 @@ _P8 = "CASE WHEN her >= 6.5 AND acf >= 0.28 THEN {0} WHEN her >= 6.5 AND folio T
 ORACLES |= {
     "D1_file_hashes": ((), "SELECT doc_id AS file_id, sha256(text) AS full FROM (SELECT *, count(*) OVER (PARTITION BY strlen(text), CASE WHEN strlen(text) <= 65536 THEN text ELSE md5(left(text, 20000)) END) AS n FROM documents) WHERE n > 1"),
     "D4_work_clusters": (("books_isbn", "formats"), _D4),
-    "D6_semantic_pairs": ((), f"SELECT least(query_id, neighbour_id) AS left_id, greatest(query_id, neighbour_id) AS right_id, max(score) AS score FROM ({ORACLES['E2_nearest'][1]}) WHERE score > 0.3 GROUP BY 1, 2"),
+    "D6_semantic_pairs": ((), f"SELECT least(query_id, neighbour_id) AS left_id, greatest(query_id, neighbour_id) AS right_id, max(score) AS score FROM ({ORACLES['E2_nearest'][1].replace('q.vec_id % 50 = 0 AND ', '')}) WHERE score > 0.3 GROUP BY 1, 2"),
+    "E2_all_nearest": ((), ORACLES['E2_nearest'][1].replace('q.vec_id % 50 = 0 AND ', '')),
     "D9_reused_answers": (("cover_stats",), f"""SELECT cover_id, CASE WHEN d IS NOT NULL THEN 'digest' WHEN h IS NOT NULL THEN 'hash' ELSE 'near' END AS how, coalesce(d, h, n) AS answer FROM (SELECT c.cover_id, (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.digest = md5(CAST(c.size_bytes AS VARCHAR))) AS d,
   (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.phash = c.phash) AS h, (SELECT arg_min(answer, CAST(bit_count(xor(x.phash, c.phash)) AS BIGINT) * 1000000000 - seq) FROM (SELECT * FROM {_HASH_CACHE} ORDER BY seq DESC LIMIT 150) x WHERE bit_count(xor(x.phash, c.phash)) <= 4) AS n FROM cover_stats c) WHERE coalesce(d, h, n) IS NOT NULL"""),
     "G2_topology": (("books",), f"SELECT series, missing, f AS fractional, CAST(len(string_split(missing, ',')) AS VARCHAR) || ' missing, ' || CAST(n AS VARCHAR) || ' between' AS summary FROM ({ORACLES['G2_inner_gaps'][1]}) g JOIN (SELECT series AS s, coalesce(array_to_string(list_sort(list(DISTINCT series_index) FILTER (series_index <> floor(series_index))), ','), '') AS f, count(DISTINCT series_index) FILTER (series_index <> floor(series_index)) AS n FROM books GROUP BY series) ON s = series"),

@@ -234,9 +234,9 @@ QUERIES: dict[str, Query] = {
     "D3_isbn_clusters": _over(linkage.isbn_clusters, "books_isbn", "formats"),
     "D1_file_hashes": _over(lambda d: linkage.file_hashes(d.select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("content"))).select("file_id", "full"), "documents"),
     "D4_work_clusters": _over(linkage.work_clusters, "books_isbn", "formats"),
-    "D6_semantic_pairs": _over(lambda v: linkage.semantic_pairs(vectors.nearest(v, 5), 0.3), "embeddings"),
+    "D6_semantic_pairs": _over(lambda v: linkage.semantic_pairs(vectors.neighbours(v, 5), 0.3), "embeddings"),
+    "E2_all_nearest": _over(vectors.neighbours, "embeddings"),
     "D9_reused_answers": _over(_reused, "cover_stats"),
-    "D5_pair_duplicates": _over(linkage.pair_duplicates, "books_isbn"),
     "D5_all_pair_duplicates": _over(linkage.all_pair_duplicates, "books_isbn"),
     "D7_duplicate_titles": _over(linkage.duplicate_titles, "books"),
     "D8_near_hashes": _over(linkage.near_hashes, "cover_stats"),
@@ -297,13 +297,11 @@ QUERIES: dict[str, Query] = {
     "R7_root_matches": _over(identity.root_matches, "evidence", "format_evidence"),
     "R8_field_consensus": _over(identity.field_consensus, "evidence"),
     "R9_R10_decisions": _over(identity.decisions, "evidence", "format_evidence", "current_fields"),
-    "R10_R11_tiers": _over(identity.tiers, "evidence", "format_evidence"),
     "R6_R10_R11_ladder": _over(identity.tiers, "evidence", "format_evidence"),
     "R12_ocr_consensus": _over(_ocr, "format_evidence"),
     "R13_evidence_ids": _over(identity.evidence_ids, "evidence"),
     "R14_broken_seals": _over(_broken_seals, "evidence"),
     "R15_changed_sources": _over(_changed, "formats"),
-    "E1_embedding_text": _over(vectors.embedding_text, "books"),
     "E1_snippet_text": _over(vectors.snippet_text, "books", "snippets"),
     "E2_nearest": _over(vectors.nearest, "embeddings"),
     "T1_rate_limit": _over(lambda r: alerts.limited(alerts.timed(r), 3, 6 * 3600), "requests"),

@@ -1,5 +1,8 @@
 """Embedding texts of books made by hand."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from shelfmark.operators import vectors
 
 
@@ -9,3 +12,66 @@ def test_snippet_text(spark):
     got = {r["book_id"]: r for r in vectors.snippet_text(books, snippets).collect()}
     assert got[1]["embedding_text"] == "t" * 600 + " by Eve\n\nSnippet: " + "s" * 500 and got[2]["embedding_text"] == "t" * 600 + " by Eve"
     assert set(got) == {1, 2} and got[1]["point_id"] == "c4ca4238-a0b9-4382-adcc-509a6f75849b"
+
+
+def _clustered(spark, n, seed=1, copies=0):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal((n // 20, 32))
+    v = centre[rng.integers(0, len(centre), n)] + 0.35 * rng.standard_normal((n, 32))
+    v[:copies] = v[0]
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+
+
+def _brute(v, k):
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 6)
+    np.fill_diagonal(score, -2)
+    return {i: [(int(j), score[i, j]) for j in np.lexsort((np.arange(len(u)), -score[i]))[:k]] for i in range(len(u))}
+
+
+def _lists(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["neighbour_id"], r["score"]))
+    return out
+
+
+def test_exact_in_tiles(spark, monkeypatch):
+    v, df = _clustered(spark, 700)
+    want = _brute(v, 5)
+    monkeypatch.setattr(vectors, "TILE", 100)
+    got = _lists(vectors.nearest(df, 5, 1))
+    assert got.keys() == want.keys() and all([j for j, _ in got[i]] == [j for j, _ in want[i]] for i in want)
+    assert set(_lists(vectors.nearest(df, 3, 50))) == set(range(0, 700, 50))
+
+
+def test_index_over_all_rows(spark, monkeypatch):
+    """Buckets are used, recall is above 0.9, and every score is exact."""
+    v, df = _clustered(spark, 6000)
+    want = _brute(v, 5)
+    asked = []
+    monkeypatch.setattr(vectors, "bits_for", lambda *a, f=vectors.bits_for: asked.append(f(*a)) or asked[-1])
+    got = _lists(vectors.neighbours(df, 5))
+    assert asked[0] >= 3 and len(got) == 6000
+    assert sum(len({j for j, _ in got[i]} & {j for j, _ in want[i]}) for i in want) / (5 * 6000) > 0.93
+    best = {i: dict(want[i]) for i in want}
+    assert all(abs(s - best[i][j]) < 1e-6 for i in got for j, s in got[i] if j in best[i])
+
+
+def test_copies_of_a_third(spark):
+    """A third of all rows is one vector: each copy has other copies, by id; other rows have their own neighbours."""
+    v, df = _clustered(spark, 900, 3, 300)
+    want = _brute(v, 5)
+    got = _lists(vectors.neighbours(df, 5))
+    assert [j for j, _ in got[0]] == [1, 2, 3, 4, 5] and [j for j, _ in got[2]] == [0, 1, 3, 4, 5] and [j for j, _ in got[299]] == [0, 1, 2, 3, 4]
+    assert all([j for j, _ in got[i]] == [j for j, _ in want[i]] for i in range(300, 900))
+
+
+def test_odd_vectors(spark):
+    """Nulls, zeros, NaN and null ids stay out; each width is searched; equal scores go to the smaller id."""
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.1, 0.0]), (10, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("q", F.lit(1))
+    for got in (_lists(vectors.nearest(df, 2, 1)), _lists(vectors.neighbours(df, 2))):
+        assert {i: [j for j, _ in x] for i, x in got.items()} == {1: [2, 3], 2: [1, 3], 3: [1, 2], 8: [9], 9: [8]}
+    assert vectors.neighbours(df.limit(0)).count() == 0
