@@ -27,13 +27,13 @@ CORPORATE = {
     "the economist": "Economist, The", "the new yorker": "New Yorker, The", "financial times": "Financial Times", "der spiegel": "Spiegel, Der", "spiegel online": "Spiegel Online",
     "the wall street journal": "Wall Street Journal, The", "nature": "Nature", "lonely planet": "Lonely Planet", "harvard business review": "Harvard Business Review",
 }
-#: What an edition tag in brackets says; words of the first kind may have "edition" behind them.
-EDITIONS = (
-    "special", "anniversary", "collector'?s?", "deluxe", "first", r"\d+(?:st|nd|rd|th)", "revised", "updated", "expanded", "complete", "definitive", "illustrated", "gift",
-    "omnibus", "annotated", "unabridged", "abridged",
-)
-TAGS = ("hardcover", "paperback", r"boxed(?:\s+set)?", "set", "preview", "novel", "edition", r"vol\.?", "volume", r"book\s+\d+", r"part\s+\d+", r"chapter\s+\d+", r"\d+")
-EDITION_TAG = rf"\s*[(\[](?:(?:{'|'.join(EDITIONS)})(?:\s+edition)?|{'|'.join(TAGS)})\s*[)\]]"
+#: What an edition tag in brackets says.
+EDITION_TAG = (
+    r"\s*[\(\[](?:special(?:\s+edition)?|anniversary(?:\s+edition)?|collector'?s?(?:\s+edition)?|deluxe(?:\s+edition)?|hardcover|paperback|first(?:\s+edition)?|\d+(?:st|nd|rd|th)(?:\s+edition)?|"
+    r"1st(?:\s+edition)?|2nd(?:\s+edition)?|3rd(?:\s+edition)?|revised(?:\s+edition)?|updated(?:\s+edition)?|expanded(?:\s+edition)?|complete(?:\s+edition)?|definitive(?:\s+edition)?|illustrated(?:\s+edition)?|"
+    r"gift(?:\s+edition)?|boxed(?:\s+set)?|set|omnibus(?:\s+edition)?|annotated(?:\s+edition)?|unabridged(?:\s+edition)?|abridged(?:\s+edition)?|preview|novel|edition|"
+    r"vol\.?|volume|book\s+\d+|part\s+\d+|chapter\s+\d+|\d+)\s*[\)\]]"
+)
 #: Names that stand for no author.
 BOGUS = r"calibre(-web)?|unknown|desconocido|epublibre|editor|traductor|chapter\s+(one|two|three|\d+)|cap[íi]tulo\s+(uno|dos|\d+)|author|autor|none|n/a|\?+"
 #: Promotional ends of titles.
@@ -41,11 +41,15 @@ PROMOTION = r"\[retail\]|\(retail\)|\(v\d+(?:\.\d+)*\)|\(epub\)|\[epub\]|\[spani
 #: Words that stay small in a title, and acronyms that stay large.
 SMALL = ("a an the and but or for nor on at to from by over in of with into onto el la los las un una unos unas y e ni o u de del al en con por para sin sobre tras").split()
 ACRONYMS = "AI NASA MIT USA UK EU DNA RNA LLM GPT API FBI CIA KGB BBC CNN IBM SQL HTML CSS PDF HTTP HTTPS CPU GPU RAM ROM SSD HDD USB OS".split()
-#: Periodicals as title pattern, author, sort key, tags; all are rated 7.
+#: Periodicals as title pattern, author, sort key, rating, tags.
 PERIODICALS = (
-    ("^the economist", "The Economist", "Economist, The", "News"), ("^financial times", "Financial Times", "Financial Times", "News"), ("^(spiegel online|der spiegel)", "Der Spiegel", "Spiegel, Der", "News"),
-    ("^the new yorker", "The New Yorker", "New Yorker, The", "Culture"), (r"^nature\b", "Nature", "Nature", "Science"), ("^mit tr|^mit technology review", "MIT Technology Review", "MIT Technology Review", "Technology"),
-)
+    (r"^the economist", "The Economist", "Economist, The", 7, ("Hemeroteca", "Periodicals", "News")),
+    (r"^financial times", "Financial Times", "Financial Times", 7, ("Hemeroteca", "Periodicals", "News")),
+    (r"^(spiegel online|der spiegel)", "Der Spiegel", "Spiegel, Der", 7, ("Hemeroteca", "Periodicals", "News")),
+    (r"^the new yorker", "The New Yorker", "New Yorker, The", 7, ("Hemeroteca", "Periodicals", "Culture")),
+    (r"^nature\b", "Nature", "Nature", 7, ("Hemeroteca", "Periodicals", "Science")),
+    (r"^mit tr|^mit technology review", "MIT Technology Review", "MIT Technology Review", 7, ("Hemeroteca", "Periodicals", "Technology")),
+)
 COMPOUND = {"mario vargas llosa": "Vargas Llosa", "gabriel garcia marquez": "García Márquez"}
 PARTICLES = ("von", "van", "de", "del", "della", "da", "di", "du", "des", "der", "den", "el", "al", "fitz", "mac", "mc")
 PAIRS = ("de la", "de las", "de los", "van der")
@@ -93,11 +97,11 @@ def plain_key(c: Column) -> Column:
 
 def verify_key(c: Column) -> Column:
     """N7 without edition tags in brackets."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(folded(F.coalesce(c, F.lit(""))), f"(?i){EDITION_TAG}", ""), r"[^\p{L}\p{N}_]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(folded(F.coalesce(c, F.lit(""))), f"(?iU){EDITION_TAG}", ""), r"[^\p{L}\p{N}_]+", " ")))
 
 
 def edition_tagged(c: Column) -> Column:
-    return F.coalesce(c.rlike(f"(?i){EDITION_TAG}"), F.lit(False))
+    return F.coalesce(c.rlike(f"(?iU){EDITION_TAG}"), F.lit(False))
 
 
 def identity_key(c: Column) -> Column:
@@ -126,18 +130,18 @@ def clean_author(c: Column) -> Column:
     """Trimmed of broken syntax; null for names that stand for no author."""
     t = F.regexp_replace(F.regexp_replace(c, r"^[ \t\n\r;/,\\'\"]+|[ \t\n\r;/,\\'\"]+$", ""), r"\s+", " ")
     t = F.trim(F.regexp_replace(t, "[;/]+$", ""))
-    return F.when((t != "") & ~t.rlike(f"(?i)^(?:{BOGUS})$"), t)
+    return F.when((t != "") & ~t.rlike(f"(?iU)^(?:{BOGUS})$"), t)
 
 
 def split_authors(c: Column) -> Column:
     """Display names of the authors of a list with `;`, `&`, `and` or `et al`; names that stand for no author go."""
-    chunks = F.split(F.coalesce(c, F.lit("")), r"(?i)\s*(?:;|&|\band\b|\bet\s+al\.?)\s*")
+    chunks = F.split(F.coalesce(c, F.lit("")), r"(?iU)\s*(?:;|&|\band\b|\bet\s+al\.?)\s*")
     return F.transform(F.filter(F.transform(chunks, clean_author), lambda x: x.isNotNull()), author_display)
 
 
 def promoted_title(c: Column) -> Column:
     """Without promotional ends; a title all in capitals takes title case, with acronyms and small words as they are."""
-    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), rf"(?i)(\s*(?:{PROMOTION})\s*)+$", "")), r"\s+", " ")
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), rf"(?iU)(\s*(?:{PROMOTION})\s*)+$", "")), r"\s+", " ")
     letters = F.regexp_replace(t, r"\P{L}", "")
     capital = (F.length(letters) > 3) & (F.upper(t) == t) & ~letters.rlike(r"[^\p{Lu}]")
     large, small = F.array(*[F.lit(x) for x in ACRONYMS]), F.array(*[F.lit(x) for x in SMALL])
@@ -148,16 +152,6 @@ def promoted_title(c: Column) -> Column:
     return F.when(capital, F.array_join(F.transform(F.split(t, " "), word), " ")).otherwise(t)
 
 
-def periodical(title: Column, author: Column) -> Column:
-    """The author of the first periodical whose pattern the title meets; where the author is none, whose name it holds."""
-    out = F.lit(None).cast("string")
-    for _, name, _, _ in reversed(PERIODICALS):
-        out = F.when(F.lower(F.coalesce(author, F.lit(""))).isin("calibre", "unknown") & F.contains(F.lower(title), F.lit(name.lower())), name).otherwise(out)
-    for pattern, name, _, _ in reversed(PERIODICALS):
-        out = F.when(title.rlike(f"(?i){pattern}"), name).otherwise(out)
-    return out
-
-
 def image_type(c: Column) -> Column:
     """The kind of an image from its first bytes."""
     h = F.hex(F.substring(c, 1, 12))
@@ -175,18 +169,40 @@ def allowed_url(c: Column, hosts: tuple[str, ...]) -> Column:
     return F.coalesce((F.lower(part("PROTOCOL")) == "https") & part("USERINFO").isNull() & port.isin("", "443") & host.isin(*hosts), F.lit(False))
 
 
-def large_cover_url(c: Column) -> Column:
-    """A thumbnail address turned into that of the large cover."""
-    u = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("http://"), F.lit("https://")), "&edge=curl", ""), "edge=curl&?", "")
-    u = F.when(F.contains(u, F.lit("zoom=1")), F.replace(u, F.lit("zoom=1"), F.lit("zoom=0"))).when(F.contains(u, F.lit("zoom=5")), F.replace(u, F.lit("zoom=5"), F.lit("zoom=0"))).when(
-        ~F.contains(u, F.lit("zoom=")) & F.contains(u, F.lit("?")), F.concat(u, F.lit("&zoom=0"))
-    ).otherwise(u)
-    more = F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit("fife=w1600-h2400"))
-    return F.when(c != "", F.when(F.contains(u, F.lit("fife=")), F.regexp_replace(u, r"fife=w\d+-h\d+", "fife=w1600-h2400")).otherwise(more))
+def _enlarged(c: Column, size: str) -> Column:
+    """https, no curled edge, the raw zoom, and `size` where a size is given."""
+    u = F.replace(F.replace(c, F.lit("http://"), F.lit("https://")), F.lit("&edge=curl"), F.lit(""))
+    u = F.replace(F.replace(u, F.lit("edge=curl&"), F.lit("")), F.lit("edge=curl"), F.lit(""))
+    zoomed = F.when(F.contains(u, F.lit("zoom=1")), F.replace(u, F.lit("zoom=1"), F.lit("zoom=0"))).when(F.contains(u, F.lit("zoom=5")), F.replace(u, F.lit("zoom=5"), F.lit("zoom=0")))
+    u = zoomed.when(~F.contains(u, F.lit("zoom=")) & F.contains(u, F.lit("?")), F.concat(u, F.lit("&zoom=0"))).otherwise(u)
+    return F.regexp_replace(u, r"fife=w\d+-h\d+", f"fife={size}")
+
+
+def _front(volume: Column, size: str) -> Column:
+    return F.when(volume != "", F.concat(F.lit("https://books.google.com/books/publisher/content/images/frontcover/"), volume, F.lit(f"?fife={size}")))
+
+
+def volume_cover_url(c: Column, volume: Column) -> Column:
+    """N20 as the provider has it: a thumbnail's address at full zoom, else that of the volume's front cover; null without both."""
+    return F.when(c != "", _enlarged(c, "w1000-h1500")).otherwise(_front(volume, "w1000-h1500"))
+
+
+def large_cover_url(c: Column, volume: Column | None = None) -> Column:
+    """N20 as the consensus has it: a size is always asked for."""
+    u = _enlarged(c, "w1600-h2400")
+    more = F.when(F.contains(u, F.lit("fife=")), u).otherwise(F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit("fife=w1600-h2400")))
+    return F.when(c != "", more).otherwise(_front(F.lit(None).cast("string") if volume is None else volume, "w1600-h2400"))
+
+
+def isbn_cover_url(isbn13: Column, cover: Column | None = None) -> Column:
+    """By the number of a cover, else by ISBN-13; never the empty default picture."""
+    by_isbn = F.concat(F.lit("https://covers.openlibrary.org/b/isbn/"), isbn13, F.lit("-L.jpg?default=false"))
+    return by_isbn if cover is None else F.when(cover != 0, F.concat(F.lit("https://covers.openlibrary.org/b/id/"), cover.cast("string"), F.lit("-L.jpg?default=false"))).otherwise(by_isbn)
 
 
-def isbn_cover_url(isbn13: Column) -> Column:
-    return F.concat(F.lit("https://covers.openlibrary.org/b/isbn/"), isbn13, F.lit("-L.jpg?default=false"))
+def shop_cover_url(number: Column) -> Column:
+    """By a shop's number or an ISBN, letters and digits in upper case."""
+    return F.concat(F.lit("https://images-na.ssl-images-amazon.com/images/P/"), F.upper(F.regexp_replace(number, "[^0-9A-Za-z]", "")), F.lit(".01._SL1600_.jpg"))
 
 
 def spaced(c: Column) -> Column:
@@ -203,9 +219,9 @@ def clean_title(c: Column) -> Column:
     """Without extensions, distributor marks, edge punctuation and empty brackets."""
     t = F.trim(F.coalesce(c, F.lit("")))
     for e in EXTENSIONS:
-        t = F.trim(F.regexp_replace(t, rf"(?i)\.{e}$", ""))
+        t = F.trim(F.regexp_replace(t, rf"(?iu)\.{e}$", ""))
     for p in JUNK:
-        t = F.trim(F.regexp_replace(t, f"(?i){p}", ""))
+        t = F.trim(F.regexp_replace(t, f"(?iU){p}", ""))
     t = F.regexp_replace(F.regexp_replace(t, r"^[\s\-_:.]+|[\s\-_:.]+$", ""), r"\s+", " ")
     return F.regexp_replace(F.trim(F.regexp_replace(t, r"\(\s*\)|\[\s*\]", "")), r"\s+", " ")
 

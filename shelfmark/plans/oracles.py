@@ -243,13 +243,34 @@ def _latin(x: str) -> str:
     return f"translate({t}, 'абвгдеёзийклмнопрстуфыэъь', 'abvgdeeziyklmnoprstufye')"
 
 
+_REJECTS = """SELECT book_id, 'title' AS reason FROM library_books WHERE trim(coalesce(title, '')) = '' UNION SELECT book_id, 'publishers' FROM library_publishers GROUP BY book_id HAVING count(*) > 1 UNION SELECT book_id, 'series' FROM library_series GROUP BY book_id HAVING count(*) > 1
+UNION SELECT book_id, 'comments' FROM library_comments GROUP BY book_id HAVING count(*) > 1 UNION SELECT book_id, 'identifier:' || lower(type) FROM identifiers GROUP BY book_id, lower(type) HAVING count(*) > 1
+UNION SELECT book_id, 'format:' || upper(format) FROM library_formats GROUP BY book_id, upper(format) HAVING count(*) > 1 UNION SELECT book_id, 'file:' || upper(format) FROM library_formats WHERE contains(name, '/')"""
 _display_of = lambda x: display(f"({x})")
 _MORE: dict[str, tuple[tuple[str, ...], str]] = {
     "N6_N7_N9_N18_keys": (("books",), f"SELECT book_id, {verify_key('title')} AS verify_key, {plain_key('title')} AS plain_key, {_words('title')} AS identity_key, {value_key(_q('authors'), 'author')} AS authors_key, {value_key(_q('languages'), chr(40) + 'language || ' + _q('; EN') + chr(41))} AS languages_key FROM books"),
-    "N11_N13_N16_N22_N29_cleansed": (("books",), f"""SELECT book_id, {clean_author('author')} AS author, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(author || ' and Plato; calibre', '(?i)\\s*(?:;|&|\\band\\b|\\bet\\s+al\\.?)\\s*'), lambda z: {clean_author('z')}), lambda z: z IS NOT NULL), lambda z: {display('z')}), '|') AS authors,
+    "N11_N13_N16_N22_cleansed": (("books",), f"""SELECT book_id, {clean_author('author')} AS author, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(author || ' and Plato; calibre', '(?i)\\s*(?:;|&|\\band\\b|\\bet\\s+al\\.?)\\s*'), lambda z: {clean_author('z')}), lambda z: z IS NOT NULL), lambda z: {display('z')}), '|') AS authors,
   CASE WHEN contains(s, ':') THEN {_cut[0](':')} ELSE {_cut[0](' - ')} END AS main, CASE WHEN contains(s, ':') THEN {_cut[1](':')} ELSE {_cut[1](' - ')} END AS subtitle, {_latin("'Щука Ёж ' || author")} AS latin,
-  CASE {' '.join(f"WHEN regexp_matches(author || ' 2020', {_q('(?i)' + p)}) THEN {_q(n)}" for p, n, _, _ in PERIODICALS)} {' '.join(f"WHEN contains(lower(author), {_q(n.lower())}) THEN {_q(n)}" for _, n, _, _ in PERIODICALS)} END AS periodical,
   CASE WHEN length(regexp_replace(p, '\\P{{L}}', '', 'g')) > 3 THEN {_CASED} ELSE p END AS promoted FROM {_TITLE}"""),
+    "I1_N17_library": (("library_books", "library_authors", "library_publishers", "library_series", "library_languages", "library_tags", "library_comments", "identifiers", "library_formats"), f"""WITH bad AS ({_REJECTS}),
+names AS (SELECT book_id, coalesce((SELECT string_agg(trim(name), '|' ORDER BY link_id) FILTER (trim(name) <> '') FROM library_authors x WHERE x.book_id = b.book_id), '') AS authors,
+  coalesce((SELECT string_agg(lower(trim(name)), '|' ORDER BY item_order, link_id) FROM library_languages x WHERE x.book_id = b.book_id), '') AS languages, coalesce((SELECT string_agg(trim(name), '|' ORDER BY link_id) FROM library_tags x WHERE x.book_id = b.book_id), '') AS tags,
+  (SELECT name FROM library_publishers x WHERE x.book_id = b.book_id) AS publisher, (SELECT name FROM library_series x WHERE x.book_id = b.book_id) AS series, (SELECT name FROM library_comments x WHERE x.book_id = b.book_id) AS comments,
+  coalesce((SELECT string_agg(lower(type) || '=' || value, '|' ORDER BY lower(type)) FROM identifiers x WHERE x.book_id = b.book_id), '') AS identifiers,
+  coalesce((SELECT string_agg(b.path || '/' || name || '.' || lower(format), '|' ORDER BY upper(format)) FROM library_formats x WHERE x.book_id = b.book_id), '') AS files
+  FROM library_books b WHERE book_id NOT IN (SELECT book_id FROM bad))
+SELECT book_id, title, authors, identifiers, languages, publisher, coalesce(pubdate, published_date) AS pubdate, series, CAST(series_index AS DOUBLE) AS series_index, edition AS edition_statement, CASE WHEN has_cover THEN path || '/cover.jpg' END AS cover, author_sort, tags, comments, files FROM names JOIN library_books USING (book_id)"""),
+    "I1_library_rejects": (("library_books", "library_publishers", "library_series", "library_comments", "identifiers", "library_formats"), _REJECTS),
+    "N29_periodicals": (("books",), f"""WITH rules(place, pattern, author, sort, rating, tags) AS (VALUES {', '.join(f"({i}, {_q(p)}, {_q(a)}, {_q(t)}, {n}, {_q('|'.join(g))})" for i, (p, a, t, n, g) in enumerate(PERIODICALS))}),
+b AS (SELECT book_id, concat_ws(' ', CASE WHEN book_id % 3 = 0 THEN 'On' END, author, CAST(CAST(series_index AS DOUBLE) AS VARCHAR)) AS title, book_id % 2 = 0 OR lower(author) IN ('calibre', 'unknown') AS open FROM books)
+SELECT book_id, r.author, sort, rating, tags FROM b JOIN rules r ON regexp_matches(title, pattern, 'i') OR open AND contains(lower(title), lower(r.author)) QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY NOT regexp_matches(title, pattern, 'i'), place) = 1"""),
+    "R9_identifier_patches": (("books_isbn", "identifiers"), f"""WITH cur AS (SELECT book_id, lower(trim(type)) AS k, trim(value) AS v FROM identifiers WHERE book_id % 25 <> 0), old AS (SELECT book_id, k, CASE WHEN k = 'isbn' THEN {canonical('v')} ELSE v END AS v FROM cur),
+new AS (SELECT book_id, 'isbn' AS k, CASE WHEN book_id % 3 = 0 THEN {canonical("coalesce(isbn, '')")} ELSE '9780306406157' END AS v FROM books_isbn WHERE book_id % 4 <> 0),
+have AS (SELECT book_id, k, v FROM old WHERE v IS NOT NULL), told AS (SELECT * FROM new WHERE v IS NOT NULL),
+both_ AS (SELECT * FROM told UNION ALL SELECT h.* FROM have h JOIN new n ON n.book_id = h.book_id WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.book_id = h.book_id AND t.k = h.k)),
+line AS (SELECT book_id, string_agg(k || '=' || v, '|' ORDER BY k) AS target FROM both_ GROUP BY book_id), before AS (SELECT book_id, string_agg(k || '=' || v, '|' ORDER BY k) AS target FROM have GROUP BY book_id)
+SELECT n.book_id, coalesce(line.target, '') AS target, coalesce(line.target, '') <> coalesce(before.target, '') AS changed FROM new n LEFT JOIN line ON line.book_id = n.book_id LEFT JOIN before ON before.book_id = n.book_id"""),
+    "N15_N21_sql_text": (("books",), f"SELECT {title_sort('title')} AS sort, {author_sort('author')} AS author, count(*) AS n FROM (SELECT title, unnest(string_split(author, ' & ')) AS author FROM books) GROUP BY ALL"),
     "N27_N31_X2_tokens": (("formats",), f"""SELECT book_id, format, token, CASE WHEN token IN {_in(FORMATS)} THEN token ELSE 'OTHER' END AS bucket, CASE WHEN book_id % 3 = 0 THEN 'copyright_page' ELSE 'title_page' END AS source,
   coalesce(CASE WHEN length(CAST(book_id AS VARCHAR)) IN (10, 13) THEN CAST(book_id AS VARCHAR) END, '9780306406157') AS shaped FROM (SELECT *, CASE WHEN book_id % 5 = 0 THEN 'UNKNOWN' ELSE format END AS token FROM formats)"""),
     "N19_N20_cover_urls": (("candidates",), f"""SELECT book_id, pos, CASE WHEN book_id % 2 = 0 THEN u || '&zoom=0&fife=w1600-h2400' WHEN book_id % 3 = 0 THEN u || '&fife=w1600-h2400&zoom=0' ELSE u || '&zoom=0&fife=w1600-h2400' END AS cover,

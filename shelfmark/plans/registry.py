@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import isbn, text
-from shelfmark.operators import audit, consensus, covers, identity, ledger, linkage, mining, profile, series, vectors, verify
+from shelfmark.operators import audit, consensus, covers, identity, ledger, linkage, mining, profile, rules, series, vectors, verify
 from shelfmark.operators.graph import written
 from shelfmark.plans import oracles
 from shelfmark.sources import records
@@ -75,7 +75,7 @@ def _cleansed(b: DataFrame) -> DataFrame:
     split = F.concat(F.coalesce(t, F.lit("x")), F.when(F.col("book_id") % 2 == 0, F.lit(": a tale")).otherwise(" - second part"))
     return b.select(
         "book_id", text.clean_author(a).alias("author"), F.array_join(text.split_authors(F.concat(a, F.lit(" and Plato; calibre"))), "|").alias("authors"), text.main_title(split).alias("main"), text.subtitle(split).alias("subtitle"),
-        text.transliterated(F.concat(F.lit("Щука Ёж "), a)).alias("latin"), text.periodical(F.concat(a, F.lit(" 2020")), F.lit("calibre")).alias("periodical"), text.promoted_title(F.concat(F.upper(t), F.lit(" [retail] (EPUB)"))).alias("promoted"),
+        text.transliterated(F.concat(F.lit("Щука Ёж "), a)).alias("latin"), text.promoted_title(F.concat(F.upper(t), F.lit(" [retail] (EPUB)"))).alias("promoted"),
     )
 
 
@@ -205,6 +205,22 @@ def _opf(b: DataFrame) -> DataFrame:
     return records.opf_records(b.select("book_id", F.concat(F.lit("log line "), one, F.when(F.col("book_id") % 2 == 0, one).otherwise("")).alias("body")))
 
 
+LIBRARY_VIEWS = ("library_books", "library_authors", "library_publishers", "library_series", "library_languages", "library_tags", "library_comments", "identifiers", "library_formats")
+
+
+def _identifier_patches(b: DataFrame, i: DataFrame) -> DataFrame:
+    entries = i.where("book_id % 25 <> 0").groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "value")))).alias("ids"))
+    decided = b.where("book_id % 4 <> 0").select("book_id", F.create_map(F.lit(" ISBN"), F.when(F.col("book_id") % 3 == 0, F.col("isbn")).otherwise(F.lit("0-306-40615-2"))).alias("ids"))
+    out = rules.identifier_patches(decided, entries)
+    return out.select("book_id", F.array_join(F.transform(F.array_sort(F.map_entries("target")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("target"), "changed")
+
+
+def _sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules.sql_functions(spark)
+    view(spark, sf_dir, "books").createOrReplaceTempView("shelfmark_books")
+    return spark.sql("SELECT title_sort(title) AS sort, author_sort(author) AS author, count(*) AS n FROM (SELECT title, explode(split(author, ' & ')) AS author FROM shelfmark_books) GROUP BY ALL")
+
+
 def _gaps(gaps: DataFrame) -> DataFrame:
     return gaps.withColumn("missing", F.array_join(F.col("missing").cast("array<string>"), ","))
 
@@ -216,7 +232,7 @@ QUERIES: dict[str, Query] = {
     "N23_N24_ratios": _over(_ratios, "books"),
     "N28_text_quality": _over(lambda d: d.select("doc_id", text.quality(F.col("text")).alias("quality")), "documents"),
     "N6_N7_N9_N18_keys": _over(_keys, "books"),
-    "N11_N13_N16_N22_N29_cleansed": _over(_cleansed, "books"),
+    "N11_N13_N16_N22_cleansed": _over(_cleansed, "books"),
     "N27_N31_X2_tokens": _over(_tokens, "formats"),
     "N19_N20_cover_urls": _over(_covers, "candidates"),
     "V1_V5_V11_settled_verdicts": _over(_settled, "pairs"),
@@ -327,6 +343,11 @@ QUERIES: dict[str, Query] = {
     "X12_egress": _over(lambda s: mining.egress(s, s.where("book_id % 3 = 0").select("book_id").distinct()), "snippets"),
     "I1_wide_books": _over(lambda b, a, i, f: records.wide_books(b.select("book_id", "title"), a, i, f).select("book_id", "title", F.array_join("authors", "|").alias("authors"), F.to_json("identifiers").alias("identifiers"), F.array_join("formats", ",").alias("formats")), "books", "author_links", "identifiers", "formats"),
     "I1_rejects": _over(records.rejects, "identifiers", "formats"),
+    "I1_N17_library": _over(lambda *t: records.library_lines(dict(zip(records.LIBRARY, t))), *LIBRARY_VIEWS),
+    "I1_library_rejects": _over(lambda *t: records.library_rejects(dict(zip(records.LIBRARY, t))), *LIBRARY_VIEWS),
+    "N29_periodicals": _over(lambda b: rules.periodicals(b.select("book_id", F.concat_ws(" ", F.when(F.col("book_id") % 3 == 0, F.lit("On")), "author", "series_index").alias("title"), F.when(F.col("book_id") % 2 == 0, "Calibre").otherwise(F.col("author")).alias("author")), rules.periodical_rules(b.sparkSession)).withColumn("tags", F.array_join("tags", "|")), "books"),
+    "R9_identifier_patches": _over(_identifier_patches, "books_isbn", "identifiers"),
+    "N15_N21_sql_text": _sql_text,
     "I2_flat_books": _over(lambda b, a, i, f: records.flat_books(records.wide_books(b.select("book_id", "title"), a, i, f)), "books", "author_links", "identifiers", "formats"),
     "I3_scanned": _over(_scanned, "books"),
     "I4_unseen": _over(_unseen, "formats"),

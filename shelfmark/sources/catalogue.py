@@ -48,6 +48,15 @@ FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION A
   concat('apply:', CAST(o_custkey AS STRING), ':', o_orderpriority) AS idempotency_key FROM orders"""),
     "requests": (("events",), """SELECT event_id, ts, user_id AS identity, event_type AS route, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 503 WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
   value / 100.0E0 AS duration_s FROM events"""),
+    "library_books": (("books",), """SELECT book_id, CASE WHEN book_id % 71 = 0 THEN '' ELSE title END AS title, author_sort, pubdate, last_modified AS published_date, series_index, concat('A/', CAST(book_id AS STRING)) AS path, book_id % 3 = 0 AS has_cover,
+  CASE WHEN book_id % 4 = 0 THEN 'Second edition' END AS edition FROM books"""),
+    "library_authors": (("books",), """SELECT book_id, book_id * 10 AS link_id, ' Zadie Smith ' AS name FROM books WHERE book_id % 3 = 0 UNION ALL SELECT book_id, book_id * 10 + 1, author FROM books UNION ALL SELECT book_id, book_id * 10 + 2, ' ' FROM books WHERE book_id % 5 = 0"""),
+    "library_publishers": (("books",), """SELECT book_id, book_id AS link_id, publisher AS name FROM books WHERE book_id % 4 <> 0 UNION ALL SELECT book_id, book_id + 1, 'Second House' FROM books WHERE book_id % 97 = 0"""),
+    "library_series": (("books",), """SELECT book_id, book_id AS link_id, series AS name FROM books WHERE book_id % 5 <> 0 UNION ALL SELECT book_id, book_id + 1, 'Second series' FROM books WHERE book_id % 89 = 0"""),
+    "library_languages": (("books",), """SELECT book_id, 2 AS item_order, book_id AS link_id, 'ENG' AS name FROM books WHERE book_id % 2 = 0 UNION ALL SELECT book_id, 1, book_id + 1, ' Spa' FROM books WHERE book_id % 6 = 0 UNION ALL SELECT book_id, 2, book_id + 2, 'deu' FROM books WHERE book_id % 10 = 0"""),
+    "library_tags": (("books",), """SELECT book_id, 9 - book_id % 3 AS link_id, series AS name FROM books WHERE book_id % 3 <> 0 UNION ALL SELECT book_id, CASE WHEN book_id % 4 = 0 THEN 5 ELSE 10 END, 'Fiction' FROM books WHERE book_id % 2 = 0"""),
+    "library_comments": (("books",), """SELECT book_id, 1 AS link_id, concat('On ', observed_title) AS name FROM books WHERE book_id % 8 = 0 UNION ALL SELECT book_id, 2, 'More' FROM books WHERE book_id % 83 = 0 UNION ALL SELECT book_id, 3, 'Other' FROM books WHERE book_id % 83 = 0"""),
+    "library_formats": (("formats",), """SELECT book_id, format, CASE WHEN book_id % 73 = 0 AND format = 'PDF' THEN 'sub/file' ELSE concat('file', CAST(book_id AS STRING)) END AS name FROM formats UNION ALL SELECT book_id, lower(format), 'again' FROM formats WHERE book_id % 79 = 0 AND format = 'EPUB'"""),
     "heartbeats": (("events",), """SELECT concat('w-', CAST(user_id % 7 AS STRING)) AS worker, ts FROM events"""),
     "calibration": (("labels", "documents"), """SELECT d.doc_id AS evidence_id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 2 = 0 AS would_auto_apply,
   l.quality = 1 AS identity_correct, l.toxic = 0 AS patch_correct, CASE WHEN d.doc_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE d.n_chars / 100.0E0 END AS review_seconds, d.n_chars AS egress_bytes

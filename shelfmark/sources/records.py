@@ -27,6 +27,74 @@ def wide_books(books: DataFrame, authors: DataFrame, identifiers: DataFrame, for
     return kept.join(ordered(authors, "link_id", "sort", "authors"), "book_id", "left").join(ids, "book_id", "left").join(ordered(good(formats), "format", "format", "formats"), "book_id", "left")
 
 
+#: Columns that the tables of a library must have.
+LIBRARY = {
+    "books": ("book_id", "title", "author_sort", "pubdate", "published_date", "series_index", "path", "has_cover", "edition"), "authors": ("book_id", "link_id", "name"), "publishers": ("book_id", "link_id", "name"),
+    "series": ("book_id", "link_id", "name"), "languages": ("book_id", "item_order", "link_id", "name"), "tags": ("book_id", "link_id", "name"), "comments": ("book_id", "link_id", "name"),
+    "identifiers": ("book_id", "type", "value"), "formats": ("book_id", "format", "name"),
+}
+
+
+def demanded(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with the columns of `LIBRARY` alone; a table or column that isn't there is an error."""
+    missing = [f"{t}.{c}" for t, cs in LIBRARY.items() for c in cs if t not in tables or c not in tables[t].columns]
+    if missing:
+        raise ValueError(f"the library lacks {', '.join(missing)}")
+    return {t: tables[t].select(*cs) for t, cs in LIBRARY.items()}
+
+
+def library_rejects(tables: dict[str, DataFrame]) -> DataFrame:
+    """Why a book can't be read, a row for each reason: no id or title; several publishers, series or comments; an identifier type or format twice; a format or file name that isn't safe."""
+    t = demanded(tables)
+    several = lambda name: t[name].groupBy("book_id").agg(F.count("*").alias("n")).where("n > 1").select("book_id", F.lit(name).alias("reason"))
+    twice = lambda df, kind, key: df.groupBy("book_id", key.alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("book_id", F.concat(F.lit(f"{kind}:"), "k").alias("reason"))
+    name = F.col("name")
+    unsafe = F.coalesce(~F.upper("format").rlike("^[A-Z0-9]{1,16}$") | (name == "") | name.rlike(r"[/\\]") | name.isin(".", ".."), F.lit(True))
+    parts = [
+        t["books"].where((F.coalesce(F.trim("title"), F.lit("")) == "") | F.coalesce(F.col("book_id") <= 0, F.lit(True))).select("book_id", F.lit("title").alias("reason")),
+        *map(several, ("publishers", "series", "comments")), twice(t["identifiers"], "identifier", F.lower("type")), twice(t["formats"], "format", F.upper("format")),
+        t["formats"].where(unsafe).select("book_id", F.concat(F.lit("file:"), F.upper("format")).alias("reason")),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def library(tables: dict[str, DataFrame]) -> DataFrame:
+    """The canonical record of each book that `library_rejects` doesn't name, as one nested row.
+
+    Authors in order of their links, languages by their place, tags by link; names trimmed, empty ones gone, languages in small letters; the
+    publication date from either of its columns; identifiers by small type. Each table is aggregated by book before it is joined.
+    """
+    t = demanded(tables)
+    bad = library_rejects(tables).select("book_id").distinct()
+    names = lambda df, order, of=lambda x: x: F.filter(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.trim("name").alias("v")))), lambda x: of(x["v"])), lambda x: x != "")
+    lists = {"authors": names(t["authors"], ["link_id"]), "languages": names(t["languages"], ["item_order", "link_id"], F.lower), "tags": names(t["tags"], ["link_id"])}
+    rows = t["books"].join(bad, "book_id", "left_anti")
+    for name, made in lists.items():
+        rows = rows.join(t[name].groupBy("book_id").agg(made.alias(name)), "book_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    for name in ("publishers", "series", "comments"):
+        rows = rows.join(t[name].groupBy("book_id").agg(F.min("name").alias(name)), "book_id", "left")  # one of each, or the book is rejected
+    ids = t["identifiers"].join(bad, "book_id", "left_anti").groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.lower("type").alias("k"), "value")))).alias("identifiers"))
+    files = t["formats"].groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.upper("format").alias("format"), "name"))).alias("files"))
+    rows = rows.join(ids, "book_id", "left").join(files, "book_id", "left")
+    at = lambda f: F.concat_ws("/", "path", F.concat(f["name"], F.lit("."), F.lower(f["format"])))
+    return rows.select(
+        "book_id", F.struct(
+            "title", "authors", F.coalesce("identifiers", F.create_map().cast("map<string,string>")).alias("identifiers"), "languages", F.col("publishers").alias("publisher"), F.coalesce("pubdate", "published_date").alias("pubdate"), "series",
+            F.col("series_index").cast("double").alias("series_index"), F.col("edition").alias("edition_statement"), F.when(F.col("has_cover"), F.concat("path", F.lit("/cover.jpg"))).alias("cover"),
+        ).alias("current"), "author_sort", "tags", "comments", F.coalesce(F.transform("files", at), F.array().cast("array<string>")).alias("files"),
+    )
+
+
+def library_lines(tables: dict[str, DataFrame]) -> DataFrame:
+    """The records flat, lists joined by `|`."""
+    flat = lambda c: F.array_join(c, "|")
+    c = F.col("current")
+    return library(tables).select(
+        "book_id", c["title"].alias("title"), flat(c["authors"]).alias("authors"), flat(F.transform(F.array_sort(F.map_entries(c["identifiers"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("identifiers"), flat(c["languages"]).alias("languages"),
+        c["publisher"].alias("publisher"), c["pubdate"].alias("pubdate"), c["series"].alias("series"), c["series_index"].alias("series_index"), c["edition_statement"].alias("edition_statement"), c["cover"].alias("cover"), "author_sort", flat("tags").alias("tags"), "comments", flat("files").alias("files"),
+    )
+
+
 def rejects(identifiers: DataFrame, formats: DataFrame) -> DataFrame:
     """Books with two values of one identifier type, or one format twice."""
     ids = identifiers.groupBy("book_id", F.lower("type").alias("what")).agg(F.countDistinct("value").alias("n")).where("n > 1")
