@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import isbn, text
 
 #: Patterns of ISBNs in running text, of legal deposit numbers, publishers and years.
-IN_CONTEXT = r"(?i)(?:ISBN(?:-1[03])?\s*[: ]\s*)([0-9Xx][0-9Xx\s-]{8,20}[0-9Xx])"
-TAGGED = r"(?i)\b(?:ISBN(?:-1[03])?[:\s]*)?((?:97[89][-\s]?(?:\d[-\s]?){9}\d)|(?:\d[-\s]?(?:\d[-\s]?){8}[\dXx]))\b(?:\s*\(([^)]+)\))?"
-DEPOSIT = r"(?i)\b(?:D\.?\s*L\.?|Dep[óo]sito\s+Legal)[\s:]*([A-Z]{1,4}|[A-Z]{1,2}-[A-Za-z]+)?[-\s.]*(\d{1,6}(?:\.\d{3})?)[-\s/]*((?:19|20)\d{2}|\d{2})\b"
-PUBLISHER = r"(?i)(?:Publicado por|Published by|Editorial|Ediciones)\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\s&.,'-]+?)(?:\r?\n|,|\.)"
-YEAR = r"\b((?:19|20)\d{2})\b"
+IN_CONTEXT = r"(?iU)(?:ISBN(?:-1[03])?\s*[: ]\s*)([0-9Xx][0-9Xx\s-]{8,20}[0-9Xx])"
+TAGGED = r"(?iU)\b(?:ISBN(?:-1[03])?[:\s]*)?((?:97[89][-\s]?(?:\d[-\s]?){9}\d)|(?:\d[-\s]?(?:\d[-\s]?){8}[\dXx]))\b(?:\s*\(([^)]+)\))?"
+DEPOSIT = r"(?iU)\b(?:D\.?\s*L\.?|Dep[óo]sito\s+Legal)[\s:]*([A-Z]{1,4}|[A-Z]{1,2}-[A-Za-z]+)?[-\s.]*(\d{1,6}(?:\.\d{3})?)[-\s/]*((?:19|20)\d{2}|\d{2})\b"
+PUBLISHER = r"(?iU)(?:Publicado por|Published by|Editorial|Ediciones)\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\s&.,'-]+?)(?:\r?\n|,|\.)"
+YEAR = r"(?U)\b((?:19|20)\d{2})\b"
 #: What copyright pages and colophons say.
 COPYRIGHT = (
     "cataloging-in-publication", "cataloging in publication", "library of congress", "depósito legal", "deposito legal", "d.l.", "dépôt légal", "todos los derechos reservados", "all rights reserved",
@@ -27,13 +32,35 @@ def _says(c: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(c), w))
 
 
+@lru_cache(1)
+def _entities() -> dict[str, str]:
+    """What stands between & and ; for characters: HTML's names, and the numbers that it reads in another way, as Python's library has them."""
+    names = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+    return names | {f"#{n}": unescape(f"&#{n};") for n in range(0x80, 0xA0)}
+
+
+def unescaped(c: Column) -> Column:
+    """Entities by name and number, each once; what isn't one stays."""
+    name = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    known = F.from_json(F.lit(json.dumps(_entities())), "map<string,string>")
+
+    def one(part: Column) -> Column:
+        entity = F.regexp_extract(part, name, 1)
+        number = F.when(F.startswith(F.lower(entity), F.lit("#x")), F.conv(F.substring(entity, F.lit(3), F.length(entity)), 16, 10)).when(F.startswith(entity, F.lit("#")), F.substring(entity, F.lit(2), F.length(entity))).cast("long")
+        bad = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        by_number = F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        # numbers are looked up in decimal, so that hexadecimal ones meet the same exceptions
+        read = F.coalesce(F.element_at(known, F.coalesce(F.concat(F.lit("#"), number.cast("string")), entity)), by_number)
+        return F.when(entity != "", F.coalesce(F.concat(read, F.substring(part, F.length(entity) + 2, F.length(part))), F.concat(F.lit("&"), part))).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(c, "&")
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))).otherwise(c)
+
+
 def stripped(html: Column) -> Column:
-    """The text of a page: no comments, scripts, styles and tags, common entities read."""
+    """The text of a page: no comments, scripts, styles and tags, entities read."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    t = F.regexp_replace(t, "(?s)<[^>]*>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    return unescaped(F.regexp_replace(t, "(?s)<[^>]*>", ""))
 
 
 def context_isbns(snippets: DataFrame) -> DataFrame:
@@ -62,11 +89,18 @@ def guesses(snippets: DataFrame) -> DataFrame:
 
 
 def edition_pages(snippets: DataFrame) -> DataFrame:
-    """By book the first copyright page, colophon and title page: a page is one of them only, in this order."""
-    t = F.col("text")
-    kind = F.when(_says(t, COPYRIGHT), "copyright").when(_says(t, COLOPHON), "colophon").when((F.col("seq") <= 2) & (F.size(F.filter(F.split(t, r"\s+"), lambda w: w != "")) < 100), "title")
-    rows = snippets.select("book_id", "seq", kind.alias("kind")).where("kind is not null")
-    return rows.groupBy("book_id").agg(*[F.min(F.when(F.col("kind") == k, F.col("seq"))).alias(f"{k}_seq") for k in ("copyright", "colophon", "title")])
+    """By book the first copyright page, then the first colophon among the other pages, then the first title page among the rest.
+
+    A page that looks like both is a colophon where another one is the copyright page. Title pages are among the first three, have fewer than a hundred words and no copyright marks.
+    """
+    t, w = F.col("text"), Window.partitionBy("book_id")
+    few = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")) < 100
+    rows = snippets.select("book_id", "seq", _says(t, COPYRIGHT).alias("c"), _says(t, COLOPHON).alias("e"), few.alias("few"))
+    rows = rows.withColumn("copyright_seq", F.min(F.when(F.col("c"), F.col("seq"))).over(w))
+    rows = rows.withColumn("colophon_seq", F.min(F.when(F.col("e") & ~F.col("seq").eqNullSafe(F.col("copyright_seq")), F.col("seq"))).over(w))
+    title = ~F.col("c") & (F.col("seq") <= 2) & F.col("few") & ~F.col("seq").eqNullSafe(F.col("colophon_seq"))
+    by = rows.groupBy("book_id").agg(F.min("copyright_seq").alias("copyright_seq"), F.min("colophon_seq").alias("colophon_seq"), F.min(F.when(title, F.col("seq"))).alias("title_seq"))
+    return by.where("coalesce(copyright_seq, colophon_seq, title_seq) is not null")
 
 
 def tagged_isbns(snippets: DataFrame) -> DataFrame:
@@ -81,14 +115,14 @@ def tagged_isbns(snippets: DataFrame) -> DataFrame:
 
 
 def imprint(snippets: DataFrame) -> DataFrame:
-    """Legal deposit number, publisher and the largest year, each from the first page that has one."""
+    """Legal deposit number, publisher and year of a book, each from the first page that has one; the year of a page with a deposit number is that of the deposit, else its largest."""
     year = F.regexp_extract("text", DEPOSIT, 3)
     full = F.when((F.length(year) == 2) & (year.try_cast("int") < 50), F.concat(F.lit("20"), year)).otherwise(year)
     deposit = F.when(year != "", F.regexp_replace(F.concat_ws("-", F.regexp_extract("text", DEPOSIT, 1), F.regexp_replace(F.regexp_extract("text", DEPOSIT, 2), r"\.", ""), full), "^-+|-+$", ""))
     house = F.trim(F.regexp_extract("text", PUBLISHER, 1))
     sound = (F.length(house) > 3) & ~F.lower(house).rlike("autor|traductor|isbn")
     years = F.array_max(F.filter(F.transform(F.regexp_extract_all("text", F.lit(YEAR), F.lit(1)), lambda y: y.cast("int")), lambda y: y.between(1800, 2030)))
-    rows = snippets.select("book_id", "seq", deposit.alias("deposit"), F.when(sound, house).alias("house"), years.alias("year"))
+    rows = snippets.select("book_id", "seq", deposit.alias("deposit"), F.when(sound, house).alias("house"), F.coalesce(full.try_cast("int"), years).alias("year"))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
     return rows.groupBy("book_id").agg(first("deposit").alias("deposit"), first("house").alias("publisher"), first("year").alias("year"))
 

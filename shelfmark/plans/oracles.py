@@ -435,6 +435,23 @@ _KEPT = "(SELECT book_id, title FROM books WHERE book_id % 25 <> 0 OR book_id NO
 _AUTHORS = "(SELECT book_id, string_agg(sort, '{}' ORDER BY link_id) AS authors FROM author_links GROUP BY book_id)"
 _HELD = "(SELECT book_id, string_agg(format, ',' ORDER BY format) AS formats FROM formats GROUP BY book_id)"
 _own_isbn = canonical("coalesce(isbn, '')")
+
+#: The patterns and lists again, so that a change of the operators' own shows.
+_CODE = "'(?:ISBN(?:-1[03])?\\s*[: ]\\s*)([0-9Xx][0-9Xx\\s-]{8,20}[0-9Xx])'"
+_TAGGED = "'\\b(?:ISBN(?:-1[03])?[:\\s]*)?((?:97[89][-\\s]?(?:\\d[-\\s]?){9}\\d)|(?:\\d[-\\s]?(?:\\d[-\\s]?){8}[\\dXx]))\\b(?:\\s*\\(([^)]+)\\))?'"
+_LAID = "'\\b(?:D\\.?\\s*L\\.?|Dep[óo]sito\\s+Legal)[\\s:]*([A-Z]{1,4}|[A-Z]{1,2}-[A-Za-z]+)?[-\\s.]*(\\d{1,6}(?:\\.\\d{3})?)[-\\s/]*((?:19|20)\\d{2}|\\d{2})\\b'"
+_HOUSE = "'(?:Publicado por|Published by|Editorial|Ediciones)\\s+([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ\\s&.,''-]+?)(?:\\r?\\n|,|\\.)'"
+_CIP = "['cataloging-in-publication', 'cataloging in publication', 'library of congress', 'depósito legal', 'deposito legal', 'd.l.', 'dépôt légal', 'todos los derechos reservados', 'all rights reserved', 'tous droits réservés', 'primera edición', 'first edition', 'impreso en', 'printed in', 'copyright ©']"
+_END = "['se terminó de imprimir', 'se termino de imprimir', 'acabose de imprimir', 'achevé d''imprimer', 'talleres de', 'talleres gráficos', 'colofón', 'colofon']"
+_IN_CONTEXT = f"""(SELECT DISTINCT book_id, isbn13 FROM (SELECT book_id, {canonical("code")} AS isbn13 FROM (SELECT book_id, upper(regexp_replace(unnest(regexp_extract_all(text, {_CODE}, 1, 'i')), '[^0-9Xx]', '', 'g')) AS code FROM imprints
+  WHERE source = 'copyright_page' OR seq < 6 AND regexp_matches(lower(text), 'copyright|colophon|published by'))) WHERE isbn13 IS NOT NULL)"""
+_GUESSES = """(SELECT book_id, CASE WHEN contains(head, ' by ') THEN trim(split_part(head, ' by ', 1)) ELSE head END AS title, CASE WHEN contains(head, ' by ') THEN trim(substr(head, strpos(head, ' by ') + 4)) ELSE rest[1] END AS author
+FROM (SELECT book_id, lines[1] AS head, list_filter(lines[2:5], lambda x: NOT regexp_matches(lower(x), 'isbn|translated|titles by|arcade publishing')) AS rest FROM (SELECT book_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines FROM imprints WHERE source = 'title_page') WHERE len(lines) > 0))"""
+_IMPRINT = f"""(SELECT book_id, arg_min(deposit, seq) FILTER (deposit IS NOT NULL) AS deposit, arg_min(house, seq) FILTER (house IS NOT NULL) AS publisher, arg_min(year, seq) FILTER (year IS NOT NULL) AS year FROM (
+  SELECT book_id, seq, CASE WHEN y <> '' THEN regexp_replace(concat_ws('-', place, replace(number, '.', ''), whole), '^-+|-+$', '', 'g') END AS deposit, CASE WHEN length(house) > 3 AND NOT regexp_matches(lower(house), 'autor|traductor|isbn') THEN house END AS house, coalesce(TRY_CAST(whole AS INT), list_max(years)) AS year
+  FROM (SELECT *, CASE WHEN length(y) = 2 AND CAST(y AS INT) < 50 THEN '20' || y ELSE y END AS whole FROM (SELECT book_id, seq, regexp_extract(text, {_LAID}, 1, 'i') AS place, regexp_extract(text, {_LAID}, 2, 'i') AS number, regexp_extract(text, {_LAID}, 3, 'i') AS y, trim(regexp_extract(text, {_HOUSE}, 1, 'i')) AS house,
+    list_filter(list_transform(regexp_extract_all(text, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda z: CAST(z AS INT)), lambda z: z BETWEEN 1800 AND 2030) AS years FROM imprints))) GROUP BY book_id)"""
+
 ORACLES |= {
     "T3_slow_windows": (("requests",), f"SELECT start_s, n, round(seconds / n, 6) AS mean_s FROM {_WINDOWS} WHERE seconds / n > 0.4"),
     "T4_held_alerts": (("requests",), f"SELECT 'errors' AS rule, start_s, since_s FROM (SELECT start_s, min(start_s) OVER (PARTITION BY island) AS since_s FROM (SELECT start_s, start_s - 60 * row_number() OVER (ORDER BY start_s) AS island FROM {_WINDOWS} WHERE errors / n > 0.01)) WHERE start_s - since_s >= 240"),
@@ -454,16 +471,23 @@ SELECT 'errors' AS rule, 'firing' AS state, since_s + 240 AS at_s, since_s FROM
 s AS (SELECT worker, at_s, count_if(opens) OVER (PARTITION BY worker ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM b)
 SELECT worker, min(at_s) AS start_s, max(at_s) AS last_s, count(*) AS beats FROM s GROUP BY worker, n"""),
     "T9_running_counts": (("operations",), "SELECT operation_id % 7 AS run_id, state AS action, count(*) AS n FROM operations GROUP BY 1, 2"),
-    "X1_stripped": ((), r"""SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gsi'), '<[^>]*>', '', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""".replace("\\\\", "\\")),
-    "X3_context_isbns": (("imprints",), f"SELECT DISTINCT book_id, {canonical('c')} AS isbn13 FROM (SELECT book_id, coalesce(isbn, '') AS c FROM books_isbn) WHERE ({canonical('c')}) IS NOT NULL"),
-    "X4_content_identifier": (("books_isbn", "imprints"), f"SELECT book_id, isbn AS identifier, CASE WHEN ({_own_isbn}) IS NOT NULL THEN 'content' WHEN isbn IS NOT NULL THEN 'embedded' END AS origin FROM books_isbn"),
-    "X5_guesses": (("imprints",), "SELECT book_id, trim(coalesce(title, 'Untitled')) AS title, author FROM books_isbn"),
-    "X6_edition_pages": (("imprints",), "SELECT book_id, 1 AS copyright_seq, CASE WHEN book_id % 5 = 0 THEN 2 END AS colophon_seq, 0 AS title_seq FROM books_isbn"),
-    "X7_tagged_isbns": (("imprints",), f"""SELECT book_id, isbn13, tag, isbn13 = first(isbn13) OVER (PARTITION BY book_id ORDER BY tag <> 'epub', place) AS is_primary FROM (SELECT book_id, isbn13, arg_max(tag, seq) AS tag, min(seq) AS place FROM (SELECT book_id, 1 AS seq, {_own_isbn} AS isbn13, CASE WHEN book_id % 2 = 0 THEN 'epub' ELSE 'paper' END AS tag FROM books_isbn
-UNION ALL SELECT book_id, 2, '9780306406157', 'paper' FROM books_isbn WHERE book_id % 5 = 0) WHERE isbn13 IS NOT NULL GROUP BY book_id, isbn13)"""),
-    "X8_X9_imprint": (("imprints",), "SELECT book_id, 'M-' || CAST(100000 + book_id % 800000 AS VARCHAR) || CASE WHEN book_id % 4 = 0 THEN '-2017' ELSE '-2018' END AS deposit, 'Acme House' AS publisher, 2019 AS year FROM books_isbn"),
+    "X1_stripped": ((), r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gs'), '<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gsi'), '<[^>]*>', '', 'gs'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS text FROM pages""".replace("\\\\", "\\")),
     "X10_budgeted": (("imprints",), "SELECT book_id, seq, source, substr(text, 1, CAST(greatest(60 - before, 0) AS BIGINT)) AS text FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM imprints WHERE seq < 2) WHERE before < 60"),
-    "X11_observations": (("books", "imprints"), "SELECT book_id, CASE WHEN book_id % 4 = 0 THEN observed_title ELSE trim(coalesce(title, 'Untitled')) END AS title, author, CASE WHEN book_id % 4 = 0 THEN publisher ELSE 'Acme House' END AS publisher, CASE WHEN book_id % 4 <> 0 THEN 2019 END AS year, 'medium' AS quality FROM books"),
+    "X3_context_isbns": (("imprints",), f"SELECT * FROM {_IN_CONTEXT}"),
+    "X4_content_identifier": (("books_isbn", "imprints"), f"""SELECT b.book_id, coalesce(one, isbn) AS identifier, CASE WHEN one IS NOT NULL THEN 'content' WHEN isbn IS NOT NULL THEN 'embedded' END AS origin
+FROM books_isbn b LEFT JOIN (SELECT book_id, CASE WHEN count(*) = 1 THEN min(isbn13) END AS one FROM {_IN_CONTEXT} GROUP BY book_id) x USING (book_id)"""),
+    "X5_guesses": (("imprints",), f"SELECT * FROM {_GUESSES}"),
+    "X6_edition_pages": (("imprints",), f"""WITH p AS (SELECT book_id, seq, len(list_filter({_CIP}, lambda m: contains(lower(text), m))) > 0 AS c, len(list_filter({_END}, lambda m: contains(lower(text), m))) > 0 AS e, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 100 AS few FROM imprints),
+a AS (SELECT book_id, min(seq) AS copyright_seq FROM p WHERE c GROUP BY book_id), b AS (SELECT p.book_id, min(seq) AS colophon_seq FROM p LEFT JOIN a ON a.book_id = p.book_id AND a.copyright_seq = p.seq WHERE e AND a.book_id IS NULL GROUP BY p.book_id),
+t AS (SELECT p.book_id, min(seq) AS title_seq FROM p LEFT JOIN b ON b.book_id = p.book_id AND b.colophon_seq = p.seq WHERE NOT c AND few AND seq <= 2 AND b.book_id IS NULL GROUP BY p.book_id)
+SELECT * FROM a FULL JOIN b USING (book_id) FULL JOIN t USING (book_id)"""),
+    "X7_tagged_isbns": (("imprints",), f"""WITH m AS (SELECT book_id, seq, unnest(x) AS hit, generate_subscripts(x, 1) AS pos FROM (SELECT book_id, seq, regexp_extract_all(text, {_TAGGED}, 0, 'i') AS x FROM imprints)),
+n AS (SELECT book_id, seq, pos, {canonical("code")} AS isbn13, nullif(lower(trim(regexp_extract(hit, {_TAGGED}, 2, 'i'))), '') AS tag FROM (SELECT *, upper(regexp_replace(regexp_extract(hit, {_TAGGED}, 1, 'i'), '[^0-9Xx]', '', 'g')) AS code FROM m)),
+by_code AS (SELECT book_id, isbn13, last(tag ORDER BY seq, pos) AS tag, min((seq, pos)) AS place FROM n WHERE isbn13 IS NOT NULL GROUP BY book_id, isbn13)
+SELECT book_id, isbn13, tag, row_number() OVER (PARTITION BY book_id ORDER BY NOT coalesce(regexp_matches(tag, 'epub|digital|ebook'), FALSE), place) = 1 AS is_primary FROM by_code"""),
+    "X8_X9_imprint": (("imprints",), f"SELECT * FROM {_IMPRINT}"),
+    "X11_observations": (("books", "imprints"), f"""SELECT b.book_id, coalesce(g.title, observed_title) AS title, coalesce(g.author, b.author) AS author, coalesce(i.publisher, b.publisher) AS publisher, year, CASE WHEN n > 500 THEN 'high' ELSE 'medium' END AS quality FROM books b
+LEFT JOIN (SELECT * FROM {_GUESSES} WHERE book_id % 4 <> 0) g ON g.book_id = b.book_id LEFT JOIN (SELECT * FROM {_IMPRINT} WHERE book_id % 4 <> 0) i ON i.book_id = b.book_id LEFT JOIN (SELECT book_id, sum(length(text)) AS n FROM imprints WHERE book_id % 4 <> 0 GROUP BY book_id) s ON s.book_id = b.book_id"""),
     "X12_egress": (("snippets",), "SELECT book_id, CASE WHEN book_id % 3 = 0 THEN CAST(sum(length(text)) AS BIGINT) ELSE 0 END AS text_chars, sha256(string_agg(CASE WHEN book_id % 3 = 0 THEN text ELSE '[text withheld]' END, chr(10) ORDER BY seq)) AS payload_sha256 FROM snippets GROUP BY book_id"),
     "I1_wide_books": (("books", "author_links", "identifiers", "formats"), f"""SELECT b.book_id, title, authors, '{{' || '"goodreads":"' || CAST(b.book_id * 7 AS VARCHAR) || '"' || CASE WHEN v IS NOT NULL THEN ',"isbn":"' || v || '"' ELSE '' END || '}}' AS identifiers, formats
 FROM {_KEPT} b LEFT JOIN {_AUTHORS.format('|')} a ON a.book_id = b.book_id LEFT JOIN (SELECT book_id, min(value) AS v FROM identifiers WHERE lower(type) = 'isbn' GROUP BY book_id) i ON i.book_id = b.book_id LEFT JOIN {_HELD} f ON f.book_id = b.book_id"""),

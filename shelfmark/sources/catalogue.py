@@ -74,9 +74,14 @@ UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright 2019. ISBN: ',
   ((p_partkey * 7) % 101) / 100.0E0 AS white_ratio, ((p_partkey * 3) % 31) / 100.0E0 AS dark_ratio,
   CASE p_partkey % 9 WHEN 0 THEN 'z-library' WHEN 1 THEN 'New York Times Bestseller' WHEN 2 THEN 'Chapter 1 contents' ELSE '' END AS ocr_text,
   CAST((p_partkey % 40) * 72057594037927 + CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 1048583 ELSE 0 END AS BIGINT) AS phash FROM part"""),
-    "imprints": (("books_isbn",), """SELECT book_id, 0 AS seq, 'title_page' AS source, concat(coalesce(title, 'Untitled'), chr(10), CASE WHEN book_id % 3 = 0 THEN concat('Translated by X', chr(10), author) ELSE author END) AS text FROM books_isbn
-UNION ALL SELECT book_id, 1, 'copyright_page', concat('Copyright © 2019. All rights reserved. ISBN: ', coalesce(isbn, 'none'), ' (', CASE WHEN book_id % 2 = 0 THEN 'ePub' ELSE 'paper' END, '). Published by Acme House, 2018. D.L.: M-', CAST(100000 + book_id % 800000 AS STRING), CASE WHEN book_id % 4 = 0 THEN ' / 2017' ELSE ' / 18' END, '.') FROM books_isbn
-UNION ALL SELECT book_id, 2, 'body', CASE WHEN book_id % 5 = 0 THEN 'Talleres de Sol. ISBN 978-0-306-40615-7 (paper)' ELSE 'Once upon a time' END FROM books_isbn"""),
+    "imprints": (("books_isbn",), """SELECT book_id, 0 AS seq, 'title_page' AS source, CASE book_id % 4 WHEN 0 THEN concat(chr(10), ' ', coalesce(title, 'Untitled'), ' by ', author) WHEN 1 THEN concat(coalesce(title, 'Untitled'), chr(10), 'Translated by Someone', chr(10), author)
+    WHEN 2 THEN coalesce(title, 'Untitled') ELSE concat(coalesce(title, 'Untitled'), chr(10), ' ', chr(10), author, chr(10), 'ISBN 1') END AS text FROM books_isbn
+UNION ALL SELECT book_id, 1, 'copyright_page', concat(CASE WHEN book_id % 13 = 0 THEN 'Notes of ' ELSE 'Copyright © ' END, CAST(1950 + book_id % 85 AS STRING), '. ISBN', CASE book_id % 3 WHEN 0 THEN '-13: ' WHEN 1 THEN ' ' ELSE ': ' END, CASE WHEN isbn IS NULL THEN 'none' ELSE concat(substr(isbn, 1, 3), '-', substr(isbn, 4)) END,
+    ' (', CASE book_id % 4 WHEN 0 THEN 'ePub' WHEN 1 THEN 'Paper' WHEN 2 THEN 'E-Book' ELSE ' digital edition' END, '). ', CASE book_id % 5 WHEN 0 THEN 'PUBLISHED BY ' WHEN 1 THEN 'Publicado por ' WHEN 2 THEN 'Editorial ' WHEN 3 THEN 'ediciones ' ELSE 'From ' END,
+    CASE WHEN book_id % 17 = 0 THEN 'Autor' ELSE publisher END, ' & Co., ', CAST(1700 + book_id % 400 AS STRING), '.', CASE WHEN book_id % 3 = 0 THEN '' ELSE concat(' ', CASE book_id % 5 WHEN 0 THEN 'D.L.: ' WHEN 1 THEN 'DEPÓSITO LEGAL: ' WHEN 2 THEN 'Depósito legal ' WHEN 3 THEN 'D. L. ' ELSE 'deposito legal: ' END,
+      CASE book_id % 4 WHEN 0 THEN 'M-' WHEN 1 THEN 'B. ' WHEN 2 THEN '' ELSE 'SE-' END, CAST(book_id % 900000 AS STRING), CASE book_id % 6 WHEN 0 THEN '-2017' WHEN 1 THEN '/18' WHEN 2 THEN ' - 1999' WHEN 4 THEN '-62' ELSE '/ 07' END, '.') END) FROM books_isbn
+UNION ALL SELECT book_id, 2, 'body', CASE WHEN book_id % 10 = 0 THEN 'Talleres de Sol, 1987. ISBN 978-0-306-40615-7 (paper)' WHEN book_id % 7 = 0 THEN 'All rights reserved. Se terminó de imprimir en 2001. D.L.: M-55-2003' WHEN book_id % 11 = 0 THEN concat('Long page', repeat(' word', 120)) ELSE 'Once upon a time' END FROM books_isbn
+UNION ALL SELECT book_id, 3, 'body', CASE WHEN book_id % 9 = 0 THEN 'ACHEVÉ D''IMPRIMER en 2004' WHEN book_id % 4 = 0 THEN 'SE TERMINÓ DE IMPRIMIR en los talleres gráficos de Luz. Published by Third House.' ELSE 'The end' END FROM books_isbn"""),
     "identifiers": (("books_isbn",), """SELECT book_id, 'ISBN' AS type, isbn AS value FROM books_isbn WHERE isbn IS NOT NULL UNION ALL SELECT book_id, 'isbn', '9780306406157' FROM books_isbn WHERE book_id % 25 = 0 UNION ALL SELECT book_id, 'Goodreads', CAST(book_id * 7 AS STRING) FROM books_isbn"""),
     "format_evidence": (("formats", "books_isbn"), """SELECT f.book_id, f.format, f.digest, CASE WHEN f.book_id % 37 = 0 AND f.format = 'MOBI' THEN 'protected' ELSE 'readable' END AS status,
   CASE WHEN f.book_id % 41 = 0 AND f.format = 'PDF' THEN '9780306406157' ELSE b.isbn END AS isbn, CASE WHEN f.book_id % 43 = 0 AND f.format = 'PDF' THEN 'Variant title' ELSE b.observed_title END AS title,
