@@ -271,11 +271,9 @@ both_ AS (SELECT * FROM told UNION ALL SELECT h.* FROM have h JOIN new n ON n.bo
 line AS (SELECT book_id, string_agg(k || '=' || v, '|' ORDER BY k) AS target FROM both_ GROUP BY book_id), before AS (SELECT book_id, string_agg(k || '=' || v, '|' ORDER BY k) AS target FROM have GROUP BY book_id)
 SELECT n.book_id, coalesce(line.target, '') AS target, coalesce(line.target, '') <> coalesce(before.target, '') AS changed FROM new n LEFT JOIN line ON line.book_id = n.book_id LEFT JOIN before ON before.book_id = n.book_id"""),
     "N15_N21_sql_text": (("books",), f"SELECT {title_sort('title')} AS sort, {author_sort('author')} AS author, count(*) AS n FROM (SELECT title, unnest(string_split(author, ' & ')) AS author FROM books) GROUP BY ALL"),
-    "N27_N31_X2_tokens": (("formats",), f"""SELECT book_id, format, token, CASE WHEN token IN {_in(FORMATS)} THEN token ELSE 'OTHER' END AS bucket, CASE WHEN book_id % 3 = 0 THEN 'copyright_page' ELSE 'title_page' END AS source,
-  coalesce(CASE WHEN length(CAST(book_id AS VARCHAR)) IN (10, 13) THEN CAST(book_id AS VARCHAR) END, '9780306406157') AS shaped FROM (SELECT *, CASE WHEN book_id % 5 = 0 THEN 'UNKNOWN' ELSE format END AS token FROM formats)"""),
-    "N19_N20_cover_urls": (("candidates",), f"""SELECT book_id, pos, CASE WHEN book_id % 2 = 0 THEN u || '&zoom=0&fife=w1600-h2400' WHEN book_id % 3 = 0 THEN u || '&fife=w1600-h2400&zoom=0' ELSE u || '&zoom=0&fife=w1600-h2400' END AS cover,
-  'https://covers.openlibrary.org/b/isbn/' || ({canonical("coalesce(isbn13, '')")}) || '-L.jpg?default=false' AS isbn_cover, book_id % 5 <> 0 AND book_id % 7 <> 0 AND pos <> 1 AND (book_id % 4 = 0 OR book_id % 9 <> 0) AS allowed
-FROM (SELECT *, 'https://books.google.com/books?id=' || CAST(book_id AS VARCHAR) AS u FROM candidates)"""),
+    "N27_N31_X2_tokens": (("tokens",), f"""SELECT book_id, format, token, CASE WHEN token IN {_in(FORMATS)} THEN token ELSE 'OTHER' END AS bucket, CASE WHEN regexp_matches(lower(path), 'copyright|colophon') THEN 'copyright_page' WHEN contains(lower(path), 'title') OR place = 0 THEN 'title_page' ELSE 'body' END AS source,
+  list_filter(list_transform(regexp_extract_all(says, '(?:97[89][-\\s]?)?(?:\\d[-\\s]?){{9}}[\\dXx]'), lambda z: upper(regexp_replace(z, '[^0-9Xx]', '', 'g'))), lambda z: length(z) IN (10, 13))[1] AS shaped
+FROM (SELECT *, CASE WHEN regexp_full_match(up, '[A-Z0-9]{{1,16}}') THEN up ELSE 'UNKNOWN' END AS token FROM (SELECT *, upper(regexp_replace(trim(made), '^.*\\.', '')) AS up FROM tokens))"""),
     "V1_V5_V11_settled_verdicts": (("pairs",), f"SELECT * FROM {_SETTLED}"),
     "V14_patch_risks": (("pairs",), f"""SELECT book_id, concat_ws(',', CASE WHEN len({_parts('d_authors')}) > 0 AND len({_parts('o_authors')}) > 0 AND NOT list_has_any({_parts('d_authors')}, {_parts('o_authors')}) THEN 'author_swap' END, CASE WHEN d_isbn <> '' AND o_isbn <> '' AND d_isbn <> o_isbn THEN 'isbn_conflict' END) AS risks FROM pairs"""),
     "V15_V16_adjudicated": (("pairs",), f"""SELECT book_id, field, CASE WHEN told THEN answer ELSE verdict END AS verdict, conf AS confidence, flags, CASE WHEN conf < 70 THEN 'defer' WHEN conf < 90 OR flags <> '' THEN 'needs_review' ELSE 'suggest_fix' END AS action
@@ -299,7 +297,7 @@ SELECT book_id, field, tier, status, CASE WHEN tier = 'A' AND nv = 1 THEN k END
     "R6_R10_R11_ladder": (("evidence", "format_evidence"), _TIERS),
     "R12_ocr_consensus": (("format_evidence",), f"""SELECT book_id AS file_id, count(*) AS n_engines, CASE WHEN bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 THEN min(c) END AS isbn, bool_and(c IS NOT NULL) AND count(DISTINCT c) = 1 AND count(*) >= 2 AS authoritative FROM (SELECT book_id, {canonical("coalesce(isbn, '')")} AS c FROM format_evidence) GROUP BY book_id"""),
     "R13_evidence_ids": (("evidence",), "SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || independence_root || '|' || field), 1, 20) AS evidence_id, count(*) AS n_rows, count(DISTINCT value || source_kind || CAST(authoritative AS VARCHAR)) > 1 AS clash FROM evidence GROUP BY book_id, independence_root, field"),
-    "R14_broken_seals": (("evidence",), "SELECT book_id, independence_root, field, sha256(CAST(book_id AS VARCHAR) || '|' || field || '|' || value) AS seal FROM evidence WHERE book_id % 50 = 0 AND upper(value) <> value"),
+    "R14_broken_seals": (("evidence",), "SELECT book_id, independence_root, field, seal FROM (SELECT *, sha256(concat_ws('|', book_id, field, value)) AS seal, sha256(concat_ws('|', book_id, field, CASE WHEN book_id % 50 = 0 THEN upper(value) ELSE value END)) AS again FROM evidence) WHERE seal <> again"),
     "R15_changed_sources": (("formats",), "SELECT CAST(book_id AS VARCHAR) || '/' || format AS file, CASE WHEN book_id % 17 = 0 THEN 'added' WHEN book_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS change FROM formats WHERE (book_id % 17 = 0) <> (book_id % 11 = 0) OR (book_id % 13 = 0 AND book_id % 17 <> 0 AND book_id % 11 <> 0)"),
 }
 
@@ -436,6 +434,13 @@ _AUTHORS = "(SELECT book_id, string_agg(sort, '{}' ORDER BY link_id) AS authors
 _HELD = "(SELECT book_id, string_agg(format, ',' ORDER BY format) AS formats FROM formats GROUP BY book_id)"
 _own_isbn = canonical("coalesce(isbn, '')")
 
+def _larger(u: str, size: str) -> str:
+    b = f"replace(replace(replace(replace({u}, 'http://', 'https://'), '&edge=curl', ''), 'edge=curl&', ''), 'edge=curl', '')"
+    return f"regexp_replace(CASE WHEN contains({b}, 'zoom=1') THEN replace({b}, 'zoom=1', 'zoom=0') WHEN contains({b}, 'zoom=5') THEN replace({b}, 'zoom=5', 'zoom=0') WHEN NOT contains({b}, 'zoom=') AND contains({b}, '?') THEN {b} || '&zoom=0' ELSE {b} END, 'fife=w\\d+-h\\d+', 'fife={size}', 'g')"
+
+
+_tag = lambda n: f"nullif(trim(replace(regexp_extract(xml, '<{n}>([^<]*)</{n}>', 1), '&amp;', '&')), '')"
+_code_of = lambda n: f"upper(regexp_replace(coalesce({_tag(n)}, ''), '[^0-9Xx]', '', 'g'))"
 #: The patterns and lists again, so that a change of the operators' own shows.
 _CODE = "'(?:ISBN(?:-1[03])?\\s*[: ]\\s*)([0-9Xx][0-9Xx\\s-]{8,20}[0-9Xx])'"
 _TAGGED = "'\\b(?:ISBN(?:-1[03])?[:\\s]*)?((?:97[89][-\\s]?(?:\\d[-\\s]?){9}\\d)|(?:\\d[-\\s]?(?:\\d[-\\s]?){8}[\\dXx]))\\b(?:\\s*\\(([^)]+)\\))?'"
@@ -495,14 +500,37 @@ FROM {_KEPT} b LEFT JOIN {_AUTHORS.format('|')} a ON a.book_id = b.book_id LEFT
     "I2_flat_books": (("books", "author_links", "identifiers", "formats"), f"SELECT b.book_id, title, authors, coalesce(formats, '') AS formats, v AS isbn FROM {_KEPT} b LEFT JOIN {_AUTHORS.format(' & ')} a ON a.book_id = b.book_id LEFT JOIN (SELECT book_id, min(value) AS v FROM identifiers WHERE lower(type) = 'isbn' GROUP BY book_id) i ON i.book_id = b.book_id LEFT JOIN {_HELD} f ON f.book_id = b.book_id"),
     "I3_scanned": (("books",), "SELECT book_id AS book_key, CASE WHEN book_id % 4 <> 0 THEN upper(title) ELSE title END AS title, CASE WHEN book_id % 4 <> 0 THEN 'xx' ELSE language END AS language, CASE WHEN book_id % 4 <> 0 THEN 'scanned' ELSE 'verified' END AS status FROM books WHERE book_id % 12 <> 0"),
     "I4_unseen": (("formats",), "SELECT DISTINCT '/library/' || CAST(book_id AS VARCHAR) || '.' || lower(format) AS path FROM formats WHERE book_id % 6 <> 0 AND book_id % 10 <> 5"),
-    "I5_volumes": (("candidates",), "SELECT book_id, pos, 'google_books:' || CAST(pos AS VARCHAR) AS candidate_id, title, author AS authors, CAST(NULL AS VARCHAR) AS publisher, '2019' AS published, CAST(NULL AS VARCHAR) AS language, isbn13 AS isbn, 'https://b/c?zoom=0&fife=w1600-h2400' AS cover_url FROM candidates"),
-    "I5_search_docs": (("candidates",), "SELECT book_id, CAST(k AS INT) AS pos, 'openlibrary:OL' || CAST(book_id AS VARCHAR) AS candidate_id, title, author || ' & Plato' AS authors, 'P1' AS publisher, CAST(NULL AS VARCHAR) AS language, isbn13 AS isbn, '1999' AS published FROM candidates, range(5) r(k) WHERE pos = 0"),
-    "I6_series_matches": (("books",), "SELECT book_id, CAST(k AS INT) AS pos, title, CASE WHEN book_id % 2 = 0 THEN 3.0E0 END AS volume, 12.5E0 AS chapter, 12.5E0 AS series_position FROM books, range(3) r(k) WHERE title IS NOT NULL AND (k = 0 OR book_id % 3 = 1)"),
-    "I7_comic_records": (("books_isbn",), "SELECT book_id, observed_title AS title, series, CASE WHEN book_id % 7 <> 0 THEN series_index END AS series_index, CAST(NULL AS INT) AS volume, CAST(NULL AS DOUBLE) AS chapter, 'Ann Lee & Bob; Cy' AS authors, CAST(NULL AS VARCHAR) AS publisher, CASE WHEN book_id % 2 = 0 THEN '2019-07-01' ELSE '2019-01-01' END AS published, 'a|b' AS tags FROM books_isbn"),
     "I8_inserted": (("evidence",), "SELECT CAST(book_id AS VARCHAR) || '/' || independence_root || '/' || field AS evidence_id, CASE WHEN book_id % 2 = 0 THEN 'conflict' ELSE 'inserted' END AS outcome FROM evidence WHERE book_id % 2 = 1 OR book_id % 10 = 0"),
     "I9_report": (("pairs",), f"""SELECT book_id, '[' || string_agg('{{"field":"' || field || '","verdict":"' || verdict || '","confidence":' || CAST(confidence AS VARCHAR) || '}}', ',' ORDER BY field) || ']' AS verdicts FROM {_SETTLED} GROUP BY book_id"""),
     "I10_of_types": ((), "SELECT doc_id FROM documents WHERE lang IN ('en', 'de')"),
-    "I11_opf_records": (("books_isbn",), "SELECT book_id, CAST(k AS INT) AS pos, observed_title AS title, 'Ann & Bob' AS authors, CAST(NULL AS VARCHAR) AS publisher, '2019-05-01' AS published, 'en' AS language, coalesce(isbn, 'none') AS isbn FROM books_isbn, range(2) r(k) WHERE k = 0 OR book_id % 2 = 0"),
-    "I12_comic_evidence": (("books_isbn",), f"SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || field), 1, 20) AS evidence_id, book_id, field, value FROM (SELECT book_id, 'title' AS field, observed_title AS value FROM books_isbn UNION ALL SELECT book_id, 'authors', 'Ann Lee, Bob & Cy' FROM books_isbn UNION ALL SELECT book_id, 'languages', 'en' FROM books_isbn UNION ALL SELECT book_id, 'identifiers', {_own_isbn} FROM books_isbn) WHERE value <> ''"),
+    "N19_N20_cover_urls": (("addresses",), f"""SELECT book_id, pos, CASE WHEN thumbnail <> '' THEN CASE WHEN contains(a, 'fife=') THEN a ELSE a || CASE WHEN contains(a, '?') THEN '&' ELSE '?' END || 'fife=w1600-h2400' END WHEN volume <> '' THEN 'https://books.google.com/books/publisher/content/images/frontcover/' || volume || '?fife=w1600-h2400' END AS large,
+  CASE WHEN thumbnail <> '' THEN b WHEN volume <> '' THEN 'https://books.google.com/books/publisher/content/images/frontcover/' || volume || '?fife=w1000-h1500' END AS by_volume, CASE WHEN cover_id <> 0 THEN 'https://covers.openlibrary.org/b/id/' || CAST(cover_id AS VARCHAR) || '-L.jpg?default=false' ELSE i END AS by_number, i AS by_isbn,
+  'https://images-na.ssl-images-amazon.com/images/P/B' || upper(isbn13) || '.01._SL1600_.jpg' AS shop, lower(split_part(address, '://', 1)) = 'https' AND NOT contains(address, '@') AND lower(regexp_extract(address, '//([^/:]+)', 1)) IN ('openlibrary.org', 'covers.openlibrary.org') AND NOT contains(split_part(address, '/', 3), ':8443') AS allowed
+FROM (SELECT *, {_larger('thumbnail', 'w1600-h2400')} AS a, {_larger('thumbnail', 'w1000-h1500')} AS b, 'https://covers.openlibrary.org/b/isbn/' || ({canonical("coalesce(isbn13, '')")}) || '-L.jpg?default=false' AS i FROM addresses)"""),
+    "I5_volumes": (("volume_payloads",), f"""WITH i AS (SELECT book_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM (SELECT book_id, CAST(CASE WHEN json_valid(payload) THEN payload -> '$.items' END AS JSON[]) AS xs FROM volume_payloads) WHERE xs IS NOT NULL),
+p AS (SELECT *, x -> '$.volumeInfo' AS v, coalesce(nullif(x ->> '$.volumeInfo.imageLinks.thumbnail', ''), x ->> '$.volumeInfo.imageLinks.smallThumbnail') AS picture FROM i)
+SELECT book_id, CAST(pos AS INT) AS pos, 'google_books:' || (x ->> '$.id') AS candidate_id, x ->> '$.selfLink' AS provider_url, v ->> '$.title' AS title, array_to_string(CAST(v -> '$.authors' AS VARCHAR[]), ' & ') AS authors, v ->> '$.publisher' AS publisher, v ->> '$.publishedDate' AS published, v ->> '$.language' AS language,
+  list_filter(CAST(v -> '$.industryIdentifiers' AS JSON[]), lambda z: contains(lower(z ->> '$.type'), 'isbn'))[-1] ->> '$.identifier' AS isbn, CASE WHEN picture <> '' THEN {_larger('picture', 'w1000-h1500')} ELSE 'https://books.google.com/books/publisher/content/images/frontcover/' || (x ->> '$.id') || '?fife=w1000-h1500' END AS cover_url FROM p"""),
+    "I5_search_docs": (("search_payloads",), """WITH i AS (SELECT book_id, unnest(xs[:5]) AS x, generate_subscripts(xs[:5], 1) - 1 AS pos FROM (SELECT book_id, CAST(CASE WHEN json_valid(payload) THEN payload -> '$.docs' END AS JSON[]) AS xs FROM search_payloads) WHERE xs IS NOT NULL)
+SELECT book_id, CAST(pos AS INT) AS pos, 'openlibrary:' || string_split(x ->> '$.key', '/')[-1] AS candidate_id, x ->> '$.title' AS title, array_to_string(CAST(x -> '$.author_name' AS VARCHAR[]), ' & ') AS authors, x ->> '$.publisher[0]' AS publisher, x ->> '$.language[0]' AS language, x ->> '$.isbn[0]' AS isbn,
+  nullif(x ->> '$.first_publish_year', '0') AS published, 'https://covers.openlibrary.org/b/id/' || nullif(x ->> '$.cover_i', '0') || '-L.jpg' AS cover_url FROM i"""),
+    "I5_book_records": (("record_payloads",), f"""WITH r AS (SELECT book_id, code, CASE WHEN json_valid(payload) THEN json_extract(payload, '$."ISBN:' || code || '"') END AS x FROM (SELECT *, {canonical("coalesce(isbn, '')")} AS code FROM record_payloads) WHERE code IS NOT NULL),
+f AS (SELECT book_id, code, x ->> '$.url' AS source_url, unnest([{{'f': 'identifiers', 'v': code}}, {{'f': 'title', 'v': x ->> '$.title'}}, {{'f': 'authors', 'v': nullif(array_to_string(list_filter(list_transform(CAST(x -> '$.authors' AS JSON[]), lambda a: a ->> '$.name'), lambda n: n <> ''), ' & '), '')}},
+  {{'f': 'publisher', 'v': x ->> '$.publishers[0].name'}}, {{'f': 'languages', 'v': nullif(array_to_string(list_transform(CAST(x -> '$.languages' AS JSON[]), lambda a: lower(string_split(a ->> '$.key', '/')[-1])), ';'), '')}}, {{'f': 'pubdate', 'v': x ->> '$.publish_date'}}, {{'f': 'cover', 'v': x ->> '$.cover.large'}}]) AS e FROM r WHERE x IS NOT NULL)
+SELECT 'ev_' || substr(sha256(encode('openlibrary:' || code) || '\\x00'::BLOB || encode(e.f)), 1, 20) AS evidence_id, book_id, e.f AS field, e.v AS value, source_url FROM f WHERE e.v IS NOT NULL"""),
+    "I6_series_matches": (("match_payloads",), """WITH t AS (SELECT book_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM match_payloads),
+m AS (SELECT book_id, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) WHEN json_type(j) = 'OBJECT' AND json_exists(j, '$.candidates') THEN CASE WHEN json_type(j -> '$.candidates') = 'ARRAY' THEN CAST(j -> '$.candidates' AS JSON[]) END WHEN json_type(j) = 'OBJECT' THEN [j] END AS xs FROM t),
+i AS (SELECT book_id, unnest(xs[:3]) AS x, generate_subscripts(xs[:3], 1) - 1 AS pos FROM m WHERE xs IS NOT NULL),
+n AS (SELECT *, nullif(x ->> '$.title', '') AS t, nullif(x ->> '$.name', '') AS n, nullif(x ->> '$.series', '') AS s, x ->> '$.volume' AS v, CASE WHEN (x ->> '$.chapter') <> '' AND (json_type(x -> '$.chapter') = 'VARCHAR' OR TRY_CAST(x ->> '$.chapter' AS DOUBLE) <> 0) THEN x ->> '$.chapter' ELSE x ->> '$.number' END AS c FROM i WHERE json_type(x) = 'OBJECT')
+SELECT book_id, CAST(pos AS INT) AS pos, coalesce(t, n) AS title, coalesce(s, t) AS series, CASE WHEN json_type(x -> '$.volume') = 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN TRY_CAST(trim(v) AS INT) END ELSE CAST(trunc(TRY_CAST(v AS DOUBLE)) AS INT) END AS volume,
+  TRY_CAST(c AS DOUBLE) AS chapter, coalesce(TRY_CAST(x ->> '$.series_position' AS DOUBLE), TRY_CAST(c AS DOUBLE)) AS series_position FROM n WHERE coalesce(t, n, s) IS NOT NULL"""),
+    "I7_comic_records": (("sidecars",), f"""SELECT book_id, {_tag('Title')} AS title, {_tag('Series')} AS series, TRY_CAST({_tag('Number')} AS DOUBLE) AS series_index, TRY_CAST({_tag('Volume')} AS INT) AS volume, TRY_CAST({_tag('Chapter')} AS DOUBLE) AS chapter,
+  array_to_string(list_filter(list_transform(string_split(coalesce({_tag('Writer')}, ''), ','), lambda z: trim(z)), lambda z: z <> ''), ' & ') AS authors, {_tag('Publisher')} AS publisher, {_tag('Year')} || '-' || lpad(coalesce({_tag('Month')}, '01'), 2, '0') || '-01' AS published,
+  array_to_string(list_filter(list_transform(string_split({_tag('Genre')}, ','), lambda z: trim(z)), lambda z: z <> ''), '|') AS tags FROM sidecars"""),
+    "I11_opf_records": (("opf_bodies",), r"""WITH r AS (SELECT book_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS pos FROM (SELECT book_id, list_filter(string_split(body, '<?xml'), lambda z: contains(z, '<package')) AS xs FROM opf_bodies))
+SELECT book_id, CAST(pos AS INT) AS pos, nullif(regexp_extract(x, '<dc:title>([^<]*)<', 1), '') AS title, array_to_string(regexp_extract_all(x, '<dc:creator>([^<]*)<', 1), ' & ') AS authors, nullif(regexp_extract(x, '<dc:publisher>([^<]*)<', 1), '') AS publisher, nullif(substr(regexp_extract(x, '<dc:date>([^<]*)<', 1), 1, 10), '') AS published,
+  nullif(regexp_extract(x, '<dc:language>([^<]*)<', 1), '') AS language, nullif(regexp_extract(x, '<dc:identifier opf:scheme="(?i:isbn)">([^<]*)<', 1), '') AS isbn FROM r"""),
+    "I12_comic_evidence": (("sidecars",), f"""SELECT substr(sha256(CAST(book_id AS VARCHAR) || '|' || e.f), 1, 20) AS evidence_id, book_id, e.f AS field, e.v AS value FROM (SELECT book_id, unnest([{{'f': 'title', 'v': {_tag('Title')}}}, {{'f': 'authors', 'v': array_to_string(list_filter(list_transform(regexp_split_to_array({_tag('Writer')}, '[;&]'), lambda z: trim(z)), lambda z: z <> ''), ' & ')}},
+  {{'f': 'languages', 'v': lower({_tag('LanguageISO')})}}, {{'f': 'identifiers', 'v': coalesce({canonical(_code_of('GTIN'))}, {canonical(_code_of('ISBN'))})}}]) AS e FROM sidecars) WHERE e.v <> ''"""),
     "I13_provider_order": (("candidates",), "SELECT book_id, title, provider, CASE provider WHEN 'google_books' THEN 0 WHEN 'openlibrary' THEN 1 ELSE 2 END AS pos FROM candidates"),
 }

@@ -79,16 +79,14 @@ def _cleansed(b: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(f: DataFrame) -> DataFrame:
-    made = F.concat(F.col("book_id").cast("string"), F.when(F.col("book_id") % 5 == 0, F.lit(".w e")).otherwise("."), F.lower("format"))
-    text_ = F.concat(F.lit("see ISBN-13: "), F.col("book_id").cast("string"), F.lit(" or ISBN 978-0-306-40615-7."))
-    return f.select("book_id", "format", text.format_token(made).alias("token"), text.format_bucket(made).alias("bucket"), text.page_source(F.concat(F.lit("OEBPS/"), F.lower("format"), F.when(F.col("book_id") % 3 == 0, "-colophon").otherwise("-title")), F.col("book_id") % 4).alias("source"), isbn.first_shaped(text_).alias("shaped"))
+def _tokens(t: DataFrame) -> DataFrame:
+    return t.select("book_id", "format", text.format_token(F.col("made")).alias("token"), text.format_bucket(F.col("made")).alias("bucket"), text.page_source(F.col("path"), F.col("place")).alias("source"), isbn.first_shaped(F.col("says")).alias("shaped"))
 
 
-def _covers(c: DataFrame) -> DataFrame:
-    url = F.concat(F.lit("http://books.google.com/books?id="), F.col("book_id").cast("string"), F.when(F.col("book_id") % 2 == 0, "&zoom=1&edge=curl").when(F.col("book_id") % 3 == 0, "&fife=w10-h20").otherwise(""))
-    made = F.concat(F.when(F.col("book_id") % 5 == 0, "http://").when(F.col("book_id") % 7 == 0, "https://me:x@").otherwise("https://"), F.when(F.col("pos") == 1, "evil.example").otherwise("openlibrary.org"), F.when(F.col("book_id") % 4 == 0, ":443").when(F.col("book_id") % 9 == 0, ":8443").otherwise(""), F.lit("/b"))
-    return c.select("book_id", "pos", text.large_cover_url(url).alias("cover"), text.isbn_cover_url(isbn.canonical13(F.col("isbn13"))).alias("isbn_cover"), text.allowed_url(made, ("openlibrary.org", "covers.openlibrary.org")).alias("allowed"))
+def _addresses(a: DataFrame) -> DataFrame:
+    t, code = F.col("thumbnail"), isbn.canonical13(F.coalesce("isbn13", F.lit("")))
+    urls = {"large": text.large_cover_url(t, F.col("volume")), "by_volume": text.volume_cover_url(t, F.col("volume")), "by_number": text.isbn_cover_url(code, F.col("cover_id")), "by_isbn": text.isbn_cover_url(code), "shop": text.shop_cover_url(F.concat(F.lit("b-"), "isbn13"))}
+    return a.select("book_id", "pos", *[u.alias(n) for n, u in urls.items()], text.allowed_url(F.col("address"), ("openlibrary.org", "covers.openlibrary.org")).alias("allowed"))
 
 
 def _adjudicated(p: DataFrame) -> DataFrame:
@@ -169,29 +167,6 @@ def _unseen(f: DataFrame) -> DataFrame:
     return records.unseen(files, files.where("path like '%5.%'"))
 
 
-def _volumes(c: DataFrame) -> DataFrame:
-    info = F.struct(F.col("title").alias("title"), F.array("author").alias("authors"), F.lit("2019").alias("publishedDate"), F.array(F.struct(F.lit("OTHER").alias("type"), F.lit("x").alias("identifier")), F.struct(F.lit("ISBN_13").alias("type"), F.col("isbn13").alias("identifier"))).alias("industryIdentifiers"), F.struct(F.lit("http://b/c?zoom=1").alias("thumbnail")).alias("imageLinks"))
-    item = F.struct(F.col("pos").cast("string").alias("id"), info.alias("volumeInfo"))
-    return records.volumes(c.groupBy("book_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("items"))).alias("payload")))
-
-
-def _search(c: DataFrame) -> DataFrame:
-    doc = F.struct(F.concat(F.lit("/works/OL"), F.col("book_id").cast("string")).alias("key"), F.col("title").alias("title"), F.array("author", F.lit("Plato")).alias("author_name"), F.array(F.lit("P1"), F.lit("P2")).alias("publisher"), F.when(F.col("isbn13").isNotNull(), F.array("isbn13", F.lit("1"))).alias("isbn"), F.lit(1999).alias("first_publish_year"))
-    return records.search_docs(c.where("pos = 0").select("book_id", F.to_json(F.struct(F.array_repeat(doc, F.lit(7)).alias("docs"))).alias("payload")))
-
-
-def _matches(b: DataFrame) -> DataFrame:
-    one = F.to_json(F.struct("title", F.when(F.col("book_id") % 2 == 0, F.lit(" 3 ")).otherwise(F.lit("x")).alias("volume"), F.lit("12.5").alias("chapter")))
-    return records.series_matches(b.where("title is not null").select("book_id", F.when(F.col("book_id") % 3 == 0, one).when(F.col("book_id") % 3 == 1, F.concat(F.lit("["), F.concat_ws(",", one, one, one, one), F.lit("]"))).otherwise(F.concat(F.lit('{"candidates": ['), one, F.lit("]}"))).alias("payload")))
-
-
-def _sidecars(b: DataFrame) -> DataFrame:
-    tag = lambda n, c: F.concat(F.lit(f"<{n}>"), c, F.lit(f"</{n}>"))
-    parts = [tag("Title", F.concat(F.lit(" "), F.col("observed_title"))), tag("Series", F.col("series")), tag("Number", F.when(F.col("book_id") % 7 == 0, "n/a").otherwise(F.col("series_index").cast("string"))), tag("Writer", F.lit("Ann Lee, Bob; Cy")), tag("Year", F.lit("2019"))]
-    month = F.when(F.col("book_id") % 2 == 0, tag("Month", F.lit("7"))).otherwise("")
-    return b.select("book_id", F.concat(F.lit("<ComicInfo>"), *parts, month, tag("LanguageISO", F.lit("EN")), tag("GTIN", F.coalesce("isbn", F.lit(""))), F.lit("<Genre>a, b</Genre></ComicInfo>")).alias("xml"))
-
-
 def _inserted(e: DataFrame) -> DataFrame:
     rows = e.select(F.concat_ws("/", "book_id", "independence_root", "field").alias("evidence_id"), F.sha2("value", 256).alias("payload_sha256"), "book_id")
     stored = rows.where("book_id % 2 = 0").withColumn("payload_sha256", F.when(F.col("book_id") % 10 == 0, F.lit("other")).otherwise(F.col("payload_sha256")))
@@ -199,12 +174,6 @@ def _inserted(e: DataFrame) -> DataFrame:
     return new.unionByName(records.conflicts(stored, rows).select("evidence_id", F.lit("conflict").alias("outcome")))
 
 
-def _opf(b: DataFrame) -> DataFrame:
-    head = '<?xml version="1.0"?><package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf"><dc:title>'
-    one = F.concat(F.lit(head), "observed_title", F.lit("</dc:title><dc:creator>Ann</dc:creator><dc:creator>Bob</dc:creator><dc:date>2019-05-01T00:00:00</dc:date><dc:language>en</dc:language><dc:identifier opf:scheme=\"UUID\">u</dc:identifier><dc:identifier opf:scheme=\"ISBN\">"), F.coalesce("isbn", F.lit("none")), F.lit("</dc:identifier></metadata></package>"))
-    return records.opf_records(b.select("book_id", F.concat(F.lit("log line "), one, F.when(F.col("book_id") % 2 == 0, one).otherwise("")).alias("body")))
-
-
 LIBRARY_VIEWS = ("library_books", "library_authors", "library_publishers", "library_series", "library_languages", "library_tags", "library_comments", "identifiers", "library_formats")
 
 
@@ -233,8 +202,8 @@ QUERIES: dict[str, Query] = {
     "N28_text_quality": _over(lambda d: d.select("doc_id", text.quality(F.col("text")).alias("quality")), "documents"),
     "N6_N7_N9_N18_keys": _over(_keys, "books"),
     "N11_N13_N16_N22_cleansed": _over(_cleansed, "books"),
-    "N27_N31_X2_tokens": _over(_tokens, "formats"),
-    "N19_N20_cover_urls": _over(_covers, "candidates"),
+    "N27_N31_X2_tokens": _over(_tokens, "tokens"),
+    "N19_N20_cover_urls": _over(_addresses, "addresses"),
     "V1_V5_V11_settled_verdicts": _over(_settled, "pairs"),
     "V1_V11_all_verdicts": _over(lambda p: verify.rows(verify.all_verdicts(p), verify.FIELDS), "pairs"),
     "V12_V13_all_fields": _over(lambda p: verify.roll_up(verify.all_verdicts(p)), "pairs"),
@@ -351,15 +320,16 @@ QUERIES: dict[str, Query] = {
     "I2_flat_books": _over(lambda b, a, i, f: records.flat_books(records.wide_books(b.select("book_id", "title"), a, i, f)), "books", "author_links", "identifiers", "formats"),
     "I3_scanned": _over(_scanned, "books"),
     "I4_unseen": _over(_unseen, "formats"),
-    "I5_volumes": _over(_volumes, "candidates"),
-    "I5_search_docs": _over(_search, "candidates"),
-    "I6_series_matches": _over(_matches, "books"),
-    "I7_comic_records": _over(lambda b: records.comic_records(_sidecars(b)), "books_isbn"),
+    "I5_volumes": _over(records.volumes, "volume_payloads"),
+    "I5_search_docs": _over(records.search_docs, "search_payloads"),
+    "I5_book_records": _over(records.book_records, "record_payloads"),
+    "I6_series_matches": _over(records.series_matches, "match_payloads"),
+    "I7_comic_records": _over(records.comic_records, "sidecars"),
     "I8_inserted": _over(_inserted, "evidence"),
     "I9_report": _over(lambda p: records.report(_settled(p)), "pairs"),
     "I10_of_types": _over(lambda d: records.of_types(d.select("doc_id", F.col("lang").alias("type_id")), d.select(F.col("lang").alias("type_id"), F.upper("lang").alias("name")).distinct(), ("en", "De")).select("doc_id"), "documents"),
-    "I11_opf_records": _over(_opf, "books_isbn"),
-    "I12_comic_evidence": _over(lambda b: records.comic_evidence(_sidecars(b)), "books_isbn"),
+    "I11_opf_records": _over(records.opf_records, "opf_bodies"),
+    "I12_comic_evidence": _over(records.comic_evidence, "sidecars"),
     "I13_provider_order": _over(lambda c: records.in_provider_order({p: c.where(F.col("provider") == p) for p in ("google_books", "openlibrary", "calibre_fetch")}), "candidates"),
 }
 

@@ -11,6 +11,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 
+
+
+def _text_or_null(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'null' ELSE concat('\"', {c}, '\"') END"
+
+
+def _volume(k: int) -> str:
+    """One item of a volumes payload, with parts that vary or lack."""
+    n, isbn = f"(book_id + {k})", "coalesce(isbn, '0306406152')"
+    return f"""concat('{{"id": "v', CAST(book_id AS STRING), '-{k}", "selfLink": "https://s/', CAST(book_id AS STRING), '", "volumeInfo": {{"title": ', {_text_or_null('title')},
+    CASE {n} % 4 WHEN 0 THEN '' WHEN 1 THEN concat(', "authors": ["', author, '"]') ELSE concat(', "authors": ["', author, '", "Plato"]') END, CASE WHEN {n} % 5 = 0 THEN '' ELSE concat(', "publisher": "', publisher, '", "publishedDate": "', CAST(1950 + book_id % 70 AS STRING), '"') END,
+    CASE WHEN language IS NULL THEN '' ELSE concat(', "language": "', language, '"') END, CASE {n} % 6 WHEN 0 THEN '' WHEN 1 THEN ', "industryIdentifiers": [{{"type": "OTHER", "identifier": "X1"}}]' WHEN 2 THEN concat(', "industryIdentifiers": [{{"type": "ISBN_13", "identifier": "', {isbn}, '"}}, {{"type": "ISBN_10", "identifier": "0306406152"}}]')
+      ELSE concat(', "industryIdentifiers": [{{"type": "OTHER", "identifier": "X2"}}, {{"type": "ISBN_13", "identifier": "', {isbn}, '"}}]') END,
+    CASE {n} % 7 WHEN 0 THEN '' WHEN 1 THEN ', "imageLinks": {{"smallThumbnail": "http://b/c?x=1&zoom=5&edge=curl"}}' WHEN 2 THEN ', "imageLinks": {{"thumbnail": "http://b/c?edge=curl&zoom=1&fife=w10-h20", "smallThumbnail": "http://b/s"}}' WHEN 3 THEN ', "imageLinks": {{"thumbnail": "https://b/c"}}'
+      WHEN 4 THEN ', "imageLinks": {{"thumbnail": "", "smallThumbnail": "http://b/c?id=3"}}' WHEN 5 THEN ', "imageLinks": {{}}' ELSE concat(', "imageLinks": {{"thumbnail": "http://b/c?id=', CAST(book_id AS STRING), '&zoom=2"}}') END, '}}}}')"""
+
+
+def _found(k: int) -> str:
+    """One document of a search payload."""
+    n = f"(book_id + {k})"
+    return f"""concat('{{"key": "/works/OL', CAST(book_id * 10 + {k} AS STRING), 'W", "title": ', {_text_or_null('title')}, CASE {n} % 3 WHEN 0 THEN '' WHEN 1 THEN concat(', "author_name": ["', author, '"]') ELSE concat(', "author_name": ["', author, '", "Plato"]') END,
+    CASE {n} % 4 WHEN 0 THEN '' WHEN 1 THEN ', "publisher": []' ELSE concat(', "publisher": ["', publisher, '", "P2"]') END, CASE {n} % 5 WHEN 0 THEN ', "isbn": []' WHEN 1 THEN '' ELSE concat(', "isbn": ["', coalesce(isbn, '0306406152'), '", "1"]') END, CASE WHEN {n} % 3 = 1 THEN ', "language": ["spa", "eng"]' ELSE '' END,
+    CASE {n} % 4 WHEN 0 THEN ', "first_publish_year": 0' WHEN 1 THEN '' ELSE concat(', "first_publish_year": ', CAST(1900 + book_id % 100 AS STRING)) END, CASE {n} % 3 WHEN 0 THEN ', "cover_i": 0' WHEN 1 THEN concat(', "cover_i": ', CAST(book_id AS STRING)) ELSE '' END, '}}')"""
+
+
+def _match(k: int) -> str:
+    """One answer of a series provider: names and numbers under other keys, as text, or of other kinds."""
+    n = f"(book_id + {k})"
+    return f"""concat('{{"id": ', CAST({n} AS STRING), CASE {n} % 5 WHEN 0 THEN concat(', "name": "', observed_title, '"') WHEN 1 THEN ', "title": ""' WHEN 2 THEN '' ELSE concat(', "title": "', observed_title, '", "name": "N"') END, CASE {n} % 3 WHEN 0 THEN concat(', "series": "', series, '"') ELSE '' END,
+    CASE {n} % 7 WHEN 0 THEN ', "volume": 3' WHEN 1 THEN ', "volume": "4"' WHEN 2 THEN ', "volume": 2.5' WHEN 3 THEN ', "volume": "2.5"' WHEN 4 THEN ', "volume": " 7 "' WHEN 5 THEN ', "volume": "x"' ELSE '' END,
+    CASE {n} % 6 WHEN 0 THEN ', "chapter": 12.5' WHEN 1 THEN ', "chapter": 0, "number": "8"' WHEN 2 THEN ', "number": 9' WHEN 3 THEN ', "chapter": "x", "number": 1' WHEN 4 THEN ', "chapter": "3.25"' ELSE '' END, CASE {n} % 4 WHEN 0 THEN ', "series_position": 1.5' WHEN 1 THEN ', "series_position": "y"' ELSE '' END, '}}')"""
+
+
+_CREDIT = "CASE book_id % 4 WHEN 0 THEN concat(author, '; Ann Lee') WHEN 1 THEN concat('Bob,', author) WHEN 2 THEN '' ELSE author END"
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "books": (("part",), """SELECT p_partkey + 1 AS book_id,
   CASE WHEN p_partkey % 11 = 0 THEN concat(upper(p_name), ' [retail]') WHEN p_partkey % 13 = 0 THEN concat(replace(p_name, ' ', '_'), '.epub')
@@ -57,6 +92,25 @@ FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION A
     "library_tags": (("books",), """SELECT book_id, 9 - book_id % 3 AS link_id, series AS name FROM books WHERE book_id % 3 <> 0 UNION ALL SELECT book_id, CASE WHEN book_id % 4 = 0 THEN 5 ELSE 10 END, 'Fiction' FROM books WHERE book_id % 2 = 0"""),
     "library_comments": (("books",), """SELECT book_id, 1 AS link_id, concat('On ', observed_title) AS name FROM books WHERE book_id % 8 = 0 UNION ALL SELECT book_id, 2, 'More' FROM books WHERE book_id % 83 = 0 UNION ALL SELECT book_id, 3, 'Other' FROM books WHERE book_id % 83 = 0"""),
     "library_formats": (("formats",), """SELECT book_id, format, CASE WHEN book_id % 73 = 0 AND format = 'PDF' THEN 'sub/file' ELSE concat('file', CAST(book_id AS STRING)) END AS name FROM formats UNION ALL SELECT book_id, lower(format), 'again' FROM formats WHERE book_id % 79 = 0 AND format = 'EPUB'"""),
+    "volume_payloads": (("books_isbn",), f"""SELECT book_id, CASE WHEN book_id % 31 = 0 THEN '{{"items": [{{"id": "cut' WHEN book_id % 29 = 0 THEN '{{"totalItems": 0}}' ELSE concat('{{"items": [', {_volume(0)}, CASE WHEN book_id % 3 > 0 THEN concat(', ', {_volume(1)}) ELSE '' END, ']}}') END AS payload FROM books_isbn"""),
+    "search_payloads": (("books_isbn",), f"""SELECT book_id, CASE WHEN book_id % 31 = 0 THEN 'no json' WHEN book_id % 29 = 0 THEN '{{}}' ELSE concat('{{"docs": [', {', '.join(f"{_found(k)}, ', '" for k in range(5))}, {_found(5)}, ']}}') END AS payload FROM books_isbn"""),
+    "record_payloads": (("books_isbn",), """SELECT book_id, isbn, CASE WHEN book_id % 31 = 0 THEN '{"ISBN:' WHEN book_id % 29 = 0 THEN '{"ISBN:0": {"title": "other"}}' ELSE concat('{"ISBN:', isbn, '": {"url": "https://o/', CAST(book_id AS STRING), '"', CASE WHEN title IS NULL THEN '' ELSE concat(', "title": "', title, '"') END,
+  CASE book_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat(', "authors": [{"name": "', author, '"}, {"url": "u"}]') ELSE concat(', "authors": [{"name": "', author, '"}, {"name": "Plato"}]') END, CASE book_id % 4 WHEN 0 THEN ', "publishers": []' ELSE concat(', "publishers": [{"name": "', publisher, '"}, {"name": "P2"}]') END,
+  CASE WHEN book_id % 5 < 2 THEN ', "languages": [{"key": "/languages/SPA"}, {"key": "/languages/eng"}]' ELSE '' END, CASE WHEN book_id % 6 = 0 THEN '' ELSE concat(', "publish_date": "', CAST(1950 + book_id % 60 AS STRING), '"') END, CASE WHEN book_id % 7 < 3 THEN concat(', "cover": {"large": "https://c/', CAST(book_id AS STRING), '"}') ELSE ', "cover": {"small": "s"}' END, '}}') END AS payload FROM books_isbn"""),
+    "match_payloads": (("books",), f"""SELECT book_id, CASE book_id % 5 WHEN 0 THEN {_match(0)} WHEN 1 THEN concat('[', {_match(0)}, ', "text", ', {_match(1)}, ', ', {_match(2)}, ']') WHEN 2 THEN concat('{{"candidates": [', {_match(0)}, ', ', {_match(3)}, ', ', {_match(4)}, ', ', {_match(5)}, ']}}') WHEN 3 THEN concat(' [ ', {_match(2)}, ']') ELSE CASE book_id % 3 WHEN 0 THEN '{{"candidates": {{}}}}' WHEN 1 THEN '[{{' ELSE '"text"' END END AS payload FROM books"""),
+    "sidecars": (("books_isbn",), f"""SELECT book_id, concat('<ComicInfo>', CASE WHEN title IS NULL THEN '' ELSE concat('<Title> ', replace(title, '&', '&amp;'), '</Title>') END, '<Series>', series, '</Series>', CASE book_id % 7 WHEN 0 THEN '<Number>n/a</Number>' WHEN 1 THEN '' ELSE concat('<Number> ', CAST(book_id % 40 AS STRING), '.5</Number>') END,
+  CASE book_id % 3 WHEN 0 THEN '<Volume>2</Volume>' WHEN 1 THEN '<Volume>two</Volume>' ELSE '' END, CASE WHEN book_id % 4 = 0 THEN '<Chapter>7</Chapter>' ELSE '' END, '<Writer>', replace({_CREDIT}, '&', '&amp;'), '</Writer>', CASE WHEN book_id % 5 = 0 THEN '' ELSE concat('<Publisher>', publisher, '</Publisher>') END,
+  CASE book_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<Year>2019</Year>' ELSE concat('<Year>', CAST(1950 + book_id % 70 AS STRING), '</Year><Month> ', CAST(1 + book_id % 12 AS STRING), '</Month>') END, CASE WHEN language IS NULL THEN '' ELSE concat('<LanguageISO> ', upper(language), '</LanguageISO>') END,
+  CASE book_id % 3 WHEN 0 THEN concat('<GTIN>', coalesce(isbn, ''), '</GTIN>') WHEN 1 THEN '<GTIN>nonsense</GTIN><ISBN>0306406152</ISBN>' ELSE '' END, CASE book_id % 3 WHEN 0 THEN '<Genre>a, ,b</Genre>' WHEN 1 THEN concat('<Genre>', series, '</Genre>') ELSE '' END, '</ComicInfo>') AS xml FROM books_isbn"""),
+    "opf_bodies": (("books_isbn",), """SELECT book_id, concat('log line ', CASE WHEN book_id % 11 = 0 THEN 'no record' ELSE concat('<?xml version="1.0"?><package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:opf="http://www.idpf.org/2007/opf"><dc:title>', observed_title, '</dc:title><dc:creator>', replace(author, '&', 'and'), '</dc:creator>',
+  CASE WHEN book_id % 3 = 0 THEN '<dc:creator>Bob</dc:creator>' ELSE '' END, CASE WHEN book_id % 4 = 0 THEN '' ELSE concat('<dc:publisher>', publisher, '</dc:publisher>') END, '<dc:date>', CAST(1950 + book_id % 70 AS STRING), '-05-01T00:00:00</dc:date>', CASE WHEN language IS NULL THEN '' ELSE concat('<dc:language>', language, '</dc:language>') END,
+  '<dc:identifier opf:scheme="UUID">u', CAST(book_id AS STRING), '</dc:identifier>', CASE WHEN isbn IS NULL THEN '' ELSE concat('<dc:identifier opf:scheme="', CASE WHEN book_id % 2 = 0 THEN 'ISBN' ELSE 'isbn' END, '">', isbn, '</dc:identifier>') END, '</metadata></package>') END,
+  CASE WHEN book_id % 5 = 0 THEN concat('<?xml version="1.0"?><package><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>', series, '</dc:title><dc:creator>Eve</dc:creator></metadata></package>') ELSE '' END) AS body FROM books_isbn"""),
+    "addresses": (("candidates",), """SELECT book_id, pos, isbn13, book_id * 7 % 50 AS cover_id, CASE WHEN book_id % 8 = 7 THEN NULL WHEN book_id % 8 = 6 THEN '' ELSE concat(CASE WHEN book_id % 3 = 0 THEN 'http' ELSE 'https' END, '://books.google.com/books', CASE book_id % 5 WHEN 0 THEN '' WHEN 1 THEN '?edge=curl&id=' WHEN 2 THEN '?id=' WHEN 3 THEN '?zoom=1&edge=curl&id=' ELSE '?zoom=5&fife=w10-h20&id=' END, CAST(book_id AS STRING)) END AS thumbnail,
+  CASE WHEN book_id % 3 = 0 THEN concat('vol', CAST(book_id AS STRING)) END AS volume, concat(CASE book_id % 5 WHEN 0 THEN 'http' WHEN 1 THEN 'HTTPS' ELSE 'https' END, '://', CASE WHEN book_id % 7 = 0 THEN 'me:x@' ELSE '' END, CASE pos WHEN 0 THEN 'openlibrary.org' WHEN 1 THEN 'evil.example' ELSE 'Covers.OpenLibrary.org' END, CASE book_id % 4 WHEN 0 THEN ':443' WHEN 1 THEN ':8443' ELSE '' END, '/b?x=:1') AS address FROM candidates"""),
+    "tokens": (("formats",), """SELECT book_id, format, concat(CAST(book_id AS STRING), CASE book_id % 5 WHEN 0 THEN '.w e' WHEN 1 THEN '.tar.' WHEN 2 THEN '' ELSE '.' END, lower(format), CASE WHEN book_id % 7 = 0 THEN 'abcdefghijklmnop' ELSE '' END) AS made,
+  concat(CASE WHEN book_id % 4 = 0 THEN 'OEBPS/COPYRIGHT-' WHEN book_id % 9 = 0 THEN 'Colophon/' ELSE 'OEBPS/' END, lower(format), CASE WHEN book_id % 3 = 0 THEN '-Title' ELSE '-x' END, '.xhtml') AS path, book_id % 4 AS place,
+  concat('see ISBN-13: ', CAST(book_id AS STRING), CASE WHEN book_id % 6 = 0 THEN ' or ISBN 0-306-40615-2 and' ELSE ' or' END, CASE WHEN book_id % 8 = 0 THEN ' none.' ELSE ' ISBN 978-0-306-40615-7.' END) AS says FROM formats"""),
     "heartbeats": (("events",), """SELECT concat('w-', CAST(user_id % 7 AS STRING)) AS worker, ts FROM events"""),
     "calibration": (("labels", "documents"), """SELECT d.doc_id AS evidence_id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 2 = 0 AS would_auto_apply,
   l.quality = 1 AS identity_correct, l.toxic = 0 AS patch_correct, CASE WHEN d.doc_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE d.n_chars / 100.0E0 END AS review_seconds, d.n_chars AS egress_bytes

@@ -126,31 +126,68 @@ SEARCH = "docs array<struct<key string, title string, author_name array<string>,
 
 
 def volumes(payloads: DataFrame) -> DataFrame:
-    """A row for each volume of a JSON payload (book_id, payload)."""
+    """A row for each volume of a JSON payload (book_id, payload); the last ISBN of a volume stands. Payloads that aren't read give no rows."""
     rows = payloads.select("book_id", F.posexplode(F.from_json("payload", VOLUMES)["items"]).alias("pos", "x"))
     v = F.col("x.volumeInfo")
-    number = F.get(F.filter(v["industryIdentifiers"], lambda i: F.contains(F.lower(i["type"]), F.lit("isbn"))), F.size(F.filter(v["industryIdentifiers"], lambda i: F.contains(F.lower(i["type"]), F.lit("isbn")))) - 1)
+    numbers = F.filter(v["industryIdentifiers"], lambda i: F.contains(F.lower(i["type"]), F.lit("isbn")))
+    picture = F.coalesce(F.nullif(v["imageLinks"]["thumbnail"], F.lit("")), v["imageLinks"]["smallThumbnail"])
     return rows.select(
-        "book_id", "pos", F.concat(F.lit("google_books:"), "x.id").alias("candidate_id"), v["title"].alias("title"), F.array_join(v["authors"], " & ").alias("authors"), v["publisher"].alias("publisher"), v["publishedDate"].alias("published"),
-        v["language"].alias("language"), number["identifier"].alias("isbn"), text.large_cover_url(F.coalesce(v["imageLinks"]["thumbnail"], v["imageLinks"]["smallThumbnail"])).alias("cover_url"),
+        "book_id", "pos", F.concat(F.lit("google_books:"), "x.id").alias("candidate_id"), F.col("x.selfLink").alias("provider_url"), v["title"].alias("title"), F.array_join(v["authors"], " & ").alias("authors"), v["publisher"].alias("publisher"), v["publishedDate"].alias("published"),
+        v["language"].alias("language"), F.try_element_at(numbers, F.lit(-1))["identifier"].alias("isbn"), text.volume_cover_url(picture, F.col("x.id")).alias("cover_url"),
     )
 
 
 def search_docs(payloads: DataFrame, most: int = 5) -> DataFrame:
-    """The first `most` documents of a search payload, with the first ISBN, publisher and language of each."""
+    """The first `most` documents of a search payload, with the first ISBN, publisher and language of each; a year or cover of 0 is none."""
     rows = payloads.select("book_id", F.posexplode(F.slice(F.from_json("payload", SEARCH)["docs"], 1, most)).alias("pos", "x"))
     first = lambda c: F.get(F.col(f"x.{c}"), F.lit(0)).alias(c)
     key = F.element_at(F.split("x.key", "/"), -1)
-    return rows.select("book_id", "pos", F.concat(F.lit("openlibrary:"), key).alias("candidate_id"), "x.title", F.array_join("x.author_name", " & ").alias("authors"), first("publisher"), first("language"), first("isbn"), F.col("x.first_publish_year").cast("string").alias("published"))
+    year, cover = F.col("x.first_publish_year"), F.col("x.cover_i")
+    return rows.select(
+        "book_id", "pos", F.concat(F.lit("openlibrary:"), key).alias("candidate_id"), "x.title", F.array_join("x.author_name", " & ").alias("authors"), first("publisher"), first("language"), first("isbn"),
+        F.when(year != 0, year.cast("string")).alias("published"), F.when(cover != 0, F.concat(F.lit("https://covers.openlibrary.org/b/id/"), cover.cast("string"), F.lit("-L.jpg"))).alias("cover_url"),
+    )
+
+
+RECORD = "title string, authors array<struct<name string>>, publishers array<struct<name string>>, languages array<struct<key string>>, publish_date string, cover struct<large string>, url string"
+
+
+def book_records(payloads: DataFrame) -> DataFrame:
+    """One evidence row for each present field of the record that a books payload (book_id, isbn, payload) holds under the book's valid ISBN."""
+    asked = payloads.withColumn("code", isbn.canonical13(F.coalesce("isbn", F.lit("")))).where("code is not null")
+    told = asked.select("book_id", "code", F.try_element_at(F.from_json("payload", f"map<string,struct<{RECORD}>>"), F.concat(F.lit("ISBN:"), "code")).alias("x")).where("x is not null")
+    names = lambda c: F.filter(F.transform(f"x.{c}", lambda a: a["name"]), lambda n: n != "")
+    fields = {
+        "identifiers": F.col("code"), "title": F.col("x.title"), "authors": F.nullif(F.array_join(names("authors"), " & "), F.lit("")), "publisher": F.get(names("publishers"), F.lit(0)),
+        "languages": F.nullif(F.array_join(F.transform("x.languages", lambda a: F.lower(F.element_at(F.split(a["key"], "/"), -1))), ";"), F.lit("")), "pubdate": F.col("x.publish_date"), "cover": F.col("x.cover.large"),
+    }
+    rows = told.select("book_id", "code", F.col("x.url").alias("source_url"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), c.alias("value")) for f, c in fields.items()]))).where("value is not null")
+    made = F.sha2(F.concat(F.lit("openlibrary:"), "code", F.lit("\0"), "field"), 256)
+    return rows.select(F.concat(F.lit("ev_"), F.substring(made, 1, 20)).alias("evidence_id"), "book_id", "field", "value", "source_url")
 
 
 def series_matches(payloads: DataFrame, most: int = 3) -> DataFrame:
-    """A payload that is a list, an object with `candidates`, or one object; the first `most`; numbers as doubles, position from the chapter where it is missing."""
-    item = "struct<title string, volume string, chapter string, series_position string>"
-    p = F.trim("payload")
-    many = F.when(F.startswith(p, F.lit("[")), F.from_json(p, f"array<{item}>")).when(F.get_json_object(p, "$.candidates").isNotNull(), F.from_json(F.get_json_object(p, "$.candidates"), f"array<{item}>")).otherwise(F.array(F.from_json(p, item)))
-    rows = payloads.select("book_id", F.posexplode(F.slice(many, 1, most)).alias("pos", "x"))
-    return rows.select("book_id", "pos", "x.title", text.number(F.col("x.volume")).alias("volume"), text.number(F.col("x.chapter")).alias("chapter"), F.coalesce(text.number(F.col("x.series_position")), text.number(F.col("x.chapter"))).alias("series_position"))
+    """A payload that is a list, an object with a list of `candidates`, or one object; of its first `most` items those that are objects with a title or series.
+
+    `name` stands in for the title, `number` for a chapter that is empty or 0. Volumes are whole numbers, cut if they are numbers and null if they are text that isn't whole; a position that isn't there or doesn't read is the chapter.
+    """
+    v = F.try_parse_json("payload")
+    top = F.schema_of_variant(v)
+    wrapped = F.try_variant_get(v, "$.candidates", "variant")
+    many = (
+        F.when(F.startswith(top, F.lit("ARRAY")), F.try_variant_get(v, "$", "array<variant>"))
+        .when(F.startswith(top, F.lit("OBJECT")) & wrapped.isNotNull(), F.when(F.startswith(F.schema_of_variant(wrapped), F.lit("ARRAY")), F.try_variant_get(wrapped, "$", "array<variant>")))
+        .when(F.startswith(top, F.lit("OBJECT")), F.array(v))
+    )
+    rows = payloads.select("book_id", F.posexplode(F.slice(many, 1, most)).alias("pos", "x")).where(F.startswith(F.schema_of_variant("x"), F.lit("OBJECT")))
+    some = lambda c: F.nullif(F.try_variant_get("x", f"$.{c}", "string"), F.lit(""))
+    number = lambda c: F.try_variant_get("x", f"$.{c}", "double")
+    has = lambda c: some(c).isNotNull() & ~F.coalesce(number(c) == 0, F.lit(False)) | some(c).isNotNull() & F.startswith(F.schema_of_variant(F.try_variant_get("x", f"$.{c}", "variant")), F.lit("STRING"))
+    chapter = F.when(has("chapter"), number("chapter")).otherwise(number("number"))
+    whole = F.schema_of_variant(F.try_variant_get("x", "$.volume", "variant")) == "STRING"
+    volume = F.when(whole, F.when(F.trim(some("volume")).rlike("^[+-]?[0-9]+$"), F.trim(some("volume")).try_cast("int"))).otherwise(F.try_variant_get("x", "$.volume", "double").try_cast("int"))
+    out = rows.select("book_id", "pos", F.coalesce(some("title"), some("name")).alias("title"), F.coalesce(some("series"), some("title")).alias("series"), volume.alias("volume"), chapter.alias("chapter"), F.coalesce(number("series_position"), chapter).alias("series_position"))
+    return out.where("title is not null or series is not null")
 
 
 COMIC = "Title string, Series string, Number string, Volume string, Chapter string, Writer string, Publisher string, Year string, Month string, Genre string, LanguageISO string, GTIN string, ISBN string"
