@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 #: Patterns of bad titles, tried in this order.
 BAD_TITLES = (r"\[welib\.org\]", r"\(z-library\)", "_print", "untitled", "microsoft word", r"v\d+\.\d+")
-#: Operation states that ask for attention.
-PROBLEMS = ("failed", "needs_review", "deferred")
+#: States of books that ask for attention, and how many are listed at most.
+PROBLEMS = ("needs_review", "suggest_fix", "defer")
+MOST_LISTED = 500
 
 
 def manifest_hash(books: DataFrame, formats: DataFrame, bucket: int = 4096, levels: int = 3) -> DataFrame:
@@ -75,11 +76,15 @@ def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
-def problematic(operations: DataFrame, evidence: DataFrame, limit: int) -> DataFrame:
-    """Q12: books whose newest operation asks for attention, with how many evidence rows they have; the `limit` smallest keys."""
-    rows = latest(operations, "book_key", "created_at", "operation_id").where(F.col("state").isin(*PROBLEMS))
-    count = evidence.groupBy(F.col("book_id").alias("book_key")).agg(F.count("*").alias("n_evidence"))
-    return rows.join(count, "book_key", "left").select("book_key", "state", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence")).orderBy("book_key").limit(limit)
+def problematic(books: DataFrame, packages: DataFrame, limit: int = 50, status: str | None = None) -> DataFrame:
+    """Q12: books whose status asks for attention, or is `status`, with the flags of their newest evidence package; the smallest keys, at most `MOST_LISTED`.
+
+    `books`: book_key, status and what is to be shown; `packages`: book_key, created_at, evidence_id, flags.
+    """
+    asked = books.where(F.col("status") == status) if status else books.where(F.col("status").isin(*PROBLEMS))
+    few = asked.orderBy("book_key").limit(max(1, min(limit, MOST_LISTED)))
+    newest = packages.groupBy("book_key").agg(F.max_by("flags", F.struct("created_at", "evidence_id")).alias("flags"))
+    return few.join(newest, "book_key", "left").withColumn("flags", F.coalesce("flags", F.lit("")))
 
 
 def state_samples(df: DataFrame, state: str, key: str, sample: int = 5) -> DataFrame:

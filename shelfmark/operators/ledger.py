@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "skipped", "succeeded", "restored", "restore_failed", "cancelled")
@@ -69,10 +69,11 @@ def fresh(beats: DataFrame, now: Column, seconds: int, bound: dict[str, str]) ->
 
 
 def retained(jobs: DataFrame, now: Column, hours: int = 1, most: int = 100) -> DataFrame:
-    """Unfinished jobs, and of the finished ones younger than `hours` the `most` newest."""
+    """All jobs but finished ones older than `hours`; where more than `most` are left, the oldest finished ones go until `most` are, or none is finished. Finished jobs without a time are the oldest."""
     done = F.col("status").isin("completed", "failed")
-    young = jobs.where(done & (F.col("updated_at") >= now - F.make_dt_interval(hours=F.lit(hours)))).orderBy(F.desc("updated_at"), "job_id").limit(most)
-    return jobs.where(~done).unionByName(young)
+    young = jobs.where(done & F.coalesce(F.col("updated_at") >= now - F.make_dt_interval(hours=F.lit(hours)), F.lit(True)))
+    room = max(0, most - jobs.where(~done).count())
+    return jobs.where(~done).unionByName(young.orderBy(F.desc_nulls_last("updated_at"), F.desc("job_id")).limit(room))
 
 
 def read_back(patches: DataFrame, observed: DataFrame) -> DataFrame:

@@ -9,42 +9,42 @@ from shelfmark.functions import isbn, text
 from shelfmark.operators.graph import components
 
 
-def _ids(df: DataFrame, *keys: str) -> DataFrame:
-    """Books and formats of each block of two books or more.
+def _clusters(keyed: DataFrame, formats: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each block of two books or more: its smallest id, number of books, a sum of hashes that stands for the set of members, and whether no format is there twice.
 
-    One row for a book and format goes in; distinct books are counted map-side first.
+    `keyed`: book_id and the keys, once a book. Counts and sums are partial before a key's rows meet, so a block of any size is one row.
     """
-    return (
-        df.groupBy(*keys).agg(F.countDistinct("book_id").alias("n_books"), F.count("format").alias("n_formats"), F.countDistinct("format").alias("n_distinct"), F.array_sort(F.collect_set("book_id")).alias("ids"))
-        .where("n_books > 1")
-        .withColumn("mergeable", (F.col("n_formats") == F.col("n_distinct")) & (F.col("n_formats") > 0))
-    )
+    by = keyed.groupBy(*keys).agg(F.count("*").alias("n_books"), F.min("book_id").alias("cluster_id"), F.sum(F.xxhash64("book_id").cast("decimal(38,0)")).alias("members")).where("n_books > 1")
+    held = keyed.join(formats.select("book_id", "format").distinct(), "book_id").groupBy(*keys, "format").agg(F.count("*").alias("n"))
+    held = held.groupBy(*keys).agg(F.sum("n").alias("n_formats"), F.count("*").alias("n_distinct"))
+    mergeable = F.coalesce(F.col("n_formats") == F.col("n_distinct"), F.lit(False))
+    return by.join(held, keys, "left").withColumn("mergeable", mergeable).drop("n_formats", "n_distinct")
+
+
+def _members(keyed: DataFrame, clusters: DataFrame, keys: list[str], sure: float, unsure: float) -> DataFrame:
+    """A row for each book of each cluster."""
+    action = F.when(F.col("mergeable"), "MERGE_FORMATS").otherwise("INSPECT")
+    confidence = F.when(F.col("mergeable"), F.lit(sure)).otherwise(F.lit(unsure))
+    return keyed.join(clusters, keys).select(*keys, "cluster_id", "book_id", "n_books", action.alias("action"), confidence.alias("confidence"))
+
+
+def _titled(books: DataFrame) -> DataFrame:
+    return books.select("book_id", text.duplicate_key(F.col("title")).alias("title_key"), text.duplicate_key(F.col("author")).alias("author_key")).where("title_key <> ''")
 
 
 def title_author_clusters(books: DataFrame, formats: DataFrame) -> DataFrame:
-    """Equal title and author keys; merge where no format stands twice, else inspect. Books without a title key stay out."""
-    keyed = books.select("book_id", text.duplicate_key(F.col("title")).alias("title_key"), text.duplicate_key(F.col("author")).alias("author_key")).where("title_key <> ''")
-    return _ids(keyed.join(formats.select("book_id", "format").distinct(), "book_id", "left"), "title_key", "author_key").select(
-        "title_key",
-        "author_key",
-        F.col("n_books").cast("long").alias("n_books"),
-        F.array_join(F.col("ids").cast("array<string>"), ",").alias("book_ids"),
-        F.when(F.col("mergeable"), "MERGE_FORMATS").otherwise("INSPECT").alias("action"),
-        F.when(F.col("mergeable"), F.lit(0.98)).otherwise(F.lit(0.85)).alias("confidence"),
-    )
+    """Books of equal title and author keys, a row each, with the smallest id of their cluster; merge where no format stands twice, else inspect. Books without a title key stay out."""
+    keys = ["title_key", "author_key"]
+    keyed = _titled(books)
+    return _members(keyed, _clusters(keyed, formats, keys), keys, 0.98, 0.85)
 
 
 def isbn_clusters(books: DataFrame, formats: DataFrame) -> DataFrame:
-    """D3: equal plausible ISBNs, except member sets that D2 has given already."""
+    """D3: books of equal plausible ISBNs, except member sets that D2 has: those of equal smallest id, size and sum of member hashes."""
     keyed = books.where(isbn.plausible(F.col("isbn"))).select("book_id", isbn.cleaned(F.col("isbn")).alias("isbn"))
-    found = _ids(keyed.join(formats.select("book_id", "format").distinct(), "book_id", "left"), "isbn").withColumn("book_ids", F.array_join(F.col("ids").cast("array<string>"), ","))
-    return found.join(title_author_clusters(books, formats).select("book_ids"), "book_ids", "left_anti").select(
-        "isbn",
-        F.col("n_books").cast("long").alias("n_books"),
-        "book_ids",
-        F.when(F.col("mergeable"), "MERGE_FORMATS").otherwise("INSPECT").alias("action"),
-        F.when(F.col("mergeable"), F.lit(0.99)).otherwise(F.lit(0.88)).alias("confidence"),
-    )
+    known = _clusters(_titled(books), formats, ["title_key", "author_key"]).select("cluster_id", "n_books", "members")
+    found = _clusters(keyed, formats, ["isbn"]).join(known, ["cluster_id", "n_books", "members"], "left_anti")
+    return _members(keyed, found, ["isbn"], 0.99, 0.88)
 
 
 def work_components(books: DataFrame) -> DataFrame:
@@ -128,11 +128,10 @@ def all_pair_duplicates(books: DataFrame) -> DataFrame:
 
 
 def duplicate_titles(books: DataFrame) -> DataFrame:
-    """Titles that several books share."""
-    return (
-        books.select("book_id", F.lower(F.trim("title")).alias("title")).where("title is not null").groupBy("title")
-        .agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("book_id")).cast("array<string>"), ",").alias("book_ids")).where("n > 1")
-    )
+    """Books of a title that several share, a row each, with the smallest id and the number of them. Blank titles are none."""
+    keyed = books.select("book_id", F.lower(F.trim("title")).alias("title")).where("title <> ''")
+    several = keyed.groupBy("title").agg(F.count("*").alias("n"), F.min("book_id").alias("first_id")).where("n > 1")
+    return keyed.join(several, "title").select("title", "n", "first_id", "book_id")
 
 
 def near_hashes(covers: DataFrame, most: int = 4) -> DataFrame:

@@ -98,14 +98,18 @@ def title_rule(d: Column, o: Column, low: Column) -> Column:
 _FACTS = ("paired", "apart", "declared_covered", "observed_covered", "declared_extra")
 
 
-def _compare(ds: list[str], os: list[str], dd: list[str], od: list[str], alike) -> tuple[bool, ...]:
-    """How two author lists relate: raw normals and normals of display names, each name's two forms together."""
+def _compare(ds: list[str], os: list[str], dd: list[str], od: list[str], latin: tuple[list[str], ...], alike) -> tuple[bool, ...]:
+    """How two author lists relate: raw normals and normals of display names, each name's two forms together, and the four lists in Latin letters.
+
+    Names are alike in Latin letters; surnames are compared as they are written.
+    """
+    to = {a: b for plain, turned in zip((ds, os, dd, od), latin) for a, b in zip(plain, turned)}
 
     def surname(a: str, b: str) -> bool:
         x, y = a.split(), b.split()
         return bool(x and y) and x[-1] in (y[-1], y[0])
 
-    near = lambda a, b: bool(a and b) and alike(a, b) >= 0.9
+    near = lambda a, b: bool(a and b) and alike(to[a], to[b]) >= 0.9
     covers = lambda xs, ys: all(any(x == y or near(x, y) or surname(x, y) for y in ys) for x in xs)
     meets = lambda a, ar, bs, brs: any(near(a, b) or surname(ar, br) for b, br in zip(bs, brs))
     paired = len(ds) == len(os) and all(meets(a, ar, od, os) for a, ar in zip(dd, ds)) and all(meets(a, ar, dd, ds) for a, ar in zip(od, os))
@@ -115,10 +119,10 @@ def _compare(ds: list[str], os: list[str], dd: list[str], od: list[str], alike)
 
 
 @F.pandas_udf(StructType([StructField(n, BooleanType()) for n in _FACTS]))
-def _author_relation(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Null for lists that are decided already; letters are Latin (N22) by now."""
+def _author_relation(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Null for lists that are decided already. Four lists as they are written, then the same in Latin letters."""
     alike = lru_cache(1 << 16)(lambda a, b: SequenceMatcher(None, a, b).ratio())
-    one = lru_cache(1 << 16)(lambda *lists: _compare(*map(list, lists), alike))
+    one = lru_cache(1 << 16)(lambda *lists: _compare(*lists[:4], lists[4:], alike))
     for columns in parts:
         yield pd.DataFrame([(None,) * len(_FACTS) if row[0] is None else one(*map(tuple, row)) for row in zip(*columns)], columns=list(_FACTS), dtype="boolean")
 
@@ -140,8 +144,9 @@ def author_facts(df: DataFrame, declared: str, observed: str) -> DataFrame:
     both = (F.size(d) > 0) & (F.size(o) > 0)
     equal = F.when(~both, False).when(same(F.col("authors_raw_d"), F.col("authors_raw_o")), True).when(same(F.col("authors_display_d"), F.col("authors_display_o")), True).otherwise(same(sort(d), sort(o)))
     df = df.withColumn("authors_equal", equal)
-    ask = lambda c: F.when(both & ~F.col("authors_equal"), F.transform(F.col(c), text.transliterated))
-    return df.withColumn("authors_how", _author_relation(*[ask(f"authors_{k}_{s}") for k, s in (("raw", "d"), ("raw", "o"), ("display", "d"), ("display", "o"))]))
+    ask = lambda c: F.when(both & ~F.col("authors_equal"), c)
+    lists = [F.col(f"authors_{k}_{s}") for k, s in (("raw", "d"), ("raw", "o"), ("display", "d"), ("display", "o"))]
+    return df.withColumn("authors_how", _author_relation(*map(ask, lists), *[ask(F.transform(c, text.transliterated)) for c in lists]))
 
 
 def authors_rule(low: Column) -> Column:
@@ -222,7 +227,8 @@ def all_verdicts(pairs: DataFrame) -> DataFrame:
         "series_index": number("series_index"), "volume": number("volume", True), "chapter": number("chapter"), "series_position": number("series_position"),
     }
     source = {"published_date": "date"}
-    return verdicts(df, rules, {f: (d(source.get(f, f)), o(source.get(f, f))) for f in rules})
+    values = {f: (d(source.get(f, f)), o(source.get(f, f))) for f in rules}
+    return verdicts(df, rules, values | {"authors": tuple(F.array_join(f"authors_{s}", " & ") for s in "do")})
 
 
 def rows(df: DataFrame, fields: int) -> DataFrame:
@@ -237,7 +243,7 @@ def rows(df: DataFrame, fields: int) -> DataFrame:
 def roll_up(df: DataFrame) -> DataFrame:
     """Confidence, flags, patch, action, eligibility and the gate's reason of each book, from its array of verdicts.
 
-    Ambiguous with nothing declared and nothing observed is no doubt; such rows have confidence 0.
+    Ambiguous with nothing declared and nothing observed, null or empty, is no doubt.
     """
     v = F.col("verdicts")
     decided = F.filter(v, lambda x: x["v"]["verdict"] != "ambiguous")
@@ -246,7 +252,8 @@ def roll_up(df: DataFrame) -> DataFrame:
     flags = F.array_sort(F.array_distinct(F.filter(F.transform(v, lambda x: x["v"]["flag"]), lambda f: f != "")))
     out = df.select("book_id", "verdicts", mean(decided).cast("int").alias("confidence"), flags.alias("flags"), patched.alias("patched"), F.size(decided).alias("n_decided"))
     risky = F.arrays_overlap("flags", F.array(*[F.lit(x) for x in HIGH_RISK]))
-    unsure = F.exists(v, lambda x: (x["v"]["verdict"] == "ambiguous") & (x["v"]["confidence"] > 0))
+    there = lambda c: F.coalesce(c, F.lit("")) != ""
+    unsure = F.exists(v, lambda x: (x["v"]["verdict"] == "ambiguous") & (there(x["declared"]) | there(x["observed"])))
     action = (
         F.when(risky | unsure, "needs_review").when((F.col("n_decided") == 0) | (F.size("patched") == 0), "no_change")
         .when(F.col("confidence") >= 85, "suggest_fix").when(F.col("confidence") >= 70, "needs_review").otherwise("defer")

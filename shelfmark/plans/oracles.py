@@ -114,9 +114,10 @@ _TITLES = f"(SELECT book_id, {key('title')} AS title_key, {key('author')} AS aut
 _D2 = _CLUSTERS.format(keys="title_key, author_key", source=_TITLES, yes="0.98E0", no="0.85E0")
 _D3 = _CLUSTERS.format(keys="isbn", source=f"(SELECT book_id, isbn FROM books_isbn WHERE regexp_full_match(isbn, '[0-9]{{13}}') AND isbn NOT IN ('1234567890123', '9781234567890', '9780000000000'))", yes="0.99E0", no="0.88E0")
 
-_FULL = """(SELECT series, total_owned, list_filter(range(1, list_max(owned) + 1), lambda v: NOT list_contains(owned, v)) AS missing FROM (
-  SELECT series, count(*) AS total_owned, list(DISTINCT CAST(i AS INT)) FILTER (i = floor(i) AND i >= 1) AS owned FROM (SELECT series, CASE WHEN coalesce(series_index, 0) = 0 THEN 1 ELSE series_index END AS i FROM books WHERE series IS NOT NULL) GROUP BY series)
-WHERE len(owned) > 0 AND NOT (len(owned) = 1 AND list_min(owned) = 1) AND list_max(owned) - list_min(owned) <= 200)"""
+_FULL = """(SELECT series, authors, total_owned, owned, list_filter(range(1, list_max(whole) + 1), lambda v: NOT list_contains(whole, v)) AS missing FROM (
+  SELECT series, count(*) AS total_owned, list_sort(list(DISTINCT i)) AS owned, list(DISTINCT CAST(i AS INT)) FILTER (i = floor(i) AND i >= 1) AS whole FROM (SELECT series, CAST(CASE WHEN coalesce(series_index, 0) = 0 THEN 1 ELSE series_index END AS DOUBLE) AS i FROM books WHERE series IS NOT NULL) GROUP BY series)
+JOIN (SELECT series, coalesce(string_agg(DISTINCT trim(a), ' & ' ORDER BY trim(a)) FILTER (trim(a) <> ''), 'Unknown') AS authors FROM (SELECT series, unnest(string_split(author, ' & ')) AS a FROM books WHERE series IS NOT NULL) GROUP BY series) USING (series)
+WHERE len(whole) > 0 AND list_max(whole) > 1 AND list_max(whole) - list_min(whole) <= 200)"""
 
 _CANDIDATES = _sets("(SELECT c.*, lower(coalesce(b.title, '')) AS bt, lower(b.author) AS ba, b.isbn AS bi, lower(c.title) AS ct, lower(c.author) AS ca FROM candidates c JOIN books_isbn b USING (book_id))", "bt", "ct", "book_id, pos, provider, isbn13, is_hd_cover, ba, ca, bi")
 _BY_TITLE = f"(SELECT *, greatest({ratio('x', 'y')}, {TOKEN_SET}) AS title_sim FROM {_CANDIDATES})"
@@ -307,24 +308,11 @@ ORACLES: dict[str, tuple[tuple[str, ...], str]] = {
     "N14_N16_authors": (("books",), f"SELECT book_id, {display('author')} AS display, {author_sort('author')} AS sort, array_to_string([{author_sort('z')} for z in string_split(author, '&')], ' & ') AS all_sorts FROM books"),
     "N23_N24_ratios": (("books",), f"SELECT book_id, round({ratio('x', 'y')}, 6) AS ratio, round({TOKEN_SET}, 6) AS token_set FROM {_sets('(SELECT book_id, lower(coalesce(title, chr(32))) AS l, lower(observed_title) AS o FROM books)', 'trim(l)', 'o', 'book_id')}"),
     "N28_text_quality": ((), r"SELECT doc_id, CASE WHEN coalesce(text, '') = '' OR length(regexp_replace(text, '[^\x00-\x08\x0B-\x1F\x7F-\x{9F}]', '', 'g')) > 0.1 * length(text) OR len(regexp_extract_all(text, '\S+')) < 5 THEN 'low' ELSE 'high' END AS quality FROM documents"),
-    "V1_V8_field_verdicts": (("books_isbn",), f"SELECT * FROM {_VERDICTS}"),
-    "V12_V13_roll_up": (("books_isbn",), f"""SELECT book_id, confidence, flags, patch, action, action = 'suggest_fix' AND patched >= 80 AND sound AS eligible FROM (SELECT *, CASE WHEN flags <> '' OR unsure THEN 'needs_review' WHEN n = 0 OR patch = '' THEN 'no_change' WHEN confidence >= 85 THEN 'suggest_fix' WHEN confidence >= 70 THEN 'needs_review' ELSE 'defer' END AS action
-FROM (SELECT book_id, CAST(coalesce(floor(avg(confidence) FILTER (verdict <> 'ambiguous')), 0) AS INT) AS confidence, coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag) FILTER (flag <> ''), '') AS flags,
-  array_to_string(list_filter(['isbn', 'language', 'series', 'series_index'], lambda f: list_contains(coalesce(list(field) FILTER (verdict IN ('mismatch', 'missing')), []), f)), ',') AS patch,
-  bool_or(verdict = 'ambiguous' AND confidence > 0) AS unsure, count(*) FILTER (verdict <> 'ambiguous') AS n, coalesce(floor(avg(confidence) FILTER (verdict IN ('mismatch', 'missing'))), 0) AS patched,
-  bool_and(verdict NOT IN ('mismatch', 'missing') OR (confidence >= 75 AND NOT review)) AS sound FROM {_VERDICTS} GROUP BY book_id))"""),
     "C1_C3_candidate_scores": (("books_isbn", "candidates"), f"SELECT book_id, pos, provider, tripped, conflict, round(score, 6) AS score FROM {_SCORED}"),
     "C4_C5_best_candidate": (("books_isbn", "candidates"), f"SELECT b.book_id, coalesce(provider, 'local') AS provider, round(coalesce(score, 0.0E0), 6) AS score, CASE WHEN provider IS NULL THEN 'KEEP_LOCAL' ELSE 'REVIEW_RECOMMENDED' END AS decision FROM books_isbn b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY round(score, 9) DESC, pos) AS n FROM {_SCORED} WHERE NOT tripped AND NOT conflict) s ON s.book_id = b.book_id AND n = 1"),
-    "D2_title_author_clusters": (("books", "formats"), _D2),
-    "D3_isbn_clusters": (("books_isbn", "formats"), f"SELECT * FROM ({_D3}) WHERE book_ids NOT IN (SELECT book_ids FROM ({_D2}))"),
     "D5_all_pair_duplicates": (("books_isbn",), """SELECT * FROM (SELECT type, min(book_id) OVER (PARTITION BY type, value) AS first_id, book_id, value FROM (SELECT 'isbn_match' AS type, book_id, isbn AS value FROM books_isbn WHERE isbn <> ''
 UNION ALL SELECT 'title_author_match', book_id, trim(lower(coalesce(title, ''))) || '|' || trim(lower(coalesce(author, ''))) FROM books_isbn)) WHERE book_id <> first_id"""),
-    "D7_duplicate_titles": (("books",), "SELECT lower(trim(title)) AS title, count(*) AS n, string_agg(CAST(book_id AS VARCHAR), ',' ORDER BY book_id) AS book_ids FROM books WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "D8_near_hashes": (("cover_stats",), "SELECT a.phash AS left_hash, b.phash AS right_hash, a.n AS left_covers, b.n AS right_covers, CAST(bit_count(xor(a.phash, b.phash)) AS INT) AS distance FROM (SELECT phash, count(*) AS n FROM cover_stats GROUP BY phash) a JOIN (SELECT phash, count(*) AS n FROM cover_stats GROUP BY phash) b ON a.phash < b.phash AND bit_count(xor(a.phash, b.phash)) <= 4"),
-    "G1_full_gaps": (("books",), f"SELECT series, total_owned, array_to_string(missing, ',') AS missing FROM {_FULL} WHERE len(missing) > 0"),
-    "G2_inner_gaps": (("books",), """SELECT series, array_to_string(missing, ',') AS missing, fractional FROM (SELECT series, fractional, list_filter(range(CASE WHEN list_min(owned) BETWEEN 2 AND 5 THEN 1 ELSE list_min(owned) END, list_max(owned) + 1), lambda v: NOT list_contains(owned, v)) AS missing
-FROM (SELECT series, list(DISTINCT CAST(i AS INT)) FILTER (i = floor(i)) AS owned, CAST(count(DISTINCT i) FILTER (i <> floor(i)) AS INT) AS fractional FROM (SELECT series, coalesce(series_index, 1) AS i FROM books WHERE series IS NOT NULL) GROUP BY series) WHERE len(owned) > 0 AND list_max(owned) - list_min(owned) <= 1000) WHERE len(missing) > 0"""),
-    "G3_wishlist": (("books",), f"SELECT series, CAST(v AS INT) AS volume, series || ' #' || CAST(v AS VARCHAR) AS query FROM (SELECT series, unnest(missing) AS v FROM {_FULL})"),
     "Q1_inventory": (("books_isbn", "formats"), f"""SELECT count(*) AS books, CAST(sum(coalesce(n, 0)) AS BIGINT) AS formats, count(*) FILTER (n > 1) AS multi_format, count(*) FILTER (n IS NULL) AS no_format, count(*) FILTER (c = '') AS isbn_missing, count(*) FILTER ({ok13('c')}) AS isbn_valid,
   count(*) FILTER (c <> '' AND NOT {ok13('c')}) AS isbn_invalid, count(*) FILTER (coalesce(trim(title), '') = '') AS blank_title, count(*) FILTER (coalesce(trim(author), '') = '') AS blank_author, count(*) FILTER (coalesce(trim(language), '') = '') AS blank_language
 FROM {_ISBN} b LEFT JOIN (SELECT book_id, count(*) AS n FROM formats GROUP BY book_id) f ON f.book_id = b.book_id"""),
@@ -334,7 +322,6 @@ FROM {_ISBN} b LEFT JOIN (SELECT book_id, count(*) AS n FROM formats GROUP BY bo
     "Q17_requests": (("requests",), "SELECT route, status, count(*) AS n, round(avg(duration_s), 6) AS mean_s FROM requests GROUP BY route, status"),
     "K1_calibration": (("calibration",), f"SELECT * FROM {_REPORT}"),
     "K2_repeated_ids": (("calibration",), "SELECT evidence_id, count(*) AS n FROM calibration GROUP BY evidence_id HAVING count(*) > 1"),
-    "K3_gate": (("calibration",), f"SELECT concat_ws(',', CASE WHEN sample_size < 100 THEN 'sample_too_small' END, CASE WHEN tier_a < 50 THEN 'tier_a_too_small' END, CASE WHEN false_auto_applies <> 0 THEN 'false_auto_applies' END, CASE WHEN false_positives > 0 THEN 'false_positive_rate' END) AS reasons, sample_size >= 100 AND tier_a >= 50 AND false_auto_applies = 0 AND false_positives = 0 AS open FROM {_REPORT}"),
     "L1_progress": (("runs",), "SELECT count(*) AS total, count(*) FILTER (status IN ('completed', 'failed', 'skipped')) AS done, CASE WHEN count(*) = 0 THEN 100.0E0 ELSE round(100.0E0 * count(*) FILTER (status IN ('completed', 'failed', 'skipped')) / count(*), 6) END AS percent FROM runs"),
     "L4_claimable": (("runs",), "SELECT run_id, status FROM runs WHERE finished_at IS NULL AND (lease_owner IS NULL OR lease_expires_at < TIMESTAMP '1996-01-01 00:00:00')"),
     "L6_depth": (("operations",), f"SELECT s.state, count(o.state) AS n FROM (SELECT unnest([{', '.join(map(_q, STATES))}]) AS state) s LEFT JOIN operations o ON o.state = s.state GROUP BY s.state"),
@@ -364,7 +351,11 @@ FROM (SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, round(list_cosine_s
 }
 ORACLES |= _MORE
 
-_ROLLED = ORACLES["V12_V13_roll_up"][1]
+_ROLLED = f"""SELECT book_id, confidence, flags, patch, action, action = 'suggest_fix' AND patched >= 80 AND sound AS eligible FROM (SELECT *, CASE WHEN flags <> '' OR unsure THEN 'needs_review' WHEN n = 0 OR patch = '' THEN 'no_change' WHEN confidence >= 85 THEN 'suggest_fix' WHEN confidence >= 70 THEN 'needs_review' ELSE 'defer' END AS action
+FROM (SELECT book_id, CAST(coalesce(floor(avg(confidence) FILTER (verdict <> 'ambiguous')), 0) AS INT) AS confidence, coalesce(string_agg(DISTINCT flag, ',' ORDER BY flag) FILTER (flag <> ''), '') AS flags,
+  array_to_string(list_filter(['isbn', 'language', 'series', 'series_index'], lambda f: list_contains(coalesce(list(field) FILTER (verdict IN ('mismatch', 'missing')), []), f)), ',') AS patch,
+  bool_or(verdict = 'ambiguous' AND confidence > 0) AS unsure, count(*) FILTER (verdict <> 'ambiguous') AS n, coalesce(floor(avg(confidence) FILTER (verdict IN ('mismatch', 'missing'))), 0) AS patched,
+  bool_and(verdict NOT IN ('mismatch', 'missing') OR (confidence >= 75 AND NOT review)) AS sound FROM {_VERDICTS} GROUP BY book_id))"""
 _GATE = "(SELECT count(*) AS sample_size, count(*) FILTER (tier = 'A') AS tier_a, count(*) FILTER (tier = 'A' AND NOT identity_correct) AS false_positives, count(*) FILTER (would_auto_apply AND (NOT identity_correct OR NOT patch_correct)) AS false_auto_applies, count(review_seconds) AS timed, CAST(sum(egress_bytes) AS BIGINT) AS egress_bytes FROM calibration)"
 _SEAL = "sha256(concat_ws('|', sample_size, tier_a, false_positives, false_auto_applies, timed, coalesce(CAST(egress_bytes AS VARCHAR), '~')))"
 _FAILS = "concat_ws(',', CASE WHEN sample_size < 100 THEN 'sample_too_small' END, CASE WHEN tier_a < 50 THEN 'tier_a_too_small' END, CASE WHEN false_auto_applies <> 0 THEN 'false_auto_applies' END, CASE WHEN false_positives > 0 THEN 'false_positive_rate' END{})"
@@ -391,7 +382,18 @@ ORACLES |= {
     "E2_all_nearest": ((), ORACLES['E2_nearest'][1].replace('q.vec_id % 50 = 0 AND ', '')),
     "D9_reused_answers": (("cover_stats",), f"""SELECT cover_id, CASE WHEN d IS NOT NULL THEN 'digest' WHEN h IS NOT NULL THEN 'hash' ELSE 'near' END AS how, coalesce(d, h, n) AS answer FROM (SELECT c.cover_id, (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.digest = md5(CAST(c.size_bytes AS VARCHAR))) AS d,
   (SELECT arg_max(answer, seq) FROM {_HASH_CACHE} x WHERE x.phash = c.phash) AS h, (SELECT arg_min(answer, CAST(bit_count(xor(x.phash, c.phash)) AS BIGINT) * 1000000000 - seq) FROM (SELECT * FROM {_HASH_CACHE} ORDER BY seq DESC LIMIT 150) x WHERE bit_count(xor(x.phash, c.phash)) <= 4) AS n FROM cover_stats c) WHERE coalesce(d, h, n) IS NOT NULL"""),
-    "G2_topology": (("books",), f"SELECT series, missing, f AS fractional, CAST(len(string_split(missing, ',')) AS VARCHAR) || ' missing, ' || CAST(n AS VARCHAR) || ' between' AS summary FROM ({ORACLES['G2_inner_gaps'][1]}) g JOIN (SELECT series AS s, coalesce(array_to_string(list_sort(list(DISTINCT series_index) FILTER (series_index <> floor(series_index))), ','), '') AS f, count(DISTINCT series_index) FILTER (series_index <> floor(series_index)) AS n FROM books GROUP BY series) ON s = series"),
+    "D2_title_author_clusters": (("books", "formats"), f"SELECT title_key, author_key, min(book_id) OVER (PARTITION BY title_key, author_key) AS cluster_id, book_id, n_books, action, confidence FROM (SELECT *, unnest(CAST(string_split(book_ids, ',') AS BIGINT[])) AS book_id FROM ({_D2}))"),
+    "D3_isbn_clusters": (("books_isbn", "formats"), f"SELECT isbn, min(book_id) OVER (PARTITION BY isbn) AS cluster_id, book_id, n_books, action, confidence FROM (SELECT *, unnest(CAST(string_split(book_ids, ',') AS BIGINT[])) AS book_id FROM ({_D3}) WHERE book_ids NOT IN (SELECT book_ids FROM ({_D2})))"),
+    "D7_duplicate_titles": (("books",), "SELECT * FROM (SELECT lower(trim(title)) AS title, count(*) OVER w AS n, min(book_id) OVER w AS first_id, book_id FROM books WHERE trim(title) <> '' WINDOW w AS (PARTITION BY lower(trim(title)))) WHERE n > 1"),
+    "G1_full_gaps": (("books",), f"SELECT series, authors, total_owned, array_to_string(owned, ',') AS owned, array_to_string(missing, ',') AS missing FROM {_FULL} WHERE len(missing) > 0"),
+    "G3_wishlist": (("books",), f"SELECT series, CAST(v AS INT) AS volume, authors, series || ' #' || CAST(v AS VARCHAR) || ' ' || authors AS query FROM (SELECT series, authors, unnest(missing) AS v FROM {_FULL})"),
+    "G2_topology": (("books",), """SELECT series, authors, array_to_string(missing, ',') AS missing, array_to_string(f, ',') AS fractional, 'Missing volumes: ' || array_to_string(missing, ', ') || CASE WHEN len(f) > 0 THEN ' (Contains side novellas: ' || array_to_string(f, ', ') || ')' ELSE '' END AS summary
+FROM (SELECT series, authors, f, list_filter(range(CASE WHEN least BETWEEN 2 AND 5 THEN 1 ELSE least END, top + 1), lambda v: NOT list_contains(w, v)) AS missing FROM (SELECT series, coalesce(arg_min(author, (i, book_id)) FILTER (author <> ''), '') AS authors, list(DISTINCT CAST(i AS INT)) FILTER (i = floor(i)) AS w,
+  list_sort(coalesce(list(DISTINCT i) FILTER (i <> floor(i)), [])) AS f, min(CAST(i AS INT)) FILTER (i = floor(i)) AS least, max(CAST(i AS INT)) FILTER (i = floor(i)) AS top FROM (SELECT *, CAST(coalesce(series_index, 1) AS DOUBLE) AS i FROM books WHERE series IS NOT NULL) GROUP BY series) WHERE top - least <= 1000) WHERE len(missing) > 0"""),
+    "L15_retained": (("runs",), """WITH done AS (SELECT run_id, status, coalesce(finished_at, started_at) AS seen FROM runs WHERE status IN ('completed', 'failed')), open AS (SELECT run_id, status FROM runs WHERE status NOT IN ('completed', 'failed'))
+SELECT run_id AS job_id, status FROM open UNION ALL SELECT run_id, status FROM (SELECT *, row_number() OVER (ORDER BY seen DESC, run_id DESC) AS n FROM done WHERE seen >= TIMESTAMP '1998-07-01 00:00:00' - INTERVAL 60 DAY) WHERE n <= 9000 - (SELECT count(*) FROM open)"""),
+    "Q12_problematic": (("books_isbn",), f"""SELECT b.book_id AS book_key, action AS status, title, author, series, series_index, CASE WHEN b.book_id % 4 <> 0 THEN flags WHEN b.book_id % 3 <> 0 THEN 'old' ELSE '' END AS flags FROM books_isbn b JOIN ({_ROLLED}) r ON r.book_id = b.book_id
+WHERE action IN ('needs_review', 'suggest_fix', 'defer') ORDER BY b.book_id LIMIT 400"""),
     "Q1_inventory": (("books_isbn", "formats"), ORACLES["Q1_inventory"][1].replace("AS blank_language", "AS blank_language, count(*) FILTER (coalesce(trim(publisher), '') = '') AS blank_publisher, count(*) FILTER (coalesce(trim(pubdate), '') = '') AS blank_pubdate, strftime(min(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_min, strftime(max(TRY_CAST(last_modified AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS modified_max, count(*) FILTER (coalesce(trim(last_modified), '') = '') AS modified_missing, count(*) FILTER (trim(last_modified) <> '' AND TRY_CAST(last_modified AS TIMESTAMP) IS NULL) AS modified_invalid")),
     "Q1_formats": (("formats",), "SELECT format AS value, count(*) AS n FROM formats GROUP BY format"),
     "Q2_manifest": (("books", "formats"), f"SELECT k AS part, h AS manifest FROM {_LEVEL(_LEVEL(_LEVEL(_MANIFEST)))}"),
@@ -403,7 +405,6 @@ ORACLES |= {
     "Q9_summary": (("books", "formats", "rated"), " UNION ALL ".join((_first("bad_titles", f"(SELECT book_id FROM (SELECT book_id, {_BAD} AS p FROM books) WHERE p IS NOT NULL)"), _first("without_formats", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM formats))"), _first("unrated", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM rated))")))),
     "Q10_page": (("books",), "SELECT book_id, title, author FROM books ORDER BY book_id DESC LIMIT 40 OFFSET 25"),
     "Q11_latest": (("operations",), "SELECT book_key, operation_id, state FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY created_at DESC, operation_id DESC) AS n FROM operations) WHERE n = 1"),
-    "Q12_problematic": (("operations", "evidence"), "SELECT book_key, state, coalesce((SELECT count(*) FROM evidence WHERE book_id = book_key), 0) AS n_evidence FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY created_at DESC, operation_id DESC) AS n FROM operations) WHERE n = 1 AND state = 'failed' ORDER BY book_key LIMIT 50"),
     "Q13_review_listing": (("evidence", "format_evidence"), f"{_WITH_ROOTS} SELECT book_id, reason FROM {_LADDER} WHERE tier = 'C'"),
     "Q14_run_states": (("runs",), "SELECT status, count(*) AS n, array_to_string(list_sort(list(run_id))[1:5], ',') AS sample_keys FROM runs GROUP BY status"),
     "Q15_action_shares": (("books_isbn",), f"SELECT what, count(*) AS n, round(avg(CAST(eligible AS INT)), 6) AS eligible_share FROM (SELECT 'action:' || action AS what, eligible FROM ({_ROLLED}) UNION ALL SELECT 'flag:' || unnest(string_split(flags, ',')), eligible FROM ({_ROLLED}) WHERE flags <> '') GROUP BY what"),
@@ -419,7 +420,6 @@ ORACLES |= {
 FROM (SELECT *, eligible AND confidence >= 80 AS ok, array_to_string(list_sort(list_filter(string_split(patch, ','), lambda z: z <> '' AND NOT (z = 'language' AND book_id % 4 = 0))), ',') AS p FROM ({_ROLLED})) WHERE action = 'suggest_fix'"""),
     "L13_expired": (("operations",), "SELECT operation_id, created_at FROM operations WHERE created_at < TIMESTAMP '1995-05-02 00:00:00'"),
     "L14_heartbeats": (("runs",), "SELECT run_id AS owner, coalesce(status = 'completed' AND heartbeat_at <= TIMESTAMP '1995-01-01 00:00:00' AND heartbeat_at >= TIMESTAMP '1995-01-01 00:00:00' - INTERVAL 300 DAY, FALSE) AS fresh FROM runs"),
-    "L15_retained": (("runs",), "SELECT run_id AS job_id, status FROM runs WHERE status <> 'completed' UNION ALL SELECT * FROM (SELECT run_id, status FROM runs WHERE status = 'completed' AND finished_at >= TIMESTAMP '1998-07-01 00:00:00' - INTERVAL 60 DAY ORDER BY finished_at DESC, run_id LIMIT 100)"),
     "L16_read_back": (("current_fields",), "SELECT book_id, bool_and(same) AS matches, count(*) FILTER (NOT same) AS n_differ FROM (SELECT book_id, value IS NOT DISTINCT FROM CASE WHEN book_id % 6 = 0 AND field = 'title' THEN upper(value) ELSE value END AS same FROM current_fields) GROUP BY book_id"),
     "P1_P2_histograms": (("histograms",), "SELECT cover_id, round(e, 6) AS entropy, round(CASE WHEN s < 20 THEN 6.0E0 ELSE least(25.0E0, s / 75 * 25) END, 6) AS contrast FROM (SELECT cover_id, -sum(n / t * log2(n / t)) AS e, sqrt(greatest(0.0E0, sum(n / t * bin * bin) - pow(sum(n / t * bin), 2))) AS s FROM (SELECT cover_id, CAST(bin AS DOUBLE) AS bin, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY cover_id) AS DOUBLE) AS t FROM histograms) GROUP BY cover_id)"),
     "P7_spurious": (("cover_stats",), f"SELECT cover_id, CASE WHEN dominant_ratio > 0.98 THEN 'blank_canvas' ELSE 'interior_page_scan' END AS defect, CASE WHEN dominant_ratio > 0.98 THEN dominant_ratio WHEN contains(o, 'chapter') THEN 0.98E0 WHEN entropy BETWEEN 1.2 AND 3.5 THEN 0.92E0 ELSE 0.85E0 END AS confidence FROM {_SPURIOUS} WHERE dominant_ratio > 0.98 OR inside"),

@@ -43,18 +43,12 @@ def _ratios(b: DataFrame) -> DataFrame:
 
 
 def _rules(b: DataFrame) -> DataFrame:
-    observed = F.when(F.col("book_id") % 4 == 0, F.concat("isbn_body", F.lit("0"))).otherwise(F.col("isbn"))
-    rules = {
-        "isbn": verify.isbn_rule(),
-        "language": verify.language_rule(F.col("language"), F.when(F.col("book_id") % 6 == 0, F.lit("it")).otherwise(F.upper("language"))),
-        "series": verify.series_rule(F.col("series"), F.when(F.col("book_id") % 10 == 0, F.lit(None).cast("string")).otherwise(F.lower("series")), F.col("book_id") % 3 == 0),
-        "series_index": verify.number_rule(F.col("series_index"), F.floor("series_index").cast("double")),
-    }
-    return verify.verdicts(verify.isbn_facts(b, F.col("isbn"), observed), rules)
-
-
-def _verdict_rows(b: DataFrame) -> DataFrame:
-    return verify.rows(_rules(b), 4)
+    values = {
+        "isbn": (F.col("isbn"), F.when(F.col("book_id") % 4 == 0, F.concat("isbn_body", F.lit("0"))).otherwise(F.col("isbn"))), "language": (F.col("language"), F.when(F.col("book_id") % 6 == 0, F.lit("it")).otherwise(F.upper("language"))),
+        "series": (F.col("series"), F.when(F.col("book_id") % 10 == 0, F.lit(None).cast("string")).otherwise(F.lower("series"))), "series_index": (F.col("series_index"), F.floor("series_index").cast("double")),
+    }
+    rules = {"isbn": verify.isbn_rule(), "language": verify.language_rule(*values["language"]), "series": verify.series_rule(*values["series"], F.col("book_id") % 3 == 0), "series_index": verify.number_rule(*values["series_index"])}
+    return verify.verdicts(verify.isbn_facts(b, *values["isbn"]), rules, values)
 
 
 SETTLED = ("isbn", "published_date", "language", "series", "series_index", "volume", "chapter", "series_position")
@@ -142,6 +136,14 @@ def _full_gate(c: DataFrame) -> DataFrame:
     return out.unionByName(profile.full_gate(report.withColumn("tier_a", F.col("tier_a") + 1), *cases[0][:3]).withColumn("case_no", F.lit(9)))
 
 
+def _problematic(b: DataFrame) -> DataFrame:
+    rolled = written(verify.roll_up(_rules(b)))
+    packages = rolled.where("book_id % 3 <> 0").select(F.col("book_id").alias("book_key"), F.lit(1).alias("created_at"), F.lit("a").alias("evidence_id"), F.lit("old").alias("flags")).unionByName(
+        rolled.where("book_id % 4 <> 0").select("book_id", F.lit(1), F.lit("b"), "flags").toDF("book_key", "created_at", "evidence_id", "flags"))
+    shown = rolled.join(b.select("book_id", "title", "author", "series", "series_index"), "book_id").select(F.col("book_id").alias("book_key"), F.col("action").alias("status"), "title", "author", "series", "series_index")
+    return audit.problematic(shown, packages, 400)
+
+
 def _approvals(b: DataFrame) -> DataFrame:
     rolled = written(verify.roll_up(_rules(b)))
     locks = rolled.where("book_id % 4 = 0").select("book_id", F.lit("language").alias("field"))
@@ -211,8 +213,6 @@ QUERIES: dict[str, Query] = {
     "V15_V16_adjudicated": _over(_adjudicated, "pairs"),
     "V17_open_requests": _over(_open_requests, "snippets", "runs"),
     "V18_quoted": _over(_quoted, "books", "snippets"),
-    "V1_V8_field_verdicts": _over(_verdict_rows, "books_isbn"),
-    "V12_V13_roll_up": _over(lambda b: verify.roll_up(_rules(b)).drop("gate", "patch_values"), "books_isbn"),
     "C1_C3_candidate_scores": _over(lambda b, c: consensus.scored(b, c).drop("c13"), "books_isbn", "candidates"),
     "C4_C5_best_candidate": _over(consensus.best, "books_isbn", "candidates"),
     "D2_title_author_clusters": _over(linkage.title_author_clusters, "books", "formats"),
@@ -225,8 +225,7 @@ QUERIES: dict[str, Query] = {
     "D5_all_pair_duplicates": _over(linkage.all_pair_duplicates, "books_isbn"),
     "D7_duplicate_titles": _over(linkage.duplicate_titles, "books"),
     "D8_near_hashes": _over(linkage.near_hashes, "cover_stats"),
-    "G1_full_gaps": _over(lambda b: _gaps(series.full_gaps(b)), "books"),
-    "G2_inner_gaps": _over(lambda b: _gaps(series.inner_gaps(b)).withColumn("fractional", F.size("fractional")), "books"),
+    "G1_full_gaps": _over(lambda b: _gaps(series.full_gaps(b)).withColumn("owned", F.array_join(F.col("owned").cast("array<string>"), ",")), "books"),
     "G2_topology": _over(lambda b: _gaps(series.topology(b)).withColumn("fractional", F.array_join(F.col("fractional").cast("array<string>"), ",")), "books"),
     "G3_wishlist": _over(series.wishlist, "books"),
     "Q1_inventory": _over(profile.inventory, "books_isbn", "formats"),
@@ -240,7 +239,7 @@ QUERIES: dict[str, Query] = {
     "Q9_summary": _over(lambda b, f, r: audit.summary({"bad_titles": audit.bad_titles(b), "without_formats": profile.without_formats(b, f), "unrated": b.join(r, "book_id", "left_anti")}), "books", "formats", "rated"),
     "Q10_page": _over(lambda b: audit.page(b.select("book_id", "title", "author"), [F.desc("book_id")], 40, 25), "books"),
     "Q11_latest": _over(lambda o: audit.latest(o.select("book_key", "created_at", "operation_id", "state"), "book_key", "created_at", "operation_id").select("book_key", "operation_id", "state"), "operations"),
-    "Q12_problematic": _over(lambda o, e: audit.problematic(o, e, 50), "operations", "evidence"),
+    "Q12_problematic": _over(_problematic, "books_isbn"),
     "Q13_review_listing": _over(lambda e, f: identity.tiers(e, f).where("tier = 'C' and state = 'deferred'").select("book_id", "reason"), "evidence", "format_evidence"),
     "Q14_run_states": _over(lambda r: audit.state_samples(r, "status", "run_id"), "runs"),
     "Q15_action_shares": _over(lambda b: audit.action_shares(verify.roll_up(_rules(b))), "books_isbn"),
@@ -252,7 +251,6 @@ QUERIES: dict[str, Query] = {
     "Q17_requests": _over(profile.requests_profile, "requests"),
     "K1_calibration": _over(profile.calibration_report, "calibration"),
     "K2_repeated_ids": _over(lambda c: profile.repeated_ids(c, "evidence_id"), "calibration"),
-    "K3_gate": _over(lambda c: profile.gate(profile.calibration_report(c)), "calibration"),
     "L1_progress": _over(profile.progress, "runs"),
     "K3_full_gate": _over(_full_gate, "calibration"),
     "K4_sealed_report": _over(lambda c: profile.sealed_report(profile.calibration_report(c).drop("review_seconds")), "calibration"),
@@ -263,7 +261,7 @@ QUERIES: dict[str, Query] = {
     "L11_L12_approvals": _over(_approvals, "books_isbn"),
     "L13_expired": _over(lambda o: ledger.expired(o.select("operation_id", "created_at"), F.expr("TIMESTAMP_NTZ '1995-06-01 00:00:00'"), 30), "operations"),
     "L14_heartbeats": _over(lambda r: ledger.fresh(r.select(F.col("run_id").alias("owner"), F.col("heartbeat_at").alias("beat_at"), F.col("status").alias("release")), F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'"), 86400 * 300, {"release": "completed"}), "runs"),
-    "L15_retained": _over(lambda r: ledger.retained(r.select(F.col("run_id").alias("job_id"), "status", F.coalesce("finished_at", "started_at").alias("updated_at")), F.expr("TIMESTAMP_NTZ '1998-07-01 00:00:00'"), 24 * 60, 100).select("job_id", "status"), "runs"),
+    "L15_retained": _over(lambda r: ledger.retained(r.select(F.col("run_id").alias("job_id"), "status", F.coalesce("finished_at", "started_at").alias("updated_at")), F.expr("TIMESTAMP_NTZ '1998-07-01 00:00:00'"), 24 * 60, 9000).select("job_id", "status"), "runs"),
     "L16_read_back": _over(lambda c: ledger.read_back(c, c.withColumn("value", F.when((F.col("book_id") % 6 == 0) & (F.col("field") == "title"), F.upper("value")).otherwise(F.col("value")))), "current_fields"),
     "L4_claimable": _over(lambda r: profile.claimable(r, "1996-01-01 00:00:00"), "runs"),
     "L6_depth": _over(profile.depth, "operations"),

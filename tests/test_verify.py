@@ -118,3 +118,83 @@ def test_normalisers(spark):
     assert one(text.promoted_title, "THE ART OF AI [retail] (epub)") == "The Art of AI"
     assert one(text.verify_key, "Œuvre ﬁnale (2nd Edition)") == "œuvre finale" and one(text.plain_key, "Ǆ №5") == "dz no5"
     assert one(text.identity_key, "Straße, ＡＢＣ!") == "strasse abc"
+
+
+def _plain_authors(d, o, low):
+    """The ladder of V3 over one pair, with a set for each form."""
+    def names(x):
+        return [a.strip() for a in (x or "").split("&") if a.strip()]
+
+    def norm(x):
+        x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", re.sub(text.EDITION_TAG, "", x, flags=re.I))).strip().lower()
+
+    def latin(x):
+        for a, b in {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "yu", "я": "ya"}.items():
+            x = x.replace(a, b)
+        return x.translate(str.maketrans("абвгдеёзийклмнопрстуфыэ", "abvgdeeziyklmnoprstufye", "ъь"))
+
+    def display(x):
+        last, comma, first = x.partition(",")
+        return f"{first.strip()} {last.strip()}" if comma else " ".join(x.split())
+
+    def surname(a, b):
+        x, y = norm(a).split(), norm(b).split()
+        return bool(x and y) and (x[-1] == y[-1] or x[-1] == y[0])
+
+    def like(a, b):
+        return bool(a and b) and SequenceMatcher(None, latin(norm(a)), latin(norm(b))).ratio() >= 0.9
+
+    ds, os = names(d), names(o)
+    if not ds or not os:
+        return ("ambiguous", 0, "") if not ds and not os else ("missing", 95, "") if not ds else ("ambiguous", 50, "")
+    dd, od = [norm(display(a)) for a in ds], [norm(display(a)) for a in os]
+    if {norm(a) for a in ds} == {norm(a) for a in os} or set(dd) == set(od):
+        return ("ambiguous", 55, "") if low else ("confirmed", 99, "")
+    if len(ds) == len(os) and all(any(like(a, b) or surname(ar, br) for b, br in zip(od, os)) for a, ar in zip(dd, ds)) and all(any(like(b, a) or surname(br, ar) for a, ar in zip(dd, ds)) for b, br in zip(od, os)):
+        return "confirmed", 88, ""
+    if all(x in ("unknown", "anonymous", "n n", "various", "n a", "desconocido", "calibre", "mantesh", "chenjin5 com") for x in dd):
+        return "mismatch", 92, ""
+    if not set(dd) & set(od) and not any(like(a, b) for a in dd for b in od) and not any(surname(a, b) for a in ds for b in os):
+        return "mismatch", 92, "author_swap"
+    covered = lambda xs, ys: all(any(x == y or like(x, y) or surname(x, y) for y in ys) for x in xs)
+    there, back = covered(od, dd), covered(dd, od)
+    if there and not back:
+        return "mismatch", 88, "author_swap" if any(not any(like(a, b) or surname(a, b) for b in os) for a in ds) else ""
+    return ("mismatch", 92, "") if back and not there else ("mismatch", 80, "")
+
+
+def test_authors_by_brute_force(spark):
+    """Every row of the view, and pairs in two scripts: surnames are compared as written."""
+    p = view(spark, SF, "pairs")
+    rows = [(r["book_id"], r["d_authors"], r["o_authors"], r["low"]) for r in p.select("book_id", "d_authors", "o_authors", "low").collect()]
+    made = [("Mikhail Bulgakov", "Булгаков"), ("Mikhail Bulgakov", "Михаил Булгаков"), ("Лев Толстой & Jane Austen", "Lev Tolstoy"), ("Austen", "Jane Austen & Лев Толстой"), ("Ann Lee & Bob Ray", "Bob Ray & Cy Young"), ("Unknown", "Plato"), ("&", "Plato")]
+    got = {}
+    for df in (p, pairs(spark, [{"d_authors": d, "o_authors": o} for d, o in made])):
+        got |= {(df is p, r["book_id"]): (r["verdict"], r["confidence"], r["flag"]) for r in verify.rows(verify.all_verdicts(df), verify.FIELDS).where("field = 'authors'").collect()}
+    want = {(True, b): _plain_authors(d, o, low) for b, d, o, low in rows} | {(False, i): _plain_authors(d, o, None) for i, (d, o) in enumerate(made)}
+    assert got == want and got[False, 0] == ("mismatch", 92, "author_swap") and got[False, 1] == ("confirmed", 88, "")
+
+
+def test_roll_up_of_eleven_fields(spark):
+    """The rules of the roll-up over the verdicts of every row, and a book whose title is null and empty: nothing to decide."""
+    p = view(spark, SF, "pairs")
+    values = {"published_date": "date"}
+    by = {}
+    for r in verify.rows(verify.all_verdicts(p), verify.FIELDS).collect():
+        by.setdefault(r["book_id"], {})[r["field"]] = r
+    source = {r["book_id"]: r for r in p.collect()}
+    for r in verify.roll_up(verify.all_verdicts(p)).collect():
+        fields, raw = by[r["book_id"]], source[r["book_id"]]
+        decided = [f for f in fields.values() if f["verdict"] != "ambiguous"]
+        patched = [f for f in fields.values() if f["verdict"] in ("mismatch", "missing")]
+        flags = sorted({f["flag"] for f in fields.values() if f["flag"]})
+        empty = lambda x: x is None or x == "" or x == "&"
+        doubt = any(f["verdict"] == "ambiguous" and not (empty(raw[f"d_{values.get(n, n)}"]) and empty(raw[f"o_{values.get(n, n)}"])) for n, f in fields.items())
+        mean = sum(f["confidence"] for f in decided) // len(decided) if decided else 0
+        risky = bool(set(flags) & set(verify.HIGH_RISK))
+        action = "needs_review" if risky or doubt else "no_change" if not patched else "suggest_fix" if mean >= 85 else "needs_review" if mean >= 70 else "defer"
+        eligible = action == "suggest_fix" and sum(f["confidence"] for f in patched) // len(patched) >= 80 and all(f["confidence"] >= 75 and not f["review"] for f in patched)
+        assert (r["confidence"], r["flags"], r["action"], r["eligible"]) == (mean, ",".join(flags), action, eligible), r["book_id"]
+    one = pairs(spark, [{"o_title": ""}])
+    assert verify.roll_up(verify.all_verdicts(one)).first()["action"] == "no_change"
