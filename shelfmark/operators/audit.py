@@ -87,11 +87,13 @@ def problematic(books: DataFrame, packages: DataFrame, limit: int = 50, status:
     return few.join(newest, "book_key", "left").withColumn("flags", F.coalesce("flags", F.lit("")))
 
 
-def state_samples(df: DataFrame, state: str, key: str, sample: int = 5) -> DataFrame:
-    """Q14: rows by state with the `sample` smallest keys of each."""
-    first = df.withColumn("n", F.row_number().over(Window.partitionBy(state).orderBy(key))).where(F.col("n") <= sample)
-    few = first.groupBy(state).agg(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ",").alias("sample_keys"))
-    return df.groupBy(state).agg(F.count("*").alias("n")).join(few, state)
+def run_metrics(books: DataFrame, runs: DataFrame, run_id: str | None = None, sample: int = 5) -> DataFrame:
+    """Q14: books of a run, the newest if none is named, by status, with the total and the run's `sample` smallest keys. `books`: book_key, run_id, status; `runs`: run_id, created_at."""
+    run = runs.where(F.col("run_id") == run_id).select("run_id") if run_id else runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1).select("run_id")
+    own = books.join(F.broadcast(run.limit(1)), "run_id")  # one row
+    few = own.select("book_key").orderBy("book_key").limit(sample).agg(F.array_join(F.array_sort(F.collect_list("book_key")).cast("array<string>"), ",").alias("sample_keys"))
+    by = own.groupBy("run_id", "status").agg(F.count("*").alias("n"))
+    return by.crossJoin(own.agg(F.count("*").alias("total"))).crossJoin(few).select("run_id", "status", "n", "total", "sample_keys")  # one row each
 
 
 def action_shares(rolled: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMINAL = ("completed", "failed", "skipped", "succeeded", "restored", "restore_failed", "cancelled")
+#: States in which an audited book rests, and states in flight.
+RESTING = ("shadowed", "verified", "review", "deferred", "failed", "source_changed", "blocked_recovery")
+IN_FLIGHT = ("snapshotting", "extracting", "resolving", "decided", "applying")
 #: Fields that a write may change by itself.
 VOLATILE = ("last_modified", "timestamp")
 
@@ -21,35 +23,82 @@ def membership(stored: DataFrame, frozen: DataFrame) -> DataFrame:
     return both.where("stored <> frozen")
 
 
-def reset_stale(operations: DataFrame) -> DataFrame:
-    """States in flight go back to pending."""
-    return operations.select("operation_id", F.when(F.col("state").isin(*TERMINAL), F.col("state")).otherwise("pending").alias("state"))
+def reset_stale(results: DataFrame) -> DataFrame:
+    """Results that don't rest go back to pending, whatever state they name; `reset` tells which did. `results`: result_id, state, evidence_id."""
+    rests = F.col("state").isin(*RESTING)
+    stale = F.coalesce(F.col("state").isin(*IN_FLIGHT) | ~rests & (F.col("state") != "pending"), F.lit(True))
+    return results.select("result_id", F.when(stale, "pending").otherwise(F.col("state")).alias("state"), stale.alias("reset"), (rests & F.col("evidence_id").isNotNull()).alias("sealed"))
 
 
-def open_depth(operations: DataFrame, acknowledged: DataFrame, locks: DataFrame, policy: str = "manifestation-v2") -> DataFrame:
-    """Operations of a policy by state, without failed ones that are acknowledged, of a stopped pilot, and whose book isn't locked.
+def acknowledged(operations: DataFrame, acknowledgements: DataFrame, pilots: DataFrame, outbox: DataFrame, locks: DataFrame, current: str) -> DataFrame:
+    """Ids of failed operations whose incident is settled: acknowledged, completed, of a stopped pilot that isn't the `current` one, with a failed outbox row, and no lock on their book."""
+    old = pilots.where((F.col("state") == "stopped") & (F.col("pilot_id") != current)).select("pilot_id")
+    failed = outbox.where("status = 'failed'").select(F.col("aggregate_id").alias("operation_id"))
+    rows = operations.where("state = 'failed' and completed_at is not null").join(acknowledgements.select("operation_id"), "operation_id", "left_semi")
+    return rows.join(old, "pilot_id", "left_semi").join(failed, "operation_id", "left_semi").join(locks.select("book_key"), "book_key", "left_anti").select("operation_id")
 
-    `acknowledged`: operation_id; `operations` has pilot_stopped.
+
+def open_depth(operations: DataFrame, settled: DataFrame, policy: str = "manifestation-v2") -> DataFrame:
+    """Operations of a policy by state, without those in `settled`."""
+    return operations.where(F.col("policy_version") == policy).join(settled, "operation_id", "left_anti").groupBy("state").agg(F.count("*").alias("n"))
+
+
+#: The states that a listing of depths always shows, by kind.
+DEPTHS = {
+    "outbox": ("pending", "processing", "failed", "published"), "operations": ("unknown", "restore_failed"),
+    "v2_operations": ("requested", "claimed", "writing", "verifying", "restoring", "succeeded", "restored", "restore_failed", "unknown", "failed", "cancelled"), "changes": ("failed_rollback_failed",), "pilots": ("open", "stopped", "completed"),
+}
+
+
+def depths(outbox: DataFrame, operations: DataFrame, changes: DataFrame, pilots: DataFrame, open_operations: DataFrame, settled: DataFrame) -> DataFrame:
+    """Counts by kind and state, for pilots the reserved and the greatest number of operations; states that are absent count 0, others that occur are shown too.
+
+    `open_operations`: what `open_depth` gives; `settled`: acknowledgements, counted as one row.
     """
-    closed = acknowledged.join(operations.where("state = 'failed' and pilot_stopped"), "operation_id").join(locks, "book_key", "left_anti").select("operation_id")
-    return operations.where(F.col("policy_version") == policy).join(closed, "operation_id", "left_anti").groupBy("state").agg(F.count("*").alias("n"))
+    spark = outbox.sparkSession
+    count = lambda df, kind, state: df.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "state", "n", F.lit(None).cast("long").alias("most"))
+    known = spark.createDataFrame([(k, s) for k, ss in DEPTHS.items() for s in ss], "kind string, state string")
+    held = pilots.groupBy("state").agg(F.sum("reserved").alias("n"), F.sum("maximum").alias("most")).select(F.lit("pilots").alias("kind"), "state", "n", "most")
+    v2 = open_operations.select(F.lit("v2_operations").alias("kind"), "state", "n", F.lit(None).cast("long").alias("most"))
+    told = count(outbox, "outbox", "status").unionByName(count(operations, "operations", "state")).unionByName(v2).unionByName(count(changes, "changes", "status")).unionByName(held)
+    told = told.unionByName(settled.agg(F.count("*").alias("n")).select(F.lit("incidents").alias("kind"), F.lit("acknowledged").alias("state"), "n", F.lit(None).cast("long").alias("most")))
+    zero = F.when(F.col("kind") == "pilots", F.lit(0))
+    return known.join(told, ["kind", "state"], "full_outer").select("kind", "state", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("most", zero).cast("long").alias("most"))
+
+
+#: States of runs that are shown, and those that are active.
+RUN_STATES = ("pending", "inventorying", "running", "cancelling", "cancelled", "completed", "completed_with_errors", "failed", "source_changed", "blocked_recovery")
+ACTIVE = ("pending", "inventorying", "running", "cancelling")
+
+
+def run_depth(runs: DataFrame, now: Column, contract: str = "certificate-a-v1", pipeline: str = "manifestation-v2") -> DataFrame:
+    """Runs of one contract and pipeline by known state, absent ones 0, with the oldest sign of life over all active runs and its age in seconds, 0 if there is none."""
+    own = runs.where((F.col("contract_version") == contract) & (F.col("pipeline_version") == pipeline))
+    oldest = own.where(F.col("status").isin(*ACTIVE)).agg(F.min(F.coalesce("heartbeat_at", "started_at")).alias("oldest"))
+    counts = own.groupBy("status").agg(F.count("*").alias("n"))
+    known = runs.sparkSession.createDataFrame([(s,) for s in RUN_STATES], "status string")
+    age = F.coalesce(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("oldest").cast("timestamp")), F.lit(0))
+    return known.join(counts, "status", "left").crossJoin(F.broadcast(oldest)).select("status", F.coalesce("n", F.lit(0)).alias("n"), F.col("oldest").cast("string").alias("oldest_active"), age.alias("age_s"))  # one row
+
+
+BOUND = ["book_id", "run_id", "package_hash", "patch_hash"]
 
 
 def authorization(approvals: DataFrame) -> DataFrame:
-    """The newest authorization of each book and patch."""
-    return approvals.groupBy("book_id", "patch_hash").agg(F.max_by("authorization_id", F.struct("created_at", "authorization_id")).alias("authorization_id"))
+    """The newest authorization of each book, run, package and patch."""
+    return approvals.groupBy(*BOUND).agg(F.max_by("authorization_id", F.struct("created_at", "authorization_id")).alias("authorization_id"))
 
 
 def approvals(rolled: DataFrame, locks: DataFrame, authorizations: DataFrame) -> DataFrame:
-    """Suggested fixes, queued where the gate or an authorization of the same patch lets them and a patch is left without locked fields, else skipped.
+    """Suggested fixes, queued where the gate or an authorization of the same run, package and patch lets them and a patch is left without locked fields, else skipped.
 
-    `locks`: book_id, field; a book has few fields, so its locks are one small list.
+    `rolled` has run_id and package_hash; a book without a package hash has no authorization. `locks`: book_id, field; a book has few fields, so its locks are one small list.
     """
     held = locks.groupBy("book_id").agg(F.collect_set("field").alias("held"))
     rows = rolled.where("action = 'suggest_fix'").join(held, "book_id", "left")
     free = F.array_except(F.split("patch", ","), F.coalesce("held", F.array().cast("array<string>")))
     rows = rows.withColumn("patch", F.array_join(F.array_sort(F.filter(free, lambda x: x != "")), ",")).withColumn("patch_hash", F.sha2("patch", 256))
-    told = rows.join(authorization(authorizations), ["book_id", "patch_hash"], "left")
+    told = rows.join(authorization(authorizations), BOUND, "left")
     may = (F.col("gate") == "ok") | F.col("authorization_id").isNotNull()
     return told.select("book_id", "patch", "authorization_id", F.when((F.col("patch") != "") & may, "queued").otherwise("skipped").alias("outcome"))
 
@@ -77,6 +126,15 @@ def retained(jobs: DataFrame, now: Column, hours: int = 1, most: int = 100) -> D
 
 
 def read_back(patches: DataFrame, observed: DataFrame) -> DataFrame:
-    """By book whether every patched field, but volatile ones, reads back as patched. Both: book_id, field, value."""
-    both = patches.where(~F.col("field").isin(*VOLATILE)).join(observed.withColumnRenamed("value", "seen"), ["book_id", "field"], "left")
-    return both.groupBy("book_id").agg(F.min(F.col("value").eqNullSafe(F.col("seen"))).alias("matches"), F.count_if(~F.col("value").eqNullSafe(F.col("seen"))).alias("n_differ"))
+    """By book whether every patched field, but volatile ones, reads back as patched. Both: book_id, field, value.
+
+    An edition may be read back under `#edition`, which comes first unless it is empty, and null is as good as empty there; a cover by the hash of its file, as `cover_sha256`.
+    """
+    kept = patches.where(~F.col("field").isin(*VOLATILE))
+    alias = F.when(F.col("field") == "#edition", "edition_statement").when(F.col("field") == "cover_sha256", "cover").otherwise(F.col("field"))
+    own = observed.where(F.col("field") != "cover").select("book_id", alias.alias("field"), F.col("value").alias("seen"), (F.col("field") != "#edition").alias("late"))
+    first = own.where((F.col("field") != "edition_statement") | (F.coalesce("seen", F.lit("")) != "")).groupBy("book_id", "field").agg(F.min_by("seen", "late").alias("seen"))
+    both = kept.join(first, ["book_id", "field"], "left")
+    text = lambda c: F.when(F.col("field") == "edition_statement", F.coalesce(c, F.lit(""))).otherwise(F.col(c))
+    same = text("value").eqNullSafe(text("seen"))
+    return both.groupBy("book_id").agg(F.min(same).alias("matches"), F.count_if(~same).alias("n_differ"))

@@ -148,3 +148,19 @@ def egress(snippets: DataFrame, allowed: DataFrame, mark: str = "[text withheld]
     told = snippets.join(allowed.select("book_id", F.lit(True).alias("may")), "book_id", "left").withColumn("out", F.when(F.coalesce("may", F.lit(False)), F.col("text")).otherwise(mark))
     by = told.groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "out"))), lambda x: x["out"]), "\n").alias("payload"), F.sum(F.when(F.coalesce("may", F.lit(False)), F.length("text")).otherwise(0)).alias("text_chars"))
     return by.select("book_id", "text_chars", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def private_parts(parts: DataFrame, local: bool = False, text: bool = False, images: bool = False, mark: str = "[HIDDEN FOR PRIVACY]") -> DataFrame:
+    """What of a message's parts (message_id, seq, kind text or image, content) leaves, in order, with a receipt: characters and images sent, and the hash of what is sent.
+
+    A local target gets all. To others texts leave as a mark unless `text`, images not at all unless `images`. A message all of whose parts stay has an empty payload.
+    """
+    rows = parts.withColumn("sent", F.when(F.col("kind") == "image", F.lit(local or images)).otherwise(F.lit(True)))
+    hide = (F.col("kind") == "text") & F.lit(not (local or text))
+    out = F.when(F.col("sent"), F.struct("seq", F.concat("kind", F.lit(":"), F.when(hide, F.lit(mark)).otherwise(F.coalesce("content", F.lit("")))).alias("line")))
+    payload = F.array_join(F.transform(F.array_sort(F.collect_list(out)), lambda x: x["line"]), "\n")
+    by = rows.groupBy("message_id").agg(
+        F.sum(F.when(F.col("sent") & (F.col("kind") == "text") & ~hide, F.length("content")).otherwise(0)).alias("text_chars"), F.count_if(F.col("sent") & (F.col("kind") == "image")).alias("image_count"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+    )
+    return by.withColumn("text_chars", F.coalesce("text_chars", F.lit(0)))

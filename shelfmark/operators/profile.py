@@ -94,13 +94,6 @@ def gate(report: DataFrame) -> DataFrame:
     return report.select(F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("open"))
 
 
-def depth(operations: DataFrame) -> DataFrame:
-    """Operations by state; states that are absent count 0."""
-    spark = operations.sparkSession
-    states = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in STATES])).alias("state"))
-    return states.join(operations.groupBy("state").agg(F.count("*").alias("n")), "state", "left").select("state", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def illegal_steps(operations: DataFrame) -> DataFrame:
     """Steps of a book's operations, in order of time, that the table of steps doesn't hold."""
     w = Window.partitionBy("book_key").orderBy("created_at", "operation_id")
@@ -116,11 +109,6 @@ def first_requests(operations: DataFrame) -> DataFrame:
     return operations.withColumn("n", F.row_number().over(w)).where("n = 1").select("idempotency_key", "operation_id", "state")
 
 
-def run_depth(runs: DataFrame) -> DataFrame:
-    """Runs by status and the oldest heartbeat, or start, of each."""
-    return runs.groupBy("status").agg(F.count("*").alias("n"), F.min(F.coalesce("heartbeat_at", "started_at")).cast("string").alias("oldest"))
-
-
 def claimable(runs: DataFrame, now: str) -> DataFrame:
     """L4: runs that aren't finished and whose lease is free or over."""
     return runs.where(F.col("finished_at").isNull() & (F.col("lease_owner").isNull() | (F.col("lease_expires_at") < F.lit(now).cast("timestamp_ntz")))).select("run_id", "status")

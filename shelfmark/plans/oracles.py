@@ -324,8 +324,6 @@ FROM {_ISBN} b LEFT JOIN (SELECT book_id, count(*) AS n FROM formats GROUP BY bo
     "K2_repeated_ids": (("calibration",), "SELECT evidence_id, count(*) AS n FROM calibration GROUP BY evidence_id HAVING count(*) > 1"),
     "L1_progress": (("runs",), "SELECT count(*) AS total, count(*) FILTER (status IN ('completed', 'failed', 'skipped')) AS done, CASE WHEN count(*) = 0 THEN 100.0E0 ELSE round(100.0E0 * count(*) FILTER (status IN ('completed', 'failed', 'skipped')) / count(*), 6) END AS percent FROM runs"),
     "L4_claimable": (("runs",), "SELECT run_id, status FROM runs WHERE finished_at IS NULL AND (lease_owner IS NULL OR lease_expires_at < TIMESTAMP '1996-01-01 00:00:00')"),
-    "L6_depth": (("operations",), f"SELECT s.state, count(o.state) AS n FROM (SELECT unnest([{', '.join(map(_q, STATES))}]) AS state) s LEFT JOIN operations o ON o.state = s.state GROUP BY s.state"),
-    "L8_run_depth": (("runs",), "SELECT status, count(*) AS n, strftime(min(coalesce(heartbeat_at, started_at)), '%Y-%m-%d %H:%M:%S') AS oldest FROM runs GROUP BY status"),
     "L9_illegal_steps": (("operations",), f"SELECT operation_id, before, state FROM (SELECT operation_id, state, lag(state) OVER (PARTITION BY book_key ORDER BY created_at, operation_id) AS before FROM operations) WHERE before IS NOT NULL AND NOT ({_LEGAL})"),
     "L10_first_requests": (("operations",), "SELECT idempotency_key, operation_id, state FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY created_at, operation_id) AS n FROM operations) WHERE n = 1"),
     "P3_P6_cover_quality": (("cover_stats",), f"SELECT cover_id, cqs, CASE WHEN cqs >= 80 THEN 'A' WHEN cqs >= 65 THEN 'B' WHEN cqs >= 45 THEN 'C' ELSE 'D' END AS tier, cqs < 60 OR micro AS actionable FROM {_CQS}"),
@@ -363,6 +361,8 @@ _case = lambda n, reasons: f"SELECT {n} AS case_no, {reasons} AS reasons, {reaso
 _LEVEL = lambda source: f"(SELECT CAST(floor(k / 4096.0) AS BIGINT) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM {source} GROUP BY 1)"
 _MANIFEST = "(SELECT b.book_id AS k, sha256(CAST(b.book_id AS VARCHAR) || '|' || coalesce(f.formats, '') || '|' || coalesce(b.last_modified, '')) AS h FROM books b LEFT JOIN (SELECT book_id, string_agg(DISTINCT format, ',' ORDER BY format) AS formats FROM formats GROUP BY book_id) f ON f.book_id = b.book_id)"
 _BAD = r"CASE WHEN title ILIKE '%[welib.org]%' THEN '\[welib\.org\]' WHEN title ILIKE '%(z-library)%' THEN '\(z-library\)' WHEN contains(lower(title), '_print') THEN '_print' WHEN contains(lower(title), 'untitled') THEN 'untitled' WHEN contains(lower(title), 'microsoft word') THEN 'microsoft word' WHEN regexp_matches(lower(title), 'v[0-9]+\.[0-9]+') THEN 'v\d+\.\d+' WHEN regexp_matches(lower(title), '\.(pdf|epub|mobi|azw3)$') THEN 'ends_with_extension' END"
+_OPEN = """(SELECT state, count(*) AS n FROM ledger_operations o WHERE policy_version = 'manifestation-v2' AND (state <> 'failed' OR NOT EXISTS (SELECT 1 FROM acknowledgements a JOIN pilots p ON p.pilot_id = o.pilot_id JOIN outbox x ON x.aggregate_id = o.operation_id AND x.status = 'failed'
+  LEFT JOIN write_locks l ON l.book_key = o.book_key WHERE a.operation_id = o.operation_id AND o.completed_at IS NOT NULL AND p.state = 'stopped' AND o.pilot_id <> 'pilot-3' AND l.book_key IS NULL)) GROUP BY state)"""
 _first = lambda name, source: f"SELECT '{name}' AS finding, (SELECT count(*) FROM {source}) AS n, coalesce((SELECT string_agg(CAST(book_id AS VARCHAR), ',' ORDER BY book_id) FROM (SELECT book_id FROM {source} ORDER BY book_id LIMIT 10)), '') AS first_ids"
 _HASH_CACHE = "(SELECT md5(CAST(size_bytes AS VARCHAR)) AS digest, phash, 'a' || CAST(cover_id AS VARCHAR) AS answer, cover_id AS seq FROM cover_stats WHERE cover_id % 9 = 0)"
 _D4 = f"""WITH RECURSIVE keyed AS (SELECT book_id, {canonical("coalesce(isbn, '')")} AS i, lower(coalesce({clean_author('author')}, '')) AS a, lower(trim(title)) AS t FROM books_isbn),
@@ -402,11 +402,34 @@ WHERE action IN ('needs_review', 'suggest_fix', 'defer') ORDER BY b.book_id LIMI
     "Q5_sort_desyncs": (("books", "author_links"), "SELECT b.book_id, author_sort, canonical FROM books b LEFT JOIN (SELECT book_id, string_agg(sort, ' & ' ORDER BY link_id) AS canonical FROM author_links GROUP BY book_id) l ON l.book_id = b.book_id WHERE author_sort IS NULL OR author_sort <> canonical"),
     "Q6_missing_files": (("formats",), "SELECT book_id, format FROM formats WHERE book_id % 19 = 0"),
     "Q7_bad_titles": (("books",), f"SELECT * FROM (SELECT book_id, title, {_BAD} AS pattern FROM (SELECT book_id, CASE WHEN book_id % 27 = 0 THEN title || ' v1.2' WHEN book_id % 33 = 0 THEN 'Microsoft Word - ' || title ELSE title END AS title FROM books)) WHERE pattern IS NOT NULL"),
-    "Q9_summary": (("books", "formats", "rated"), " UNION ALL ".join((_first("bad_titles", f"(SELECT book_id FROM (SELECT book_id, {_BAD} AS p FROM books) WHERE p IS NOT NULL)"), _first("without_formats", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM formats))"), _first("unrated", "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM rated))")))),
+    "Q9_summary": (("books", "formats", "rated", "author_links", "cover_stats"), " UNION ALL ".join(_first(n, s) for n, s in {  # noqa: E501
+        "bad_titles": f"(SELECT book_id FROM (SELECT book_id, {_BAD} AS p FROM books) WHERE p IS NOT NULL)", "without_formats": "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM formats))", "unrated": "(SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM rated))",
+        "author_desyncs": "(SELECT book_id FROM books b WHERE author_sort IS NULL OR author_sort <> (SELECT string_agg(sort, ' & ' ORDER BY link_id) FROM author_links a WHERE a.book_id = b.book_id))",
+        "duplicate_titles": "(SELECT book_id FROM books WHERE lower(trim(title)) IN (SELECT lower(trim(title)) FROM books WHERE trim(title) <> '' GROUP BY 1 HAVING count(*) > 1))", "missing_files": "(SELECT DISTINCT book_id FROM formats WHERE book_id % 19 = 0)",
+        "orphans": "(SELECT DISTINCT book_id FROM author_links WHERE book_id % 80 = 0)", "missing_covers": "(SELECT book_id FROM books WHERE book_id % 9 = 0)",
+        "tiny_covers": "(SELECT cover_id AS book_id FROM cover_stats WHERE size_bytes < 4000 OR NOT (width * height > 30000000 OR size_bytes > 15000000) AND (width < 200 OR height < 250))", "huge_covers": "(SELECT cover_id AS book_id FROM cover_stats WHERE size_bytes >= 4000 AND (width * height > 30000000 OR size_bytes > 15000000))",
+    }.items())),
+    "L5_reset_stale": (("book_states",), "SELECT result_id, CASE WHEN state IN ('shadowed', 'verified', 'review', 'deferred', 'failed', 'source_changed', 'blocked_recovery') THEN state ELSE 'pending' END AS state, state NOT IN ('pending', 'shadowed', 'verified', 'review', 'deferred', 'failed', 'source_changed', 'blocked_recovery') AS reset, state IN ('shadowed', 'verified', 'review', 'deferred', 'failed', 'source_changed', 'blocked_recovery') AND evidence_id IS NOT NULL AS sealed FROM book_states"),
+    "L6_depths": (("ledger_operations", "acknowledgements", "pilots", "outbox", "write_locks", "changes"), f"""WITH told AS (SELECT 'outbox' AS kind, status AS state, count(*) AS n, NULL AS most FROM outbox GROUP BY status UNION ALL SELECT 'operations', state, count(*), NULL FROM operations GROUP BY state UNION ALL SELECT 'v2_operations', state, n, NULL FROM {_OPEN}
+  UNION ALL SELECT 'changes', status, count(*), NULL FROM changes GROUP BY status UNION ALL SELECT 'pilots', state, sum(reserved), sum(maximum) FROM pilots GROUP BY state UNION ALL SELECT 'incidents', 'acknowledged', count(*), NULL FROM acknowledgements),
+known(kind, state) AS (VALUES ('outbox', 'pending'), ('outbox', 'processing'), ('outbox', 'failed'), ('outbox', 'published'), ('operations', 'unknown'), ('operations', 'restore_failed'), ('changes', 'failed_rollback_failed'), ('pilots', 'open'), ('pilots', 'stopped'), ('pilots', 'completed'),
+  ('v2_operations', 'requested'), ('v2_operations', 'claimed'), ('v2_operations', 'writing'), ('v2_operations', 'verifying'), ('v2_operations', 'restoring'), ('v2_operations', 'succeeded'), ('v2_operations', 'restored'), ('v2_operations', 'restore_failed'), ('v2_operations', 'unknown'), ('v2_operations', 'failed'), ('v2_operations', 'cancelled'))
+SELECT kind, state, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(most, CASE WHEN kind = 'pilots' THEN 0 END) AS BIGINT) AS most FROM known FULL JOIN told USING (kind, state)"""),
+    "L7_open_depth": (("ledger_operations", "acknowledgements", "pilots", "outbox", "write_locks"), f"SELECT * FROM {_OPEN}"),
+    "L8_run_depth": (("all_runs",), """WITH own AS (SELECT * FROM all_runs WHERE contract_version = 'certificate-a-v1' AND pipeline_version = 'manifestation-v2'), o AS (SELECT min(coalesce(heartbeat_at, started_at)) AS oldest FROM own WHERE status IN ('pending', 'inventorying', 'running', 'cancelling'))
+SELECT k.status, (SELECT count(*) FROM own WHERE own.status = k.status) AS n, strftime(oldest, '%Y-%m-%d %H:%M:%S') AS oldest_active, CAST(coalesce(epoch(TIMESTAMP '1999-01-01 00:00:00') - epoch(oldest), 0) AS BIGINT) AS age_s
+FROM (SELECT unnest(['pending', 'inventorying', 'running', 'cancelling', 'cancelled', 'completed', 'completed_with_errors', 'failed', 'source_changed', 'blocked_recovery']) AS status) k, o"""),
+    "L16_read_back": (("current_fields",), """WITH e AS (SELECT book_id, CASE WHEN book_id % 4 <> 0 THEN 'ed ' || CAST(book_id AS VARCHAR) END AS v FROM current_fields WHERE field = 'title'),
+r AS (SELECT book_id, coalesce(nullif(CASE WHEN book_id % 7 BETWEEN 1 AND 3 THEN v END, ''), CASE WHEN book_id % 3 <> 0 THEN CASE WHEN book_id % 5 = 0 THEN 'other' ELSE v END END, '') AS seen, coalesce(v, '') AS want FROM e),
+s AS (SELECT book_id, value IS NOT DISTINCT FROM CASE WHEN book_id % 6 = 0 AND field = 'title' THEN upper(value) ELSE value END AS same FROM current_fields UNION ALL SELECT book_id, seen = want FROM r)
+SELECT book_id, bool_and(same) AS matches, count(*) FILTER (NOT same) AS n_differ FROM s GROUP BY book_id"""),
+    "Q14_run_metrics": (("run_books", "run_starts"), """WITH l AS (SELECT run_id FROM run_starts ORDER BY created_at DESC, run_id DESC LIMIT 1), b AS (SELECT * FROM run_books JOIN l USING (run_id))
+SELECT run_id, status, count(*) AS n, (SELECT count(*) FROM b) AS total, (SELECT string_agg(CAST(book_key AS VARCHAR), ',' ORDER BY book_key) FROM (SELECT book_key FROM b ORDER BY book_key LIMIT 5)) AS sample_keys FROM b GROUP BY run_id, status"""),
+    "X12_private_parts": (("message_parts",), "SELECT message_id, CAST(0 AS BIGINT) AS text_chars, CAST(0 AS BIGINT) AS image_count, sha256(string_agg('text:[HIDDEN FOR PRIVACY]', chr(10)) FILTER (kind = 'text')) AS payload_sha256 FROM message_parts GROUP BY message_id"),
+    "X12_sent_parts": (("message_parts",), "SELECT message_id, CAST(coalesce(sum(length(content)) FILTER (kind = 'text'), 0) AS BIGINT) AS text_chars, count(*) FILTER (kind = 'image') AS image_count, sha256(string_agg(kind || ':' || coalesce(content, ''), chr(10) ORDER BY seq)) AS payload_sha256 FROM message_parts GROUP BY message_id"),
     "Q10_page": (("books",), "SELECT book_id, title, author FROM books ORDER BY book_id DESC LIMIT 40 OFFSET 25"),
     "Q11_latest": (("operations",), "SELECT book_key, operation_id, state FROM (SELECT *, row_number() OVER (PARTITION BY book_key ORDER BY created_at DESC, operation_id DESC) AS n FROM operations) WHERE n = 1"),
     "Q13_review_listing": (("evidence", "format_evidence"), f"{_WITH_ROOTS} SELECT book_id, reason FROM {_LADDER} WHERE tier = 'C'"),
-    "Q14_run_states": (("runs",), "SELECT status, count(*) AS n, array_to_string(list_sort(list(run_id))[1:5], ',') AS sample_keys FROM runs GROUP BY status"),
     "Q15_action_shares": (("books_isbn",), f"SELECT what, count(*) AS n, round(avg(CAST(eligible AS INT)), 6) AS eligible_share FROM (SELECT 'action:' || action AS what, eligible FROM ({_ROLLED}) UNION ALL SELECT 'flag:' || unnest(string_split(flags, ',')), eligible FROM ({_ROLLED}) WHERE flags <> '') GROUP BY what"),
     "Q16_metrics": (("requests",), "SELECT 'http_seconds' AS name, 'route=' || route || ',status=' || CAST(status AS VARCHAR) AS labels, round(sum(duration_s), 4) AS total, count(*) AS n, arg_max(duration_s, {'t': ts, 'e': event_id}) AS last FROM requests GROUP BY route, status"),
     "Q18_review_deck": (("cover_stats",), f"SELECT * FROM ({ORACLES['P3_P6_cover_quality'][1]}) WHERE cover_id > 30 AND (actionable OR cqs < 60) ORDER BY cover_id LIMIT 60"),
@@ -414,13 +437,10 @@ WHERE action IN ('needs_review', 'suggest_fix', 'defer') ORDER BY b.book_id LIMI
     "K4_sealed_report": (("calibration",), f"SELECT *, {_SEAL} AS seal FROM {_GATE}"),
     "L2_resumable": (("books", "operations"), "SELECT book_id AS book_key FROM books WHERE book_id NOT IN (SELECT book_key FROM operations WHERE state = 'succeeded' AND operation_id % 5 <> 0)"),
     "L3_membership": (("operations",), "SELECT * FROM (SELECT book_key, count(*) FILTER (operation_id % 3 <> 0) AS stored, count(*) FILTER (operation_id % 4 <> 0) AS frozen FROM operations GROUP BY book_key) WHERE stored <> frozen"),
-    "L5_reset_stale": (("operations",), "SELECT operation_id, CASE WHEN state IN ('failed', 'succeeded') THEN state ELSE 'pending' END AS state FROM operations"),
-    "L7_open_depth": (("operations",), "SELECT state, count(*) AS n FROM operations WHERE policy_version = 'manifestation-v2' AND NOT (state = 'failed' AND pilot_id <> 'pilot-1' AND operation_id % 2 = 0 AND book_key % 7 <> 0) GROUP BY state"),
-    "L11_L12_approvals": (("books_isbn",), f"""SELECT book_id, p AS patch, CASE WHEN book_id % 3 = 0 AND p = patch THEN 'auth-' || CAST(book_id AS VARCHAR) || 'b' END AS authorization_id, CASE WHEN p <> '' AND (ok OR (book_id % 3 = 0 AND p = patch)) THEN 'queued' ELSE 'skipped' END AS outcome
+    "L11_L12_approvals": (("books_isbn",), f"""SELECT book_id, p AS patch, CASE WHEN book_id % 3 = 0 AND book_id % 9 <> 0 AND book_id % 15 <> 0 AND p = patch THEN 'auth-' || CAST(book_id AS VARCHAR) || 'b' END AS authorization_id, CASE WHEN p <> '' AND (ok OR (book_id % 3 = 0 AND book_id % 9 <> 0 AND book_id % 15 <> 0 AND p = patch)) THEN 'queued' ELSE 'skipped' END AS outcome
 FROM (SELECT *, eligible AND confidence >= 80 AS ok, array_to_string(list_sort(list_filter(string_split(patch, ','), lambda z: z <> '' AND NOT (z = 'language' AND book_id % 4 = 0))), ',') AS p FROM ({_ROLLED})) WHERE action = 'suggest_fix'"""),
     "L13_expired": (("operations",), "SELECT operation_id, created_at FROM operations WHERE created_at < TIMESTAMP '1995-05-02 00:00:00'"),
     "L14_heartbeats": (("runs",), "SELECT run_id AS owner, coalesce(status = 'completed' AND heartbeat_at <= TIMESTAMP '1995-01-01 00:00:00' AND heartbeat_at >= TIMESTAMP '1995-01-01 00:00:00' - INTERVAL 300 DAY, FALSE) AS fresh FROM runs"),
-    "L16_read_back": (("current_fields",), "SELECT book_id, bool_and(same) AS matches, count(*) FILTER (NOT same) AS n_differ FROM (SELECT book_id, value IS NOT DISTINCT FROM CASE WHEN book_id % 6 = 0 AND field = 'title' THEN upper(value) ELSE value END AS same FROM current_fields) GROUP BY book_id"),
     "P1_P2_histograms": (("histograms",), "SELECT cover_id, round(e, 6) AS entropy, round(CASE WHEN s < 20 THEN 6.0E0 ELSE least(25.0E0, s / 75 * 25) END, 6) AS contrast FROM (SELECT cover_id, -sum(n / t * log2(n / t)) AS e, sqrt(greatest(0.0E0, sum(n / t * bin * bin) - pow(sum(n / t * bin), 2))) AS s FROM (SELECT cover_id, CAST(bin AS DOUBLE) AS bin, CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY cover_id) AS DOUBLE) AS t FROM histograms) GROUP BY cover_id)"),
     "P7_spurious": (("cover_stats",), f"SELECT cover_id, CASE WHEN dominant_ratio > 0.98 THEN 'blank_canvas' ELSE 'interior_page_scan' END AS defect, CASE WHEN dominant_ratio > 0.98 THEN dominant_ratio WHEN contains(o, 'chapter') THEN 0.98E0 WHEN entropy BETWEEN 1.2 AND 3.5 THEN 0.92E0 ELSE 0.85E0 END AS confidence FROM {_SPURIOUS} WHERE dominant_ratio > 0.98 OR inside"),
     "P8_forensics": (("cover_spectra",), "SELECT cover_id, " + _P8.format(*map(_q, ("dense_text_reading_page", "marginal_folio_with_dense_lines", "periodic_paragraph_lines", "monochrome_or_blank_placeholder", "distorted_aspect_ratio", "critically_low_resolution"))) + " AS reason, round(" + _P8.format("least(0.99E0, 0.7E0 + her / 20 + acf)", "0.95E0", "0.9E0", "0.95E0", "0.85E0", "0.8E0") + ", 6) AS confidence FROM cover_spectra"),

@@ -136,6 +136,24 @@ def _full_gate(c: DataFrame) -> DataFrame:
     return out.unionByName(profile.full_gate(report.withColumn("tier_a", F.col("tier_a") + 1), *cases[0][:3]).withColumn("case_no", F.lit(9)))
 
 
+def _summary(b: DataFrame, f: DataFrame, r: DataFrame, a: DataFrame, c: DataFrame) -> DataFrame:
+    sized = profile.cover_classes(c).withColumnRenamed("cover_id", "book_id")
+    parts = {
+        "bad_titles": audit.bad_titles(b), "without_formats": profile.without_formats(b, f), "unrated": b.join(r, "book_id", "left_anti"), "author_desyncs": audit.sort_desyncs(b, a), "duplicate_titles": linkage.duplicate_titles(b),
+        "missing_files": audit.missing_files(f, f.where("book_id % 19 <> 0").select("book_id", "format")).select("book_id").distinct(), "orphans": a.where("book_id % 40 = 0").join(b.where("book_id % 80 <> 0").select("book_id"), "book_id", "left_anti").select("book_id").distinct(),
+        "missing_covers": b.join(c.where("cover_id % 9 <> 0").select(F.col("cover_id").alias("book_id")), "book_id", "left_anti"), "tiny_covers": sized.where("size_class = 'tiny'"), "huge_covers": sized.where("size_class = 'huge'"),
+    }
+    return audit.summary(parts)
+
+
+def _read_back(c: DataFrame) -> DataFrame:
+    more = c.where("field = 'title'").select("book_id", F.lit("edition_statement").alias("field"), F.when(F.col("book_id") % 4 != 0, F.concat(F.lit("ed "), "book_id")).alias("value"))
+    seen = c.withColumn("value", F.when((F.col("book_id") % 6 == 0) & (F.col("field") == "title"), F.upper("value")).otherwise(F.col("value")))
+    kept = more.where("book_id % 3 <> 0").withColumn("value", F.when(F.col("book_id") % 5 == 0, F.lit("other")).otherwise(F.col("value")))
+    own = more.where("book_id % 7 < 4").withColumn("field", F.lit("#edition")).withColumn("value", F.when(F.col("book_id") % 7 == 0, F.lit("")).otherwise(F.col("value")))
+    return ledger.read_back(c.unionByName(more), seen.unionByName(kept).unionByName(own))
+
+
 def _problematic(b: DataFrame) -> DataFrame:
     rolled = written(verify.roll_up(_rules(b)))
     packages = rolled.where("book_id % 3 <> 0").select(F.col("book_id").alias("book_key"), F.lit(1).alias("created_at"), F.lit("a").alias("evidence_id"), F.lit("old").alias("flags")).unionByName(
@@ -145,9 +163,9 @@ def _problematic(b: DataFrame) -> DataFrame:
 
 
 def _approvals(b: DataFrame) -> DataFrame:
-    rolled = written(verify.roll_up(_rules(b)))
+    rolled = written(verify.roll_up(_rules(b)).withColumn("run_id", F.concat(F.lit("r"), (F.col("book_id") % 2).cast("string"))).withColumn("package_hash", F.sha2(F.concat_ws("|", "book_id", "action"), 256)))
     locks = rolled.where("book_id % 4 = 0").select("book_id", F.lit("language").alias("field"))
-    made = rolled.where("book_id % 3 = 0").select("book_id", F.sha2("patch", 256).alias("patch_hash"), F.col("book_id").alias("created_at"), F.concat(F.lit("auth-"), F.col("book_id").cast("string")).alias("authorization_id"))
+    made = rolled.where("book_id % 3 = 0").select("book_id", F.sha2("patch", 256).alias("patch_hash"), F.col("book_id").alias("created_at"), F.concat(F.lit("auth-"), F.col("book_id").cast("string")).alias("authorization_id"), F.when(F.col("book_id") % 9 == 0, F.lit("r9")).otherwise(F.col("run_id")).alias("run_id"), F.when(F.col("book_id") % 15 == 0, F.lit("old")).otherwise(F.col("package_hash")).alias("package_hash"))
     return ledger.approvals(rolled, locks, made.unionByName(made.withColumn("created_at", F.col("created_at") + 1).withColumn("authorization_id", F.concat("authorization_id", F.lit("b")))))
 
 
@@ -236,12 +254,12 @@ QUERIES: dict[str, Query] = {
     "Q5_sort_desyncs": _over(audit.sort_desyncs, "books", "author_links"),
     "Q6_missing_files": _over(lambda f: audit.missing_files(f, f.where("book_id % 19 <> 0").select("book_id", "format")), "formats"),
     "Q7_bad_titles": _over(lambda b: audit.bad_titles(b.withColumn("title", F.when(F.col("book_id") % 27 == 0, F.concat("title", F.lit(" v1.2"))).when(F.col("book_id") % 33 == 0, F.concat(F.lit("Microsoft Word - "), "title")).otherwise(F.col("title")))), "books"),
-    "Q9_summary": _over(lambda b, f, r: audit.summary({"bad_titles": audit.bad_titles(b), "without_formats": profile.without_formats(b, f), "unrated": b.join(r, "book_id", "left_anti")}), "books", "formats", "rated"),
+    "Q9_summary": _over(_summary, "books", "formats", "rated", "author_links", "cover_stats"),
     "Q10_page": _over(lambda b: audit.page(b.select("book_id", "title", "author"), [F.desc("book_id")], 40, 25), "books"),
     "Q11_latest": _over(lambda o: audit.latest(o.select("book_key", "created_at", "operation_id", "state"), "book_key", "created_at", "operation_id").select("book_key", "operation_id", "state"), "operations"),
     "Q12_problematic": _over(_problematic, "books_isbn"),
     "Q13_review_listing": _over(lambda e, f: identity.tiers(e, f).where("tier = 'C' and state = 'deferred'").select("book_id", "reason"), "evidence", "format_evidence"),
-    "Q14_run_states": _over(lambda r: audit.state_samples(r, "status", "run_id"), "runs"),
+    "Q14_run_metrics": _over(audit.run_metrics, "run_books", "run_starts"),
     "Q15_action_shares": _over(lambda b: audit.action_shares(verify.roll_up(_rules(b))), "books_isbn"),
     "Q16_metrics": _over(lambda r: audit.metrics(r.select(F.lit("http_seconds").alias("name"), F.concat_ws(",", F.concat(F.lit("route="), "route"), F.concat(F.lit("status="), F.col("status").cast("string"))).alias("labels"), "ts", "event_id", F.col("duration_s").alias("value"))), "requests"),
     "Q18_review_deck": _over(lambda c: audit.review_deck(covers.quality(c), 30, 60), "cover_stats"),
@@ -256,16 +274,16 @@ QUERIES: dict[str, Query] = {
     "K4_sealed_report": _over(lambda c: profile.sealed_report(profile.calibration_report(c).drop("review_seconds")), "calibration"),
     "L2_resumable": _over(lambda b, o: ledger.resumable(b.select(F.col("book_id").alias("book_key")), o.select("book_key", "state", (F.col("operation_id") % 5 != 0).alias("valid_seal"))), "books", "operations"),
     "L3_membership": _over(lambda o, b: ledger.membership(o.where("operation_id % 3 <> 0").select("book_key"), o.where("operation_id % 4 <> 0").select("book_key")), "operations", "books"),
-    "L5_reset_stale": _over(ledger.reset_stale, "operations"),
-    "L7_open_depth": _over(lambda o: ledger.open_depth(o.withColumn("pilot_stopped", F.col("pilot_id") != "pilot-1"), o.where("operation_id % 2 = 0").select("operation_id"), o.where("book_key % 7 = 0").select("book_key").distinct()), "operations"),
+    "L5_reset_stale": _over(ledger.reset_stale, "book_states"),
+    "L7_open_depth": _over(lambda o, a, p, x, k: ledger.open_depth(o, ledger.acknowledged(o, a, p, x, k, "pilot-3")), "ledger_operations", "acknowledgements", "pilots", "outbox", "write_locks"),
     "L11_L12_approvals": _over(_approvals, "books_isbn"),
     "L13_expired": _over(lambda o: ledger.expired(o.select("operation_id", "created_at"), F.expr("TIMESTAMP_NTZ '1995-06-01 00:00:00'"), 30), "operations"),
     "L14_heartbeats": _over(lambda r: ledger.fresh(r.select(F.col("run_id").alias("owner"), F.col("heartbeat_at").alias("beat_at"), F.col("status").alias("release")), F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'"), 86400 * 300, {"release": "completed"}), "runs"),
     "L15_retained": _over(lambda r: ledger.retained(r.select(F.col("run_id").alias("job_id"), "status", F.coalesce("finished_at", "started_at").alias("updated_at")), F.expr("TIMESTAMP_NTZ '1998-07-01 00:00:00'"), 24 * 60, 9000).select("job_id", "status"), "runs"),
-    "L16_read_back": _over(lambda c: ledger.read_back(c, c.withColumn("value", F.when((F.col("book_id") % 6 == 0) & (F.col("field") == "title"), F.upper("value")).otherwise(F.col("value")))), "current_fields"),
+    "L16_read_back": _over(_read_back, "current_fields"),
     "L4_claimable": _over(lambda r: profile.claimable(r, "1996-01-01 00:00:00"), "runs"),
-    "L6_depth": _over(profile.depth, "operations"),
-    "L8_run_depth": _over(profile.run_depth, "runs"),
+    "L6_depths": _over(lambda o, a, p, x, k, c: ledger.depths(x, o, c, p, ledger.open_depth(o, ledger.acknowledged(o, a, p, x, k, "pilot-3")), a), "ledger_operations", "acknowledgements", "pilots", "outbox", "write_locks", "changes"),
+    "L8_run_depth": _over(lambda r: ledger.run_depth(r, F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'")), "all_runs"),
     "L9_illegal_steps": _over(profile.illegal_steps, "operations"),
     "L10_first_requests": _over(profile.first_requests, "operations"),
     "P3_P6_cover_quality": _over(covers.quality, "cover_stats"),
@@ -307,6 +325,8 @@ QUERIES: dict[str, Query] = {
     "X8_X9_imprint": _over(mining.imprint, "imprints"),
     "X10_budgeted": _over(lambda s: mining.budgeted(s, 60), "imprints"),
     "X11_observations": _over(lambda b, s: mining.observations(b, s.where("book_id % 4 <> 0"), b.select("book_id", F.col("observed_title").alias("title"), "author", "publisher")), "books", "imprints"),
+    "X12_private_parts": _over(mining.private_parts, "message_parts"),
+    "X12_sent_parts": _over(lambda p: mining.private_parts(p, text=True, images=True), "message_parts"),
     "X12_egress": _over(lambda s: mining.egress(s, s.where("book_id % 3 = 0").select("book_id").distinct()), "snippets"),
     "I1_wide_books": _over(lambda b, a, i, f: records.wide_books(b.select("book_id", "title"), a, i, f).select("book_id", "title", F.array_join("authors", "|").alias("authors"), F.to_json("identifiers").alias("identifiers"), F.array_join("formats", ",").alias("formats")), "books", "author_links", "identifiers", "formats"),
     "I1_rejects": _over(records.rejects, "identifiers", "formats"),

@@ -111,6 +111,18 @@ FROM books_isbn b CROSS JOIN (SELECT 0 AS pos, 'openlibrary' AS provider UNION A
     "tokens": (("formats",), """SELECT book_id, format, concat(CAST(book_id AS STRING), CASE book_id % 5 WHEN 0 THEN '.w e' WHEN 1 THEN '.tar.' WHEN 2 THEN '' ELSE '.' END, lower(format), CASE WHEN book_id % 7 = 0 THEN 'abcdefghijklmnop' ELSE '' END) AS made,
   concat(CASE WHEN book_id % 4 = 0 THEN 'OEBPS/COPYRIGHT-' WHEN book_id % 9 = 0 THEN 'Colophon/' ELSE 'OEBPS/' END, lower(format), CASE WHEN book_id % 3 = 0 THEN '-Title' ELSE '-x' END, '.xhtml') AS path, book_id % 4 AS place,
   concat('see ISBN-13: ', CAST(book_id AS STRING), CASE WHEN book_id % 6 = 0 THEN ' or ISBN 0-306-40615-2 and' ELSE ' or' END, CASE WHEN book_id % 8 = 0 THEN ' none.' ELSE ' ISBN 978-0-306-40615-7.' END) AS says FROM formats"""),
+    "book_states": (("orders",), """SELECT o_orderkey AS result_id, o_custkey AS book_key, CASE o_orderkey % 14 WHEN 0 THEN 'pending' WHEN 1 THEN 'snapshotting' WHEN 2 THEN 'extracting' WHEN 3 THEN 'resolving' WHEN 4 THEN 'decided' WHEN 5 THEN 'applying' WHEN 6 THEN 'shadowed' WHEN 7 THEN 'verified' WHEN 8 THEN 'review' WHEN 9 THEN 'deferred' WHEN 10 THEN 'failed' WHEN 11 THEN 'source_changed' WHEN 12 THEN 'blocked_recovery' ELSE 'odd' END AS state,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('ev_', CAST(o_orderkey AS STRING)) END AS evidence_id FROM orders"""),
+    "outbox": (("orders",), """SELECT o_orderkey AS event_id, o_orderkey AS aggregate_id, CASE WHEN o_orderkey % 5 = 0 THEN 'pending' WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'failed' ELSE 'published' END AS status FROM orders"""),
+    "changes": (("orders",), """SELECT o_orderkey AS change_id, CASE o_orderkey % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'rolled_back' ELSE 'proposed' END AS status FROM orders WHERE o_orderkey % 3 = 0"""),
+    "pilots": (("customer",), """SELECT DISTINCT concat('pilot-', CAST(c_custkey % 5 AS STRING)) AS pilot_id, CASE c_custkey % 5 WHEN 1 THEN 'open' WHEN 2 THEN 'completed' ELSE 'stopped' END AS state, 10 + c_custkey % 5 AS reserved, 40 + c_custkey % 5 AS maximum FROM customer"""),
+    "ledger_operations": (("operations",), """SELECT *, CASE WHEN operation_id % 6 <> 0 THEN created_at END AS completed_at FROM operations"""),
+    "acknowledgements": (("orders",), """SELECT o_orderkey AS operation_id FROM orders WHERE o_orderkey % 7 < 4"""),
+    "write_locks": (("customer",), """SELECT c_custkey AS book_key FROM customer WHERE c_custkey % 11 = 0"""),
+    "all_runs": (("runs",), """SELECT run_id, CASE WHEN run_id % 10 = 3 THEN 'inventorying' WHEN run_id % 10 = 7 THEN 'odd' ELSE status END AS status, started_at, heartbeat_at, CASE WHEN run_id % 9 = 0 THEN 'other' ELSE 'certificate-a-v1' END AS contract_version, CASE WHEN run_id % 8 = 0 THEN 'v1' ELSE 'manifestation-v2' END AS pipeline_version FROM runs"""),
+    "run_books": (("orders",), """SELECT o_orderkey AS book_key, concat('run-', CAST(o_custkey % 13 AS STRING)) AS run_id, CASE o_orderkey % 4 WHEN 0 THEN 'no_change' WHEN 1 THEN 'suggest_fix' WHEN 2 THEN 'needs_review' ELSE 'defer' END AS status FROM orders"""),
+    "run_starts": (("orders",), """SELECT concat('run-', CAST(o_custkey % 13 AS STRING)) AS run_id, max(o_orderdate) AS created_at FROM orders GROUP BY concat('run-', CAST(o_custkey % 13 AS STRING))"""),
+    "message_parts": (("documents",), """SELECT doc_id AS message_id, 0 AS seq, 'text' AS kind, source AS content FROM documents UNION ALL SELECT doc_id, 1, 'image', concat('sha:', CAST(doc_id AS STRING)) FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2, 'text', lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 3, 'image', 'sha:x' FROM documents WHERE doc_id % 6 = 0"""),
     "heartbeats": (("events",), """SELECT concat('w-', CAST(user_id % 7 AS STRING)) AS worker, ts FROM events"""),
     "calibration": (("labels", "documents"), """SELECT d.doc_id AS evidence_id, CASE d.doc_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS tier, d.doc_id % 2 = 0 AS would_auto_apply,
   l.quality = 1 AS identity_correct, l.toxic = 0 AS patch_correct, CASE WHEN d.doc_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE d.n_chars / 100.0E0 END AS review_seconds, d.n_chars AS egress_bytes
