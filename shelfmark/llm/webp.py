@@ -6,13 +6,16 @@ cache, and the predictor, cross-colour, subtract-green and palette transforms.
 It goes pixel by pixel and is the reading of record.
 
 `decode_many` reads thousands of streams in step: pixel i of all of them at once,
-by table look-ups on arrays of bit positions. It takes streams whose header
-(all bits before the pixels) is the writer's own; others go to `decode`. Longer
-streams leave later, so a batch costs as many steps as its longest stream.
+by table look-ups on arrays of bit positions, and then inverts the transforms on
+arrays. It takes streams whose header (all bits before the pixels) is of one of the writer's
+forms; others go to `decode`. Longer streams leave later, so a batch costs as many steps as its longest stream.
 
-The writer stores four bytes as one pixel, 144 pixels a row, with prefix codes
-fitted to text, a colour cache, and back-references to the pixel before and the
-pixel above. What it writes depends on the payload alone.
+The writer stores four bytes as one pixel, 144 pixels a row, with a colour cache, and
+back-references to the pixel before and the pixel above. A rule on the payload chooses the
+form: a palette where at most 16 pixels are distinct; else the predictor, left or top, that leaves the
+smallest residuals in sum, followed by the cross-colour transform with multipliers of least squares; and no
+transform where the residuals aren't smaller than the bytes. Each form has fixed prefix codes. What is
+written depends on the payload alone.
 
 Defined results: a null text is an empty one and is stored as one row of bytes
 255; payloads beyond 16384 rows become several images in a row; repeated rows
@@ -412,28 +415,198 @@ def _weights() -> list[int]:
     return w
 
 
-_plain = huffman(_weights(), 12)
-_green = huffman(_weights() + [8] * 12 + [1] * 12 + [1] * (1 << CACHE_BITS), 12)
+def _steps() -> list[int]:
+    """Rough counts of differences of bytes in text: letters among themselves, and letters and spaces."""
+    return [60 if not d else 45 - d if d <= 25 else 14 if 60 <= d <= 95 else 1 for d in (min(b, 256 - b) for b in range(256))]
+
+
+#: Palettes have this many colours at most.
+COLOURS = 16
 _near = [1, 1] + [0] * 38
+_only = lambda symbol: [int(s == symbol) for s in range(256)]
+
+
+class Form:
+    """What the writer may put before the pixels, and the codes of the pixels: green with lengths and cache, red, blue, alpha."""
+
+    def __init__(self, green: list[int], others: tuple[list[int], list[int], list[int]]):
+        self.lengths = (huffman(green + [8] * 12 + [1] * 12 + [1] * (1 << CACHE_BITS), 12), *others)
+        self.tables = [Code(x) for x in self.lengths]
+        single = lambda x: sum(n > 0 for n in x) == 1
+        self.sizes = [np.zeros(len(x), np.int64) if single(x) else np.array(x, np.int64) for x in self.lengths]
+        self.codes = [np.zeros(len(x), np.uint64) if single(x) else np.array(codes(x), np.uint64) for x in self.lengths]
+        out = Writer()
+        for x, n in ((0, 1), (1, 1), (CACHE_BITS, 4), (0, 1)):  # no more transforms, cache, one group
+            out.write(x, n)
+        for x in (*self.lengths, _near):
+            write_code(out, x)
+        self.tail, self.tail_bits = out.value, out.at
+
+
+_text, _step = huffman(_weights(), 12), huffman(_steps(), 12)
+PLAIN, RESIDUAL, INDEX = Form(_weights(), (_text, _text, _text)), Form(_steps(), (_step, _step, _step)), Form([16] * 256, (_only(0), _only(0), _only(255)))
+_flat = Writer()
+_flat.write(0, 1)  # no cache
+for _x in ([8] * 256 + [0] * 24, [8] * 256, [8] * 256, [8] * 256, [1] + [0] * 39):
+    write_code(_flat, _x)
+_reversed = [int(f"{b:08b}"[::-1], 2) for b in range(256)]
+#: Blocks of 512 by 512; every block of an image has one value, which its five codes name without any bit of pixels.
+_BLOCK, _ELEMENT = 7, 1 + 2 + 3 + 1 + 5 * 11
+
+
+def _element(kind: int, green: int, red: int, blue: int) -> int:
+    """A transform whose sub-image is of one colour, `_ELEMENT` bits."""
+    out = Writer()
+    for x, n in ((1, 1), (kind, 2), (_BLOCK, 3), (0, 1)):
+        out.write(x, n)
+    for symbol in (green, red, blue, 255, 0):
+        for x, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
+            out.write(x, n)
+    return out.value
 
 
-def _header() -> tuple[int, int]:
-    """The bits between the size and the pixels: no transform, cache, one group, five codes."""
+def _palette(table: np.ndarray) -> tuple[int, int]:
+    """A palette transform: value and bits."""
     out = Writer()
-    out.write(0, 1)
-    out.write(1, 1)
-    out.write(CACHE_BITS, 4)
-    out.write(0, 1)
-    for lengths in (_green, _plain, _plain, _plain, _near):
-        write_code(out, lengths)
+    for x, n in ((1, 1), (PALETTE, 2), (len(table) - 1, 8), (_flat.value, _flat.at)):
+        out.write(x, n)
+    before = 0
+    for colour in table.tolist():
+        step = [(colour >> k & 255) - (before >> k & 255) & 255 for k in (8, 16, 0, 24)]
+        for b in step:
+            out.write(_reversed[b], 8)
+        before = colour
     return out.value, out.at
 
 
-HEADER, HEADER_BITS = _header()
-_PLAIN, _GREEN = Code(_plain), Code(_green)
-_plain_codes, _green_codes = np.array(codes(_plain), np.uint64), np.array(codes(_green), np.uint64)
-_plain_sizes, _green_sizes = np.array(_plain, np.int64), np.array(_green, np.int64)
-_START = 40 + HEADER_BITS
+def _packing(n: int) -> int:
+    return 3 if n <= 2 else 2 if n <= 4 else 1
+
+
+def _bytes_of(p: np.ndarray) -> np.ndarray:
+    return p.astype(">u4").view(np.uint8).reshape(-1, WIDTH, 4)
+
+
+def _pixels_of(b: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(b).reshape(-1).view(">u4").astype(np.uint32)
+
+
+def _differences(b: np.ndarray, mode: int) -> np.ndarray:
+    """What predictor 1 (left) or 2 (top) leaves of an image of bytes."""
+    out = b.copy()
+    if mode == 1:
+        out[:, 1:] -= b[:, :-1]
+        out[1:, 0] -= b[:-1, 0]
+    else:
+        out[1:] -= b[:-1]
+        out[0, 1:] -= b[0, :-1]
+    out[0, 0, 0] = int(out[0, 0, 0]) - 255 & 255  # the first pixel is predicted opaque black
+    return out
+
+
+def _sums(r: np.ndarray, mode: int) -> np.ndarray:
+    """Undo `_differences`: sums along rows or columns."""
+    r = r.copy()
+    r[0, 0, 0] = int(r[0, 0, 0]) + 255 & 255
+    if mode == 1:
+        r[:, 0] = np.cumsum(r[:, 0], axis=0, dtype=np.uint8)
+        return np.cumsum(r, axis=1, dtype=np.uint8)
+    r[0] = np.cumsum(r[0], axis=0, dtype=np.uint8)
+    return np.cumsum(r, axis=0, dtype=np.uint8)
+
+
+def _small(b: np.ndarray) -> int:
+    return int(np.minimum(b, -b).sum(dtype=np.int64))
+
+
+def _multipliers(r: np.ndarray) -> tuple[int, int, int]:
+    """green to red, green to blue, red to blue: least squares, each by itself, in 32nds."""
+    red, green, blue = (r[..., k].view(np.int8).astype(np.int64) for k in (1, 2, 3))
+    fit = lambda a, x: int(np.clip(np.rint(32 * (a * x).sum() / max(1, (a * a).sum())), -128, 127)) & 255
+    g_r, g_b = fit(green, red), fit(green, blue)
+    left = blue - (((g_b ^ 128) - 128) * green >> 5)
+    return g_r, g_b, fit(red, left)
+
+
+def _crossed(p: np.ndarray, by: tuple[int, int, int], sign: int) -> np.ndarray:
+    """The cross-colour transform with one element for all pixels; sign 1 undoes it."""
+    g, r, b = p >> 8 & 255, p >> 16 & 255, p & 255
+    t = [np.uint32(x) for x in by]
+    new = (r.astype(np.int32) + sign * _delta(t[0], g)) & 255
+    b = b.astype(np.int32) + sign * _delta(t[1], g) + sign * _delta(t[2], new if sign > 0 else r)
+    return p & np.uint32(0xFF00FF00) | new.astype(np.uint32) << 16 | (b & 255).astype(np.uint32)
+
+
+def formed(payload: bytes) -> tuple[Form, int, int, int, np.ndarray]:
+    """The form that the rule chooses: form, transform bits and their number, width of the coded image, and its pixels."""
+    p = np.frombuffer(payload, ">u4").astype(np.uint32)
+    table = np.unique(p[:4096])
+    if len(table) <= COLOURS:
+        table = np.unique(p)
+    if len(table) <= COLOURS:
+        pack = _packing(len(table))
+        each, wide = 1 << pack, -(-WIDTH >> pack)
+        index = np.searchsorted(table, p).reshape(-1, WIDTH)
+        index = np.pad(index, ((0, 0), (0, wide * each - WIDTH))).reshape(-1, wide, each)
+        packed = (index << ((8 >> pack) * np.arange(each))).sum(2).ravel().astype(np.uint32)
+        return INDEX, *_palette(table), wide, packed << np.uint32(8) | np.uint32(OPAQUE_BLACK)
+    b = _bytes_of(p)
+    left = [(_small(r), mode, r) for mode, r in ((1, _differences(b, 1)), (2, _differences(b, 2)))]
+    least, mode, r = min(left, key=lambda x: x[:2])
+    if least >= _small(b):
+        return PLAIN, 0, 0, WIDTH, p
+    by = _multipliers(r)
+    head = _element(PREDICTOR, mode, 0, 0) | _element(CROSS_COLOUR, by[1], by[2], by[0]) << _ELEMENT
+    return RESIDUAL, head, 2 * _ELEMENT, WIDTH, _crossed(_pixels_of(r), by, -1)
+
+
+def _form_of(stream: bytes) -> tuple[Form, int, int, tuple] | None:
+    """Of a stream that the writer may have made: form, first bit of the pixels, width of the coded image, and what its transforms need."""
+    bits = Reader(stream, 40)
+
+    def tail(form: Form, at: int) -> bool:
+        a, b = at >> 3, -(-(at + form.tail_bits) // 8)
+        return len(stream) >= b and int.from_bytes(stream[a:b], "little") >> (at & 7) & ((1 << form.tail_bits) - 1) == form.tail
+
+    if (int.from_bytes(stream[1:5], "little") & 0x3FFF) != WIDTH - 1 or len(stream) < 16:
+        return None
+    first = bits.peek()
+    if not first & 1:
+        return (PLAIN, 40 + PLAIN.tail_bits, WIDTH, ()) if tail(PLAIN, 40) else None
+    if first >> 1 & 3 == PALETTE:
+        n, at = (first >> 3 & 255) + 1, 40 + 11 + _flat.at
+        a, b = 51 >> 3, -(-(at + 32 * n) // 8)
+        raw = int.from_bytes(stream[a:b], "little") >> (51 & 7)
+        if n > COLOURS or raw & ((1 << _flat.at) - 1) != _flat.value or not tail(INDEX, at + 32 * n):
+            return None
+        table, colour = [], [0, 0, 0, 0]
+        raw >>= _flat.at
+        for _ in range(n):
+            for k in range(4):
+                colour[k] = colour[k] + _reversed[raw & 255] & 255
+                raw >>= 8
+            g, r, b, a = colour
+            table.append(a << 24 | r << 16 | g << 8 | b)
+        return INDEX, at + 32 * n + INDEX.tail_bits, -(-WIDTH >> _packing(n)), (np.array(table, np.uint32),)
+    both = int.from_bytes(stream[5 : 6 + 2 * _ELEMENT // 8], "little") & ((1 << 2 * _ELEMENT) - 1)
+    symbol = lambda at, k: both >> (at + 7 + 11 * k + 3) & 255
+    mode, by = symbol(0, 0), (symbol(_ELEMENT, 2), symbol(_ELEMENT, 0), symbol(_ELEMENT, 1))
+    if mode not in (1, 2) or both != _element(PREDICTOR, mode, 0, 0) | _element(CROSS_COLOUR, by[1], by[2], by[0]) << _ELEMENT or not tail(RESIDUAL, 40 + 2 * _ELEMENT):
+        return None
+    return RESIDUAL, 40 + 2 * _ELEMENT + RESIDUAL.tail_bits, WIDTH, (mode, by)
+
+
+def _undone(form: Form, p: np.ndarray, wide: int, need: tuple) -> np.ndarray:
+    """Invert the transforms of one image."""
+    if form is INDEX:
+        pack = _packing(len(need[0]))
+        size = 8 >> pack
+        index = (p >> 8 & 255).reshape(-1, wide, 1) >> (size * np.arange(1 << pack)).astype(np.uint32) & ((1 << size) - 1)
+        index = index.reshape(len(p) // wide, -1)[:, :WIDTH].ravel()
+        return np.append(need[0], np.zeros(COLOURS, np.uint32))[index]
+    if form is RESIDUAL:
+        return _pixels_of(_sums(_bytes_of(_crossed(p, need[1], 1)), need[0]))
+    return p
 
 
 def _slots(p: np.ndarray) -> np.ndarray:
@@ -453,14 +626,30 @@ def _runs(same: np.ndarray, free: np.ndarray, least: int = 4, most: int = 4096)
 
 def write(payloads: list[bytes]) -> list[bytes]:
     """The stored form of each payload, a positive multiple of 576 bytes of at most 16384 rows."""
-    p = np.frombuffer(b"".join(payloads), ">u4").astype(np.uint32)
-    size = np.array([len(x) // 4 for x in payloads])
+    out: list[bytes] = [b""] * len(payloads)
+    made = [formed(x) for x in payloads]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (form, _, _, wide, _) in enumerate(made):
+        groups.setdefault((id(form), wide), []).append(i)
+    for at in groups.values():
+        form, wide = made[at[0]][0], made[at[0]][3]
+        heads = [(head | form.tail << n, n + form.tail_bits) for _, head, n, _, _ in (made[i] for i in at)]
+        for i, x in zip(at, _coded(form, wide, [made[i][4] for i in at], heads, [len(payloads[i]) // UNIT for i in at])):
+            out[i] = x
+    return out
+
+
+def _coded(form: Form, wide: int, images: list[np.ndarray], heads: list[tuple[int, int]], rows: list[int]) -> list[bytes]:
+    """Files of images of one form and coded width."""
+    p = np.concatenate(images)
+    size = np.array([len(x) for x in images])
+    begin = np.array([40 + n for _, n in heads], np.int64)
     first = np.cumsum(size) - size
     image = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(p)) - first[image]
     free = np.ones(len(p), bool)
     taken, length, code = [], [], []
-    for back, symbol in ((1, 1), (WIDTH, 0)):
+    for back, symbol in ((1, 1), (wide, 0)):
         same = np.zeros(len(p), bool)
         same[back:] = (p[back:] == p[:-back]) & (place[back:] >= back)
         edge = place == 0  # a run ends with its image
@@ -477,21 +666,21 @@ def write(payloads: list[bytes]) -> list[bytes]:
     value, bits = np.zeros(len(p), np.uint64), np.zeros(len(p), np.int64)
     parts = (p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)
     for i, c in enumerate(parts):
-        value |= (_plain_codes if i else _green_codes)[c] << bits.astype(np.uint64)
-        bits += (_plain_sizes if i else _green_sizes)[c]
+        value |= form.codes[i][c] << bits.astype(np.uint64)
+        bits += form.sizes[i][c]
     cached = 280 + _slots(p[hit]).astype(np.int64)
-    value[hit], bits[hit] = _green_codes[cached], _green_sizes[cached]
+    value[hit], bits[hit] = form.codes[0][cached], form.sizes[0][cached]
     value[~free], bits[~free] = 0, 0
     for a, n, symbol in zip(np.concatenate(taken), np.concatenate(length).tolist(), np.concatenate(code).tolist()):
         s, extra, k = prefix(n)
-        g = int(_green_sizes[256 + s])
-        value[a] = int(_green_codes[256 + s]) | extra << g | symbol << (g + k)
+        g = int(form.sizes[0][256 + s])
+        value[a] = int(form.codes[0][256 + s]) | extra << g | symbol << (g + k)
         bits[a] = g + k + 1
-    total = np.bincount(image, bits, len(size)).astype(np.int64) + _START
+    total = np.bincount(image, bits, len(size)).astype(np.int64) + begin
     words = -(-total // 64) + 1
     base = (np.cumsum(words) - words) * 64
     at = np.cumsum(bits) - bits
-    at = at - at[first][image] + base[image] + _START
+    at = at - at[first][image] + (base + begin)[image]
     out = np.zeros(int(words.sum()), np.uint64)
     keep = bits > 0
     at, value = at[keep], value[keep]
@@ -502,46 +691,50 @@ def write(payloads: list[bytes]) -> list[bytes]:
     out[word[lead] + 1] |= np.bitwise_or.reduceat(np.where(np.append(word[1:] != word[:-1], True), high, 0), lead)
     raw = out.tobytes()
     made = []
-    for i, n in enumerate(size.tolist()):
+    for i, n in enumerate(rows):
         stream = raw[base[i] // 8 : base[i] // 8 + -(-int(total[i]) // 8)]
-        head = 0x2F | (WIDTH - 1) << 8 | (n // WIDTH - 1) << 22 | 1 << 36 | HEADER << 40
-        k = _START // 8 + 1
+        head = 0x2F | (WIDTH - 1) << 8 | (n - 1) << 22 | 1 << 36 | heads[i][0] << 40
+        k = int(begin[i]) // 8 + 1
         stream = (head | int.from_bytes(stream[:k], "little")).to_bytes(k, "little") + stream[k:]
         pad = len(stream) & 1
         made.append(b"RIFF" + (12 + len(stream) + pad).to_bytes(4, "little") + b"WEBPVP8L" + len(stream).to_bytes(4, "little") + stream + b"\0" * pad)
     return made
 
 
-def _own(stream: bytes) -> bool:
-    k = _START // 8 + 1
-    return len(stream) >= k and int.from_bytes(stream[:k], "little") >> 40 & ((1 << HEADER_BITS) - 1) == HEADER
-
-
 def decode_many(streams: list[bytes]) -> list[bytes]:
     """The pixels of each VP8L payload as bytes, row by row, big-endian ARGB."""
     out: list[bytes] = [b""] * len(streams)
-    mine = []
+    groups: dict[int, list[tuple[int, Form, int, int, tuple]]] = {}
     for i, s in enumerate(streams):
-        if _own(s):
-            mine.append(i)
-        else:
+        mine = _form_of(s)
+        if mine is None:
             out[i] = decode_bits(s)[0].astype(">u4").tobytes()
-    if not mine:
-        return out
-    shape = [(int.from_bytes(streams[i][1:5], "little") & 0x3FFF, int.from_bytes(streams[i][1:5], "little") >> 14 & 0x3FFF) for i in mine]
-    order = sorted(range(len(mine)), key=lambda k: -(shape[k][0] + 1) * (shape[k][1] + 1))
-    mine, shape = [mine[k] for k in order], [shape[k] for k in order]
-    wide = np.array([w + 1 for w, _ in shape])
-    size = wide * np.array([h + 1 for _, h in shape])
-    data = np.frombuffer(b"".join(streams[i] for i in mine) + b"\0" * 16, np.uint8)
-    length = np.array([len(streams[i]) for i in mine])
-    bit = (np.cumsum(length) - length) * 8 + _START
+        else:
+            groups.setdefault(id(mine[0]), []).append((i, *mine))
+    for rows in groups.values():
+        form = rows[0][1]
+        height = [(int.from_bytes(streams[i][1:5], "little") >> 14 & 0x3FFF) + 1 for i, *_ in rows]
+        order = sorted(range(len(rows)), key=lambda k: -rows[k][3] * height[k])
+        rows, height = [rows[k] for k in order], [height[k] for k in order]
+        wide = np.array([r[3] for r in rows])
+        read = _in_step(form, [streams[r[0]] for r in rows], np.array([r[2] for r in rows]), wide, wide * np.array(height))
+        for (i, _, _, w, need), p in zip(rows, read, strict=True):
+            out[i] = _undone(form, p, w, need).astype(">u4").tobytes()
+    return out
+
+
+def _in_step(form: Form, streams: list[bytes], begin: np.ndarray, wide: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The coded pixels of streams of one form, longest first."""
+    green, others = form.tables[0], form.tables[1:]
+    data = np.frombuffer(b"".join(streams) + b"\0" * 16, np.uint8)
+    length = np.array([len(s) for s in streams])
+    bit = (np.cumsum(length) - length) * 8 + begin
     end = np.cumsum(length) * 8
     base = np.cumsum(size) - size
     pixels = np.zeros(int(size.sum()), np.uint32)
-    cache = np.zeros((len(mine), 1 << CACHE_BITS), np.uint32)
-    left, back = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
-    live, eight, every = len(mine), np.arange(8), np.arange(len(mine))
+    cache = np.zeros((len(streams), 1 << CACHE_BITS), np.uint32)
+    left, back = np.zeros(len(streams), np.int64), np.zeros(len(streams), np.int64)
+    live, eight, every = len(streams), np.arange(8), np.arange(len(streams))
     for i in range(int(size[0])):
         while size[live - 1] <= i:
             live -= 1
@@ -549,15 +742,15 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
         ask = np.flatnonzero(left[:live] == 0)
         at = bit[ask]
         bits = np.ascontiguousarray(data[(at >> 3)[:, None] + eight]).view("<u8")[:, 0] >> (at & 7).astype(np.uint64)
-        k = (bits & np.uint64(_GREEN.mask)).astype(np.int64)
-        s, n = _GREEN.symbols[k], _GREEN.sizes[k]
+        k = (bits & np.uint64(green.mask)).astype(np.int64)
+        s, n = green.symbols[k], green.sizes[k]
         other = np.flatnonzero(s >= 256)
         q = s.astype(np.uint32) << np.uint32(8)
         used = n.copy()
-        for shift in (16, 0, 24):
-            k = (bits >> used.astype(np.uint64) & np.uint64(_PLAIN.mask)).astype(np.int64)
-            q |= _PLAIN.symbols[k].astype(np.uint32) << np.uint32(shift)
-            used += _PLAIN.sizes[k]
+        for shift, table in zip((16, 0, 24), others):
+            k = (bits >> used.astype(np.uint64) & np.uint64(table.mask)).astype(np.int64)
+            q |= table.symbols[k].astype(np.uint32) << np.uint32(shift)
+            used += table.sizes[k]
         if len(other):
             so, row = s[other], ask[other]
             used[other] = n[other]
@@ -584,10 +777,7 @@ def decode_many(streams: list[bytes]) -> list[bytes]:
         cache[every[:live], _slots(p)] = p
     if (bit > end).any():
         raise ValueError("a stream ends early")
-    raw = pixels.astype(">u4").tobytes()
-    for k, i in enumerate(mine):
-        out[i] = raw[4 * base[k] : 4 * (base[k] + size[k])]
-    return out
+    return [pixels[a : a + n] for a, n in zip(base.tolist(), size.tolist())]
 
 
 def padded(text: str | None) -> bytes:
