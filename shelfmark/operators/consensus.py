@@ -32,12 +32,16 @@ def thousandths(c: Column) -> Column:
 def scored(books: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each book and candidate: conflict of valid ISBNs, tripwire, score (0 where tripped) in thousandths.
 
-    The tripwire takes an unknown local author for half alike; the score takes the name as it stands.
+    The tripwire takes an unknown local author for half alike; the score takes the name as it stands. Of a candidate's authors, joined by
+    `&`, the most similar one counts. `pos` tells a book's candidates apart.
     """
     given = lambda c: F.coalesce(F.col(c), F.lit(""))
     own = books.select("book_id", text.plain_key(F.col("title")).alias("t"), text.plain_key(F.col("author")).alias("a"), F.lower(given("author")).alias("raw"), isbn.canonical13(F.col("isbn")).alias("own13"), (given("isbn") != "").alias("has_isbn"))
-    other = candidates.select("book_id", "pos", "provider", text.plain_key(F.col("title")).alias("ct"), text.plain_key(F.col("author")).alias("ca"), (given("author") != "").alias("has_author"), isbn.canonical13(F.col("isbn13")).alias("c13"), "is_hd_cover", "cover_url")
-    both = with_similarity(with_similarity(other.join(own, "book_id"), "t", "ct", "title_sim"), "a", "ca", "alike")
+    other = candidates.select("book_id", "pos", "provider", text.plain_key(F.col("title")).alias("ct"), F.split(given("author"), r"\s*&\s*").alias("names"), (given("author") != "").alias("has_author"), isbn.canonical13(F.col("isbn13")).alias("c13"), "is_hd_cover", "cover_url")
+    both = with_similarity(other.join(own, "book_id"), "t", "ct", "title_sim").drop("t", "ct")
+    each = with_similarity(both.withColumn("ca", F.explode("names")).withColumn("ca", text.plain_key(F.col("ca"))), "a", "ca", "alike").drop("names", "ca", "a")
+    # rows lie by book since the join, so this aggregate shuffles nothing
+    both = each.groupBy("book_id", "pos").agg(F.max("alike").alias("alike"), *[F.first(c).alias(c) for c in each.columns if c not in ("book_id", "pos", "alike")])
     local = F.col("raw") != ""
     both = both.withColumns({
         "trip_author": F.when(F.col("raw").isin("", "unknown"), 0.5).when(F.col("has_author"), F.col("alike")).otherwise(0.0),

@@ -224,9 +224,9 @@ _TIERS = f"{_WITH_ROOTS} SELECT book_id, tier, reason, CASE tier WHEN 'A' THEN '
 _ALIKE = lambda x, y, s: f"greatest({ratio(x, y)}, CASE WHEN {x} = '' OR {y} = '' THEN 0.0E0 ELSE greatest(CASE WHEN {s}.i = '' THEN 0.0E0 ELSE {ratio(s + '.i', s + '.one')} END, CASE WHEN {s}.i = '' THEN 0.0E0 ELSE {ratio(s + '.i', s + '.two')} END, {ratio(s + '.one', s + '.two')}) END)"
 _one_two = lambda s: f"{{'i': {s}.i, 'one': trim({s}.i || ' ' || {s}.p), 'two': trim({s}.i || ' ' || {s}.q)}}"
 _MATCHED = f"""(SELECT *, own IS NOT NULL AND c13 IS NOT NULL AND own <> c13 AS conflict, title_sim < 0.4 AND CASE WHEN raw IN ('', 'unknown') THEN 0.5E0 WHEN ca <> '' THEN alike ELSE 0.0E0 END < 0.35 AS tripped,
-  CASE WHEN raw = '' THEN 0.5E0 WHEN ca <> '' THEN alike ELSE 0.0E0 END AS author_score FROM (SELECT *, {_ALIKE('t', 'ct', 'st')} AS title_sim, {_ALIKE('a', 'ca', 'sa')} AS alike FROM (SELECT *, {_one_two('s1')} AS st, {_one_two('s2')} AS sa FROM (SELECT *, {like('t', 'ct')} AS s1, {like('a', 'ca')} AS s2
-FROM (SELECT c.book_id, pos, provider, is_hd_cover, cover_url, lower(coalesce(b.author, '')) AS raw, coalesce(b.isbn, '') <> '' AS has_isbn, {plain_key('b.title')} AS t, {plain_key('c.title')} AS ct, {plain_key('b.author')} AS a, {plain_key('c.author')} AS ca,
-  {canonical("coalesce(b.isbn, '')")} AS own, {canonical("coalesce(isbn13, '')")} AS c13 FROM candidates c JOIN books_isbn b USING (book_id))))))"""
+  CASE WHEN raw = '' THEN 0.5E0 WHEN ca <> '' THEN alike ELSE 0.0E0 END AS author_score FROM (SELECT book_id, pos, any_value(provider) AS provider, any_value(is_hd_cover) AS is_hd_cover, any_value(cover_url) AS cover_url, any_value(raw) AS raw, any_value(has_isbn) AS has_isbn, any_value(own) AS own, any_value(c13) AS c13, any_value(title_sim) AS title_sim, max(alike) AS alike, max(ca) AS ca FROM (SELECT *, {_ALIKE('t', 'ct', 'st')} AS title_sim, {_ALIKE('a', 'ca', 'sa')} AS alike FROM (SELECT *, {_one_two('s1')} AS st, {_one_two('s2')} AS sa FROM (SELECT *, {like('t', 'ct')} AS s1, {like('a', 'ca')} AS s2
+FROM (SELECT c.book_id, pos, provider, is_hd_cover, cover_url, lower(coalesce(b.author, '')) AS raw, coalesce(b.isbn, '') <> '' AS has_isbn, {plain_key('b.title')} AS t, {plain_key('c.title')} AS ct, {plain_key('b.author')} AS a, {plain_key('one')} AS ca,
+  {canonical("coalesce(b.isbn, '')")} AS own, {canonical("coalesce(isbn13, '')")} AS c13 FROM (SELECT *, unnest(string_split(coalesce(author, ''), ' & ')) AS one FROM candidates) c JOIN books_isbn b USING (book_id))))) GROUP BY book_id, pos))"""
 _RAW = "CASE WHEN has_isbn THEN 0.35E0 * title_sim + 0.25E0 * author_score + 0.25E0 * CASE WHEN own = c13 THEN 1.0E0 ELSE 0.0E0 END + 0.15E0 * cover ELSE 0.5E0 * title_sim + 0.35E0 * author_score + 0.15E0 * cover END - CASE WHEN author_score < 0.25 AND raw <> '' THEN 0.35E0 ELSE 0.0E0 END"
 _CANDIDATE = f"(SELECT book_id, pos, provider, c13, tripped, conflict, CASE WHEN tripped THEN 0.0E0 ELSE greatest(0.0E0, least(1.0E0, round_even(({_RAW}) * 1000, 0) / 1000)) END AS score FROM (SELECT *, CASE WHEN is_hd_cover THEN 1.0E0 WHEN cover_url <> '' THEN 0.5E0 ELSE 0.0E0 END AS cover FROM {_MATCHED}))"
 

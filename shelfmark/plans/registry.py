@@ -56,7 +56,7 @@ SETTLED = ("isbn", "published_date", "language", "series", "series_index", "volu
 
 def _settled(p: DataFrame) -> DataFrame:
     """The fields that no fuzzy ratio decides."""
-    return verify.rows(verify.all_verdicts(p), verify.FIELDS).where(F.col("field").isin(*SETTLED))
+    return verify.rows(verify.all_verdicts(p), verify.FIELDS).drop("reason").where(F.col("field").isin(*SETTLED))
 
 
 def _keys(b: DataFrame) -> DataFrame:

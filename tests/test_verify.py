@@ -198,3 +198,68 @@ def test_roll_up_of_eleven_fields(spark):
         assert (r["confidence"], r["flags"], r["action"], r["eligible"]) == (mean, ",".join(flags), action, eligible), r["book_id"]
     one = pairs(spark, [{"o_title": ""}])
     assert verify.roll_up(verify.all_verdicts(one)).first()["action"] == "no_change"
+
+
+def _quote(x):
+    return repr(x)
+
+
+def test_reasons_by_hand(spark):
+    """One case for each rung that has words of its own."""
+    cases = {
+        "isbn": [({}, "No ISBN declared and none observed."), ({"o_isbn": "978-0-306-40615-7"}, "Found valid ISBN 9780306406157 on copyright page; not declared in Calibre."), ({"o_isbn": "123"}, "Found ISBN-shaped string '123' but checksum invalid."),
+                 ({"d_isbn": "9780306406157", "o_isbn": "9780140328721"}, "ISBN conflict: declared 9780306406157 but book has 9780140328721."), ({"d_isbn": "1", "o_isbn": "9780140328721"}, "Declared ISBN has invalid checksum; book has valid 9780140328721."),
+                 ({"d_isbn": "9780306406157", "o_isbn": "12"}, "Observed ISBN 12 has invalid checksum."), ({"d_isbn": "0306406152", "o_isbn": "9780306406157"}, "Declared ISBN-10 converts to observed ISBN-13.")],
+        "title": [({"o_title": "It's"}, 'Title found on title page: "It\'s".'), ({"d_title": "Dune [retail]", "o_title": "Dune"}, "Declared title contains scraper/extension junk; canonical title is 'Dune'."), ({"d_title": "Dune!!", "o_title": "Dune"}, "Trailing punctuation noise on declared title."),
+                  ({"d_title": "Dune by Frank Herbert", "o_title": "Dune"}, "'by Author' suffix noise on declared title."), ({"d_title": "Dune and what came after it in the desert", "o_title": "Dune"}, "Declared title has edition annotation; canonical is 'Dune'."),
+                  ({"d_title": "Dune", "o_title": "Dune and what came after it in the desert"}, "Declared title has noise or annotation; canonical is 'Dune and what came after it in the desert'."), ({"d_title": "Crónica", "o_title": "cronica"}, "Titles match (similarity 1.00)."),
+                  ({"d_title": "Pride and Prejudice", "o_title": "War"}, "Titles differ significantly (similarity 0.09)."), ({"d_title": "Dune", "o_title": "Dune", "low": True}, "OCR quality is low; cannot confirm match.")],
+        "authors": [({"o_authors": "Ann Lee & Bob O'Hara"}, "Author(s) found on title page: ['Ann Lee', \"Bob O'Hara\"]."), ({"d_authors": "Unknown", "o_authors": "Plato"}, "Declared author is sentinel; book has real author(s): ['Plato']."),
+                    ({"d_authors": "Ann Lee", "o_authors": "Plato"}, "Author swap: declared ['Ann Lee'] but book has ['Plato']."), ({"d_authors": "Plato & Ann Lee", "o_authors": "Plato"}, "Declared authors include hallucinated extra(s): ['Ann Lee']."),
+                    ({"d_authors": "Plato", "o_authors": "Plato & Ann Lee"}, "Missing co-author(s): ['Ann Lee']."), ({"d_authors": "Plato & Ann Lee", "o_authors": "Plato & Cy Young"}, "Author sets partially overlap.")],
+        "publisher": [({"o_publisher": "Penguin"}, "Publisher found on copyright page: 'Penguin'."), ({"d_publisher": "Penguin", "o_publisher": "Penguin Books"}, "Publisher variant only (similarity 0.70)."), ({"d_publisher": "Penguin", "o_publisher": "Orbit"}, "Publisher mismatch (similarity 0.17).")],
+        "published_date": [({"d_date": "2019", "o_date": "1990-01-01"}, "Year mismatch: declared 2019, observed 1990."), ({"o_date": "1990"}, "Date found on copyright page: '1990'."), ({"d_date": "x", "o_date": "1990"}, "Date parse failed.")],
+        "language": [({"d_language": " EN", "o_language": "Es"}, "Language mismatch: declared en, detected es."), ({"o_language": "Es"}, "Language detected: 'Es'.")],
+        "series": [({"sampled": False}, "No series declared; headers not sampled."), ({"d_series": "S"}, "Series declared but no series header on running pages."), ({"o_series": "S"}, "Series header found: 'S'.")],
+        "series_index": [({"d_series_index": 1.0, "o_series_index": 2.5}, "Series index mismatch: declared 1.0, observed 2.5."), ({"o_series_index": 3.0}, "Series index found in header: 3.0.")],
+        "volume": [({"d_volume": 1.0, "o_volume": 2.6}, "Volume mismatch: declared 1, observed 3."), ({}, "No volume declared and none observed.")],
+        "chapter": [({"d_chapter": 1.5, "o_chapter": 1.5}, "Chapter matches (decimal).")], "series_position": [({"d_series_position": 1.5}, "Series position declared but not found in content sample.")],
+    }
+    flat = [(f, r, w) for f, cs in cases.items() for r, w in cs]
+    got = {(x["book_id"], x["field"]): x["reason"] for x in verify.rows(verify.all_verdicts(pairs(spark, [r for _, r, _ in flat])), verify.FIELDS).collect()}
+    assert [got[i, f] for i, (f, _, _) in enumerate(flat)] == [w for *_, w in flat]
+
+
+def test_reasons_of_every_row(spark):
+    """Reasons follow from values and verdicts, and a book has those of the fields that have anything to say, in order."""
+    p = view(spark, SF, "pairs")
+    raw = {r["book_id"]: r.asDict() for r in p.collect()}
+    by = {}
+    for r in verify.rows(verify.all_verdicts(p), verify.FIELDS).collect():
+        by.setdefault(r["book_id"], []).append(r)
+    names = lambda x: [a.strip() for a in (x or "").split("&") if a.strip()]
+    for b, fields in by.items():
+        v = raw[b]
+        for r in fields:
+            f = r["field"]
+            d, o = v[f"d_{'date' if f == 'published_date' else f}"], v[f"o_{'date' if f == 'published_date' else f}"]
+            if f == "language" and r["verdict"] == "mismatch":
+                assert r["reason"] == f"Language mismatch: declared {d.strip().lower()}, detected {o.strip().lower()}."
+            if f == "published_date" and r["verdict"] == "mismatch":
+                assert r["reason"] == f"Year mismatch: declared {d[:4]}, observed {o[:4]}."
+            if f == "publisher" and r["verdict"] == "missing":
+                assert r["reason"] == f"Publisher found on copyright page: {_quote(o)}."
+            if f in verify.NUMBERS and r["verdict"] == "mismatch":
+                show = (lambda x: str(round(x))) if f == "volume" else str
+                assert r["reason"].endswith(f"mismatch: declared {show(d)}, observed {show(o)}.")
+            if f == "authors" and r["flag"] == "author_swap" and r["confidence"] == 92:
+                assert r["reason"] == f"Author swap: declared {names(d)} but book has {names(o)}."
+            assert r["reason"]
+    for r in verify.roll_up(verify.all_verdicts(p)).collect():
+        v = raw[r["book_id"]]
+        want = []
+        for f in by[r["book_id"]]:
+            key = "date" if f["field"] == "published_date" else f["field"]
+            if not (f["verdict"] == "ambiguous" and v[f"d_{key}"] in (None, "") and v[f"o_{key}"] in (None, "")):
+                want.append(f"[{f['field']}] {f['reason']}")
+        assert r["reasons"] == want
