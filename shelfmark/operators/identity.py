@@ -72,13 +72,22 @@ def root_matches(evidence: DataFrame, formats: DataFrame) -> DataFrame:
 
 
 def resolved(evidence: DataFrame, formats: DataFrame) -> DataFrame:
-    """The first failing test decides tier, reason and state; `id` is the book's identifier."""
+    """The first failing test decides tier, reason and state; `id` is the book's identifier.
+
+    Evidence meets the facts of the formats once, by book; what it says is gathered by root and then by book, where the rows already lie.
+    """
     facts = format_facts(formats)
-    mine = evidence.join(facts.select("book_id", "id"), "book_id").where("field = 'identifiers' and authoritative and manifestation_isbn = id")
-    sure = mine.groupBy("book_id").agg(_any(F.col("source_kind").isin(*INTERNAL) & (F.col("value") == F.col("id"))).alias("internal"), _any(F.col("source_kind").isin(*EXTERNAL)).alias("external"))
-    roots = root_tests(evidence, facts).groupBy("book_id").agg(F.max("disagrees").alias("disagrees"), F.max("agrees").alias("agrees"))
-    books = evidence.select("book_id").unionByName(formats.select("book_id")).distinct()
-    told = books.join(facts, "book_id", "left").join(sure, "book_id", "left").join(roots, "book_id", "left")
+    rows = evidence.join(facts.select("book_id", "id", "core"), "book_id", "left")
+    field, kind = F.col("field"), F.col("source_kind")
+    own = F.col("authoritative") & (field == "identifiers") & (F.col("manifestation_isbn") == F.col("id"))
+    core = F.col("authoritative") & field.isin(*CORE)
+    rows = rows.withColumn("same", F.when(core, F.coalesce(F.when(core, text.value_key(field, F.col("value"))) == F.coalesce(*[F.when(field == f, F.col("core")[f]) for f in CORE]), F.lit(False))))
+    by_root = rows.groupBy("book_id", "independence_root").agg(
+        _any(own & kind.isin(*INTERNAL) & (F.col("value") == F.col("id"))).alias("internal"), _any(own & kind.isin(*EXTERNAL)).alias("external"), _any(core & ~F.col("same") & kind.isin(*EXTERNAL)).alias("disagrees"),
+        F.coalesce(F.min("same"), F.lit(False)).alias("agrees"), *[_any(F.col("same") & (field == f)).alias(f) for f in CORE],
+    )
+    sure = by_root.groupBy("book_id").agg(F.max("internal").alias("internal"), F.max("external").alias("external"), F.max(F.col("external") & F.col("disagrees")).alias("disagrees"), F.max(F.col("external") & F.col("agrees") & F.col(CORE[0]) & F.col(CORE[1]) & F.col(CORE[2])).alias("agrees"))
+    told = facts.join(sure, "book_id", "full_outer")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     reason = (
         F.when(F.col("n_ids") > 1, "format_manifestation_conflict").when(F.col("n_readable") < F.col("n_formats"), "incomplete_format_evidence").when(F.col("id").isNull(), "missing_manifestation_identifier")

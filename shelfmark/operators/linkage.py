@@ -137,18 +137,21 @@ def duplicate_titles(books: DataFrame) -> DataFrame:
 def near_hashes(covers: DataFrame, most: int = 4) -> DataFrame:
     """Distinct 64-bit hashes at a distance of at most `most`, with how many covers hold each.
 
-    With `most` + 1 bands, two such hashes agree in one band at least; a pair counts in its first such band.
+    Cut into `most` + 2 bands, two such hashes agree in two of them at least. They meet on each pair of bands, about 21 bits, and count where that is the first pair that agrees.
     """
     hashes = covers.where("phash is not null").groupBy("phash").agg(F.count("*").alias("n"))
-    cuts = [64 * i // (most + 1) for i in range(most + 2)]
+    n = most + 2
+    cuts = [64 * i // n for i in range(n + 1)]
     band = lambda c, i: F.shiftright(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    split = hashes.select("phash", "n", F.posexplode(F.array(*[band(F.col("phash"), i) for i in range(most + 1)])).alias("band", "value"))
+    both = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.shiftleft(band(F.col("phash"), i), 32).bitwiseOR(band(F.col("phash"), j)).alias("value")) for i in range(n) for j in range(i + 1, n)]
+    split = hashes.select("phash", "n", F.inline(F.array(*both)))
     a, b = split.alias("a"), split.alias("b")
     earlier = F.lit(False)
-    for i in range(most):
-        earlier = earlier | ((F.col("a.band") > i) & (band(F.col("a.phash"), i) == band(F.col("b.phash"), i)))
+    for k in range(n):
+        earlier = earlier | ((F.col("a.j") > k) & (F.col("a.i") != k) & (band(F.col("a.phash"), k) == band(F.col("b.phash"), k)))
     distance = F.bit_count(F.col("a.phash").bitwiseXOR(F.col("b.phash")))
+    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.value") == F.col("b.value"))
     return (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.phash") < F.col("b.phash")) & ~earlier & (distance <= most))
+        a.join(b, same & (F.col("a.phash") < F.col("b.phash")) & ~earlier & (distance <= most))
         .select(F.col("a.phash").alias("left_hash"), F.col("b.phash").alias("right_hash"), F.col("a.n").alias("left_covers"), F.col("b.n").alias("right_covers"), distance.cast("int").alias("distance"))
     )

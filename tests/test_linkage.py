@@ -39,3 +39,18 @@ def test_gaps_of_wide_series(spark):
     assert {tuple(r) for r in series.wishlist(books).collect()} == {("s", v, "A & B & C", f"s #{v} A & B & C") for v in (2, 3)} | {("late", v, "Y", f"late #{v} Y") for v in (1, 2, 4)}
     got = {r["series"]: (r["authors"], r["missing"], r["summary"]) for r in series.topology(books).collect()}
     assert got == {"s": ("B & A", [2, 3], "Missing volumes: 2, 3 (Contains side novellas: 2.5)"), "late": ("Y", [1, 2, 4], "Missing volumes: 1, 2, 4")}
+
+
+def test_near_hashes_by_brute_force(spark):
+    """Signed hashes, all distances up to four, each pair once."""
+    import random
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
+    rows = base + [b ^ sum(1 << k for k in rng.sample(range(64), d)) for b in base for d in (1, 2, 3, 4, 5)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in rows]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(signed + signed[:3])] + [(999, None)], "cover_id long, phash long")
+    distinct = sorted(set(signed))
+    want = {(a, b, bin((a ^ b) & ((1 << 64) - 1)).count("1")) for i, a in enumerate(distinct) for b in distinct[i + 1 :]}
+    got = [(r["left_hash"], r["right_hash"], r["distance"]) for r in linkage.near_hashes(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == {x for x in want if x[2] <= 4} and len(got) > 150
