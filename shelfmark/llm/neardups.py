@@ -207,8 +207,9 @@ def keep_one(df: DataFrame) -> DataFrame:
     """
     told = written(grouped(df).where("doc_id is not null").groupBy("doc_id", "t").agg(F.min("group").alias("group"), F.count("*").alias("n")))
     lead = told.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "t", "n")).alias("r")).select("r.*")
-    stay = lead.unionByName(told.where("group is null").drop("group")).select(F.col("doc_id").alias("_near_id"), F.col("t").alias("_near_t"), (F.col("n") > 1).alias("_near_again"))
-    both = df.join(stay, (F.col("doc_id").cast("long") == F.col("_near_id")) & (F.xxhash64("text") == F.col("_near_t")), "left")
-    kept = both.where(F.col("doc_id").isNull() | F.col("_near_again").isNotNull())
-    once = kept.where("_near_again").dropDuplicates(["_near_id", "_near_t"])
-    return kept.where("_near_again is null or not _near_again").unionByName(once).select(*df.columns)
+    near_id, near_t, again = (next(n for n in (f"_near_{c}{'_' * i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for c in ("id", "t", "again"))  # names that the input doesn't have
+    stay = lead.unionByName(told.where("group is null").drop("group")).select(F.col("doc_id").alias(near_id), F.col("t").alias(near_t), (F.col("n") > 1).alias(again))
+    both = df.join(stay, (F.col("doc_id").cast("long") == F.col(near_id)) & (F.xxhash64("text") == F.col(near_t)), "left")
+    kept = both.where(F.col("doc_id").isNull() | F.col(again).isNotNull())
+    once = kept.where(F.col(again)).dropDuplicates([near_id, near_t])
+    return kept.where(F.col(again).isNull() | ~F.col(again)).unionByName(once).select(*df.columns)
