@@ -59,11 +59,14 @@ def classes(most: int) -> tuple[str, str, str]:
     return *map(show, library_classes()), space
 
 
-@lru_cache(1)
-def unknown() -> re.Pattern:
-    """Characters that Python's Unicode database doesn't hold; how they compose and what their small forms are, the library alone may know."""
-    new = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    edges = np.flatnonzero(np.diff(new, prepend=-2, append=sys.maxunicode + 3) > 1)
+@lru_cache(2)
+def unknown(most: int) -> re.Pattern:
+    """Characters up to a code point that Python's Unicode database doesn't hold; how they compose and what their small forms are, the library alone may know.
+
+    Inside the basic plane they compile to a table; beyond it, each character of a text is held against all their ranges.
+    """
+    new = [c for c in range(most + 1) if unicodedata.category(chr(c)) == "Cn"]
+    edges = np.flatnonzero(np.diff(new, prepend=-2, append=most + 3) > 1)
     return re.compile("[" + "".join(f"\\U{new[a]:08x}-\\U{new[b - 1]:08x}" for a, b in zip(edges, edges[1:])) + "]")
 
 
@@ -74,6 +77,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _narrow(text: str) -> bool:
+    """Whether all characters are of the basic plane."""
+    return text.isascii() or len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
+
+
 class RankBpe:
     """Encoder and decoder of one vocabulary file; words in, id arrays out."""
 
@@ -118,12 +126,11 @@ class RankBpe:
     def _plain(self, text: str) -> list[str]:
         if self.suffix:
             text = self._small(text)
-        narrow = len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text)
-        return (self.words if narrow else self.wide).findall(text)
+        return (self.words if _narrow(text) else self.wide).findall(text)
 
     def _small(self, text: str) -> str:
         """NFC in small letters; texts with characters newer than Python's database go to the library's own normaliser."""
-        if not text.isascii() and unknown().search(text):
+        if not text.isascii() and unknown(0xFFFF if _narrow(text) else sys.maxunicode).search(text):
             from tokenizers import normalizers
 
             return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text)
