@@ -479,6 +479,49 @@ def test_secrets_recall_comes_first(spark):
     assert secrets.candidates("a1b2c3 QwErTyUiOpAs plain") == [(0, 6), (7, 19)]
 
 
+def test_secrets_learn_from_all_findings(spark):
+    """Over thousands of findings of a sort: loss, gradient, recall and false rate by brute force over every one, and no order of rows changes the sums."""
+    r = random.Random(5)
+    make = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    rows = [(i, f"{make('abc XY', 9)} {make('0123456789abcdef', r.randrange(24, 90))} or {make('0123456789', 5)}-number and {make('abyz', 16)}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.findings(df).distinct().withColumn("held", F.pmod(F.xxhash64("win"), F.lit(3)) == 0).localCheckpoint()
+    every = found.collect()
+    sort, held = np.array([x["sort"] for x in every]), np.array([x["held"] for x in every])
+    x = np.concatenate([np.frombuffer(x["win"], np.int8) for x in every]).reshape(-1, secrets.WIDTH)
+    first = np.cumsum([0] + [len(x["win"]) // secrets.WIDTH for x in every])[:-1]
+    assert min((sort == k).sum() for k in (-2, -1, 2)) > 1500 and len(x) > len(every)
+
+    def odds(embed, kernel, bias, out):
+        patches = np.lib.stride_tricks.sliding_window_view(embed[x], secrets.REACH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), -1, len(kernel))
+        z = np.concatenate([np.maximum((patches[i : i + 500] @ kernel + bias).max(1), 0) @ out[:-1] + out[-1] for i in range(0, len(x), 500)])
+        return np.maximum.reduceat(z, first)
+
+    net = secrets.learn(df)
+    z = odds(net.embed, net.kernel, net.bias, net.out)
+    sure = np.abs(z - net.threshold).min() > 2 / secrets.STEP
+    for rate, rows_of in ((net.recall[2], sort == 2), (net.false, sort < 0)):
+        assert abs(rate - (z[held & rows_of] >= net.threshold).mean()) <= (0 if sure else 0.002)
+    assert net.recall[2] >= secrets.RECALL and net.false < 0.01
+
+    g = np.random.default_rng(1)
+    parts = {"embed": g.normal(0, 0.5, net.embed.shape), "kernel": g.normal(0, 0.2, net.kernel.shape), "bias": g.normal(0, 0.1, net.bias.shape), "out": g.normal(0, 0.3, net.out.shape)}
+    weight = {k: 1 / (3 * (sort == k).sum()) for k in (-2, -1, 2)}
+    w = np.array([weight[k] for k in sort])
+    loss = lambda p: (w * np.logaddexp(0, np.where(sort >= 0, -1, 1) * odds(**p))).sum()
+    grads, total = secrets.slope(found, secrets.Network(**parts), weight)
+    assert abs(total - loss(parts)) < 1e-3
+    for name, at in (("embed", (2, 3)), ("kernel", (7, 5)), ("bias", (4,)), ("out", (9,)), ("out", (-1,))):
+        both = []
+        for step in (1e-4, -1e-4):
+            moved = {k: v.copy() for k, v in parts.items()}
+            moved[name][at] += step
+            both.append(loss(moved))
+        assert abs((both[0] - both[1]) / 2e-4 - grads[name][at]) < 2e-3
+    again, same = secrets.slope(found.orderBy("win").repartition(5), secrets.Network(**parts), weight)
+    assert same == total and all((again[k] == grads[k]).all() for k in grads)
+
+
 def test_secrets_long_tokens():
     """Whole tokens of any length, in linear time; a key in the middle of one is in some window."""
     import time
