@@ -7,8 +7,10 @@ from the difference of the two Gaussian log-densities, by Mahalanobis distances
 with Cholesky factors that are computed once and kept. A one-dimensional
 logistic fit on the training rows turns the difference into a probability.
 
-What is learned: at most `SAMPLE` labelled rows of each class (a documented
-bound), the smallest hash of the id in each of `SAMPLE` hash buckets.
+All labelled rows are learned from. They stay in Spark: counts, sums and sums of
+products of each class reach the driver, of features in whole multiples of 1/UNIT, so no
+order of rows changes them; then the counts of the rows' margins in steps of 1/STEP,
+which the logistic fit takes.
 
 Defined results: null and empty texts are scored like any other, from zero
 statistics; with fewer than two labelled rows in either class the score is the
@@ -19,16 +21,16 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm._text import SPACE, column_bytes, documents, fold, slices, span_hashes, word_spans
+from shelfmark.llm._text import SPACE, column_bytes, documents, fold, slices, span_hashes, word_spans, written
 
-SAMPLE = 4096
+UNIT, STEP = 1 << 16, 256
 SHRINK = 0.1
 THRESHOLD = 0.3
 FEATURES = ("size", "word_size", "upper", "digit", "mark", "end_mark", "symbol", "bar", "lines", "new_words", "same_words", "same_pairs", "new_lines", "odd", "long_words", "one_letter")
@@ -116,22 +118,24 @@ class Discriminant:
         return 1 / (1 + np.exp(-(self.slope * self.margin(x) + self.shift)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: tuple[float, float], shrink: float = SHRINK) -> Discriminant:
-    """Class covariances shrunk towards the pooled diagonal; logistic calibration with the classes' true weights."""
-    center, scale = x.mean(0), x.std(0) + 1e-3
-    z = (x - center) / scale
-    parts = [z[y == k] for k in (0, 1)]
-    pooled = np.diag(sum(((p - p.mean(0)) ** 2).sum(0) for p in parts) / len(z) + 1e-3)
-    means, factors, logdets = [], [], []
-    for p in parts:
-        cov = (1 - shrink) * np.cov(p, rowvar=False, bias=True) + shrink * pooled
-        chol = np.linalg.cholesky(cov)
-        means.append(p.mean(0))
+def fit(count: np.ndarray, total: np.ndarray, square: np.ndarray, shrink: float = SHRINK) -> Discriminant:
+    """From each class's count, sums and sums of products: covariances shrunk towards the pooled diagonal; not calibrated yet."""
+    center = total.sum(0) / count.sum()
+    scale = np.sqrt(np.maximum(np.diag(square.sum(0)) / count.sum() - center**2, 0)) + 1e-3
+    raw = [t / n for t, n in zip(total, count)]
+    own = [(s / n - np.outer(m, m)) / np.outer(scale, scale) for s, n, m in zip(square, count, raw)]
+    pooled = np.diag(sum(n * np.diag(c) for n, c in zip(count, own)) / count.sum() + 1e-3)
+    factors, logdets = [], []
+    for c in own:
+        chol = np.linalg.cholesky((1 - shrink) * c + shrink * pooled)
         factors.append(np.linalg.inv(chol))
         logdets.append(2 * float(np.log(np.diag(chol)).sum()))
-    raw = Discriminant(center, scale, tuple(means), tuple(factors), tuple(logdets), 1.0, 0.0)
-    m = raw.margin(x)
-    w = np.where(y == 1, weight[1] / max(1, (y == 1).sum()), weight[0] / max(1, (y == 0).sum()))
+    return Discriminant(center, scale, tuple((m - center) / scale for m in raw), tuple(factors), tuple(logdets), 1.0, 0.0)
+
+
+def calibrated(model: Discriminant, m: np.ndarray, y: np.ndarray, count: np.ndarray) -> Discriminant:
+    """Logistic fit of the label to margins that occur `count` times each."""
+    w = count / count.sum()
     a, b = 0.1, 0.0
     for _ in range(100):  # Newton steps of a ridge logistic regression in two parameters
         p = 1 / (1 + np.exp(-(a * m + b)))
@@ -141,29 +145,45 @@ def fit(x: np.ndarray, y: np.ndarray, weight: tuple[float, float], shrink: float
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
         a, b = max(1e-4, a - step[0]), b - step[1]
-    return Discriminant(center, scale, tuple(means), tuple(factors), tuple(logdets), float(a), float(b))
+    return replace(model, slope=float(a), shift=float(b))
 
 
-def learn(df: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Discriminant | float:
-    """Fit to a bounded sample; the share of label 1 where a class has too few rows."""
-    known = labels.select("doc_id", F.col("quality").alias("y")).where(train & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    keyed = known.withColumn("h", F.xxhash64("doc_id"))
-    chosen = keyed.groupBy("y", F.pmod("h", F.lit(sample)).alias("bucket")).agg(F.min(F.struct("h", "doc_id")).alias("m"))
-    few = chosen.select("y", "m.doc_id")  # 2 * sample rows at most
+def learn(df: DataFrame, labels: DataFrame, train: Column) -> Discriminant | float:
+    """Fit to all labelled rows; the share of label 1 where a class has too few."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(train & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    kind = df.schema["doc_id"].dataType.simpleString()
+    kind, size = df.schema["doc_id"].dataType.simpleString(), len(FEATURES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             x = statistics(part.column("text"))
-            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
-
-    rows = documents(df, "doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y")).mapInArrow(run, f"doc_id {kind}, y int, x array<double>").orderBy("doc_id", "y", "x").collect()
-    x, y = np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows])
-    total = sum(shares.values())
-    if min((y == 0).sum(), (y == 1).sum()) < 2:
-        return shares.get(1, 0) / total if total else 0.5
-    return fit(x, y, (shares[0] / total, shares[1] / total))
+            yield pa.record_batch([part.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column("x").flatten().to_numpy().reshape(-1, size)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = np.rint(UNIT * values(batch)).astype(np.int64), batch.column("y").to_numpy()
+            v = np.stack([np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()]) for z in (x[y == 0], x[y == 1])])
+            at = np.arange(v.size)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(v.ravel(), pa.int64())], ["at", "v"])
+
+    rows = written(documents(df, "doc_id", "text").where("doc_id is not null").mapInArrow(described, f"doc_id {kind}, x array<double>").join(known.distinct(), "doc_id").select("y", "x"))
+    sums = {r["at"]: int(r["v"]) for r in rows.mapInArrow(moments, "at int, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("v")).collect()}  # 2 * (1 + size + size * size) rows
+    found = np.array([sums.get(i, 0) for i in range(2 * (1 + size + size * size))], float).reshape(2, -1)
+    if found[:, 0].min() < 2:
+        everyone = sum(shares.values())
+        return shares.get(1, 0) / everyone if everyone else 0.5
+    model = fit(found[:, 0], found[:, 1 : 1 + size] / UNIT, found[:, 1 + size :].reshape(2, size, size) / UNIT**2)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column("y"), pa.array(np.rint(STEP * model.margin(values(batch))) / STEP)], ["y", "m"])
+
+    levels = rows.mapInArrow(margins, "y int, m double").groupBy("y", "m").count().orderBy("m", "y").collect()  # 2 * (400 * STEP + 1) rows at most
+    y, m, n = (np.array([r[k] for r in levels], float) for k in ("y", "m", "count"))
+    return calibrated(model, m, y, n)
 
 
 def score(df: DataFrame, model: Discriminant | float, threshold: float = THRESHOLD) -> DataFrame:

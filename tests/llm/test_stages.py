@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,6 +57,26 @@ def test_score_by_definition(spark):
     assert np.allclose([got[d] for d in rows.column("doc_id").to_pylist()], want, atol=1e-6)
 
 
+def test_quality_learns_from_all_rows(spark):
+    """Means, covariances and calibration by brute force over every labelled row, more than any sample of old held."""
+    r = np.random.default_rng(4)
+    words = ["harbour", "Boats", "123", "!!", "#$%", "weather", "a", "quiet,"]
+    texts = [" ".join(words[k] for k in r.integers(0, 8 if i % 2 else 6, r.integers(5, 30))) for i in range(12000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(12000)], "doc_id long, quality int"), quality.F.lit(True))
+    x, y = quality.statistics(pa.array(texts)), np.arange(12000) % 2
+    assert np.allclose(model.center, x.mean(0), atol=1e-4) and np.allclose(model.scale, x.std(0) + 1e-3, atol=1e-4)
+    z = (x - model.center) / model.scale
+    pooled = sum(z[y == k].var(0) for k in (0, 1)) / 2 + 1e-3
+    for k in (0, 1):
+        assert np.allclose(model.means[k], z[y == k].mean(0), atol=1e-3)
+        cov = (1 - quality.SHRINK) * np.cov(z[y == k], rowvar=False, bias=True) + quality.SHRINK * np.diag(pooled)
+        assert np.allclose(np.linalg.inv(model.factors[k].T @ model.factors[k]), cov, atol=1e-2)
+    m = model.margin(x)
+    p = 1 / (1 + np.exp(-(model.slope * m + model.shift)))
+    assert abs((p - y).mean()) < 1e-4 and abs(((p - y) * m).mean()) < 1e-3  # the fit's own conditions
+
+
 def test_pipeline_on_odd_tables(spark, odd, tmp_path):
     """All stages on nulls, copies and clashing columns: every stage returns the columns of its input, the last one whole pieces; and on no rows."""
     import corpus_pipeline as p
