@@ -1,8 +1,10 @@
-"""Embedding texts, and cosine neighbours: exactly in tiles, or of all vectors by random hyperplanes."""
+"""Embedding texts, and cosine neighbours: exactly in tiles, of some vectors or all, or of all by random hyperplanes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ def snippet_text(books: DataFrame, snippets: DataFrame, most: int = 500) -> Data
 #: Rows of a tile on either side; tables of the index; the recall that its bits are chosen for, and the queries that are scored exactly for that.
 TILE, TABLES, RECALL, PROBES = 4096, 16, 0.97, 256
 _PAIR = "query_id long, neighbour_id long, score double"
+#: Of the search of all by all: numbers that a block of vectors holds at most; blocks that a table is cut into where each keeps `FEW` rows; queries and rows of a step; pairs that are scored at once, in numbers.
+BLOCK, BLOCKS, FEW, ROWS, COLUMNS, SCORED = 1 << 22, 16, 2048, 512, 1024, 1 << 20
 
 
 def sound(vectors: DataFrame) -> DataFrame:
@@ -100,6 +104,139 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     return _ranked(_tiled(rows, rows.where(F.col("vec_id") % every == 0), ["width"], k), k).select("query_id", "neighbour_id", "score", "rank")
 
 
+@dataclass
+class _Block:
+    """Vectors of one width by id, scaled by powers of two so that no square leaves the range, and the best that each has found so far."""
+
+    ids: np.ndarray
+    v: np.ndarray
+    square: np.ndarray
+    unit: np.ndarray
+    best: np.ndarray
+    score: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table, width: int, k: int) -> _Block:
+        ids = t["vec_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        v = np.asarray(t["embedding"].combine_chunks().flatten(), np.float64).reshape(len(ids), width)[order]
+        v = np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True, initial=0))[1])
+        square = np.zeros(len(ids))
+        for x in v.T:  # in order, as the SQL's engine sums
+            square += x * x
+        return cls(ids[order], v, square, (v / np.sqrt(square)[:, None]).astype(np.float32), np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, y = np.nonzero(self.score > -np.inf)
+        return self.ids[x], self.best[x, y], self.score[x, y]
+
+
+def _cosine(a: _Block, x: np.ndarray, b: _Block, y: np.ndarray) -> np.ndarray:
+    """Rounded cosines, to the bit as the SQL's engine has them: sums in order, one root, halves away from zero."""
+    out, step = np.empty(len(x)), max(1, SCORED // a.v.shape[1])
+    for at in range(0, len(x), step):
+        p, q = x[at : at + step], y[at : at + step]
+        c = 1e6 * np.clip(np.cumsum(a.v[p] * b.v[q], axis=1)[:, -1] / np.sqrt(a.square[p] * b.square[q]), -1, 1)
+        whole = np.trunc(c)
+        out[at : at + step] = (whole + np.copysign(1.0, c) * (np.abs(c - whole) >= 0.5)) / 1e6
+    return out
+
+
+def _product(a: _Block, x: int, b: _Block, y: int, kind: type) -> np.ndarray:
+    """Cosines about, of a step of rows of either block; equal ids have none."""
+    u, w = a.unit[x : x + ROWS], b.unit[y : y + COLUMNS]
+    if kind is np.float64:
+        u, w = (c.v[at : at + n] / np.sqrt(c.square[at : at + n])[:, None] for c, at, n in ((a, x, ROWS), (b, y, COLUMNS)))
+    score = u @ w.T
+    low, high = (np.searchsorted(b.ids[y : y + COLUMNS], a.ids[x : x + ROWS], side) for side in ("left", "right"))
+    n = high - low
+    if n.any():
+        score[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(low + n - np.cumsum(n), n)] = -np.inf
+    return score
+
+
+def _offer(score: np.ndarray, slack: float, axis: int, own: _Block, at: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in `score` of what may be among the k best of each row (axis 0) or column (1): steps come by ascending id, so against k found ones only a higher rounded score counts."""
+    kth = own.score[at : at + score.shape[axis], -1]
+    floor = np.where(kth < 1, kth + (5e-7 - slack), np.inf)
+    if np.isneginf(kth).any() and score.shape[1 - axis] > k:
+        floor = np.maximum(floor, np.partition(score, -k, axis=1 - axis).take(-k, axis=1 - axis) - (2 * slack + 1e-6))
+    floor = np.nextafter(floor.astype(score.dtype), score.dtype.type(-np.inf))
+    hit = np.flatnonzero(score >= (floor if axis else floor[:, None]))
+    return np.divmod(hit[score.ravel()[hit] > -np.inf], score.shape[1])
+
+
+def _take(own: _Block, q: np.ndarray, other: _Block, y: np.ndarray, k: int) -> None:
+    """Score these pairs exactly and keep the k best of each query, ties to the smaller id."""
+    s = _cosine(own, q, other, y)
+    more = s > own.score[q, -1]
+    q, y, s = q[more], y[more], s[more]
+    u = np.unique(q)
+    query, ids, s = np.concatenate([np.repeat(u, k), q]), np.concatenate([own.best[u].ravel(), other.ids[y]]), np.concatenate([own.score[u].ravel(), s])
+    by = np.lexsort((ids, -s, query))
+    query, ids, s = query[by], ids[by], s[by]
+    keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+    own.best[u], own.score[u] = ids[keep].reshape(-1, k), s[keep].reshape(-1, k)
+
+
+def _meet(a: _Block, b: _Block, k: int) -> None:
+    """Every row of `a` with every row of `b`, both ways at once unless they are one block. Single precision chooses by its error bound what is scored exactly; where that leaves much, double precision chooses."""
+    rough, fine = ((a.v.shape[1] + 8) * np.finfo(kind).eps for kind in (np.float32, np.float64))
+    for x in range(0, len(a.ids), ROWS):
+        for y in range(0, len(b.ids), COLUMNS):
+            score, closer = _product(a, x, b, y, np.float32), None
+            for axis, own, at in ((0, a, x), (1, b, y))[: 1 if a is b else 2]:
+                i, j = _offer(score, rough, axis, own, at, k)
+                if len(i) > score.size // 16:
+                    closer = _product(a, x, b, y, np.float64) if closer is None else closer
+                    i, j = _offer(closer, fine, axis, own, at, k)
+                if len(i):
+                    _take(*((a, x + i, b, y + j) if axis == 0 else (b, y + j, a, x + i)), k)
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Each row once for every block of its width: width, i, j (the tile: two blocks, or one with itself), second (the row's is the later of two), vec_id, embedding; and how many tiles there are.
+
+    Rows are dealt to blocks by hash, and a block's size doesn't grow with the table. Nothing reaches the driver but the count.
+    """
+    many = max(BLOCKS, ceil(2 * rows.sparkSession.sparkContext.defaultParallelism**0.5))
+    wanted = F.greatest(F.ceil(F.col("n") * F.col("width") / BLOCK), F.least(F.lit(many), F.ceil(F.col("n") / FEW)))
+    cuts = rows.groupBy("width").agg(F.count("*").alias("n")).select("width", wanted.cast("int").alias("blocks"))
+    tiles = int(cuts.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1.0) / 2)).first()[0] or 1)
+    own = F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int")
+    sent = rows.join(F.broadcast(cuts), "width").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return sent.select("width", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), (F.col("own") > F.col("met")).alias("second"), "vec_id", "embedding"), tiles
+
+
+def _all_pairs(rows: DataFrame, k: int) -> DataFrame:
+    """The k best rows of equal width for each row, out of every block of rows. The work is rows times rows, halved as a product serves both; each tile is one task's."""
+
+    def tile(key: tuple, t: pa.Table) -> pa.Table:
+        width, i, j = (x.as_py() for x in key)
+        second = t["second"].combine_chunks()
+        a = _Block.of(t.filter(pa.compute.invert(second)), width, k)
+        b = a if i == j else _Block.of(t.filter(second), width, k)
+        _meet(a, b, k)
+        found = a.pairs() if a is b else map(np.concatenate, zip(a.pairs(), b.pairs()))
+        return pa.table([*map(pa.array, found)], ["query_id", "neighbour_id", "score"])
+
+    sent, tiles = _dealt(rows)
+    keys = ["width", "i", "j"]  # by number: partitions of few bytes would be joined else, and these have much to do
+    return sent.repartition(min(tiles, 1 << 14), *keys).groupBy(*keys).applyInArrow(tile, _PAIR)
+
+
+def all_nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
+    """E2 for every vector, exactly: what `neighbours` finds most of.
+
+    Rows of equal vectors are searched once, unless ids repeat: then each row is searched by itself, and an id has the k best that its rows have found.
+    """
+    rows = written(sound(vectors))
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return _ranked(_all_pairs(rows, k), k).select("query_id", "neighbour_id", "score", "rank")
+    classes, distinct = _classes(rows)
+    return _to_members(rows, classes, _ranked(_all_pairs(distinct, k), k), k)
+
+
 def bits_for(scores: list[float], tables: int, rows: int, recall: float = RECALL) -> int:
     """The most bits a table may have so that neighbours at these cosines share a bucket of some table with the wanted probability, on average; no more than leave a few hundred rows to a bucket."""
     alike = 1 - np.arccos(np.clip(np.array(scores), -1, 1)) / np.pi
@@ -130,11 +267,10 @@ def neighbours(vectors: DataFrame, k: int = 5, tables: int = TABLES, recall: flo
 
     Rows of equal vectors are searched once, and every member gets the class's neighbours and its fellow members. A table has as many bits as the wanted recall
     allows, by the cosines of the true neighbours of `PROBES` vectors, found exactly; where neighbours are far apart that may be none,
-    and the search is the exact one. `nearest` with every=1 is the exact way.
+    and the search is the exact one. `all_nearest` is the exact way.
     """
     rows = written(sound(vectors))
-    classes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("width").alias("width")))
-    distinct = classes.select(F.col("class_id").alias("vec_id"), "embedding", "width")
+    classes, distinct = _classes(rows)
     probes = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES)
     scores = [r["score"] for r in _ranked(_tiled(distinct, probes, ["width"], k), k).select("score").collect()]  # PROBES times k at most
     bits = bits_for(scores, tables, distinct.count(), recall)
@@ -143,7 +279,18 @@ def neighbours(vectors: DataFrame, k: int = 5, tables: int = TABLES, recall: flo
         found = _tiled(dealt, dealt, ["width", "table", "bucket"], k).distinct()
     else:
         found = _tiled(distinct, distinct, ["width"], k)
-    near = _ranked(found, k).select(F.col("query_id").alias("class_id"), F.col("neighbour_id").alias("other"), "score")
+    return _to_members(rows, classes, _ranked(found, k), k)
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """embedding, class_id (the smallest id), n, width of the rows of equal vectors; and a row of each."""
+    classes = written(rows.groupBy("embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"), F.first("width").alias("width")))
+    return classes, classes.select(F.col("class_id").alias("vec_id"), "embedding", "width")
+
+
+def _to_members(rows: DataFrame, classes: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of every row, from the k best classes of each class."""
+    near = found.select(F.col("query_id").alias("class_id"), F.col("neighbour_id").alias("other"), "score")
     several = classes.where("n > 1").select("embedding", "class_id")
     member = rows.join(several, "embedding").select("vec_id", "class_id")
     few = _first_ids(member, k + 1)

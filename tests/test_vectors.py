@@ -1,9 +1,15 @@
 """Embedding texts of books made by hand."""
 
+from collections import Counter
+
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import vectors
+from shelfmark.plans import registry
 
 
 def test_snippet_text(spark):
@@ -75,3 +81,55 @@ def test_odd_vectors(spark):
     for got in (_lists(vectors.nearest(df, 2, 1)), _lists(vectors.neighbours(df, 2))):
         assert {i: [j for j, _ in x] for i, x in got.items()} == {1: [2, 3], 2: [1, 3], 3: [1, 2], 8: [9], 9: [8]}
     assert vectors.neighbours(df.limit(0)).count() == 0
+
+
+def _as_sql(names, got, name, path):
+    """Rows by query and by SQL over the same table, each as often as it stands there."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    return Counter(tuple(r) for r in got) == Counter(want) and len(want) > 0
+
+
+@pytest.mark.parametrize("name", ["D6_semantic_pairs"])
+def test_all_rows_of_the_sql(spark, tmp_path, name):
+    """Enough rows, far apart, for the index to leave some out, among them copies: every row is the SQL's, to the bit."""
+    v = np.random.default_rng(5).standard_normal((3000, 16))
+    v[:40] = v[0]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()[name](spark, str(tmp_path))
+    assert _as_sql(got.columns, got.collect(), name, f"{tmp_path}/embeddings.parquet")
+
+
+def test_ties_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """Few distinct cosines, copies, multiples, and ids that stand on several rows, in many small blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 3 * 64)
+    v = np.random.default_rng(2).integers(-1, 3, (900, 3))
+    v[(v == 0).all(1)] = 1
+    for at, ids in (("once", np.random.default_rng(3).permutation(900)), ("again", np.arange(900) % 600)):
+        spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v.astype(float))], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/{at}")
+        got = vectors.all_nearest(spark.read.parquet(f"{tmp_path}/{at}"), 5)
+        names = ["query_id", "neighbour_id", "score", "rank"]
+        assert got.columns == names and _as_sql(names, got.collect(), "E2_all_nearest", f"{tmp_path}/{at}")
+
+
+@pytest.mark.parametrize("noise", [1.0, 1e-3, 1e-5])
+def test_steps_of_a_tile(monkeypatch, noise):
+    """Two blocks in small steps: far apart, so near that single precision can't tell them, and all but equal; huge and tiny ones among them."""
+    monkeypatch.setattr(vectors, "ROWS", 37)
+    monkeypatch.setattr(vectors, "COLUMNS", 53)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal(24) + noise * rng.standard_normal((400, 24))
+    v[::7] *= 1e-200
+    v[::11] *= 1e180
+    ids = rng.permutation(400)
+    a, b = (vectors._Block.of(pa.table({"vec_id": pa.array(ids[x]), "embedding": pa.array(v[x].tolist())}), 24, 5) for x in (slice(0, 150), slice(150, 400)))
+    vectors._meet(a, b, 5)
+    for own, other in ((a, b), (b, a)):
+        x, y = np.indices((len(own.ids), len(other.ids))).reshape(2, -1)
+        score = vectors._cosine(own, x, other, y).reshape(len(own.ids), -1)
+        best = np.array([np.lexsort((other.ids, -s))[:5] for s in score])
+        assert (own.best == other.ids[best]).all() and (own.score == np.take_along_axis(score, best, 1)).all()
+        u = [z.v / np.linalg.norm(z.v, axis=1, keepdims=True) for z in (own, other)]
+        assert np.abs(score - u[0] @ u[1].T).max() < 1e-6
