@@ -197,13 +197,13 @@ def _meet(a: _Block, b: _Block, k: int) -> None:
 def _dealt(rows: DataFrame) -> tuple[DataFrame, int]:
     """Each row once for every block of its width: width, i, j (the tile: two blocks, or one with itself), second (the row's is the later of two), vec_id, embedding; and how many tiles there are.
 
-    Rows are dealt to blocks by hash, and a block's size doesn't grow with the table. Nothing reaches the driver but the count.
+    Rows are dealt to blocks by id and place, so a block's size doesn't grow with the table, nor with equal rows. Nothing reaches the driver but the count.
     """
     many = max(BLOCKS, ceil(2 * rows.sparkSession.sparkContext.defaultParallelism**0.5))
     wanted = F.greatest(F.ceil(F.col("n") * F.col("width") / BLOCK), F.least(F.lit(many), F.ceil(F.col("n") / FEW)))
     cuts = rows.groupBy("width").agg(F.count("*").alias("n")).select("width", wanted.cast("int").alias("blocks"))
     tiles = int(cuts.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1.0) / 2)).first()[0] or 1)
-    own = F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.col("blocks")).cast("int")  # equal rows to different blocks
     sent = rows.join(F.broadcast(cuts), "width").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return sent.select("width", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), (F.col("own") > F.col("met")).alias("second"), "vec_id", "embedding"), tiles
 

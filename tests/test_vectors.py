@@ -133,3 +133,16 @@ def test_steps_of_a_tile(monkeypatch, noise):
         assert (own.best == other.ids[best]).all() and (own.score == np.take_along_axis(score, best, 1)).all()
         u = [z.v / np.linalg.norm(z.v, axis=1, keepdims=True) for z in (own, other)]
         assert np.abs(score - u[0] @ u[1].T).max() < 1e-6
+
+
+@pytest.mark.parametrize("ids", [1, 3000])
+def test_tiles_do_not_grow(spark, monkeypatch, ids):
+    """A row travels once for each block, whatever its neighbours; no tile is larger than two blocks, also where all rows are one row."""
+    v = np.random.default_rng(6).standard_normal((ids, 8))
+    df = spark.createDataFrame([(i % ids, v[i % ids].tolist()) for i in range(3000)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vectors, "BLOCK", 100 * 8)
+    sent, tiles = vectors._dealt(vectors.written(vectors.sound(df)))
+    size = [r["count"] for r in sent.groupBy("width", "i", "j").count().collect()]
+    assert tiles == 30 * 31 // 2 == len(size) and sum(size) == 3000 * 30 and max(size) <= 300
+    sent, tiles = vectors._dealt(vectors.sound(df.limit(0)))
+    assert sent.count() == 0 and tiles == 1
