@@ -1,5 +1,6 @@
 """Embedding texts of books made by hand."""
 
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -146,3 +147,17 @@ def test_tiles_do_not_grow(spark, monkeypatch, ids):
     assert tiles == 30 * 31 // 2 == len(size) and sum(size) == 3000 * 30 and max(size) <= 300
     sent, tiles = vectors._dealt(vectors.sound(df.limit(0)))
     assert sent.count() == 0 and tiles == 1
+
+
+def test_memory_of_ties():
+    """All rows of two blocks lie in three directions, so scores tie everywhere: a step's arrays are bounded, and the smallest ids win."""
+    n, k = 3000, 5
+    v = np.eye(3)[np.arange(2 * n) % 3] * np.arange(1, 2 * n + 1)[:, None]
+    a, b = (vectors._Block.of(pa.table({"vec_id": pa.array(np.arange(2 * n)[x::2]), "embedding": pa.array(v[x::2].tolist())}), 3, k) for x in (0, 1))
+    tracemalloc.start()
+    vectors._meet(a, b, k)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    for own, other in ((a, b), (b, a)):
+        assert (own.score == 1).all() and all((x == other.ids[other.ids % 3 == i % 3][:k]).all() for i, x in zip(own.ids, own.best))
